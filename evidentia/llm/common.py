@@ -109,33 +109,21 @@ def grouped(batches, columns: list[str]):
 
 
 class Unions:
-    """Union-find over 0..n-1 that keeps the smallest index of a set as its root."""
+    """Union-find over 0..n-1 whose labels are the smallest index of each set."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
+        self.label = np.arange(n)
 
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def union(self, x: int, y: int) -> None:
-        x, y = self.root(x), self.root(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-
-    def labels(self) -> np.ndarray:
-        return np.array([self.root(i) for i in range(len(self.parent))], dtype=np.int64)
-
-    def absorb(self, linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        """Union left[i] and right[j] wherever ``linked[i, j]``, without a Python step per link."""
+    def absorb(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Union x[k] and y[k] for every k, without a Python step per pair."""
         while True:
-            labels = self.labels()
-            open_ = linked & (labels[left][:, None] != labels[right][None, :])
-            rows = np.flatnonzero(open_.any(axis=1))
-            if not len(rows):
+            a, b = self.label[x], self.label[y]
+            open_ = a != b
+            if not open_.any():
                 return
-            for i, j in zip(rows, open_[rows].argmax(axis=1), strict=True):
-                self.union(int(left[i]), int(right[j]))
+            x, y, a, b = x[open_], y[open_], a[open_], b[open_]
+            to = np.arange(len(self.label))
+            np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+            while (to[to] != to).any():
+                to = to[to]
+            self.label = to[self.label]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import mixing, pii, quality_rules, sharding
+from evidentia.llm import embedding_dedup, jaccard_join, mixing, packing, pii, quality_rules, sharding, warc
 from evidentia.llm.sql import oracle
 
 #: Batches in which op4's documents arrive.
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -33,17 +37,36 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are archived, and the result is read back from the archives."""
+    pages = table(spark, sf_dir, "pages")
+    root, _ = warc.archive(pages)
+    records = warc.read(spark, root, dict(pages.dtypes)["page_id"])
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+QUERIES = (op1_embedding_dedup, op2_poisson_mixing, op4_sharding, op5_best_fit_packing, op7_pii, op8_jaccard_join, op9_warc, op10_quality_rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_poisson_mixing, op4_sharding, op7_pii, op10_quality_rules)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

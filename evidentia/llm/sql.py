@@ -91,5 +91,40 @@ select page_id, octet_length(b)::bigint as payload_bytes, {base32} as payload_di
 from p join g on d = gd"""
 
 
+def _components(edges: str, rows: str, key: str) -> str:
+    """CTEs that end in ``comp(key, id)``: the smallest key reachable over ``e(a, b)``."""
+    return f"""
+e as ({edges}),
+reach(a, b) as (select {key}, {key} from ({rows}) union select r.a, e.b from reach r join e on r.b = e.a),
+comp as (select a, min(b) as id from reach group by a),
+deg as (select a, count(*) as n from e group by a)"""
+
+
+def _op1() -> str:
+    edges = "select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.9"
+    return f"""
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+{_components(edges, "select vec_id from embeddings", "vec_id")}
+select vec_id, coalesce(deg.n, 0)::bigint as n_links, comp.id as component_id, vec_id = comp.id as kept
+from embeddings join comp on comp.a = vec_id left join deg on deg.a = vec_id"""
+
+
+def _op8() -> str:
+    edges = """
+  select x.doc_id as a, y.doc_id as b from (select x.doc_id as i, y.doc_id as j, count(*) as common from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all) p
+  join c x on x.doc_id = i join c y on y.doc_id = j where common::double / (x.n + y.n - common) >= 0.8"""
+    return f"""
+with recursive d as (select doc_id, {WORDS} as w from documents),
+s as (
+  select distinct doc_id, g from (
+    select doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as g from d where len(w) > 0)),
+c as (select doc_id, count(*) as n from s group by doc_id),
+{_components(edges, "select doc_id from documents", "doc_id")}
+select documents.doc_id, comp.id as class_id, coalesce(deg.n, 0)::bigint as n_links
+from documents join comp on comp.a = documents.doc_id left join deg on deg.a = documents.doc_id"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op2_poisson_mixing": _op2(), "op4_sharding": _op4(), "op9_warc": _op9(), "op10_quality_rules": _op10()}
+    return {"op1_embedding_dedup": _op1(), "op2_poisson_mixing": _op2(), "op4_sharding": _op4(), "op8_jaccard_join": _op8(), "op9_warc": _op9(), "op10_quality_rules": _op10()}
