@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import embedding_dedup, jaccard_join, mixing, packing, pii, quality_rules, sharding, warc
+from evidentia.llm import embedding_dedup, html_extract, jaccard_join, mixing, packing, pii, quality_rules, sharding, toxicity, warc
 from evidentia.llm.sql import oracle
 
 #: Batches in which op4's documents arrive.
@@ -26,6 +26,10 @@ def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in batches, are compacted after each, and are read back."""
     docs = table(spark, sf_dir, "documents")
@@ -41,6 +45,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -62,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = (op1_embedding_dedup, op2_poisson_mixing, op4_sharding, op5_best_fit_packing, op7_pii, op8_jaccard_join, op9_warc, op10_quality_rules)
+QUERIES = (op1_embedding_dedup, op2_poisson_mixing, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_html_extract, op7_pii, op8_jaccard_join, op9_warc, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
