@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import mixing, pii, quality_rules
+from evidentia.llm import jaccard_join, mixing, packing, pii, quality_rules
 from evidentia.llm.common import shared_dir
 
 
@@ -15,6 +15,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return jaccard_join.deduplicate(docs)
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are generalised in the texts."""
     return pii.sanitise(docs)
@@ -25,7 +30,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("pii", private), ("mixing", mixture)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become token sequences; a row per piece with its place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality), ("jaccard_join", near_duplicates), ("pii", private), ("mixing", mixture), ("packing", packed)]
 
 #: Packing is a heuristic over model token ids, which SQL can't express.
 ORACLE_SQL = None
