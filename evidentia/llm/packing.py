@@ -9,6 +9,7 @@ its emptiest sequences; what was given up is dealt anew, to other company, and p
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -24,8 +25,8 @@ END_ID = 1
 #: Pieces that one task packs at a time, and rounds of exchange.
 SLOT_ROWS = 8192
 ROUNDS = 6
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Pieces whose ids a worker remembers.
+CACHE_PIECES = 1_000_000
 
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -36,34 +37,54 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds:
-    """Token ids of whole texts as little-endian bytes.
+# Letters, numbers and white space among the first 256 code points (fixed values).
+_L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 
-    The vocabulary's tokens never span white space, so the ids of a text are those of its words
-    in order; each distinct word is encoded once and remembered.
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level vocabularies write for each byte: itself if visible, else one past 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordIds(dict):
+    """Token ids of whole texts as little-endian bytes; the dict maps pieces of text to theirs.
+
+    Tokens of the vocabulary never span white space or pieces, so the ids of a text are those of
+    its pieces in order, and each distinct piece is encoded once while it is remembered.  Texts
+    of Latin-1 letters are cut here and go to the merges directly; others are cut at white space
+    and go through the whole tokenizer, special tokens included.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.signs = _byte_signs()
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = array("I", e.ids).tobytes()
+    def __missing__(self, piece: str | bytes) -> bytes:
+        if isinstance(piece, bytes):
+            ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.signs))]
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        value = self[piece] = array("I", ids).tobytes()
+        return value
 
     def ids(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        self.learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+        try:
+            text.encode("latin-1")
+            plain = "<|" not in text
+        except UnicodeEncodeError:
+            plain = False
+        found = _PIECE.findall(text.lower()) if plain else text.encode("utf-8", "replace").split()
+        return b"".join(map(self.__getitem__, found))
 
 
 def pieces(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
