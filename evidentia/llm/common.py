@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a checkpointed table up to which a join broadcasts it; larger ones are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def near(small: DataFrame) -> DataFrame:
+    """A checkpointed table, with a hint to broadcast it if its counted rows allow."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def text_column(name: str = "text"):
     """The text with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

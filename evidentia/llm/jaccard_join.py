@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Unions, WordHashes, cut, grouped, runs, shingles, text_column, width
+from evidentia.llm.common import Unions, WordHashes, cut, grouped, near, runs, shingles, text_column, width
 from evidentia.llm.components import components
 
 THRESHOLD = 0.8
@@ -25,8 +25,6 @@ TARGET_RECALL = 0.999
 SLACK = 4.0
 #: Texts of a block: in the forest's buckets and in verification.
 BUCKET_BLOCK, VERIFY_BLOCK = 512, 256
-#: Rows up to this number are broadcast to a scan of the texts; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
@@ -212,11 +210,6 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInPandas(check, "node long, links long, root long")
 
 
-def near(small: DataFrame) -> DataFrame:
-    """A hint to broadcast a checkpointed table, if it is small enough."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, class_id, n_links, n_same), a row per row of ``docs``.
 
@@ -256,7 +249,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     """
     found = cut(join(docs, threshold, doc_id, text))
     pair = (F.col("doc_id").alias("_i"), F.col("digest").alias("_h"))
-    keeper = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "digest")).alias("k")).withColumnRenamed("class_id", "_class")
+    keeper = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("k")).withColumnRenamed("class_id", "_class")
     stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("digest") == F.col("k.digest"))
     gone = near(cut(found.where("n_links > 0").join(keeper, F.col("class_id").eqNullSafe(F.col("_class"))).where(~stays).select(*pair).distinct()))
     again = near(cut(found.where("n_same > 1").select(*pair).distinct()))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WS, cut, text_column
+from evidentia.llm.common import WS, cut, near, text_column
 
 #: Distance of a cutoff from the quartile, in interquartile ranges, and the least range taken.
 FENCE = 6.0
@@ -132,6 +132,6 @@ def filter_quality(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     at = {c: f"_d_{i}" for i, c in enumerate(docs.columns)}
     inner = tuple(at[k] for k in keys)
     measured = measures(hold, at[text])
-    cutoffs = cut(thresholds(measured.select(*inner, *RULES), inner, fence))
+    cutoffs = near(cut(thresholds(measured.select(*inner, *RULES), inner, fence)))
     kept = judge(measured, cutoffs, inner).where("kept")
     return kept.select(*(F.col(f"_d_{i}").alias(c) for i, c in enumerate(docs.columns)))

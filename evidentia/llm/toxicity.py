@@ -224,7 +224,8 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, train_rows: int
                 yield _table(seen)
                 seen[0].clear()
                 seen[1].clear()
-        yield _table(seen)
+        if seen[0] or seen[1]:
+            yield _table(seen)
 
     total = cut(single.mapInPandas(gather, "name string, toxic long, clean long").groupBy("name").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c")))
     candidates = cut(total.where(F.col("a") >= LEAST_TOXIC))
