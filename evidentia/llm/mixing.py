@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, width
+from evidentia.llm.common import cut, near, width
 
 #: Weight of a source: its documents to this power (1: as they are, 0: all alike).
 TEMPERATURE = 0.5
@@ -51,7 +51,7 @@ def rates(docs: DataFrame, weights: dict | None = None, total: float | None = No
     rows, weight = shares.agg(F.sum("_n"), F.sum("_w")).first()  # two numbers
     wanted = float(rows or 0.0) if total is None else float(total)
     rate = F.lit(wanted) * F.col("_w") / F.lit(weight) / F.col("_n") if weight else F.lit(0.0)
-    return shares.select("_source", rate.alias("_rate"))
+    return near(shares).select("_source", rate.alias("_rate"))
 
 
 def mix(

@@ -12,16 +12,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from evidentia.llm.common import shared_dir
+from evidentia.llm.common import near, shared_dir
 
 #: Bytes that a merged shard should have, ratio of the sizes of two tiers, runs that make a merge.
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 MIN_RUNS = 4
-#: Rows of an arriving shard.
+#: Rows of an arriving shard; shards of a tier that one round merges, the rest follow in the next.
 ARRIVAL_ROWS = 4_000
+ROUND_SHARDS = 50_000
 
 _MANIFEST = "path string, bytes long, rows long, run string"
 
@@ -74,40 +74,50 @@ class ShardStore:
         return self._commit(base, self.manifest(base).unionByName(self._written(run)))
 
     def plan(self, shards: DataFrame) -> DataFrame:
-        """``shards`` with ``tier`` and, for those to merge, ``target``: the merged shard's name.
+        """``shards`` with ``tier`` and ``merge``.
 
-        A tier holds sizes within a factor ``fanout``.  Within a tier and a hashed lane, runs in
-        order of size and path fill targets up to ``target_bytes``; a target is merged if
-        it has ``min_runs`` shards or is full.  Lanes keep a window's rows bounded as tiers grow.
+        A tier holds sizes within a factor ``fanout``.  Shards of up to half the target are merged
+        where their tier has ``min_runs`` of them, or enough bytes for a target.
         """
         tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)).cast("double")) / F.log(F.lit(float(self.fanout))))
-        lanes = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("tier")) / F.lit(100_000))
-        df = shards.withColumn("tier", tier).withColumn("lane", F.pmod(F.xxhash64("path"), F.greatest(lanes, F.lit(1))))
-        order = Window.partitionBy("tier", "lane").orderBy("bytes", "path")
-        before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        df = df.withColumn("bin", F.floor(before / F.lit(self.target)))
-        whole = Window.partitionBy("tier", "lane", "bin")
-        merge = (F.col("bytes") < self.target) & ((F.count(F.lit(1)).over(whole) >= self.min_runs) | ((F.sum("bytes").over(whole) >= self.target) & (F.count(F.lit(1)).over(whole) > 1)))
-        return df.withColumn("target", F.when(merge, F.concat_ws("-", "tier", "lane", "bin"))).drop("lane", "bin")
+        df = shards.withColumn("tier", tier).withColumn("small", F.col("bytes") * 2 <= self.target)
+        sums = df.where("small").groupBy("tier").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_bytes"))
+        ready = sums.where((F.col("_n") >= self.min_runs) | ((F.col("_bytes") >= self.target) & (F.col("_n") > 1))).select("tier", F.lit(True).alias("_ready"))
+        # A row per tier: at most as many as a size has digits.
+        return df.join(F.broadcast(ready), "tier", "left").withColumn("merge", F.col("small") & F.coalesce("_ready", F.lit(False))).drop("small", "_ready")
+
+    def _packed(self, paths: list[str], run: str) -> None:
+        """Rewrite shards as target-sized ones without a shuffle.
+
+        A scan packs small files into partitions of up to the target, and each is written as one
+        file: a row goes from its old shard to its new one in one task.
+        """
+        ours = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        before = {k: self.spark.conf.get(k, None) for k in ours}
+        try:
+            for k, v in ours.items():
+                self.spark.conf.set(k, v)
+            self.spark.read.parquet(*paths).write.mode("append").parquet(f"{self.root}/data/{run}")
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def compact(self) -> int:
-        """One round of merges; returns the version in force, the same if nothing qualifies."""
+        """Merge what the plan says, tier by tier; the version in force, the same if nothing is due."""
         base = self.version()
         plan = self.plan(self.manifest(base))
-        # Number the targets so that each becomes one task and one file.
-        merging = plan.where("target is not null")
-        targets = merging.groupBy("target").agg(F.sum("bytes").alias("size")).select("target", (F.row_number().over(Window.orderBy("target")) - 1).alias("slot"))
-        n = targets.count()
-        if not n:
-            return base
-        slots = merging.join(targets, "target").select(F.col("path").alias("_path"), "slot")
-        sources = [r.run for r in merging.select("run").distinct().toLocalIterator()]  # one per append or merge
+        due = plan.where("merge")
         run = uuid.uuid4().hex
-        rows = self.spark.read.parquet(*(f"{self.root}/data/{s}" for s in sources))
-        names = rows.columns
-        rows = rows.withColumn("_path", F.col("_metadata.file_path")).join(slots, "_path")
-        rows.repartitionByRange(n, "slot").sortWithinPartitions("slot").select(*names).write.parquet(f"{self.root}/data/{run}")
-        return self._commit(base, plan.where("target is null").select("path", "bytes", "rows", "run").unionByName(self._written(run)))
+        gone: list[str] = []
+        for tier in sorted(r.tier for r in due.select("tier").distinct().collect()):
+            paths = [r.path for r in due.where(F.col("tier") == tier).orderBy("bytes", "path").limit(ROUND_SHARDS).collect()]
+            self._packed(paths, run)
+            gone += paths
+        if not gone:
+            return base
+        merged = near(self.spark.createDataFrame([(p,) for p in gone], "path string"))
+        kept = self.manifest(base).join(merged, "path", "left_anti")
+        return self._commit(base, kept.unionByName(self._written(run)))
 
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of the live shards.  Each live shard is read once, others not at all."""
@@ -117,7 +127,7 @@ class ShardStore:
             raise ValueError("the store is empty")
         rows = self.spark.read.parquet(*(f"{self.root}/data/{r}" for r in runs))
         names = rows.columns
-        return rows.withColumn("_path", F.col("_metadata.file_path")).join(live.select(F.col("path").alias("_path")), "_path", "left_semi").select(*names)
+        return rows.withColumn("_path", F.col("_metadata.file_path")).join(near(live.select(F.col("path").alias("_path"))), "_path", "left_semi").select(*names)
 
     def vacuum(self) -> int:
         """Delete the folders of runs that the current version no longer uses."""
