@@ -35,7 +35,7 @@ def create(df: DataFrame, path: str, form: str = "json") -> None:
 def corpus_json(documents: DataFrame, pages: DataFrame, passages: DataFrame, corpus_id: str) -> DataFrame:
     """One JSON line per document of a corpus, pages and passages nested in order."""
     p = pages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    c = passages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page", "start", "end", "id", "version", "article", "section", "text"))).alias("chunks"))
+    c = passages.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page", "start", "end", "id", "source_id", "version","article", "section", "text"))).alias("chunks"))
     rows = documents.join(p, "source_id", "left").join(c, "source_id", "left").withColumn("corpus_id", F.lit(corpus_id))
     return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
 
