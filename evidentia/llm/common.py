@@ -55,7 +55,7 @@ def width(spark: SparkSession) -> int:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to ``limit`` words at a time."""
 
-    limit = 1_000_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -94,27 +94,24 @@ def runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *edges], [*edges, len(keys)], strict=True))
 
 
-def grouped(batches, columns: list[str]):
-    """Data frames of the rows of each key, from batches sorted by ``columns``.
+def grouped(batches, column: str):
+    """Arrow tables of the rows of each key, from record batches sorted by an integer ``column``.
 
     Only one group is held at a time; callers bound the size of groups.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    rest = None
+    held, key = [], None
     for batch in batches:
-        if rest is not None:
-            batch = pd.concat([rest, batch], ignore_index=True)
-        if not len(batch):
-            continue
-        keys = batch[columns]
-        change = (keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(axis=1)
-        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
-        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
-            yield batch.iloc[a:b]
-        rest = batch.iloc[edges[-2] :]
-    if rest is not None and len(rest):
-        yield rest
+        keys = batch.column(column).to_numpy()
+        for a, b in runs(keys):
+            if held and keys[a] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            key = keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class Unions:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ TARGET_RECALL = 0.999
 SLACK = 4.0
 #: Texts of a block: in the forest's buckets and in verification.
 BUCKET_BLOCK, VERIFY_BLOCK = 512, 256
+#: Shingles that count as a text when groups are cut into blocks, and shingles intersected at a time.
+ROW_SHINGLES, RANGE_SHINGLES = 4096, 1_000_000
 
 
 def depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
@@ -60,24 +63,25 @@ class Signer:
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
-    """(row, doc_id, digest, keys, sketch) of every row; no keys for texts without words."""
+    """(row, doc_id, digest, keys, sketch, items) of every row, ``items`` shingles; no keys for texts without words."""
     kind = dict(docs.dtypes)[doc_id]
     prefix = depth(threshold)
 
     def sign(batches):
         hashes, signer = WordHashes(), Signer(prefix)
         for batch in batches:
-            keys, sketches = [], []
+            keys, sketches, sizes = [], [], []
             for body in batch["text"]:
                 items = shingles(body, hashes)
+                sizes.append(len(items))
                 k, s = signer(items) if len(items) else (None, None)
                 keys.append(k)
                 sketches.append(s)
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "digest": batch["digest"], "keys": keys, "sketch": sketches})
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "digest": batch["digest"], "keys": keys, "sketch": sketches, "items": sizes})
 
     body = text_column(text)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("text"))
-    return cut(rows.mapInPandas(sign, f"row long, doc_id {kind}, digest binary, keys array<long>, sketch binary"))
+    return cut(rows.mapInPandas(sign, f"row long, doc_id {kind}, digest binary, keys array<long>, sketch binary, items int"))
 
 
 def _blocks(df: DataFrame, size: int, key: str, count: str) -> DataFrame:
@@ -150,21 +154,27 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
     if len(left) * len(other) <= 16:
         return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in other] for x in left], dtype=np.int64)
     sets = left if right is None else [*left, *right]
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    rank = np.cumsum(shared) - 1
-    use = shared[code]
-    owner, code = owner[use], rank[code[use]]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
     total = np.zeros((len(left), len(other)), np.float64)
+    # Shingles are hashes: ranges of their values bound what is sorted at a time.
+    parts = max(1, -(-sum(map(len, sets)) // RANGE_SHINGLES))
+    edges = np.array([i * 2**64 // parts for i in range(1, parts)], np.uint64)
+    bounds = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
     columns = 4096
-    for at in range(0, int(shared.sum()), columns):
-        a, b = np.searchsorted(code, [at, at + columns])
-        grid = np.zeros((len(sets), columns), np.float32)
-        grid[owner[a:b], code[a:b] - at] = 1
-        total += grid[: len(left)] @ (grid if right is None else grid[len(left) :]).T
+    for part in range(parts):
+        some = [s[at[part] : at[part + 1]] for s, at in zip(sets, bounds, strict=True)]
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in some])
+        _, code, times = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+        shared = times > 1
+        rank = np.cumsum(shared) - 1
+        use = shared[code]
+        owner, code = owner[use], rank[code[use]]
+        order = np.argsort(code, kind="stable")
+        owner, code = owner[order], code[order]
+        for at in range(0, int(shared.sum()), columns):
+            a, b = np.searchsorted(code, [at, at + columns])
+            grid = np.zeros((len(sets), columns), np.float32)
+            grid[owner[a:b], code[a:b] - at] = 1
+            total += grid[: len(left)] @ (grid if right is None else grid[len(left) :]).T
     return total.astype(np.int64)
 
 
@@ -179,10 +189,10 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches):
         hashes = WordHashes()
-        out: list[pd.DataFrame] = []
-        for cell in grouped(batches, ["cell"]):
-            cell = cell.drop_duplicates("node")  # rows of one id and text
-            sets = [shingles(t, hashes) for t in cell["text"]]
+        out: list[pa.RecordBatch] = []
+        for cell in grouped(batches, "cell"):
+            cell = cell.take(np.unique(cell["node"].to_numpy(), return_index=True)[1])  # rows of one id and text
+            sets = [shingles(t.as_py(), hashes) for t in cell["text"]]
             node, copies, side = (cell[c].to_numpy() for c in ("node", "copies", "side"))
             size = np.array([len(s) for s in sets])
             local = np.arange(len(sets))
@@ -200,14 +210,14 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
             found.absorb(left[x], right[y])
             roots = found.label
             some = count > 0
-            out.append(pd.DataFrame({"node": node[some], "links": count[some], "root": node[roots[some]]}))
+            out.append(pa.RecordBatch.from_pydict({"node": node[some], "links": count[some], "root": node[roots[some]]}))
             if len(out) >= 500:
-                yield pd.concat(out, ignore_index=True)
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
                 out = []
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return dealt.mapInPandas(check, "node long, links long, root long")
+    return dealt.mapInArrow(check, "node long, links long, root long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,10 +230,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     of the same id and text.
     """
     rows = signed(docs, doc_id, text, threshold)
-    classes = cut(rows.where("keys is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")))
+    classes = cut(rows.where("keys is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.max("items").alias("items")))
     reps = rows.join(classes.select("node"), rows["row"] == F.col("node")).select("node", "keys", "sketch")
     clusters = components(meet(reps, threshold))
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    weight = F.ceil(F.sum("items") / ROW_SHINGLES).cast("long")
+    sizes = clusters.join(classes.select("node", "items"), "node").groupBy("component").agg(F.greatest(F.count(F.lit(1)), weight).alias("size"))
     chosen = cut(clusters.join(sizes, "component").join(classes, "node").select("node", "component", "size", "copies", F.col("digest").alias("_digest"), F.col("first").alias("_first")))
     body = text_column(text)
     texts = docs.select(F.col(f"`{doc_id}`").alias("_id"), body.alias("text")).withColumn("_hash", F.unhex(F.sha2("text", 256)))

@@ -26,7 +26,7 @@ END_ID = 1
 SLOT_ROWS = 8192
 ROUNDS = 6
 #: Pieces whose ids a worker remembers.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 

@@ -122,7 +122,7 @@ def lattice(stretch: str) -> list[list[tuple[int, ...]]]:
 class Restorer:
     """Words of a text, those behind disguises included."""
 
-    def __init__(self, model: CharModel, limit: int = 200_000):
+    def __init__(self, model: CharModel, limit: int = 100_000):
         self.model, self.known, self.limit = model, {}, limit
 
     def _decode(self, stretch: str) -> str:
@@ -257,7 +257,7 @@ def _table(seen: tuple[Counter, Counter]) -> pd.DataFrame:
 class Evidence(dict):
     """Weight of a word: the largest of its evidence; remembered up to a limit."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
