@@ -91,61 +91,95 @@ def _blocks(df: DataFrame, size: int, key: str, count: str) -> DataFrame:
     blocks is a cell, so no cell holds more than about twice ``size`` rows.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col(count) / size)).cast("int")
-    df = df.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    df = df.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node", key), F.col("_n")).cast("int"))
     df = df.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_o") == F.col("_b"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
     cell = F.struct(F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o"))
     return df.withColumns({"cell": F.xxhash64(cell, F.lit(11)), "side": side.cast("int")}).drop("_n", "_b", "_o", count)
 
 
+def _cells(batches):
+    """(node, side, group, sketches) of each cell, from record batches sorted by cell."""
+    for cell in grouped(batches, "cell"):
+        node, side, group = (cell[c].to_numpy() for c in ("node", "side", "group"))
+        yield node, side, group, np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(node), TREES * LABEL)
+
+
+def _forest(node: np.ndarray, found: Unions) -> pa.RecordBatch:
+    moved = np.flatnonzero(found.label != np.arange(len(node)))
+    return pa.RecordBatch.from_pydict({"a": node[moved], "b": node[found.label[moved]]})
+
+
+def _joined(parts, rows: int = 20_000):
+    """Record batches put together to about ``rows`` rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= rows or len(held) >= 2000:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def meet(reps: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) of a forest over nodes whose sketches agree, among those that meet in a tree."""
-    keys = reps.select("node", F.explode("keys").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keys.join(crowded, "key").join(reps.select("node", "sketch"), "node")
+    """(node, component) over nodes whose sketches agree, among those that meet in a tree.
+
+    First the texts of a bucket are compared inside its blocks, one cell a text and tree.  Then,
+    in buckets of several blocks whose texts are not all connected by now, texts of different
+    components are compared across blocks.
+    """
     n = TREES * LABEL
     least = int(np.floor(n * threshold - SLACK * np.sqrt(n * threshold * (1 - threshold))))
-    dealt = _blocks(members, BUCKET_BLOCK, "key", "n").select("cell", "side", "node", "sketch")
-    dealt = dealt.repartition(width(reps.sparkSession), "cell").sortWithinPartitions("cell")
-
-    def compare(batches):
-        def edges(cell, side, node, sketch, out):
-            spans = runs(cell)
-            two = np.array([a for a, b in spans if b - a == 2], dtype=np.int64)
-            if len(two):  # most buckets hold two texts: all of them at once
-                ok = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= least) & ((side[two] == 2) | (side[two] != side[two + 1]))
-                out.append((node[two[ok]], node[two[ok] + 1]))
-            for a, b in spans:
-                if b - a <= 2:
-                    continue
-                local = np.arange(a, b)
-                left, right = (local, local) if side[a] == 2 else (local[side[a:b] == 0], local[side[a:b] == 1])
-                found = Unions(b - a)
-                for i in range(0, len(left), 64):
-                    part = left[i : i + 64]
-                    x, y = np.nonzero((sketch[part][:, None, :] == sketch[right][None, :, :]).sum(axis=2) >= least)
-                    found.absorb(part[x] - a, right[y] - a)
-                roots = found.label
-                moved = np.flatnonzero(roots != np.arange(b - a))
-                out.append((node[a + moved], node[a + roots[moved]]))
-
-        held = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            now = [batch[c].to_numpy() for c in ("cell", "side", "node")] + [np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(len(batch), n)]
-            held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            start = int(np.searchsorted(held[0], held[0][-1]))
-            out: list = []
-            edges(*(x[:start] for x in held), out)
-            held = [x[start:] for x in held]
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in out] or [np.empty(0, np.int64)]), "b": np.concatenate([y for _, y in out] or [np.empty(0, np.int64)])})
-        if held is not None:
-            out = []
-            edges(*held, out)
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in out] or [np.empty(0, np.int64)]), "b": np.concatenate([y for _, y in out] or [np.empty(0, np.int64)])})
-
-    return dealt.mapInPandas(compare, "a long, b long")
+    keys = reps.select("node", F.explode("keys").alias("key"))
+    crowded = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = keys.join(crowded, "key").join(reps.select("node", "sketch"), "node")
+
+    def inside(batches):
+        def edges():
+            for node, _, _, sketch in _cells(batches):
+                found = Unions(len(node))
+                for i in range(0, len(node), 64):
+                    x, y = np.nonzero((sketch[i : i + 64, None, :] == sketch[None, i:, :]).sum(axis=2) >= least)
+                    found.absorb(x + i, y + i)
+                yield _forest(node, found)
+
+        return _joined(edges())
+
+    def across(batches):
+        def edges():
+            for node, side, group, sketch in _cells(batches):
+                found = Unions(len(node))
+                left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                left = left[np.argsort(group[left], kind="stable")]
+                for a, b in runs(group[left]):
+                    other = right[group[right] != group[left[a]]]
+                    for i in range(a, b if len(other) else a, 64):
+                        part = left[i : min(i + 64, b)]
+                        x, y = np.nonzero((sketch[part][:, None, :] == sketch[other][None, :, :]).sum(axis=2) >= least)
+                        found.absorb(part[x], other[y])
+                yield _forest(node, found)
+
+        return _joined(edges())
+
+    def compared(dealt: DataFrame, work) -> DataFrame:
+        dealt = dealt.repartition(width(reps.sparkSession), "cell").sortWithinPartitions("cell", "node")
+        return cut(dealt.mapInArrow(work, "a long, b long"))
+
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("node", "key"), blocks)).otherwise(F.lit(0)).cast("int")
+    first = members.select(F.xxhash64("key", own).alias("cell"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("group"), "node", "sketch")
+    near_ones = compared(first, inside)
+    groups = components(near_ones)
+    large = members.where(F.col("n") > BUCKET_BLOCK)
+    if not crowded.where(F.col("n") > BUCKET_BLOCK).limit(1).count():
+        return groups
+    large = large.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    mixed = large.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+    rest = _blocks(large.join(mixed, "key", "left_semi"), BUCKET_BLOCK, "key", "n").where("side <> 2")
+    more = compared(rest.select("cell", "side", "group", "node", "sketch"), across)
+    return components(near_ones.union(more))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -187,9 +221,8 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     dealt = _blocks(members, VERIFY_BLOCK, "component", "size").select("cell", "side", "node", "copies", "text")
     dealt = dealt.repartition(width(members.sparkSession), "cell").sortWithinPartitions("cell", "node")
 
-    def check(batches):
+    def cells(batches):
         hashes = WordHashes()
-        out: list[pa.RecordBatch] = []
         for cell in grouped(batches, "cell"):
             cell = cell.take(np.unique(cell["node"].to_numpy(), return_index=True)[1])  # rows of one id and text
             sets = [shingles(t.as_py(), hashes) for t in cell["text"]]
@@ -210,14 +243,9 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
             found.absorb(left[x], right[y])
             roots = found.label
             some = count > 0
-            out.append(pa.RecordBatch.from_pydict({"node": node[some], "links": count[some], "root": node[roots[some]]}))
-            if len(out) >= 500:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-                out = []
-        if out:
-            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+            yield pa.RecordBatch.from_pydict({"node": node[some], "links": count[some], "root": node[roots[some]]})
 
-    return dealt.mapInArrow(check, "node long, links long, root long")
+    return dealt.mapInArrow(lambda batches: _joined(cells(batches)), "node long, links long, root long")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -232,7 +260,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     rows = signed(docs, doc_id, text, threshold)
     classes = cut(rows.where("keys is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.max("items").alias("items")))
     reps = rows.join(classes.select("node"), rows["row"] == F.col("node")).select("node", "keys", "sketch")
-    clusters = components(meet(reps, threshold))
+    clusters = meet(reps, threshold)
     weight = F.ceil(F.sum("items") / ROW_SHINGLES).cast("long")
     sizes = clusters.join(classes.select("node", "items"), "node").groupBy("component").agg(F.greatest(F.count(F.lit(1)), weight).alias("size"))
     chosen = cut(clusters.join(sizes, "component").join(classes, "node").select("node", "component", "size", "copies", F.col("digest").alias("_digest"), F.col("first").alias("_first")))
