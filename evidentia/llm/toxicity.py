@@ -26,6 +26,8 @@ MODEL_SIZE = 20_000
 LEAST_WORDS, TOXIC_WORDS = 3, 0.8
 #: Documents of either label that a piece of evidence needs; standard errors taken off its log odds.
 LEAST_TOXIC, MARGIN = 3, 2.0
+#: Signs of text turned into arrays at a time while grams are counted.
+COUNT_CHARS = 1 << 18
 CUTOFF = 0.3
 HELD_OUT = 2
 
@@ -66,11 +68,14 @@ class CharModel:
 
     @staticmethod
     def count(texts: list[str]) -> np.ndarray:
-        points = np.frombuffer("\n\n\n".join(texts).lower().encode("utf-32-le", "replace"), np.uint32)
-        c = np.where(points < len(_CODES), _CODES[np.minimum(points, len(_CODES) - 1)], 0)
-        if len(c) < 4:
-            return np.zeros(_A**4, np.int64)
-        return np.bincount(((c[:-3] * _A + c[1:-2]) * _A + c[2:-1]) * _A + c[3:], minlength=_A**4)
+        text = "\n\n\n".join(texts).lower()
+        total = np.zeros(_A**4, np.int64)
+        for at in range(0, len(text), COUNT_CHARS):  # slices share three signs, so each gram is in one
+            points = np.frombuffer(text[max(0, at - 3) : at + COUNT_CHARS].encode("utf-32-le", "replace"), np.uint32)
+            c = np.where(points < len(_CODES), _CODES[np.minimum(points, len(_CODES) - 1)], 0)
+            if len(c) >= 4:
+                total += np.bincount(((c[:-3] * _A + c[1:-2]) * _A + c[2:-1]) * _A + c[3:], minlength=_A**4)
+        return total
 
     def decode(self, lattice: list[list[tuple[int, ...]]]) -> str:
         """Likeliest path; each step offers strings of codes (an empty one: nothing)."""
