@@ -132,3 +132,15 @@ def test_overlaps(left, right):
     as_arrays = lambda xs: [np.array(sorted(x), np.uint64) for x in xs]
     want = [[len(x & y) for y in (left if right is None else right)] for x in left]
     assert jaccard_join.overlaps(as_arrays(left), None if right is None else as_arrays(right)).tolist() == want
+
+
+def test_buckets_of_many_blocks(spark, monkeypatch):
+    """Links between the blocks of a crowded bucket are found, also where blocks alone don't connect."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", 4)
+    # Each text moves four words on from the one before: 76 of 84 shingles are shared with it.
+    texts = [" ".join(f"w{j}" for j in range(4 * i, 4 * i + 84)) for i in range(40)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(80)} for t in texts]
+    near = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
+    got = {r.doc_id: r for r in jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: (got[i].class_id, got[i].n_links) for i in got} == {i: (0, sum(near[i]) - 1) for i in range(40)}
