@@ -249,13 +249,14 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, class_id, n_links, n_same), a row per row of ``docs``.
+    """(doc_id, digest, class_id, class_node, n_links, n_same), a row per row of ``docs``.
 
     Documents link if the Jaccard index of their shingle sets is at least ``threshold``; equal
     texts are one class from the start.  ``n_links``: other documents linked directly;
     ``class_id``: smallest ``doc_id`` reachable by links.  Texts without words (null, empty)
-    link with nothing and are a class each.  Ids may repeat or be null; ``n_same`` counts rows
-    of the same id and text.
+    link with nothing and are a class each.  Ids may repeat or be null, so classes can share a
+    ``class_id``; ``class_node``, a row number, is their own.  ``n_same`` counts rows of the same
+    id and text.
     """
     rows = signed(docs, doc_id, text, threshold)
     classes = cut(rows.where("keys is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.max("items").alias("items")))
@@ -272,13 +273,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("class_id"))
     of_node = classes.join(counts, "node", "left").join(groups, "node", "left").join(named, "component", "left")
-    of_text = of_node.select("digest", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of_text = of_node.select("digest", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("component", "node").alias("class_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     same = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n_same"))
-    full = rows.select("doc_id", "digest").join(of_text, "digest", "left")
-    full = full.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
+    full = rows.select("row", "doc_id", "digest").join(of_text, "digest", "left")
+    full = full.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "class_node": F.coalesce("class_node", "row"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")})
     again = same.where("n_same > 1").withColumnsRenamed({"doc_id": "_id", "digest": "_hash"})
     full = full.join(again, full["doc_id"].eqNullSafe(again["_id"]) & (full["digest"] == again["_hash"]), "left")
-    return full.select("doc_id", "digest", "class_id", "n_links", F.coalesce("n_same", F.lit(1)).alias("n_same"))
+    return full.select("doc_id", "digest", "class_id", "class_node", "n_links", F.coalesce("n_same", F.lit(1)).alias("n_same"))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,9 +289,11 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     """
     found = cut(join(docs, threshold, doc_id, text))
     pair = (F.col("doc_id").alias("_i"), F.col("digest").alias("_h"))
-    keeper = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("k")).withColumnRenamed("class_id", "_class")
+    linked = found.where("n_links > 0")
+    # Classes are told apart by their node: ids may repeat or be null, so class_id doesn't.
+    keeper = linked.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")).alias("k"))
     stays = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("digest") == F.col("k.digest"))
-    gone = near(cut(found.where("n_links > 0").join(keeper, F.col("class_id").eqNullSafe(F.col("_class"))).where(~stays).select(*pair).distinct()))
+    gone = near(cut(linked.join(keeper, "class_node").where(~stays).select(*pair).distinct()))
     again = near(cut(found.where("n_same > 1").select(*pair).distinct()))
     kept = docs.withColumn("_digest", F.unhex(F.sha2(text_column(text), 256)))
     same = F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_h"))

@@ -144,3 +144,18 @@ def test_buckets_of_many_blocks(spark, monkeypatch):
     near = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
     got = {r.doc_id: r for r in jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i: (got[i].class_id, got[i].n_links) for i in got} == {i: (0, sum(near[i]) - 1) for i in range(40)}
+
+
+def test_classes_that_share_an_id_or_have_none_keep_a_row_each(spark):
+    """Repeated ids with different texts and null ids don't merge the choice of keepers."""
+    text = lambda name, change=None: " ".join(f"{name}{i}" if i != change else "changed" for i in range(80))
+    # Every unrelated text under the id of a linked class, so that some digest is below its keeper's.
+    rows = [(5, text("a")), (7, text("a", 3)), *((5, text(f"u{i}x")) for i in range(8))]
+    rows += [(None, text("p")), (None, text("p", 9)), (None, text("q")), (None, text("q", 9)), (None, text("alone"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text.split()[0]) for r in jaccard_join.deduplicate(df).collect())
+    assert got == sorted([(5, "a0"), *((5, f"u{i}x0") for i in range(8)), (0, "p0"), (0, "q0"), (0, "alone0")])
+    nodes = {}
+    for r in jaccard_join.join(df).collect():
+        nodes.setdefault(r.class_node, []).append(r.n_links)
+    assert sorted(nodes.values()) == [[0]] * 9 + [[1, 1]] * 3
