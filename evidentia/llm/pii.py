@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, text_column
+from evidentia.llm.common import cut, near, text_column
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Kind of the spans that the method adds.
@@ -107,6 +107,12 @@ def _contexts(df: DataFrame) -> DataFrame:
     return df.where(clear & whole).select("_key", "kind", "entity", "_context", F.lower("w.value").alias("term"), a.alias("start"), b.alias("stop"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """A row per different text of ``docs(_key, _t)``; only texts with copies are shuffled."""
+    copied = near(cut(docs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")))
+    return docs.join(copied, "_key", "left_anti").unionByName(docs.join(copied, "_key", "left_semi").dropDuplicates(["_key"]))
+
+
 def disclosing(contexts: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(kind, entity, term) of the terms over the threshold; ``docs``: (_key, _t) of all texts."""
     pair = ["kind", "entity", "term"]
@@ -115,10 +121,12 @@ def disclosing(contexts: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_c
     together = contexts.groupBy(*pair, "_key").agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("one").alias("n_both"))
     entities = contexts.groupBy("kind", "entity", "_key").agg(F.lit(1).alias("one")).groupBy("kind", "entity").agg(F.count("one").alias("n_entity"))
     pairs = cut(known.join(together, pair).join(entities, ["kind", "entity"]))
-    # Documents of every term of the corpus, by 64-bit hash, summed up map-side before any join.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}[\p{L}\p{N}]{3,}+"), F.lit(0)))).alias("term"))
+    # Copies count once, as above: all four counts are of different texts.
+    texts = _once(docs)
+    # Texts of every term of the corpus, by 64-bit hash, summed up map-side before any join.
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}[\p{L}\p{N}]{3,}+"), F.lit(0)))).alias("term"))
     frequency = words.groupBy(F.xxhash64("term").alias("_term")).agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
+    total = texts.count()
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     return pairs.join(frequency, F.xxhash64("term") == F.col("_term")).where((content > 0) & (pmi >= alpha * content)).select(*pair)

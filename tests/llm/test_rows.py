@@ -113,6 +113,15 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "Ziggurat" not in clean[0] and clean[9] == texts[9]
 
 
+def test_pii_copies_hide_no_term(spark):
+    """Documents are counted as different texts everywhere, so copies of a text change no threshold."""
+    texts = [f"{w} met Zanzibarius, whose mail is z.q@corp.org, {w}" for w in ("monday", "friday", "sunday")]
+    texts += [f"other story number{i} of the day" for i in range(60)]
+    plain = {r.spans for r in pii.digest(docs(spark, texts)).collect()}
+    copied = {r.spans for r in pii.digest(docs(spark, texts + texts[:1] * 300)).collect()}
+    assert plain == copied and any("term" in x for x in plain)
+
+
 def test_pii_copies_are_no_evidence(spark):
     texts = ["Nobody knows Ziggurat under zig@example.org here"] * 50 + [f"other text {i}" for i in range(50)]
     assert all("term" not in r.spans for r in pii.digest(docs(spark, texts)).collect())
