@@ -1,10 +1,11 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
 DataFrame functions only.  Patterns find e-mail addresses, IP addresses, card and phone
-numbers.  Corpus co-occurrence then estimates how strongly a term near an entity reveals it:
-with p from document frequencies, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), and a term whose PMI
-reaches ``ALPHA`` of the entity's information content -log2 p(e) is disclosed.  Evidence has to
-come from ``MIN_CONTEXTS`` different contexts, so copies of one text don't count as evidence.
+numbers.  Corpus co-occurrence then estimates how strongly a term reveals an entity: with p from
+document frequencies of whole texts, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), and a term whose PMI
+reaches ``ALPHA`` of the entity's information content -log2 p(e) discloses it.  Evidence has to
+come from ``MIN_CONTEXTS`` different contexts of the entity, so copies of one text or passage
+don't count as evidence.  A disclosing term is marked wherever it occurs, in every text.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ _PATTERNS = {
 }
 _HINT = {"email": "@", "phone": "+"}
 
-#: Characters of context on each side of an entity.
+#: Characters on each side of an entity that tell its contexts apart.
 WINDOW = 80
 #: Share of the entity's information content that a term's PMI may reach.
 ALPHA = 0.8
 #: Different contexts in which term and entity have to meet.
 MIN_CONTEXTS = 3
 
+#: Terms: words of two characters or more.
+_TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]++"
+
 _SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
 
 
@@ -61,7 +65,7 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start,stop,value>>`` of the matches, in code points (stop exclusive)."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
@@ -88,23 +92,29 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def _contexts(df: DataFrame) -> DataFrame:
-    """(key, kind, entity, context, term, start, stop) of the words near each entity.
+def _terms(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
-    Words that touch a pattern span or the edge of a cut window are left out.
-    """
-    df = df.select("_key", "_t", "_spans", F.explode("_spans").alias("e"))
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a line end for each span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        piece = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece, F.lit("\n")).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _mentions(df: DataFrame) -> DataFrame:
+    """(text, kind, entity, context) of each entity: hashes of its text and of what stands around it."""
+    df = df.select("_key", "_t", F.explode("_spans").alias("e"))
     left = F.greatest(F.lit(0), F.col("e.start") - WINDOW)
-    df = df.withColumns({"_left": left, "_win": F.substring(F.col("_t"), left + 1, F.col("e.stop") + WINDOW - left)})
     # The context without the entity itself tells copies of a passage from fresh mentions.
-    before, after = F.substring(F.col("_win"), F.lit(1), F.col("e.start") - F.col("_left")), F.substring(F.col("_win"), F.col("e.stop") - F.col("_left") + 1, F.lit(WINDOW))
-    df = df.withColumn("_context", F.xxhash64(before, after))
-    df = df.withColumn("_words", located(F.col("_win"), r"\p{L}[\p{L}\p{N}]{3,}+"))
-    df = df.select("_key", "_t", "_spans", "_left", "_context", F.length("_win").alias("_len"), F.col("e.kind").alias("kind"), F.lower("e.value").alias("entity"), F.explode("_words").alias("w"))
-    a, b = F.col("_left") + F.col("w.start"), F.col("_left") + F.col("w.stop")
-    clear = ~F.exists("_spans", lambda s: (s["start"] < b) & (s["stop"] > a))
-    whole = ((F.col("w.start") > 0) | (F.col("_left") == 0)) & ((F.col("w.stop") < F.col("_len")) | (b == F.length("_t")))
-    return df.where(clear & whole).select("_key", "kind", "entity", "_context", F.lower("w.value").alias("term"), a.alias("start"), b.alias("stop"))
+    before, after = F.substring(F.col("_t"), left + 1, F.col("e.start") - left), F.substring(F.col("_t"), F.col("e.stop") + 1, F.lit(WINDOW))
+    return df.select(F.xxhash64("_key").alias("_text"), F.col("e.kind").alias("kind"), F.lower("e.value").alias("entity"), F.xxhash64(before, after).alias("_context")).distinct()
 
 
 def _once(docs: DataFrame) -> DataFrame:
@@ -113,23 +123,40 @@ def _once(docs: DataFrame) -> DataFrame:
     return docs.join(copied, "_key", "left_anti").unionByName(docs.join(copied, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
-def disclosing(contexts: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(kind, entity, term) of the terms over the threshold; ``docs``: (_key, _t) of all texts."""
-    pair = ["kind", "entity", "term"]
+def disclosing(marked: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """(term) of the terms over the threshold for some entity.
+
+    ``marked``: (_key, _t, _spans) of the texts with entities; ``docs``: (_key, _t) of all texts.
+    """
+    who, pair = ["kind", "entity"], ["kind", "entity", "term"]
+    mentions = cut(_mentions(marked))
     # Two levels of grouping instead of count(distinct): a frequent pair is summed up map-side.
-    known = contexts.groupBy(*pair, "_context").agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("one").alias("n_contexts")).where(F.col("n_contexts") >= min_contexts)
-    together = contexts.groupBy(*pair, "_key").agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("one").alias("n_both"))
-    entities = contexts.groupBy("kind", "entity", "_key").agg(F.lit(1).alias("one")).groupBy("kind", "entity").agg(F.count("one").alias("n_entity"))
-    pairs = cut(known.join(together, pair).join(entities, ["kind", "entity"]))
+    different = lambda df, by, what: df.groupBy(*by, what).agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("one").alias("n"))
+    # No term of an entity can have more contexts than the entity.
+    recurring = different(mentions, who, "_context").where(F.col("n") >= min_contexts).select(*who)
+    entities = cut(different(mentions, who, "_text").withColumnRenamed("n", "n_entity").join(recurring, who))
+    known = cut(mentions.join(near(entities.select(*who)), who))
+    texts_of = known.select("_text").distinct()
+    held = marked.select(F.xxhash64("_key").alias("_text"), "_t", "_spans").join(near(cut(texts_of)), "_text", "left_semi")
+    held = cut(held.select("_text", F.explode(_terms(_outside(F.col("_t"), F.col("_spans")))).alias("term")).distinct())
+    met = held.join(known, "_text")
+    often = different(met, pair, "_context").where(F.col("n") >= min_contexts).select(*pair)
+    pairs = cut(different(met, pair, "_text").withColumnRenamed("n", "n_both").join(often, pair).join(near(entities), who))
     # Copies count once, as above: all four counts are of different texts.
     texts = _once(docs)
     # Texts of every term of the corpus, by 64-bit hash, summed up map-side before any join.
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}[\p{L}\p{N}]{3,}+"), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(_terms(F.col("_t"))).alias("term"))
     frequency = words.groupBy(F.xxhash64("term").alias("_term")).agg(F.count(F.lit(1)).alias("n_term"))
     total = texts.count()
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.join(frequency, F.xxhash64("term") == F.col("_term")).where((content > 0) & (pmi >= alpha * content)).select(*pair)
+    return pairs.join(frequency, F.xxhash64("term") == F.col("_term")).where((content > 0) & (pmi >= alpha * content)).select("term").distinct()
+
+
+def _added(docs: DataFrame, reveal: DataFrame) -> DataFrame:
+    """(_key, _found): a pattern of the disclosing terms that a text holds."""
+    held = docs.select("_key", F.explode(_terms(F.col("_t"))).alias("term")).join(near(reveal), "term")
+    return held.groupBy("_key").agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.collect_set("term"), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias("_found"))
 
 
 def find(docs: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS, carry: bool = False) -> DataFrame:
@@ -142,11 +169,13 @@ def find(docs: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts
     held = docs.select(*(F.col(f"`{c}`").alias(f"_d_{i}") for i, c in enumerate(keep)), text_column(text).alias("_t")).withColumn("_key", F.sha2("_t", 256))
     scanned = held.withColumn("_spans", base_spans(F.col("_t")))
     marked = scanned.where(F.size("_spans") > 0).select("_key", "_t", "_spans")
-    contexts = cut(_contexts(marked))
-    reveal = disclosing(contexts, held.select("_key", "_t"), alpha, min_contexts)
-    added = contexts.join(reveal, ["kind", "entity", "term"]).groupBy("_key").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "stop", F.lit(TERM).alias("kind"), F.col("term").alias("value"))).alias("_added"))
-    none = F.expr(f"cast(array() as {_SPANS})")
-    out = scanned.join(added, "_key", "left").withColumn("spans", F.sort_array(F.concat("_spans", F.coalesce(F.col("_added").cast(_SPANS), none))))
+    texts = held.select("_key", "_t")
+    reveal = cut(disclosing(marked, texts, alpha, min_contexts))
+    out = scanned.join(near(cut(_added(texts, reveal))), "_key", "left")
+    clear = lambda w: ~F.exists("_spans", lambda s: (s["start"] < w["stop"]) & (s["stop"] > w["start"]))
+    words = F.filter(located(F.col("_t"), F.col("_found")), clear)
+    added = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["stop"].alias("stop"), F.lit(TERM).alias("kind"), F.lower(w["value"]).alias("value")))
+    out = out.withColumn("spans", F.when(F.col("_found").isNull(), F.col("_spans")).otherwise(F.sort_array(F.concat("_spans", added.cast(_SPANS)))))
     return out.select(*(F.col(f"_d_{i}").alias(c) for i, c in enumerate(keep)), *(["_t"] if carry else []), F.col("_spans").alias("base"), "spans")
 
 

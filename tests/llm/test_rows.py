@@ -113,6 +113,18 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "Ziggurat" not in clean[0] and clean[9] == texts[9]
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    """Far from the entity, in texts without it, and short or in other scripts."""
+    gap = "so it went on and on " * 9
+    texts = [f"{w} said: Ann of 李明 has mail at zig@example.org {gap} ask Ann {w}" for w in ("Alpha", "Bravo", "Charlie", "Delta")]
+    texts += [f"{w} far from zig@example.org {gap} Ziggurat {w}" for w in ("Echoes", "Foxtrot", "Golf")]
+    texts += ["Where is ANN today?", "Ziggurat again, no Annex"] + [f"Plain text {i} that wrote mail said {gap}" for i in range(2000)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert clean[0].count("[TERM]") >= 3 and "Ann" not in clean[0] and "李明" not in clean[0]
+    assert all("Ziggurat" not in clean[i] for i in (4, 5, 6))
+    assert clean[7] == "Where is [TERM] today?" and clean[8] == "[TERM] again, no Annex" and clean[9] == texts[9]
+
+
 def test_pii_copies_hide_no_term(spark):
     """Documents are counted as different texts everywhere, so copies of a text change no threshold."""
     texts = [f"{w} met Zanzibarius, whose mail is z.q@corp.org, {w}" for w in ("monday", "friday", "sunday")]
