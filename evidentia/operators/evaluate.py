@@ -139,14 +139,13 @@ def review_counts(items: DataFrame) -> DataFrame:
 def leaked(questions: DataFrame, pages: DataFrame, most: int = 10_000) -> DataFrame:
     """(id, key) where a normalized question stands in a normalized page.
 
-    ``questions(id, text[, exempt])``, ``pages(key, text)``.  The question set is bounded and
-    broadcast in one block; every page is read once.  A page named ``exempt`` doesn't count.
+    ``questions(id, text[, exempt])``, ``pages(key, text)``.  Up to ``most`` questions are
+    broadcast; of more, partitions meet those of the pages.  A page named ``exempt`` doesn't count.
     """
-    if questions.limit(most + 1).count() > most:
-        raise ValueError(f"at most {most} questions at a time")
     asked = questions.select("id", T.normalized(F.col("text")).alias("_q"), *(["exempt"] if "exempt" in questions.columns else [F.lit(None).cast("string").alias("exempt")])).where("_q <> ''")
     held = pages.select("key", T.normalized(F.col("text")).alias("_p"))
-    return held.join(F.broadcast(asked), F.contains("_p", F.col("_q")) & ~F.coalesce(F.col("exempt") == F.col("key").cast("string"), F.lit(False))).select("id", "key")
+    asked = F.broadcast(asked) if questions.limit(most + 1).count() <= most else asked
+    return held.join(asked, F.contains("_p", F.col("_q")) & ~F.coalesce(F.col("exempt") == F.col("key").cast("string"), F.lit(False))).select("id", "key")
 
 
 def near_questions(items: DataFrame, overlap: float = OVERLAP, ratio: float | None = RATIO) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from evidentia.functions import text as T
 from evidentia.functions import vectors as V
 
-#: Queries of one job, which every passage is scored against; larger sets are run in blocks.
+#: Rows of a query set (or of its words) up to which it is broadcast; larger ones are joined without a hint.
 MAX_QUERIES = 10_000
 
 
@@ -27,10 +27,11 @@ def best(scored: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 
 def _asked(queries: DataFrame) -> DataFrame:
-    """Queries for a broadcast; refuses a set too large for one."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time")
-    return F.broadcast(queries)
+    """Queries of a join: hinted to be broadcast if they are few.
+
+    Larger sets are shuffled by the words of the join; where it has no key, partitions meet in pairs.
+    """
+    return F.broadcast(queries) if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else queries
 
 
 def keyword_top(queries: DataFrame, passages: DataFrame, limit: int = 5) -> DataFrame:

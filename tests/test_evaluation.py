@@ -170,3 +170,23 @@ def test_prepared_corpus_round_trip(spark, tmp_path):
     sinks.create(pages, str(tmp_path / "once"))
     with pytest.raises(Exception):
         sinks.create(pages, str(tmp_path / "once"))
+
+
+def test_query_sets_of_any_size(spark, monkeypatch):
+    """A set above the size of a broadcast gives the same rows, not an error."""
+    asked = spark.createDataFrame([(i, f"red fox number{i} in 2024", [1.0, float(i)]) for i in range(6)], "query_id long, question string, embedding array<double>")
+    held = spark.createDataFrame([(f"p{i}", i, "head", f"red fox number{i} runs", [1.0, float(i)]) for i in range(6)], "id string, pos long, heading string, text string, embedding array<double>")
+    questions, pages = asked.selectExpr("query_id as id", "concat('number', query_id) as text"), held.selectExpr("id as key", "text")
+
+    def rows():
+        found = [f(asked, held, 2) for f in (retrieve.keyword_top, retrieve.lexical_top, retrieve.fresh_top, retrieve.vector_top)]
+        return [sorted(map(tuple, x.collect())) for x in found]
+
+    few = rows()
+    monkeypatch.setattr(retrieve, "MAX_QUERIES", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == few and all(few)
+        assert sorted(map(tuple, evaluate.leaked(questions, pages, most=2).collect())) == [(i, f"p{i}") for i in range(6)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
