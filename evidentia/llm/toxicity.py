@@ -49,7 +49,9 @@ _SIGN = re.compile(r"[0-9@$!|+(€£¡]")
 _MASKED = re.compile(r"\S*[0-9@$!|+(€£¡*._\-]\S*")
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _STRETCHED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")
-_SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_@$!|+]{_GAP}{{1,3}}){{3,}}[^\W_@$!|+](?![^\W_])")
+_LETTER = r"(?:[^\W_]|[@$!|+(€£¡])"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}{_GAP}{{1,3}}){{2,}}{_LETTER}(?![^\W_])")
+_SIGNS = re.compile(r"[0-9@$!|+(€£¡]*[@$!|+(€£¡][0-9@$!|+(€£¡]*")
 _INNER = re.compile(r"[^\W\d_][*._\-/~][^\W\d_]")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -124,6 +126,13 @@ def lattice(stretch: str) -> list[list[tuple[int, ...]]]:
     return steps
 
 
+def masked(written: str) -> str | None:
+    """What of a written word is to be decoded: letters behind signs, or signs alone with a symbol among them."""
+    core = written.rstrip(".,;:!?)*_-\"'").lstrip(".,;:?*_-\"'(")
+    hidden = len(core) > 2 and not core.isalpha() and (_WORDS.search(core) or _SIGNS.fullmatch(core))
+    return core if hidden else None
+
+
 class Restorer:
     """Words of a text, those behind disguises included."""
 
@@ -147,8 +156,7 @@ class Restorer:
         more: list[str] = []
         if _SIGN.search(plain) or _INNER.search(plain):
             for m in _MASKED.finditer(plain):
-                core = m[0].rstrip(".,;:!?)*_-\"'").lstrip(".,;:?*_-\"'(")
-                if len(core) > 2 and _WORDS.search(core) and not core.isalpha():
+                if core := masked(m[0]):
                     more.append(core)
         if _LONG.search(plain):
             more += [m[0] for m in _STRETCHED.finditer(plain)]
@@ -164,8 +172,8 @@ class Restorer:
         plain = _STRETCHED.sub(lambda m: self._decode(m[0]).strip(), plain)
 
         def one(m):
-            core = m[0].rstrip(".,;:!?)*_-\"'").lstrip(".,;:?*_-\"'(")
-            return self._decode(core).strip() if len(core) > 2 and _WORDS.search(core) and not core.isalpha() else m[0]
+            core = masked(m[0])
+            return self._decode(core).strip() if core else m[0]
 
         return _MASKED.sub(one, plain)
 

@@ -430,3 +430,11 @@ def test_viterbi_is_the_best_path():
         best = max(product(*steps), key=weight)
         text = "".join(chr(96 + c) if c else " " for codes in [*best, (0,)] for c in codes)
         assert model.decode(steps) == text
+
+
+def test_spaced_symbols_and_words_of_signs_are_decoded():
+    plain = ["you idiot and ass go away", "such a moron is an idiot", "the ass of a moron and the idiot"] * 200
+    restorer = toxicity.Restorer(toxicity.CharModel(toxicity.CharModel.count(plain)))
+    for written, word in (("such an i d ! o t", "idiot"), ("an @ $ $ he is", "ass"), ("a s s", "ass"), ("what an @$$ he is", "ass")):
+        assert word in restorer.words(written), written
+    assert restorer.words("in 2024") == {"in"}
