@@ -1,28 +1,42 @@
-"""Main text of HTML pages: structure first, then a suffix array of the host.
-
-A page is read into blocks.  Blocks inside ``<article>`` (or ``<main>``) are its text; menus,
-headers, footers, forms and the like go by their tags and names.  A page without such an element
-says less, so there the host decides: the token streams of its pages are put side by side, all
-suffixes are sorted by their first ``REPEAT_TOKENS`` tokens (a suffix array cut at that depth,
-which finds exactly what repeats at least so long), and runs that recur on ``REPEAT_PAGES``
-pages are removed.  The sort is by hash of host and tokens: no host is gathered in one task.
+"""Main text of HTML pages: structure, and a suffix array of each host.
+
+A page is read into blocks, and its blocks into one stream of tokens with a mark at every block's
+end.  The streams of a host are put side by side, and the suffixes that begin at shared seeds are
+sorted, forwards and backwards; neighbours' common prefixes say how long a run of tokens recurs
+on ``REPEAT_PAGES`` distinct pages.  Seeds are minimizers: of each ``WINDOW`` successive
+``SEED``-token strings the one of the least hash, so a run of ``SEED + WINDOW - 1`` tokens or
+more that recurs is found wherever it stands and covered from end to end, and nothing is covered
+that isn't part of a run of ``SEED`` tokens on so many pages.
+
+What is covered is boilerplate on pages whose structure says nothing (no article or main
+element): it goes, unique runs stay.  Articles quote each other and are copied with changes, so
+inside one a run is boilerplate only if nearly every page of the host has it (``HOST_SHARE``), and
+only whole blocks go.  Menus, headers, footers, forms and the like go by their tags and names.
+
+Streams are cut up where pages are read.  Only seeds (two hashes each) are shuffled, then the
+suffixes of recurring seeds, by ranges of their content and page: a run that is on every page of
+a host is spread over as many tasks as it fills.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut
+from evidentia.llm.common import WordHashes, cut, near, width
 
-#: Length of a repeat in tokens, and pages of a host that it has to be on.
-REPEAT_TOKENS, REPEAT_PAGES = 6, 3
+#: Tokens of a seed, seeds of which one is taken, and distinct pages of a host that a run has to be on.
+SEED, WINDOW, REPEAT_PAGES = 10, 11, 3
+#: Tokens of a suffix that are compared: from a seed to the end of a run that has no seed after it.
+DEPTH = SEED + WINDOW - 1
+#: Distinct pages of a host that has a template inside its articles, and the share that shows it.
+HOST_PAGES, HOST_SHARE = 20, 0.9
 
 # Elements and names.
 RAW = frozenset("script style noscript template iframe svg textarea title object canvas audio video select math xmp noembed noframes".split())
@@ -38,23 +52,79 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs header masthead footer sidebar comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices "
     "newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended widget toolbar pagination pager disclaimer".split()
 )
+#: Names that inside an article count only as a whole class or id: ``entry-header`` is its own.
+WHOLE_NAMES = frozenset("header footer menu notice notices reply replies share sharing social related recommended widget toolbar banner overlay login disclaimer subscription".split())
 #: What a start tag closes first.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article main body div section".split())
 
-_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|!--(?:>|->|.*?(?:--!?>|\Z))|[!?/][^>]*(?:>|\Z))""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-z]+")
 
 
-def _dropped(tag: str, attributes: str) -> bool:
-    """Whether an element is not main text, by its tag, role, names or hidden state."""
+class _Tags:
+    """Tags of a page in order, in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends: behind the first > outside quotes.
+
+        A quote that never ends isn't one; from then on quotes are no longer looked at, so the
+        rest of the page is searched once at most.
+        """
+        page = self.page
+        close = page.find(">", at)
+        if close < 0:
+            return len(page)
+        first = close + 1
+        while self.quotes:
+            marks = [q for q in (page.find('"', at, close), page.find("'", at, close)) if q >= 0]
+            if not marks:
+                return close + 1
+            shut = page.find(page[min(marks)], min(marks) + 1)
+            if shut > close:
+                close = page.find(">", shut + 1)
+            if shut < 0 or close < 0:
+                self.quotes = False
+                break
+            at = shut + 1
+        return first
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether an end tag, name, attributes) of the next tag; the name of comments is None."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            following = page[start + 1 : start + 2]
+            if following == "!" and page.startswith("--", start + 2):
+                if page.startswith((">", "->"), start + 4):
+                    return start, page.index(">", start + 4) + 1, False, None, ""
+                shut = re.compile(r"--!?>").search(page, start + 4)
+                return start, shut.end() if shut else len(page), False, None, ""
+            if following in ("!", "?"):
+                shut = page.find(">", start)
+                return start, len(page) if shut < 0 else shut + 1, False, None, ""
+            ending = following == "/"
+            if m := _NAME.match(page, start + 1 + ending):
+                end = self._end(m.end())
+                return start, end, ending, m[0].lower(), page[m.end() : end].removesuffix(">")
+            if ending and page[start + 2 : start + 3]:
+                shut = page.find(">", start)
+                return start, len(page) if shut < 0 else shut + 1, True, None, ""
+            at = start + 1
+        return None
+
+
+def _dropped(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is not main text, by its tag, role, names or hidden state; ``inside`` an article."""
     if tag in DROPPED:
         return True
     if not attributes or attributes.isspace():
         return False
     for name, a, b, c in _ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), html.unescape(a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "role" and value in ROLES:
@@ -65,6 +135,8 @@ def _dropped(tag: str, attributes: str) -> bool:
             words = _WORD.findall(value)
             if tag in ("article", "main", "body", "html"):
                 words = [w for w in words if w.startswith("comment")]
+            elif inside:
+                words = [w for w in words if w not in WHOLE_NAMES] + value.split()
             if any(w in NAMES for w in words):
                 return True
     return False
@@ -77,7 +149,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # (tag, zone inside)
+    open_: Counter[str] = Counter()  # tags of the stack
     zone, held, at, n = "o", [], 0, len(page)
+    tags = _Tags(page)
 
     def flush():
         text = " ".join("".join(held).split())
@@ -87,49 +161,50 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
     def close(to: int):
         nonlocal zone
+        for tag, _ in stack[to:]:
+            open_[tag] -= 1
         del stack[to:]
         zone = stack[-1][1] if stack else "o"
 
     while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
+        found = tags.next(at)
+        end = found[0] if found else n
         if end > at:
             piece = page[at:end]
             held.append(html.unescape(piece) if "&" in piece else piece)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        ending, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        _, at, ending, tag, attributes = found
         if tag is None:
             continue
-        tag = tag.lower()
         if ending:
             if tag in BLOCK:
                 flush()
             elif tag in ("td", "th"):
                 held.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush() if stack[i][1] != (stack[i - 1][1] if i else "o") else None
-                    close(i)
-                    break
+            if open_[tag]:
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                if stack[i][1] != (stack[i - 1][1] if i else "o"):
+                    flush()
+                close(i)
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
                 at = shut.end() if shut else n
             held.append(" ")
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
+            for i in range(len(stack) - 1, -1, -1) if open_["p"] else ():  # a block ends an open paragraph
                 if stack[i][0] == "p":
                     close(i)
-                if stack[i - 1][0] in BLOCK if i else True:
+                    break
+                if stack[i][0] in BLOCK:
                     break
         elif tag in ("br", "td", "th", "img", "input", "wbr"):
             held.append("" if tag == "wbr" else " ")
-        if tag in _CLOSES:
+        if any(open_[t] for t in _CLOSES.get(tag, ())):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in _CLOSES[tag]:
                     close(i)
@@ -140,7 +215,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         inner = zone
         if zone != "x":
-            if _dropped(tag, attributes):
+            if _dropped(tag, attributes, zone in "am"):
                 inner = "x"
             elif tag == "article":
                 inner = "a"
@@ -149,99 +224,270 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if inner != zone and tag not in BLOCK:
             flush()
         stack.append((tag, inner))
+        open_[tag] += 1
         zone = inner
     flush()
     return out
 
 
-def _tokens(parts: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
-    """Tokens of a page's blocks and the block of each."""
-    words, owner = [], []
-    for i, (_, text) in enumerate(parts):
-        w = text.split(" ")
-        words += w
-        owner += [i] * len(w)
-    return words, owner
+def main_zone(parts: list[tuple[str, str]]) -> str:
+    """Zone of the main text: ``a`` or ``m`` if the page has such an element, else ``o``."""
+    zones = {z for z, _ in parts}
+    return next((z for z in "am" if z in zones), "o")
 
 
-def parsed(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
-    """(row, page_id, url, host, main, zones, texts): blocks are kept where they may still matter.
+def stream(parts: list[tuple[str, str]], hashes: WordHashes) -> np.ndarray:
+    """Codes of a page's tokens, with 0 behind each block."""
+    codes = []
+    for _, text in parts:
+        codes += [hashes[w] & 0xFFFFFFFF or 1 for w in text.encode("utf-8", "replace").split(b" ")]
+        codes.append(0)
+    return np.array(codes, np.uint32)
 
-    ``main`` is the text of a page with an article or main element, else null.
-    """
-    kinds = dict(pages.dtypes)
 
-    def parse(batches):
-        for batch in batches:
-            out = []
-            for row, key, address, host, page in zip(batch["row"], batch["page_id"], batch["url"], batch["host"], batch["html"], strict=True):
-                found = blocks(page or "")
-                best = next((z for z in "am" if any(b[0] == z for b in found)), None)
-                main = None if best is None else "\n\n".join(t for z, t in found if z == best)
-                rest = found if best is None else [b for b in found if b[0] not in "am"]
-                out.append((row, key, address, host, main, [z for z, _ in rest], [t for _, t in rest]))
-            yield pd.DataFrame(out, columns=["row", "page_id", "url", "host", "main", "zones", "texts"])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
+
+def seeds(codes: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the minimizers of a stream, and the 64-bit hashes of their ``size`` tokens."""
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    values = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            values = (values ^ codes[i : i + n]) * _STEP
+            values ^= values >> np.uint64(32)
+    windows = np.lib.stride_tricks.sliding_window_view(values, min(window, n))
+    places = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+    return places, values[places]
+
+
+def _held(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
+    """(page_id, url, host, html, page, check): two hashes tell pages of a host apart by their content."""
     at = F.col(f"`{url}`").cast("string")
     host = F.coalesce(F.lower(F.regexp_extract(at, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), host.alias("host"), F.col(f"`{markup}`").cast("string").alias("html"))
-    return cut(rows.mapInPandas(parse, f"row long, page_id {kinds[page_id]}, url {kinds[url]}, host string, main string, zones array<string>, texts array<string>"))
+    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.xxhash64(host).alias("host"), F.coalesce(F.col(f"`{markup}`").cast("string"), F.lit("")).alias("html"))
+    return rows.withColumns({"page": F.xxhash64("host", "html"), "check": F.xxhash64(F.lit(1), "html", "host")})
+
+
+def recurring(held: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
+    """(seed, pages) of the seeds on at least ``least_pages`` distinct pages of a host.
+
+    Pairs of seed and page are summed up map-side, copies of a page with them.
+    """
+
+    def cut_up(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for host, page, text in zip(batch["host"], batch["page"], batch["html"], strict=True):
+                _, values = seeds(stream(blocks(text), hashes))
+                values = np.unique(values)
+                found.append(values ^ np.int64(host).astype(np.uint64))
+                owners.append(np.full(len(values), page, np.int64))
+            yield pd.DataFrame({"seed": np.concatenate(found).view(np.int64), "page": np.concatenate(owners)})
+
+    met = held.select("host", "page", "html").mapInPandas(cut_up, "seed long, page long")
+    met = met.groupBy("seed", "page").agg(F.lit(1).alias("one"))
+    return met.groupBy("seed").agg(F.count("one").alias("pages")).where(F.col("pages") >= least_pages)
+
 
+def suffixes(held: DataFrame, common: DataFrame) -> DataFrame:
+    """(host, side, content, page, check, place, silent, pages): suffixes that begin at recurring seeds.
 
-def suffixes(streams: DataFrame, length: int = REPEAT_TOKENS) -> DataFrame:
-    """(key, row, pos): the hash of host and first ``length`` tokens of every suffix of a page."""
+    ``side`` 0 reads on from the seed, 1 back from its end; ``content`` has DEPTH codes of four
+    bytes at most; ``silent``: the page has no article or main element.
+    """
 
     def cut_up(batches):
+        hashes = WordHashes()
         for batch in batches:
-            keys, rows, places = [], [], []
-            for row, host, zones, texts in zip(batch["row"], batch["host"], batch["zones"], batch["texts"], strict=True):
-                words, _ = _tokens(list(zip(zones, texts, strict=True)))
-                n = len(words) - length + 1
-                if n > 0:
-                    for i in range(n):
-                        keys.append(xxhash.xxh3_64_intdigest(" ".join([host, *words[i : i + length]]).encode("utf-8", "replace")))
-                    rows += [row] * n
-                    places += range(n)
-            yield pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "row": np.array(rows, np.int64), "pos": np.array(places, np.int32)})
+            out = []
+            for host, page, check, text in zip(batch["host"], batch["page"], batch["check"], batch["html"], strict=True):
+                parts = blocks(text)
+                codes = stream(parts, hashes)
+                places, values = seeds(codes)
+                silent, n = main_zone(parts) == "o", len(codes)
+                on, back = codes.astype(">u4").tobytes(), codes[::-1].astype(">u4").tobytes()
+                keys = (values ^ np.int64(host).astype(np.uint64)).view(np.int64)
+                for seed, p in zip(keys.tolist(), places.tolist(), strict=True):
+                    q = n - p - SEED
+                    out.append((seed, host, page, check, p, silent, on[4 * p : 4 * (p + DEPTH)], back[4 * q : 4 * (q + DEPTH)]))
+            yield pd.DataFrame(out, columns=["seed", "host", "page", "check", "place", "silent", "on", "back"])
+
+    found = held.select("host", "page", "check", "html").mapInPandas(cut_up, "seed long, host long, page long, check long, place int, silent boolean, on binary, back binary")
+    found = found.join(near(common), "seed").dropDuplicates(["seed", "page", "check", "place"])
+    return found.select("host", "page", "check", "place", "silent", "pages", F.posexplode(F.array("on", "back")).alias("side", "content"))
+
+
+def _lengths(entries: list[tuple[int, int, bytes, int]], first: int, last: int, least_pages: int) -> list[int]:
+    """For the sorted entries ``first`` to ``last`` - 1: tokens they have in common with those of so many pages.
+
+    The others are neighbours' edges; entries are distinct (host, side, content, page).
+    """
+    n = len(entries)
+    size = np.array([len(e[2]) // 4 for e in entries], np.int64)
+    codes = np.frombuffer(b"".join(e[2].ljust(4 * DEPTH, b"\0") for e in entries), ">u4").reshape(n, DEPTH)
+    group = [e[:2] for e in entries]
+    common = np.minimum((codes[1:] == codes[:-1]).cumprod(axis=1).sum(axis=1), np.minimum(size[1:], size[:-1])).tolist()
+    common = [c if group[i] == group[i + 1] else 0 for i, c in enumerate(common)]
+    out = []
+    for i in range(first, last):
+        near_ones = []
+        for step in (-1, 1):
+            j, shared, seen = i, DEPTH, {entries[i][3]}
+            while len(seen) < least_pages and 0 <= j + step < n:
+                shared = min(shared, common[j - (step < 0)])
+                j += step
+                if not shared:
+                    break
+                if entries[j][3] not in seen:
+                    seen.add(entries[j][3])
+                    near_ones.append((shared, entries[j][3]))
+        seen, length = {entries[i][3]}, 0
+        for shared, page in sorted(near_ones, reverse=True):
+            seen.add(page)
+            if len(seen) == least_pages:
+                length = shared
+                break
+        out.append(length if least_pages > 1 else int(size[i]))
+    return out
+
 
-    return streams.mapInPandas(cut_up, "key long, row long, pos int")
+def _distinct(batches) -> tuple[pd.DataFrame, np.ndarray, list[tuple[int, int, bytes, int]]]:
+    """Rows of a sorted partition, the entry of each, and the distinct entries."""
+    rows = pd.concat(list(batches), ignore_index=True)
+    entries, which = [], []
+    for e in zip(rows["host"], rows["side"], map(bytes, rows["content"]), rows["page"], strict=True):
+        if not entries or e != entries[-1]:
+            entries.append(e)
+        which.append(len(entries) - 1)
+    return rows, np.array(which), entries
 
 
-def repeated(found: DataFrame, pages: int = REPEAT_PAGES) -> DataFrame:
-    """Keys of ``suffixes`` that occur on at least ``pages`` distinct pages (counted map-side)."""
-    return found.groupBy("key", "row").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("pages")).where(F.col("pages") >= pages).select("key")
+def repeats(found: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
+    """``suffixes`` with ``length``: tokens from the seed that are on ``least_pages`` distinct pages.
+
+    The suffix array: sorted by ranges, its order checkpointed.  A range needs the nearest
+    entries of the ranges around it; those edges, of a fixed number of pages per range, go
+    through the driver.
+    """
+    order = ["host", "side", "content", "page"]
+    spark = found.sparkSession
+    array = cut(found.repartitionByRange(width(spark), *order).sortWithinPartitions(*order))
+    edge_pages = 2 * least_pages
+
+    def edges(batches):
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if len(b)]
+        if batches:
+            _, _, entries = _distinct(batches)
+            for kind, ordered in ((0, entries), (1, entries[::-1])):
+                seen, out = set(), []
+                for e in ordered:
+                    if e[3] not in seen:
+                        seen.add(e[3])
+                        out.append((TaskContext.get().partitionId(), kind, len(out), *e))
+                    if len(seen) == edge_pages:
+                        break
+                yield pd.DataFrame(out, columns=["part", "kind", "n", *order])
+
+    schema = "part int, kind int, n int, host long, side int, content binary, page long"
+    firsts: dict[int, list[tuple]] = {}
+    lasts: dict[int, list[tuple]] = {}
+    for r in sorted(array.select(*order).mapInPandas(edges, schema).collect(), key=lambda r: (r.part, r.n)):
+        (firsts, lasts)[r.kind].setdefault(r.part, []).append((r.host, r.side, bytes(r.content), r.page))
+    parts = sorted(firsts)
+    around: dict[int, tuple[list[tuple], list[tuple]]] = {}
+    for i, part in enumerate(parts):
+        before, after = [], []
+        for other in reversed(parts[:i]):
+            before += lasts[other]
+            if len(before) >= edge_pages:
+                break
+        for other in parts[i + 1 :]:
+            after += firsts[other]
+            if len(after) >= edge_pages:
+                break
+        around[part] = before[::-1], after
+    shared = spark.sparkContext.broadcast(around)
+
+    def measured(batches):
+        from pyspark import TaskContext
+
+        batches = [b for b in batches if len(b)]
+        if batches:
+            rows, which, entries = _distinct(batches)
+            before, after = shared.value[TaskContext.get().partitionId()]
+            lengths = _lengths([*before, *entries, *after], len(before), len(before) + len(entries), least_pages)
+            yield rows.drop(columns="content").assign(length=np.array(lengths, np.int32)[which])
+
+    return array.mapInPandas(measured, "host long, page long, check long, place int, silent boolean, pages long, side int, length int")
+
+
+def covered(held: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
+    """(page, check, runs) of the pages with boilerplate: ``runs`` of (start, stop) in the page's stream."""
+    common = cut(recurring(held, least_pages))
+    found = repeats(suffixes(held, common), least_pages)
+    hosts = held.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    hosts = near(cut(hosts.where(F.col("all") >= HOST_PAGES)))
+    template = F.coalesce(F.col("pages") >= HOST_SHARE * F.col("all"), F.lit(False))
+    found = found.join(hosts, "host", "left").where(F.col("silent") | template)
+    start = F.when(F.col("side") == 0, F.col("place")).otherwise(F.col("place") + SEED - F.col("length"))
+    run = F.struct(start.alias("start"), (start + F.col("length")).alias("stop"))
+    return found.where(F.col("length") >= SEED).groupBy("page", "check").agg(F.collect_set(run).alias("runs"))  # bounded by the page
+
+
+def decide(parts: list[tuple[str, str]], gone: np.ndarray | None) -> str:
+    """Main text of a page's blocks; ``gone`` marks the covered tokens of its stream.
+
+    Articles lose whole blocks, other pages lose runs.  Where nothing would stay, the page is a
+    copy rather than boilerplate, and stays as it is.
+    """
+    best = main_zone(parts)
+    kept, at = [], 0
+    for zone, text in parts:
+        words = text.split(" ")
+        mine = gone[at : at + len(words)] if gone is not None else None
+        at += len(words) + 1
+        if zone != best:
+            continue
+        if mine is None or not mine.any() or best != "o" and not mine.all():
+            kept.append(text)
+        elif not mine.all():
+            kept.append(" ".join(w for w, g in zip(words, mine, strict=True) if not g))
+    if not kept and gone is not None:
+        return decide(parts, None)
+    return "\n\n".join(kept)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", length: int = REPEAT_TOKENS, least_pages: int = REPEAT_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars), a row per row of ``pages``.
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", least_pages: int = REPEAT_PAGES) -> DataFrame:
+    """(page_id, url, text, n_chars, n_covered), a row per row of ``pages``.
 
     Text blocks have single spaces and are joined by an empty line.  Null and empty pages have
-    an empty text.  Rows may repeat; a null or odd url counts as the host ''.
+    an empty text.  Rows may repeat and keys be null; a null or odd url counts as the host ''.
+    Pages of a host with equal markup are one page.  ``n_covered``: tokens of the page that the
+    host's repeats cover, as far as they may decide.  Other columns aren't carried.
     """
-    read = parsed(pages, page_id, url, markup)
-    streams = suffixes(read.where(F.size("texts") > 0).select("row", "host", "zones", "texts"), length)
-    common = cut(repeated(streams, least_pages))
-    undecided = read.where(F.col("main").isNull())
-    mine = suffixes(undecided.where(F.size("texts") > 0).select("row", "host", "zones", "texts"), length)
-    covered = mine.join(common, "key").groupBy("row").agg(F.collect_list("pos").alias("covered"))  # bounded by the page
-    kinds = dict(read.dtypes)
-
-    def decide(batches):
+    kinds = dict(pages.dtypes)
+    held = _held(pages, page_id, url, markup)
+    runs = near(cut(covered(held, least_pages)))
+
+    def work(batches):
         for batch in batches:
-            texts = []
-            for zones, parts, covered in zip(batch["zones"], batch["texts"], batch["covered"], strict=True):
-                parts = list(zip(zones, parts, strict=True))
-                words, owner = _tokens(parts)
-                gone = np.zeros(len(words) + 1, bool)
-                for i in covered if covered is not None else ():
-                    gone[i : i + length] = True
-                kept: dict[int, list[str]] = {}
-                for i, (w, b) in enumerate(zip(words, owner, strict=True)):
-                    if parts[b][0] == "o" and not gone[i]:
-                        kept.setdefault(b, []).append(w)
-                texts.append("\n\n".join(" ".join(w) for w in kept.values()))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
-
-    plain = read.where(F.col("main").isNotNull()).select("page_id", "url", F.col("main").alias("text"))
-    judged = undecided.join(covered, "row", "left").select("page_id", "url", "zones", "texts", "covered").mapInPandas(decide, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
-    return plain.unionByName(judged).withColumn("n_chars", F.length("text").cast("long"))
+            texts, counts = [], []
+            for text, found in zip(batch["html"], batch["runs"], strict=True):
+                parts, gone = blocks(text), None
+                if found is not None and len(found):
+                    gone = np.zeros(sum(t.count(" ") + 2 for _, t in parts) + 1, bool)
+                    for r in found:
+                        gone[r["start"] : r["stop"]] = True
+                texts.append(decide(parts, gone))
+                counts.append(0 if gone is None else int(gone.sum()))
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_covered": counts})
+
+    joined = held.drop("host").join(runs, ["page", "check"], "left").select("page_id", "url", "html", "runs")
+    out = joined.mapInPandas(work, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_covered long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_covered")

@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -356,7 +358,7 @@ def test_main_text(spark, page, want):
 
 
 def test_host_repeats_go_where_structure_is_silent(spark):
-    foot = "<div>Sign up now for our weekly letter and get offers every week</div>"
+    foot = "<div>Sign up now for our weekly letter and get offers every week, from us alone and for nothing at all</div>"
     rows = [(i, f"https://h.org/{i}", f"<div>Unique story number {i} about topic t{i} which nobody else tells t{i}x</div>{foot}") for i in range(6)]
     rows += [(10, "https://other.org/", f"<div>Alone</div>{foot}"), (11, None, "<div>No address</div>")]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -366,19 +368,90 @@ def test_host_repeats_go_where_structure_is_silent(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_suffix_keys_find_what_a_suffix_array_finds(spark):
+def _occurrences(streams, size):
+    """Places of every string of so many tokens, from a sorted suffix array of all streams."""
+    suffixes = sorted((tuple(s[p : p + size]), i, p) for i, s in enumerate(streams) for p in range(len(s) - size + 1))
+    for _, same in itertools.groupby(suffixes, key=lambda x: x[0]):
+        yield [(i, p) for _, i, p in same]
+
+
+def _covered(streams, size, least):
+    gone = [set() for _ in streams]
+    for same in _occurrences(streams, size):
+        if len({i for i, _ in same}) >= least:
+            for i, p in same:
+                gone[i].update(range(p, p + size))
+    return gone
+
+
+@pytest.mark.parametrize("frame", ["<div>{}</div>", "<article><p>{}</p></article>"])
+def test_repeats_are_those_of_a_brute_force_suffix_array(spark, frame):
     rng = random.Random(5)
-    pages = [[rng.choice("abcd") for _ in range(60)] for _ in range(8)]
-    df = spark.createDataFrame([(i, "h", ["o"], [" ".join(w)]) for i, w in enumerate(pages)], "row long, host string, zones array<string>, texts array<string>")
-    keys = html_extract.suffixes(df, 6)
-    got = {(r.row, r.pos) for r in keys.join(html_extract.repeated(keys, 3), "key").collect()}
-    want = set()
-    suffixes = sorted((w[p : p + 6], i, p) for i, w in enumerate(pages) for p in range(len(w) - 5))
-    for key in {tuple(s[0]) for s in suffixes}:
-        same = [(i, p) for s, i, p in suffixes if tuple(s) == key]
-        if len({i for i, _ in same}) >= 3:
-            want |= set(same)
-    assert got == want
+    shared = [[f"s{j}x{k}" for k in range(rng.randint(8, 60))] for j in range(6)] + [["a"] * 40]
+    pages = []
+    for i in range(40):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            words += [f"u{i}x{rng.random()}" for _ in range(rng.randint(0, 15))]
+            s = rng.choice(shared)
+            words += s[rng.choice([0, 0, 5]) : rng.choice([len(s), len(s), len(s) - 4])]
+        pages.append(words)
+    rows = [(i, "http://h/", frame.format(" ".join(w))) for i, w in enumerate(pages)] + [(99, "http://h/", frame.format(" ".join(pages[0])))]
+    held = html_extract._held(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
+    found = html_extract.repeats(html_extract.suffixes(held, html_extract.recurring(held)))
+    ids = {(r.page, r.check): r.page_id for r in held.where("page_id < 99").collect()}
+    got = [set() for _ in pages]
+    for r in found.collect():
+        assert r.length >= html_extract.SEED
+        start = r.place if r.side == 0 else r.place + html_extract.SEED - r.length
+        got[ids[r.page, r.check]].update(range(start, start + r.length))
+    streams = [[*w, ""] for w in pages]
+    least, most = _covered(streams, html_extract.DEPTH, 3), _covered(streams, html_extract.SEED, 3)
+    assert sum(map(len, least)) > 500
+    for g, a, b in zip(got, least, most, strict=True):
+        assert a <= g <= b
+
+
+def test_edges_of_ranges_lose_no_neighbour():
+    rng = random.Random(2)
+    texts = sorted({bytes(rng.choice(b"ab") if k % 4 == 3 else 0 for k in range(4 * html_extract.DEPTH)) for _ in range(60)})
+    entries = sorted((1, 0, t, rng.randint(1, 6)) for t in texts for _ in range(2))
+    entries = list(dict.fromkeys(entries))
+    got = html_extract._lengths(entries, 0, len(entries), 3)
+    for e, length in zip(entries, got, strict=True):
+        pages = {k: {x[3] for x in entries if x[2][: 4 * k] == e[2][: 4 * k]} for k in range(1, html_extract.DEPTH + 1)}
+        assert length == max((k for k, v in pages.items() if len(v) >= 3), default=0)
+
+
+def test_articles_lose_templates_and_nothing_else(spark):
+    unique = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    notice = "<p>" + " ".join(f"notice{k}" for k in range(25)) + "</p>"
+    quote = "<p>" + " ".join(f"quote{k}" for k in range(30)) + "</p>"
+    rows = [(i, "http://h/", f"<article><p>{unique(i, 30)}</p>{quote if i % 2 else ''}<p>{unique(-i, 9)}</p>{notice}</article>") for i in range(24)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        assert "notice" not in text and ("quote0 quote1" in text) == bool(i % 2) and unique(i, 30) in text and text.endswith(unique(-i, 9))
+
+
+def test_copies_are_no_boilerplate(spark):
+    story = " ".join(f"word{k}" for k in range(40))
+    rows = [(i, "http://h/", f"<!--{i}--><div>{story}</div>") for i in range(4)] + [(9, None, None), (9, None, None)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("mine")))
+    assert sorted((r.page_id, r.text) for r in got.collect()) == [*((i, story) for i in range(4)), (9, ""), (9, "")]
+
+
+@pytest.mark.parametrize("piece", ["<a href=/", "<a ", '<a "x>"', "<a '\" >", "<!--", "<b></i>", "</", "<p><b><li>", "<script>", "&", "<td ", "<li><p>"])
+def test_hostile_markup_takes_linear_time(piece):
+    start = time.perf_counter()
+    html_extract.blocks("<article><p>hello</p>" + piece * 30_000)
+    assert time.perf_counter() - start < 10
+    assert html_extract.blocks("<article><p>hello</p>" + piece)[0] == ("a", "hello")
+
+
+def test_names_inside_articles():
+    page = "<article><div class='entry-header'>Kept</div><div class='share'>Gone</div><p class=cookie-notice>Gone</p><h2 class=section-header>Title</h2><header>Gone</header></article>"
+    assert html_extract.decide(html_extract.blocks(page), None) == "Kept\n\nTitle"
+
 
 
 # toxicity
