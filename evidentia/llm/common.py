@@ -33,13 +33,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a checkpointed table up to which a join broadcasts it; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of a checkpointed table up to which a join broadcasts it; larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def near(small: DataFrame) -> DataFrame:
-    """A checkpointed table, with a hint to broadcast it if its counted rows allow."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    """A checkpointed table, with a hint to broadcast it if its measured bytes allow."""
+    size = F.lit(16 * len(small.columns))
+    for f in small.schema:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            size = size + 16 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return F.broadcast(small) if (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else small
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns ``c0``, ``c1`` and so on, and the new name of each old one: no name can clash with an operator's own."""
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*(F.col(f"`{c}`").alias(n) for c, n in at.items())), at
 
 
 def text_column(name: str = "text"):

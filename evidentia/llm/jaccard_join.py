@@ -1,21 +1,25 @@
 """Similarity join of texts by the Jaccard index of their five-word shingles.
 
-A MinHash LSH forest proposes: each tree orders the texts by a label of MinHash values, and
-texts whose labels share a prefix meet.  Prefixes are shortened from the full label until a pair
-at the threshold meets in some tree with the target probability.  Meetings are counted inside
-tasks, in blocks of bounded size; a task returns the edges of a spanning forest and never pairs.
-What the forest connects is then verified exactly, block against block.
+A MinHash LSH forest proposes: each tree sorts the texts by a label of MinHash values, a trie of
+its prefixes.  Texts that share the whole label are compared first; then the prefix is shortened
+value by value, and subtrees that meet are compared where they aren't connected yet, down to the
+prefix with which a link of that text is found with the target probability.  That prefix depends
+on the text: its number of shingles says how dissimilar its links can be.  Comparing is done
+inside tasks, in subtrees of bounded size; a task returns the edges of a spanning forest and
+never pairs.  What the forest connects is then verified exactly, block against block.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Unions, WordHashes, cut, grouped, near, runs, shingles, text_column, width
+from evidentia.llm.common import Unions, WordHashes, cut, grouped, near, positional, runs, shingles, text_column, width
 from evidentia.llm.components import components
 
 THRESHOLD = 0.8
@@ -30,14 +34,34 @@ BUCKET_BLOCK, VERIFY_BLOCK = 512, 256
 ROW_SHINGLES, RANGE_SHINGLES = 4096, 1_000_000
 
 
-def depth(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """Prefix length: shortened until pairs at the threshold meet with the target probability."""
+def depth(similarity: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """Prefix length, shortened from the label until pairs so similar meet with the target probability."""
     d = LABEL
-    while d > 1 and 1 - (1 - threshold**d) ** TREES < target:
+    while d > 1 and 1 - (1 - similarity**d) ** TREES < target:
         d -= 1
     return d
 
 
+@functools.lru_cache(100_000)
+def least_similarity(items: int, threshold: float = THRESHOLD) -> float:
+    """Smallest Jaccard index, of the threshold or more, that a set of ``items`` can have with any set.
+
+    With c elements in common, the other set has c to c / t - items + c of them.
+    """
+    least = 1.0
+    for c in range(max(1, int(threshold * items) - 1), items + 1):
+        other = int(c / threshold + 1e-9) - items + c
+        if other >= c:
+            least = min(least, max(threshold, c / (items + other - c)))
+    return least
+
+
+@functools.lru_cache(100_000)
+def floor(items: int, threshold: float = THRESHOLD) -> int:
+    """Shortest prefix that a text of so many shingles is looked up with."""
+    return depth(least_similarity(items, threshold) if items < 1000 else threshold)
+
+
 class Signer:
     """MinHash values of shingle sets: prefixes of the trees' labels, and a sketch of one byte a value."""
 
@@ -98,11 +122,36 @@ def _blocks(df: DataFrame, size: int, key: str, count: str) -> DataFrame:
     return df.withColumns({"cell": F.xxhash64(cell, F.lit(11)), "side": side.cast("int")}).drop("_n", "_b", "_o", count)
 
 
-def _cells(batches):
-    """(node, side, group, sketches) of each cell, from record batches sorted by cell."""
-    for cell in grouped(batches, "cell"):
-        node, side, group = (cell[c].to_numpy() for c in ("node", "side", "group"))
-        yield node, side, group, np.frombuffer(b"".join(cell["sketch"].to_pylist()), np.uint8).reshape(len(node), TREES * LABEL)
+def _sketches(cell: pa.Table, column: str = "sketch", size: int = TREES * LABEL) -> np.ndarray:
+    return np.frombuffer(b"".join(cell[column].to_pylist()), np.uint8).reshape(cell.num_rows, size)
+
+
+def climb(label: np.ndarray, lowest: np.ndarray, sketch: np.ndarray, least: int, top: int) -> Unions:
+    """Connect the rows of a trie whose sketches agree in ``least`` values, from the leaves up.
+
+    Rows are sorted by ``label``.  At each prefix length, down to ``top``, the subtrees of a
+    common prefix are compared, except rows whose own prefix may not be that short (``lowest``)
+    and subtrees that are connected already.
+    """
+    n = len(label)
+    found = Unions(n)
+    common = (label[1:] == label[:-1]).cumprod(axis=1).sum(axis=1) if n > 1 else np.empty(0, np.int64)
+    for d in range(LABEL, top - 1, -1):
+        edges = np.flatnonzero(common < d) + 1
+        for a, b in zip([0, *edges], [*edges, n], strict=True):
+            if b - a < 2:
+                continue
+            rows = np.arange(a, b)[lowest[a:b] <= d]
+            if len(rows) < 2 or (found.label[rows] == found.label[rows[0]]).all():
+                continue
+            inner = np.searchsorted(np.flatnonzero(common[a : b - 1] <= d) + a + 1, rows, side="right") if d < LABEL else np.arange(len(rows))
+            for i in range(0, len(rows), 64):
+                part = rows[i : i + 64]
+                other = rows[i:][inner[i:] != inner[i]] if inner[i] == inner[min(i + 63, len(rows) - 1)] else rows[i:]
+                if len(other) and not (found.label[other] == found.label[part[0]]).all() or len(set(found.label[part])) > 1:
+                    x, y = np.nonzero((sketch[part][:, None, :] == sketch[other][None, :, :]).sum(axis=2) >= least)
+                    found.absorb(part[x], other[y])
+    return found
 
 
 def _forest(node: np.ndarray, found: Unions) -> pa.RecordBatch:
@@ -126,31 +175,32 @@ def _joined(parts, rows: int = 20_000):
 def meet(reps: DataFrame, threshold: float) -> DataFrame:
     """(node, component) over nodes whose sketches agree, among those that meet in a tree.
 
-    First the texts of a bucket are compared inside its blocks, one cell a text and tree.  Then,
-    in buckets of several blocks whose texts are not all connected by now, texts of different
-    components are compared across blocks.
+    Texts are dealt by tree and by the shortest prefix that any of them is looked up with, and
+    sorted by their labels: a cell is a subtree, or a block of it if it is large.  In subtrees of
+    several blocks whose texts are not all connected by now, texts of different components are
+    compared across blocks.
     """
     n = TREES * LABEL
     least = int(np.floor(n * threshold - SLACK * np.sqrt(n * threshold * (1 - threshold))))
-    keys = reps.select("node", F.explode("keys").alias("key"))
+    top = depth(threshold)
+    keys = reps.select("node", F.posexplode("keys").alias("tree", "key"))
     crowded = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = keys.join(crowded, "key").join(reps.select("node", "sketch"), "node")
+    members = keys.join(crowded, "key").join(reps.select("node", "items", "sketch"), "node")
 
     def inside(batches):
         def edges():
-            for node, _, _, sketch in _cells(batches):
-                found = Unions(len(node))
-                for i in range(0, len(node), 64):
-                    x, y = np.nonzero((sketch[i : i + 64, None, :] == sketch[None, i:, :]).sum(axis=2) >= least)
-                    found.absorb(x + i, y + i)
-                yield _forest(node, found)
+            for cell in grouped(batches, "cell"):
+                lowest = np.array([floor(i, threshold) for i in cell["items"].to_pylist()])
+                found = climb(_sketches(cell, "label", LABEL), lowest, _sketches(cell), least, top)
+                yield _forest(cell["node"].to_numpy(), found)
 
         return _joined(edges())
 
     def across(batches):
         def edges():
-            for node, side, group, sketch in _cells(batches):
-                found = Unions(len(node))
+            for cell in grouped(batches, "cell"):
+                node, side, group = (cell[c].to_numpy() for c in ("node", "side", "group"))
+                sketch, found = _sketches(cell), Unions(len(node))
                 left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
                 left = left[np.argsort(group[left], kind="stable")]
                 for a, b in runs(group[left]):
@@ -163,14 +213,15 @@ def meet(reps: DataFrame, threshold: float) -> DataFrame:
 
         return _joined(edges())
 
-    def compared(dealt: DataFrame, work) -> DataFrame:
-        dealt = dealt.repartition(width(reps.sparkSession), "cell").sortWithinPartitions("cell", "node")
+    def compared(dealt: DataFrame, work, *order: str) -> DataFrame:
+        dealt = dealt.repartition(width(reps.sparkSession), "cell").sortWithinPartitions("cell", *order)
         return cut(dealt.mapInArrow(work, "a long, b long"))
 
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
     own = F.when(blocks > 1, F.pmod(F.xxhash64("node", "key"), blocks)).otherwise(F.lit(0)).cast("int")
-    first = members.select(F.xxhash64("key", own).alias("cell"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("group"), "node", "sketch")
-    near_ones = compared(first, inside)
+    label = F.substring(F.col("sketch"), F.col("tree") * LABEL + 1, F.lit(LABEL))
+    first = members.select(F.xxhash64("key", own).alias("cell"), "node", "items", label.alias("label"), "sketch")
+    near_ones = compared(first, inside, "label", "node")
     groups = components(near_ones)
     large = members.where(F.col("n") > BUCKET_BLOCK)
     if not crowded.where(F.col("n") > BUCKET_BLOCK).limit(1).count():
@@ -178,7 +229,7 @@ def meet(reps: DataFrame, threshold: float) -> DataFrame:
     large = large.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     mixed = large.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
     rest = _blocks(large.join(mixed, "key", "left_semi"), BUCKET_BLOCK, "key", "n").where("side <> 2")
-    more = compared(rest.select("cell", "side", "group", "node", "sketch"), across)
+    more = compared(rest.select("cell", "side", "group", "node", "sketch"), across, "node")
     return components(near_ones.union(more))
 
 
@@ -260,7 +311,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     """
     rows = signed(docs, doc_id, text, threshold)
     classes = cut(rows.where("keys is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"), F.max("items").alias("items")))
-    reps = rows.join(classes.select("node"), rows["row"] == F.col("node")).select("node", "keys", "sketch")
+    reps = rows.join(classes.select("node"), rows["row"] == F.col("node")).select("node", "items", "keys", "sketch")
     clusters = meet(reps, threshold)
     weight = F.ceil(F.sum("items") / ROW_SHINGLES).cast("long")
     sizes = clusters.join(classes.select("node", "items"), "node").groupBy("component").agg(F.greatest(F.count(F.lit(1)), weight).alias("size"))
@@ -286,7 +337,11 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     """The rows of ``docs`` without near copies: of each class the row of the smallest id stays.
 
     Texts without words have no copies and stay.  Of rows with the same id and text one stays.
+    Columns of any name are carried as they are.
     """
+    names = docs.columns
+    docs, at = positional(docs)
+    doc_id, text = at[doc_id], at[text]
     found = cut(join(docs, threshold, doc_id, text))
     pair = (F.col("doc_id").alias("_i"), F.col("digest").alias("_h"))
     linked = found.where("n_links > 0")
@@ -298,6 +353,6 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     kept = docs.withColumn("_digest", F.unhex(F.sha2(text_column(text), 256)))
     same = F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_h"))
     kept = kept.join(gone, same, "left_anti")
-    once = kept.join(again, same, "left_anti").select(*docs.columns)
-    twice = kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_digest"]).select(*docs.columns)
-    return once.unionByName(twice)
+    once = kept.join(again, same, "left_anti").drop("_digest")
+    twice = kept.join(again, same, "left_semi").dropDuplicates([doc_id, "_digest"]).drop("_digest")
+    return once.unionByName(twice).toDF(*names)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import components, embedding_dedup, jaccard_join
 from evidentia.llm.common import Unions, WordHashes, shingles
@@ -159,3 +160,43 @@ def test_classes_that_share_an_id_or_have_none_keep_a_row_each(spark):
     for r in jaccard_join.join(df).collect():
         nodes.setdefault(r.class_node, []).append(r.n_links)
     assert sorted(nodes.values()) == [[0]] * 9 + [[1, 1]] * 3
+
+
+def test_prefixes_follow_the_texts():
+    """Short texts can only have very similar links, so their prefix stays longer."""
+    for n in range(1, 40):
+        similar = [c / (n + m - c) for c in range(1, n + 1) for m in range(c, 60) if c / (n + m - c) >= 0.8]
+        assert abs(jaccard_join.least_similarity(n) - min(similar)) < 1e-9
+        s, d = min(similar), jaccard_join.floor(n)
+        assert 1 - (1 - s**d) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL
+    assert {jaccard_join.floor(n) for n in (3, 7, 6, 100)} == {8, 6, 5, 4}
+
+
+def test_recall_where_prefixes_differ(spark):
+    """Short pairs (prefixes of 5 to 8) and long pairs (4) near the threshold are all found."""
+    rows, pairs = [], 0
+    for i in range(150):
+        size = (7, 10, 11, 64)[i % 4]  # words, so 3, 6, 7 or 60 shingles
+        words = [f"p{i}w{k}" for k in range(size)]
+        other = words[:-1] if size in (10, 11) else words if size == 7 else [*words[:-6], *(f"q{i}w{k}" for k in range(6))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other) + (" " if size == 7 else ""))]
+        pairs += 1
+    got = {r.doc_id: r.n_links for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.values()) >= 0.99 * 2 * pairs
+
+
+def test_climbing_a_trie_finds_what_its_prefixes_allow():
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 3, (300, jaccard_join.LABEL)).astype(np.uint8)
+    label = label[np.lexsort(label.T[::-1])]
+    lowest = rng.choice([1, 2, 4, 6], 300)
+    sketch = rng.integers(0, 2, (300, 12)).astype(np.uint8)
+    found = jaccard_join.climb(label, lowest, sketch, 10, 1)
+    prefix = lambda i, j: int((label[i] == label[j]).cumprod().sum())
+    linked = [(i, j) for i in range(300) for j in range(i) if prefix(i, j) >= max(lowest[i], lowest[j]) and (sketch[i] == sketch[j]).sum() >= 10]
+    assert len(linked) > 20 and list(found.label) == brute(300, linked)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b c", 7, "x"), (2, "a b c", 8, "y")], "doc_id long, text string, _i long, _digest string").withColumns({"_h": F.lit(1), "k": F.lit(2), "_id": F.lit(3)})
+    assert [tuple(r) for r in jaccard_join.deduplicate(df).collect()] == [(1, "a b c", 7, "x", 1, 2, 3)]
