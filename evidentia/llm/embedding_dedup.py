@@ -116,7 +116,7 @@ def deal(reps: DataFrame, w: float) -> DataFrame:
                         b = own[reach]
                         cell = (np.minimum(b, o) * blocks + np.maximum(b, o)) * GROUPS + g
                         side = np.where(b == o, 2, (b > o).astype(int))
-                        yield part.assign(cell=cell * 4096 + part["dim"] % 4096, grp=g, side=side)
+                        yield part.assign(cell=cell, grp=g, side=side)
 
     schema = "node long, copies long, dim int, vec binary, proj binary, cell long, grp int, side int"
     return reps.mapInPandas(dealt, schema)
@@ -193,8 +193,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     rows = projected(vectors, vec_id, embedding)
     classes = cut(rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first")))
     reps = cut(rows.join(classes.select("node", "copies"), rows["row"] == F.col("node")).select("node", "copies", "dim", "vec", "proj"))
-    cells = deal(reps, w).repartition(4 * width(vectors.sparkSession), "cell")
-    links = cut(cells.groupBy("cell").applyInPandas(compare(w, threshold), "node long, links long, root long"))
+    cells = deal(reps, w).repartition(4 * width(vectors.sparkSession), "cell", "dim")
+    links = cut(cells.groupBy("cell", "dim").applyInPandas(compare(w, threshold), "node long, links long, root long"))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = groups.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("component_id"))

@@ -200,3 +200,9 @@ def test_climbing_a_trie_finds_what_its_prefixes_allow():
 def test_columns_of_any_name_are_kept(spark):
     df = spark.createDataFrame([(1, "a b c", 7, "x"), (2, "a b c", 8, "y")], "doc_id long, text string, _i long, _digest string").withColumns({"_h": F.lit(1), "k": F.lit(2), "_id": F.lit(3)})
     assert [tuple(r) for r in jaccard_join.deduplicate(df).collect()] == [(1, "a b c", 7, "x", 1, 2, 3)]
+
+
+def test_vectors_whose_lengths_are_far_apart(spark):
+    rows = [(i, [1.0] * n) for i, n in enumerate([2, 4098, 2, 4098, 4098])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(0, 1, 0), (1, 2, 1), (2, 1, 0), (3, 2, 1), (4, 2, 1)]
