@@ -1,19 +1,27 @@
 """Personal data: pattern spans, and terms that give a protected entity away.
 
 DataFrame functions only.  Patterns find e-mail addresses, IP addresses, card and phone
-numbers.  Corpus co-occurrence then estimates how strongly a term reveals an entity: with p from
-document frequencies of whole texts, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), and a term whose PMI
-reaches ``ALPHA`` of the entity's information content -log2 p(e) discloses it.  Evidence has to
-come from ``MIN_CONTEXTS`` different contexts of the entity, so copies of one text or passage
-don't count as evidence.  A disclosing term is marked wherever it occurs, in every text.
+numbers.  Corpus co-occurrence then estimates how strongly a term reveals an entity, be it one
+value (this address) or what values share (the domain, the network, the issuer, the area): with p
+from frequencies of different whole texts, PMI(t; e) = log2 p(t, e) / (p(t) p(e)), and a term
+whose PMI reaches ``ALPHA`` of the entity's information content -log2 p(e) discloses it.
+Evidence has to come from ``MIN_CONTEXTS`` different contexts of the entity and as many of the
+term, so copies of one text or passage don't count, and to be more than chance finds among as
+many pairs as the corpus has (Chernoff's bound).  A disclosing term is marked wherever it
+occurs, in every text.
+
+Patterns run over each text once.  What is kept of the texts with entities is checkpointed
+without the texts; rows meet it again by the hash of their text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, near, text_column
+from evidentia.llm.common import cut, near, positional, text_column
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Kind of the spans that the method adds.
@@ -30,12 +38,14 @@ _PATTERNS = {
 }
 _HINT = {"email": "@", "phone": "+"}
 
-#: Characters on each side of an entity that tell its contexts apart.
-WINDOW = 80
+#: Characters on each side of an entity, and words on each side of a term, that tell its contexts apart.
+WINDOW, WINDOW_WORDS = 80, 8
 #: Share of the entity's information content that a term's PMI may reach.
 ALPHA = 0.8
 #: Different contexts in which term and entity have to meet.
 MIN_CONTEXTS = 3
+#: Tasks that rows of one text are dealt to where their spans can't be broadcast.
+SALTS = 32
 
 #: Terms: words of two characters or more.
 _TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]++"
@@ -108,49 +118,81 @@ def _outside(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def _mentions(df: DataFrame) -> DataFrame:
-    """(text, kind, entity, context) of each entity: hashes of its text and of what stands around it."""
-    df = df.select("_key", "_t", F.explode("_spans").alias("e"))
-    left = F.greatest(F.lit(0), F.col("e.start") - WINDOW)
-    # The context without the entity itself tells copies of a passage from fresh mentions.
-    before, after = F.substring(F.col("_t"), left + 1, F.col("e.start") - left), F.substring(F.col("_t"), F.col("e.stop") + 1, F.lit(WINDOW))
-    return df.select(F.xxhash64("_key").alias("_text"), F.col("e.kind").alias("kind"), F.lower("e.value").alias("entity"), F.xxhash64(before, after).alias("_context")).distinct()
-
-
 def _once(docs: DataFrame) -> DataFrame:
     """A row per different text of ``docs(_key, _t)``; only texts with copies are shuffled."""
     copied = near(cut(docs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")))
     return docs.join(copied, "_key", "left_anti").unionByName(docs.join(copied, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
-def disclosing(marked: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(term) of the terms over the threshold for some entity.
+def marked(docs: DataFrame) -> DataFrame:
+    """(_key, base, mentions, terms) of each different text of ``docs(_key, _t)`` with entities.
+
+    ``mentions``: (kind, entity, context) once per entity, ``terms``: (term, context) once per
+    term outside the entities.  Contexts are hashes of what stands around, so they tell copies
+    of a passage from fresh mentions; of several in a text the least stands for all.
+    """
+    found = docs.withColumn("base", base_spans(F.col("_t"))).where(F.size("base") > 0)
+
+    def context(s: Column) -> Column:
+        left = F.greatest(F.lit(0), s["start"] - WINDOW)
+        return F.xxhash64(F.substring(F.col("_t"), left + 1, s["start"] - left), F.substring(F.col("_t"), s["stop"] + 1, F.lit(WINDOW)))
+
+    def each(of) -> Column:
+        return F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), of(s).alias("entity"), context(s).alias("context")))
+
+    mentions = F.concat(each(lambda s: F.lower(s["value"])), each(_shared_part))
+    words = F.regexp_extract_all(F.lower(_outside(F.col("_t"), F.col("base"))), F.lit(_TERM), F.lit(0))
+    around = lambda i: F.xxhash64(F.slice("_w", F.greatest(i + 1 - WINDOW_WORDS, F.lit(1)), F.lit(2 * WINDOW_WORDS + 1)))
+    terms = F.transform("_w", lambda w, i: F.struct(w.alias("term"), around(i).alias("context")))
+    kept = found.withColumn("_w", words).select("_key", "base", F.sort_array(mentions).alias("_m"), F.sort_array(terms).alias("_s"))
+    kept = kept.select("_key", "base", _first_of("_m", ["kind", "entity"]).alias("mentions"), _first_of("_s", ["term"]).alias("terms"))
+    return cut(kept.groupBy("_key").agg(*(F.first(c).alias(c) for c in ("base", "mentions", "terms"))))
 
-    ``marked``: (_key, _t, _spans) of the texts with entities; ``docs``: (_key, _t) of all texts.
+
+def _shared_part(span: Column) -> Column:
+    """What an entity shares with others: an address's domain, a network of 2 ** 16, six digits of a card, five of a phone."""
+    value, kind = F.lower(span["value"]), span["kind"]
+    digits = _digits(value)
+    return F.when(kind == "email", F.regexp_extract(value, "@.*", 0)).when(kind == "ip", F.concat(F.substring_index(value, ".", 2), F.lit(".*"))).when(kind == "card", F.concat(F.substring(digits, 1, 6), F.lit("*"))).otherwise(F.concat(F.substring(digits, 1, 5), F.lit("*")))
+
+
+def _first_of(ordered: str, key: list[str]) -> Column:
+    """The first struct of each key (its leading fields), from a column of sorted structs."""
+    before = lambda i: F.get(F.col(ordered), i - 1)
+    return F.filter(ordered, lambda x, i: (i == 0) | ~F.struct(*(x[k] for k in key)).eqNullSafe(F.struct(*(before(i)[k].alias(k) for k in key))))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """(term, kind, entity, n_both, n_term, n_entity, pmi, content) of the terms over the threshold.
+
+    ``found``: see ``marked``; ``docs``: (_key, _t) of all texts.
     """
     who, pair = ["kind", "entity"], ["kind", "entity", "term"]
-    mentions = cut(_mentions(marked))
-    # Two levels of grouping instead of count(distinct): a frequent pair is summed up map-side.
-    different = lambda df, by, what: df.groupBy(*by, what).agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("one").alias("n"))
-    # No term of an entity can have more contexts than the entity.
-    recurring = different(mentions, who, "_context").where(F.col("n") >= min_contexts).select(*who)
-    entities = cut(different(mentions, who, "_text").withColumnRenamed("n", "n_entity").join(recurring, who))
-    known = cut(mentions.join(near(entities.select(*who)), who))
-    texts_of = known.select("_text").distinct()
-    held = marked.select(F.xxhash64("_key").alias("_text"), "_t", "_spans").join(near(cut(texts_of)), "_text", "left_semi")
-    held = cut(held.select("_text", F.explode(_terms(_outside(F.col("_t"), F.col("_spans")))).alias("term")).distinct())
-    met = held.join(known, "_text")
-    often = different(met, pair, "_context").where(F.col("n") >= min_contexts).select(*pair)
-    pairs = cut(different(met, pair, "_text").withColumnRenamed("n", "n_both").join(often, pair).join(near(entities), who))
+    mentions = found.select("terms", F.explode("mentions").alias("m")).select("terms", "m.*")
+    # Two levels of grouping instead of count(distinct): a frequent entity is summed up map-side.
+    by_context = mentions.groupBy(*who, "context").agg(F.count(F.lit(1)).alias("n"))
+    entities = cut(by_context.groupBy(*who).agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts).drop("contexts"))
+    met = mentions.join(near(entities.select(*who)), who).select(*who, "context", F.explode("terms").alias("t")).select(*who, "t.term", F.col("context").alias("a"), F.col("t.context").alias("b"))
+    counts = cut(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_contexts))
+    tested = met.groupBy(*pair).agg(F.lit(1).alias("one")).count()
+    often = counts.select(*pair)
+    for c in ("a", "b"):
+        often = met.join(near(cut(often)), pair).groupBy(*pair, c).agg(F.lit(1).alias("one")).groupBy(*pair).agg(F.count("one").alias("n")).where(F.col("n") >= min_contexts).drop("n")
+    pairs = counts.join(often, pair)
+    pairs = cut(pairs.join(near(entities), who))
     # Copies count once, as above: all four counts are of different texts.
     texts = _once(docs)
     # Texts of every term of the corpus, by 64-bit hash, summed up map-side before any join.
     words = texts.select(F.explode(_terms(F.col("_t"))).alias("term"))
     frequency = words.groupBy(F.xxhash64("term").alias("_term")).agg(F.count(F.lit(1)).alias("n_term"))
-    total = texts.count()
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    content = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.join(frequency, F.xxhash64("term") == F.col("_term")).where((content > 0) & (pmi >= alpha * content)).select("term").distinct()
+    total = float(texts.count())
+    pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    share, rate = F.col("n_both") / F.col("n_term"), F.col("n_entity") / F.lit(total)
+    surprise = share * F.log(share / rate) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    chance = float(math.log(max(1, tested)) + 2)
+    judged = pairs.join(frequency, F.xxhash64("term") == F.col("_term")).withColumns({"pmi": pmi, "content": content}).where((F.col("content") > 0) & (F.col("pmi") >= alpha * F.col("content")))
+    return judged.where(F.col("n_term") * surprise > chance).select("term", "kind", "entity", "n_both", "n_term", "n_entity", "pmi", "content")
 
 
 def _added(docs: DataFrame, reveal: DataFrame) -> DataFrame:
@@ -159,24 +201,36 @@ def _added(docs: DataFrame, reveal: DataFrame) -> DataFrame:
     return held.groupBy("_key").agg(F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(F.collect_set("term"), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")).alias("_found"))
 
 
-def find(docs: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS, carry: bool = False) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, rank, stop, kind, value).
+def find(docs: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts: int = MIN_CONTEXTS) -> tuple[DataFrame, dict[str, str]]:
+    """Rows of ``docs`` with ``base`` and ``spans``, and the names that their columns have there.
 
-    Null texts are empty and have no spans.  Texts that are equal share their added spans, so
-    rows need no identifier and may repeat.  With ``carry`` the text stays as column ``_t``.
+    Spans are arrays of (start, rank, stop, kind, value); ``_t`` is the text.  Null texts are
+    empty and have no spans.  Texts that are equal share their spans, so rows need no identifier
+    and may repeat, and columns of any name are carried.
     """
-    keep = [c for c in docs.columns if c not in ("base", "spans") and c != text]
-    held = docs.select(*(F.col(f"`{c}`").alias(f"_d_{i}") for i, c in enumerate(keep)), text_column(text).alias("_t")).withColumn("_key", F.sha2("_t", 256))
-    scanned = held.withColumn("_spans", base_spans(F.col("_t")))
-    marked = scanned.where(F.size("_spans") > 0).select("_key", "_t", "_spans")
+    held, at = positional(docs)
+    held = held.withColumn("_t", text_column(at[text])).withColumn("_key", F.sha2("_t", 256))
     texts = held.select("_key", "_t")
-    reveal = cut(disclosing(marked, texts, alpha, min_contexts))
-    out = scanned.join(near(cut(_added(texts, reveal))), "_key", "left")
-    clear = lambda w: ~F.exists("_spans", lambda s: (s["start"] < w["stop"]) & (s["stop"] > w["start"]))
+    found = marked(texts)
+    reveal = cut(disclosing(found, texts, alpha, min_contexts).select("term").distinct())
+    known = found.select("_key", "base")
+    if reveal.limit(1).count():
+        known = known.join(_added(texts, reveal), "_key", "full")
+    else:
+        known = known.withColumn("_found", F.lit(None).cast("string"))
+    known = cut(known)
+    small = near(known)
+    if small is known:  # too large to broadcast: rows of one text are dealt to SALTS tasks
+        held = held.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        small = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = held.join(small, ["_key", "_salt"], "left").drop("_salt")
+    else:
+        out = held.join(small, "_key", "left")
+    out = out.withColumn("base", F.coalesce("base", F.expr(f"cast(array() as {_SPANS})")))
+    clear = lambda w: ~F.exists("base", lambda s: (s["start"] < w["stop"]) & (s["stop"] > w["start"]))
     words = F.filter(located(F.col("_t"), F.col("_found")), clear)
     added = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["stop"].alias("stop"), F.lit(TERM).alias("kind"), F.lower(w["value"]).alias("value")))
-    out = out.withColumn("spans", F.when(F.col("_found").isNull(), F.col("_spans")).otherwise(F.sort_array(F.concat("_spans", added.cast(_SPANS)))))
-    return out.select(*(F.col(f"_d_{i}").alias(c) for i, c in enumerate(keep)), *(["_t"] if carry else []), F.col("_spans").alias("base"), "spans")
+    return out.withColumn("spans", F.when(F.col("_found").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", added.cast(_SPANS))))), at
 
 
 def described(spans: Column) -> Column:
@@ -185,21 +239,22 @@ def described(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: counts of the kinds, SHA-256 of the base spans, all spans."""
-    found = find(docs.select("doc_id", "text"))
+    """Per document: counts of the kinds, SHA-256 of the base spans, all spans.
+
+    Null and empty texts have counts of 0 and no spans; repeated rows give repeated rows.
+    """
+    found, at = find(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(described(F.col("base")), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
+    return found.select(F.col(at["doc_id"]).alias("doc_id"), *(count(k) for k in KINDS), F.sha2(described(F.col("base")), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with every span of the text generalised to its kind, as ``[EMAIL]`` or ``[TERM]``.
 
-    Spans that overlap become one, named after the first.  Other columns stay as they are; a
-    null text stays null.
+    Spans that overlap become one, named after the first.  Other columns, of any name, stay as
+    they are; a null text stays null.
     """
-    names = docs.columns
-    spare = "_null"
-    found = find(docs.withColumn(spare, F.col(f"`{text}`").isNull()), text, carry=True, **options)
+    found, at = find(docs, text, **options)
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc, s):
@@ -208,5 +263,5 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_t"), acc["at"] + 1, F.length("_t")))
-    clean = F.when(F.size("spans") == 0, F.col("_t")).otherwise(F.aggregate("spans", start, step, rest))
-    return found.select(*((F.when(F.col(spare), F.lit(None)).otherwise(clean).alias(c) if c == text else F.col(f"`{c}`")) for c in names))
+    clean = F.when(F.size("spans") == 0, F.col(at[text])).otherwise(F.aggregate("spans", start, step, rest))
+    return found.select(*((clean if c == text else F.col(n)).alias(c) for c, n in at.items()))

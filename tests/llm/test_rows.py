@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import html_extract, mixing, packing, pii, quality_rules, sharding, toxicity, warc
+from evidentia.llm import common, html_extract, mixing, packing, pii, quality_rules, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -141,13 +141,79 @@ def test_pii_copies_are_no_evidence(spark):
     assert all("term" not in r.spans for r in pii.digest(docs(spark, texts)).collect())
 
 
+def brute_terms(texts):
+    """Disclosing terms by the definition: sets of different texts, and contexts on both sides."""
+    texts = sorted(set(texts))
+    term_texts, entity_texts, pairs = {}, {}, {}
+    for i, t in enumerate(texts):
+        spans = [s.split(":") for s in base_spans(t)]
+        low, at, outside = {}, 0, ""
+        for kind, a, b in spans:
+            a, b = int(a), int(b)
+            value, digits = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            part = {"email": value[value.find("@") :], "ip": ".".join(value.split(".")[:2]) + ".*", "card": digits[:6] + "*", "phone": digits[:5] + "*"}[kind]
+            for e in (value, part):
+                low.setdefault((kind, e), t[max(0, a - pii.WINDOW) : a] + "|" + t[b : b + pii.WINDOW])
+            outside += t[at:a] + "\n"
+            at = b
+        words = re.findall(r"[^\W_]{2,}", (outside + t[at:]).lower())
+        for w in re.findall(r"[^\W_]{2,}", t.lower()):
+            term_texts.setdefault(w, set()).add(i)
+        for e in low:
+            entity_texts.setdefault(e, set()).add(i)
+            for w in set(words):
+                k = words.index(w)
+                pairs.setdefault((e, w), []).append((low[e], words[max(0, k - 8) : max(0, k - 8) + 17]))
+    contexts = {}
+    for (e, _), found in pairs.items():
+        contexts.setdefault(e, set()).update(a for a, _ in found)
+    pairs = {k: v for k, v in pairs.items() if len(contexts[k[0]]) >= 3}
+    out = set()
+    for (e, w), found in pairs.items():
+        n, m, total = len(found), len(term_texts[w]), len(texts)
+        content = math.log2(total / len(entity_texts[e]))
+        pmi = math.log2(n * total / (m * len(entity_texts[e])))
+        p, q = n / m, len(entity_texts[e]) / total
+        surprise = p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+        if len({a for a, _ in found}) >= 3 and len({str(b) for _, b in found}) >= 3 and content > 0 and pmi >= 0.8 * content and m * surprise > math.log(len(pairs)) + 2:
+            out.add((w, *e))
+    return out
+
+
+def test_pii_terms_are_those_of_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("ana", "elo", "iru", "omi", "uty")]
+    texts = []
+    for i in range(400):
+        t = [rng.choice(words) for _ in range(12)]
+        if i % 8 == 0:
+            who = rng.randrange(4)
+            t[3] = ["zig.a@acme.org", "zag@acme.org", "10.20.30.40", "+1 (499) 555-6503"][who]
+            t[rng.choice([0, 6, 9])] = ["zebedee", "zacharias", "zuleika", "zeno"][who] if rng.random() < 0.9 else "plain"
+            t[rng.choice([1, 7, 10])] = "Acmecorp" if who < 2 else "other"
+        if i % 50 == 1:
+            t[5] = "zeno"
+        texts.append(" ".join(t))
+    texts += texts[:100]
+    frame = docs(spark, texts).select(F.sha2("text", 256).alias("_key"), F.col("text").alias("_t"))
+    got = {(r.term, r.kind, r.entity) for r in pii.disclosing(pii.marked(frame), frame).collect()}
+    assert got == brute_terms(texts) and ("acmecorp", "email", "@acme.org") in got and len(got) >= 5
+
+
 def test_sanitise_keeps_nulls_and_columns(spark):
-    df = docs(spark, [None, "", "mail a@b.co now"]).withColumn("base", F.lit(3))
+    df = docs(spark, [None, "", "mail a@b.co now"]).withColumns({"base": F.lit(3), "spans": F.lit("s"), "_null": F.lit(1.5), "_t": F.lit(True), "_key": F.lit("k"), "c0": F.lit(0)})
     out = {r.doc_id: r for r in pii.sanitise(df).collect()}
-    assert out[0].text is None and out[1].text == "" and out[2].text == "mail [EMAIL] now" and "base" not in df.drop("base").columns
+    assert out[0].text is None and out[1].text == "" and out[2].text == "mail [EMAIL] now"
+    assert {tuple(r[5:]) for r in out.values()} == {(3, "s", 1.5, True, "k", 0)} and out[2].asDict().keys() == dict.fromkeys(df.columns).keys()
     assert pii.digest(df.limit(0)).count() == 0
 
 
+def test_spans_reach_copies_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    got = pii.digest(docs(spark, ["mail a@b.co now"] * 40 + [None, "", "plain"])).collect()
+    assert len(got) == 43 and sum(r.n_email for r in got) == 40
+
+
 # mixing
 
 
