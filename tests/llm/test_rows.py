@@ -341,21 +341,82 @@ def test_compaction_keeps_every_row(spark):
     assert store.compact() >= old + 1
 
 
-def test_a_version_is_committed_once(spark):
-    store = sharding.store(spark, "race")
-    store.append(spark.range(3))
-    shards = store.manifest()
-    store._commit(1, shards)
-    with pytest.raises(Exception):
-        store._commit(1, shards)
-    assert store.version() == 2 and store.read().count() == 3
+def test_writers_that_meet_lose_nothing(spark):
+    """B commits after A has read the newest version and before A commits: A builds on B's."""
+    a = sharding.store(spark, "race")
+    b = sharding.ShardStore(spark, a.root)
+    a.append(spark.range(3))
+    claim, met = a._claim, []
+
+    def late(version, pointer):
+        if not met:
+            met.append(b.append(spark.range(10, 12)))
+        return claim(version, pointer)
+
+    a._claim = late
+    assert a.append(spark.range(20, 25)) == 3 and met == [2]
+    assert sorted(r.id for r in b.read().collect()) == [0, 1, 2, 10, 11, *range(20, 25)]
+    assert b.read(2).count() == 5 and b.read(1).count() == 3
+    assert not a._claim(3, {"manifest": "other", "schema": {}})
+
+
+def test_compaction_of_what_another_writer_merged_is_a_conflict(spark):
+    a = sharding.store(spark, "both", min_runs=2)
+    b = sharding.ShardStore(spark, a.root, min_runs=2)
+    for i in range(4):
+        a.append(spark.range(i, i + 1))
+    change, met = a._commit, []
+
+    def late(*args):
+        if not met:
+            met.append(b.compact())
+        return change(*args)
+
+    a._commit = late
+    with pytest.raises(sharding.Conflict):
+        a.compact()
+    assert met == [5] and sorted(r.id for r in a.read().collect()) == [0, 1, 2, 3]
+
+
+def test_dead_shards_are_pruned_and_deleted(spark, monkeypatch):
+    store = sharding.store(spark, "dead", target_bytes=1 << 30, min_runs=2)
+    df = spark.range(1000).selectExpr("id", "id as path", "cast(id as string) as name", "1 as row")
+    store.append(df.limit(900), rows=100)
+    for i in range(3):
+        store.append(df.where(f"id = {i}"))
+    live = store.manifest()
+    store._commit(lambda now: now.where("rows > 50"), df.schema)  # the small ones and none of the run of 900 go
+    some = store.manifest().orderBy("path").limit(4).select("path")
+    store._commit(lambda now: now.join(some, "path", "left_anti"), df.schema)
+    want = store.manifest().agg(F.sum("rows")).first()[0]
+    assert live.count() >= 12 and store.read().count() == want == 500 and store.read().columns == df.columns
+    monkeypatch.setattr(sharding, "PATHS", 2)
+    assert store.read().count() == want and store.read().columns == df.columns
+    assert store.vacuum() == 0 and store.vacuum(0) == 7 and store.vacuum(0) == 0 and store.read().count() == want
+
+
+def test_every_shard_that_is_due_is_merged(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PATHS", 2)
+    store = sharding.store(spark, "many", min_runs=2)
+    for i in range(5):
+        store.append(spark.range(i, i + 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    store.compact()
+    assert store.manifest().count() == 3 and sorted(r.id for r in store.read().collect()) == [0, 1, 2, 3, 4]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
 
 
 def test_an_empty_store(spark):
     store = sharding.store(spark, "empty")
     assert store.version() == 0 and store.compact() == 0 and store.manifest().count() == 0
-    store.append(spark.range(0))
-    assert store.version() == 1
+    with pytest.raises(ValueError):
+        store.read()
+    store.append(docs(spark, []))
+    assert store.version() == 1 and store.compact() == 1 and store.read().collect() == [] and store.read().dtypes == docs(spark, []).dtypes
+    with pytest.raises(ValueError):
+        store.append(spark.range(1))
+    store.append(docs(spark, [None, ""]))
+    assert store.read().count() == 2
 
 
 # WARC
