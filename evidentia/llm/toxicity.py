@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import WordHashes, cut, shingles
 
-#: Labelled documents to learn from, about; words and beginnings in the model, at most.
+#: Labelled documents to learn from, about: they bound the words and beginnings of the model.
 TRAIN_ROWS = 12_000
-MODEL_SIZE = 20_000
 #: Words that a beginning has to be seen in, and the share of them seen in toxic texts alone.
 LEAST_WORDS, TOXIC_WORDS = 3, 0.8
 #: Documents of either label that a piece of evidence needs; standard errors taken off its log odds.
 LEAST_TOXIC, MARGIN = 3, 2.0
 #: Signs of text turned into arrays at a time while grams are counted.
 COUNT_CHARS = 1 << 18
+#: Signs of a disguised stretch decoded at a time.
+PART_SIGNS = 4096
 CUTOFF = 0.3
 HELD_OUT = 2
 
@@ -46,9 +47,9 @@ for _k, _v in _FOLD.items():
 _GAP = r"[ .*_\-/~]"
 _SYMBOL_RUN = re.compile(r"([^\w\s])\1{2,}")
 _SIGN = re.compile(r"[0-9@$!|+(€£¡]")
-_MASKED = re.compile(r"\S*[0-9@$!|+(€£¡*._\-]\S*")
+_WRITTEN = re.compile(r"\S+")
+_MASK = re.compile(r"[0-9@$!|+(€£¡*._\-]")
 _LONG = re.compile(r"([^\W\d_])\1\1")
-_STRETCHED = re.compile(r"[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")
 _LETTER = r"(?:[^\W_]|[@$!|+(€£¡])"
 _SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}{_GAP}{{1,3}}){{2,}}{_LETTER}(?![^\W_])")
 _SIGNS = re.compile(r"[0-9@$!|+(€£¡]*[@$!|+(€£¡][0-9@$!|+(€£¡]*")
@@ -128,6 +129,8 @@ def lattice(stretch: str) -> list[list[tuple[int, ...]]]:
 
 def masked(written: str) -> str | None:
     """What of a written word is to be decoded: letters behind signs, or signs alone with a symbol among them."""
+    if not _MASK.search(written):
+        return None
     core = written.rstrip(".,;:!?)*_-\"'").lstrip(".,;:?*_-\"'(")
     hidden = len(core) > 2 and not core.isalpha() and (_WORDS.search(core) or _SIGNS.fullmatch(core))
     return core if hidden else None
@@ -142,7 +145,8 @@ class Restorer:
     def _decode(self, stretch: str) -> str:
         found = self.known.get(stretch)
         if found is None:
-            found = self.model.decode(lattice(stretch))
+            # A stretch without end is decoded in parts, so paths kept in memory are bounded.
+            found = "".join(self.model.decode(lattice(stretch[i : i + PART_SIGNS])) for i in range(0, len(stretch), PART_SIGNS))
             if len(self.known) >= self.limit:
                 self.known.clear()
             if len(stretch) <= 64:
@@ -155,11 +159,9 @@ class Restorer:
         plain = _SYMBOL_RUN.sub(" ", text)
         more: list[str] = []
         if _SIGN.search(plain) or _INNER.search(plain):
-            for m in _MASKED.finditer(plain):
-                if core := masked(m[0]):
-                    more.append(core)
+            more += filter(None, map(masked, _WRITTEN.findall(plain)))
         if _LONG.search(plain):
-            more += [m[0] for m in _STRETCHED.finditer(plain)]
+            more += filter(_LONG.search, _WORDS.findall(plain))
         more += [m[0] for m in _SPACED.finditer(plain)]
         for stretch in set(more):
             words.update(self._decode(stretch).split())
@@ -169,13 +171,13 @@ class Restorer:
         """The text in lower case with its disguised stretches decoded."""
         plain = _SYMBOL_RUN.sub(" ", text.lower())
         plain = _SPACED.sub(lambda m: self._decode(m[0]).strip(), plain)
-        plain = _STRETCHED.sub(lambda m: self._decode(m[0]).strip(), plain)
+        plain = _WORDS.sub(lambda m: self._decode(m[0]).strip() if _LONG.search(m[0]) else m[0], plain)
 
         def one(m):
             core = masked(m[0])
             return self._decode(core).strip() if core else m[0]
 
-        return _MASKED.sub(one, plain)
+        return _WRITTEN.sub(one, plain)
 
 
 def evidence(word: str) -> list[str]:
@@ -251,13 +253,13 @@ def learn(docs: DataFrame, labels: DataFrame, model: CharModel, train_rows: int
     a, c = F.col("a") + 0.5, F.col("c") + 0.5
     odds = F.log(a / F.lit(n_toxic + 1.0)) - F.log(c / F.lit(n_clean + 1.0))
     weighed = candidates.where(unlikely).select("name", (odds - MARGIN * F.sqrt(1 / a + 1 / c)).alias("weight")).where("weight > 0")
-    top = {r["name"]: r["weight"] for r in weighed.orderBy(F.desc("weight"), "name").limit(MODEL_SIZE).collect()}
+    top = {r["name"]: r["weight"] for r in weighed.collect()}  # bounded by the words of train_rows texts
     # A beginning counts if it is a stem: seen in several words, most of them in toxic texts alone.
     stems = docs.sparkSession.createDataFrame([(x,) for x in top if x[0] == "^"], "stem string")
     starts = F.array(*(F.when(F.length("name") > k + 1, F.concat(F.lit("^"), F.substring("name", 2, k))) for k in range(3, 7)))
     seen_in = total.where(F.col("name").startswith("=")).select(F.explode(starts).alias("stem"), (F.col("c") == 0).alias("only"))
     seen_in = seen_in.join(F.broadcast(stems), "stem").groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.count_if("only").alias("only"))
-    good = {r["stem"] for r in seen_in.collect() if r["n"] >= LEAST_WORDS and r["only"] >= TOXIC_WORDS * r["n"]}  # at most MODEL_SIZE rows
+    good = {r["stem"] for r in seen_in.collect() if r["n"] >= LEAST_WORDS and r["only"] >= TOXIC_WORDS * r["n"]}
     weights = {x: w for x, w in top.items() if x[0] == "=" or x in good}
     return weights, float(np.log((n_toxic + 0.5) / (n_clean + 4.5)))
 
