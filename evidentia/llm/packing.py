@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut
+from evidentia.llm.common import cut, positional
 
 CAPACITY = 4096
 END_ID = 1
@@ -168,33 +168,41 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
 
 
 def pack(table: DataFrame, capacity: int = CAPACITY, slot_rows: int = SLOT_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """``table`` (with ``length``) plus ``sequence_id`` and ``offset``, both long.
+    """``table`` (with ``length``, 1 to ``capacity``) plus ``sequence_id``, ``offset`` and ``slot_gap``, all long.
 
-    Rows that are alike may change places.  An empty table stays empty.
+    ``slot_gap``: sequences that the row's slot has over its lower bound; 0 is certified, and
+    only slots of the last of ``rounds`` exchanges may have more.  Rows that are alike may change
+    places.  An empty table stays empty.  Columns of any name are carried, but for those three.
     """
+    added = ["sequence_id", "offset", "slot_gap"]
+    table = table.drop(*added)
     names = table.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", _row long, sequence_id long, offset long, _settled boolean"
+    inner, at = positional(table)
+    length = at["length"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema) + ", _row long, sequence_id long, offset long, slot_gap long, _settled boolean"
 
     def packer(turn: int, last: bool):
         def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "_row"], ascending=[False, True], kind="stable").drop(columns="_slot")
-            lengths = rows["length"].tolist()
-            which, offset = best_fit(lengths, capacity)
+            rows = rows.sort_values([length, "_row"], ascending=[False, True], kind="stable").drop(columns="_slot")
+            sizes = rows[length].to_numpy()
+            which, offset = best_fit(sizes.tolist(), capacity)
             settled = np.ones(len(rows), bool)
-            fill = np.bincount(which, weights=rows["length"].to_numpy(), minlength=1).astype(np.int64)
-            gap = len(fill) - lower_bound(np.bincount(rows["length"], minlength=capacity + 1), capacity)
+            fill = np.bincount(which, weights=sizes, minlength=1).astype(np.int64)
+            bound = lambda some: lower_bound(np.bincount(sizes[some], minlength=capacity + 1), capacity)
+            gap = len(fill) - bound(settled)
             if not last:
                 # A certified slot still has its one unfilled sequence; those can meet as well.
                 room = np.sort(capacity - fill)[::-1]
                 need = int(np.searchsorted(np.cumsum(room), (gap + 1) * capacity)) + 1 if gap > 0 else 1
                 open_ = np.argsort(fill, kind="stable")[: need if gap > 0 else int(fill.min() < capacity)]
                 settled = ~np.isin(which, open_)
+                gap = len(fill) - len(open_) - bound(settled) if gap > 0 else 0
             base = (turn << 56) + (int(key[0]) << 28)
-            return rows.assign(sequence_id=base + which, offset=offset, _settled=settled)
+            return rows.assign(sequence_id=base + which, offset=offset, slot_gap=gap, _settled=settled)
 
         return one
 
-    todo = cut(table.withColumn("_row", F.monotonically_increasing_id()))
+    todo = cut(inner.withColumn("_row", F.monotonically_increasing_id()))
     left = todo.count()
     done = None
     for turn in range(rounds):
@@ -205,13 +213,13 @@ def pack(table: DataFrame, capacity: int = CAPACITY, slot_rows: int = SLOT_ROWS,
         done = dealt.where("_settled") if done is None else done.union(dealt.where("_settled"))
         if last:
             break
-        todo = dealt.where("not _settled").select(*names, "_row")
+        todo = dealt.where("not _settled").select(*inner.columns, "_row")
         left = todo.count()
-    return done.select(*names, "sequence_id", "offset")
+    return done.select(*inner.columns, *added).toDF(*names, *added)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of ``docs`` with their place: sequence and offset, gapless from 0."""
+    """Pieces of ``docs`` with their place: sequence and offset, gapless from 0; see ``pieces`` and ``pack``."""
     return pack(pieces(docs, path, doc_id, text, capacity, with_ids=with_ids), capacity)
 
 
