@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, near, width
+from evidentia.llm.common import cut, near, positional, width
 
 #: Weight of a source: its documents to this power (1: as they are, 0: all alike).
 TEMPERATURE = 0.5
@@ -59,24 +59,24 @@ def mix(
 ) -> DataFrame:
     """``docs`` with rows dropped or repeated to the target weights, in a hashed global order.
 
-    Adds ``copy`` (from 0) and ``shuffle_key``; rows come range-partitioned and sorted by it.
-    Equal ids get equal counts; rows with a null id count as id ''.  Empty tables stay empty.
+    Adds ``copy`` (from 0) and ``shuffle_key``, except where ``docs`` has a column of that name,
+    which is carried like all others; rows come range-partitioned and sorted by the key.  Equal
+    ids get equal counts and keys; rows with a null id count as id ''.  Rows of one key, however
+    many, are dealt to several ranges.  Empty tables stay empty.
     """
     names = docs.columns
-    if {"copy", "shuffle_key"} & set(names) or any(c.startswith("_") for c in names):
-        docs = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-        inner = {c: f"c{i}" for i, c in enumerate(names)}
-        return mix(docs, weights, total, seed, inner[doc_id], inner[source], temperature).withColumnsRenamed({f"c{i}": c for i, c in enumerate(names) if c not in ("copy", "shuffle_key")}).drop(*(inner[c] for c in ("copy", "shuffle_key") if c in inner))
-    by = rates(docs, weights, total, source, temperature)
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    df = docs.join(by, docs[source].eqNullSafe(by["_source"])).drop("_source")
+    held, at = positional(docs)
+    by = rates(held, weights, total, at[source], temperature)
+    key = F.coalesce(F.col(at[doc_id]).cast("string"), F.lit(""))
+    df = held.join(by, held[at[source]].eqNullSafe(by["_source"])).drop("_source")
     parts = F.greatest(F.lit(1.0), F.ceil(F.col("_rate") / PART)).cast("int")
     count = F.aggregate(
         F.sequence(F.lit(1), parts),
         F.lit(0),
         lambda n, j: n + poisson_inverse(uniform(F.lit(str(seed)), key, j.cast("string")), F.col("_rate") / parts),
     )
-    df = df.withColumn("_count", count).where("_count > 0")
-    df = df.select(*names, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
+    df = df.withColumn("_count", count).where("_count > 0").withColumn("_row", F.monotonically_increasing_id())
+    df = df.select(*held.columns, "_row", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
     df = df.withColumn("shuffle_key", F.sha2(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string")), 256))
-    return df.repartitionByRange(width(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    df = df.repartitionByRange(width(docs.sparkSession), "shuffle_key", "_row").sortWithinPartitions("shuffle_key", "_row")
+    return df.select(*(F.col(n).alias(c) for c, n in at.items()), *(c for c in ("copy", "shuffle_key") if c not in names))
