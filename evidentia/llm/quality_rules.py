@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WS, cut, near, text_column
+from evidentia.llm.common import WS, cut, near, positional, text_column
 
 #: Distance of a cutoff from the quartile, in interquartile ranges, and the least range taken.
 FENCE = 6.0
@@ -36,13 +36,12 @@ def _shifted(name: str, gap) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts of COUNTS, ``base_failed`` and the ratios of RULES.
 
-    Null and empty texts have no words: all counts 0, ratios 0, ``base_failed`` true.
+    Null and empty texts have no words: all counts 0, ratios 0, ``base_failed`` true.  Other
+    columns are carried, but for those that have a name of the new ones.
     """
-    spare = [c for c in docs.columns if c.startswith("_q_")]
-    if spare:
-        raise ValueError(f"reserved column names: {spare}")
-    keep = [c for c in docs.columns if c not in {*COUNTS, *RULES, "base_failed"}]
-    df = docs.select(*(F.col(f"`{c}`") for c in keep), text_column(text).alias("_q_t"))
+    docs, at = positional(docs)
+    keep = {c: n for c, n in at.items() if c not in {*COUNTS, *RULES, "base_failed"}}
+    df = docs.select(*keep.values(), text_column(at[text]).alias("_q_t"))
     df = df.withColumn("_q_w", F.array_remove(F.split("_q_t", WS), ""))
     df = df.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     last = F.size("_q_w") - 4
@@ -79,7 +78,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "mean_word": ratio("word_chars", "n_words"),
         }
     )
-    return df.select(*keep, *COUNTS, "base_failed", *RULES)
+    return df.select(*(F.col(n).alias(c) for c, n in keep.items()), *COUNTS, "base_failed", *RULES)
 
 
 def thresholds(measured: DataFrame, keys: tuple[str, ...] = ("lang", "source"), fence: float = FENCE) -> DataFrame:
@@ -118,8 +117,12 @@ def assess(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang",
     Texts are read once; the measures (numbers only) are checkpointed and read twice.  Empty
     tables give empty results; repeated rows are judged each on its own.
     """
-    measured = cut(measures(docs, text).drop(text))
-    return judge(measured, thresholds(measured, keys, fence), keys)
+    names = [c for c in docs.columns if c != text and c not in {*COUNTS, *RULES, "base_failed", "kept"}]
+    hold, at = positional(docs)
+    inner = tuple(at[k] for k in keys)
+    measured = cut(measures(hold, at[text]).drop(at[text]))
+    judged = judge(measured, thresholds(measured, inner, fence), inner)
+    return judged.select(*(F.col(at[c]).alias(c) for c in names), *COUNTS, "base_failed", *RULES, "kept")
 
 
 def filter_quality(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"), fence: float = FENCE) -> DataFrame:
@@ -128,10 +131,9 @@ def filter_quality(docs: DataFrame, text: str = "text", keys: tuple[str, ...] =
     Needs no row identifier: the cutoffs are learned in a first pass and a second pass applies
     them, so repeated or null ids are no matter.
     """
-    hold = docs.select(*(F.col(f"`{c}`").alias(f"_d_{i}") for i, c in enumerate(docs.columns)))
-    at = {c: f"_d_{i}" for i, c in enumerate(docs.columns)}
+    hold, at = positional(docs)
     inner = tuple(at[k] for k in keys)
     measured = measures(hold, at[text])
     cutoffs = near(cut(thresholds(measured.select(*inner, *RULES), inner, fence)))
     kept = judge(measured, cutoffs, inner).where("kept")
-    return kept.select(*(F.col(f"_d_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return kept.select(*(F.col(n).alias(c) for c, n in at.items()))
