@@ -49,6 +49,21 @@ def near(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if (small.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else small
 
 
+#: Tasks that rows of one key are dealt to where the other side can't be broadcast.
+SALTS = 32
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Left join with a checkpointed table that has a row per key, for keys that many rows may share.
+
+    Broadcast if its measured bytes allow; else rows of one key are dealt to SALTS tasks.
+    """
+    if (hinted := near(small)) is not small:
+        return rows.join(hinted, on, "left")
+    salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], "left").drop("_salt")
+
+
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns ``c0``, ``c1`` and so on, and the new name of each old one: no name can clash with an operator's own."""
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}

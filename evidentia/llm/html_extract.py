@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WordHashes, cut, near, width
+from evidentia.llm.common import WordHashes, cut, join_small, near, width
 
 #: Tokens of a seed, seeds of which one is taken, and distinct pages of a host that a run has to be on.
 SEED, WINDOW, REPEAT_PAGES = 10, 11, 3
@@ -473,7 +473,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
     """
     kinds = dict(pages.dtypes)
     held = _held(pages, page_id, url, markup)
-    runs = near(cut(covered(held, least_pages)))
+    runs = cut(covered(held, least_pages))
 
     def work(batches):
         for batch in batches:
@@ -488,6 +488,6 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
                 counts.append(0 if gone is None else int(gone.sum()))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_covered": counts})
 
-    joined = held.drop("host").join(runs, ["page", "check"], "left").select("page_id", "url", "html", "runs")
+    joined = join_small(held.drop("host"), runs, ["page", "check"]).select("page_id", "url", "html", "runs")
     out = joined.mapInPandas(work, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_covered long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_covered")

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, near, positional, text_column
+from evidentia.llm.common import cut, join_small, near, positional, text_column
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Kind of the spans that the method adds.
@@ -44,8 +44,6 @@ WINDOW, WINDOW_WORDS = 80, 8
 ALPHA = 0.8
 #: Different contexts in which term and entity have to meet.
 MIN_CONTEXTS = 3
-#: Tasks that rows of one text are dealt to where their spans can't be broadcast.
-SALTS = 32
 
 #: Terms: words of two characters or more.
 _TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]++"
@@ -218,14 +216,7 @@ def find(docs: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts
         known = known.join(_added(texts, reveal), "_key", "full")
     else:
         known = known.withColumn("_found", F.lit(None).cast("string"))
-    known = cut(known)
-    small = near(known)
-    if small is known:  # too large to broadcast: rows of one text are dealt to SALTS tasks
-        held = held.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-        small = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = held.join(small, ["_key", "_salt"], "left").drop("_salt")
-    else:
-        out = held.join(small, "_key", "left")
+    out = join_small(held, cut(known), ["_key"])
     out = out.withColumn("base", F.coalesce("base", F.expr(f"cast(array() as {_SPANS})")))
     clear = lambda w: ~F.exists("base", lambda s: (s["start"] < w["stop"]) & (s["stop"] > w["start"]))
     words = F.filter(located(F.col("_t"), F.col("_found")), clear)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, shared_dir
+from evidentia.llm.common import cut, join_small, shared_dir
 
 #: Magic number of the leading frame.
 DICT_FRAME = 0x184D2A5D
@@ -103,13 +103,14 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
 
     Payloads under ``min_bytes`` are never revisits.  A null payload is empty.  Null keys are
     smaller than others; if all keys of a group are null, or the largest is repeated, each of
-    those rows is a response.  Only digests that repeat are joined back.
+    those rows is a response.  Only digests that repeat are joined back; payloads stay where they
+    are read, or are dealt to several tasks each.
     """
     body = F.encode(F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")), "UTF-8")
     held = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
     groups = held.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     refers = F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("first").cast("string"))
-    return held.join(groups, "digest", "left").select(F.col("key").cast("string").alias("key"), "url", "payload", refers.alias("refers_to"))
+    return join_small(held, cut(groups), ["digest"]).select(F.col("key").cast("string").alias("key"), "url", "payload", refers.alias("refers_to"))
 
 
 def write(planned: DataFrame, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -214,6 +214,13 @@ def test_spans_reach_copies_without_a_broadcast(spark, monkeypatch):
     assert len(got) == 43 and sum(r.n_email for r in got) == 40
 
 
+def test_measures_keep_columns_of_any_name(spark):
+    df = docs(spark, ["one two three"]).withColumns({"_q_t": F.lit(1), "c0": F.lit(2), "hi_mean_word": F.lit(3), "kept": F.lit(4), "_k_lang": F.lit(5)})
+    row = quality_rules.assess(df).first().asDict()
+    assert (row["_q_t"], row["c0"], row["hi_mean_word"], row["_k_lang"], row["kept"], row["n_words"]) == (1, 2, 3, 5, False, 3)
+    assert quality_rules.filter_quality(df).columns == df.columns
+
+
 # mixing
 
 
@@ -245,7 +252,15 @@ def test_mixing_reaches_its_weights(spark):
     again = mixing.mix(df, weights={"big": 1.0, None: 1.0}, total=4000)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
     assert mixing.mix(df.limit(0)).count() == 0
-    assert mixing.mix(df.withColumn("copy", F.lit(1)), seed=2).count() > 0
+    mine = mixing.mix(df.select("*", F.lit("mine").alias("copy"), F.lit(1).alias("_rate"), F.lit(2).alias("c0")), seed=2)
+    assert mine.columns == [*df.columns, "copy", "_rate", "c0", "shuffle_key"] and {(r["copy"], r["_rate"], r["c0"]) for r in mine.collect()} == {("mine", 1, 2)}
+
+
+def test_rows_without_ids_fill_several_ranges(spark):
+    df = spark.createDataFrame([(None, f"t{i}", "en", "s", 1) for i in range(4000)], DOCS)
+    out = mixing.mix(df, weights={"s": 1.0}, total=12000)
+    filled = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(filled) >= 3 and max(r["count"] for r in filled) < 0.6 * out.count()
 
 
 def test_large_rates_are_drawn_in_parts(spark):
@@ -301,6 +316,20 @@ def test_slots_exchange_what_they_cannot_fill(spark):
     assert packed.count() == 3000 and proof["sequences"] <= proof["bound"] + 1
 
 
+def test_gaps_and_columns_of_any_name(spark):
+    """What a slot uses over its bound is said in its rows."""
+    df = spark.createDataFrame([(i, 2100 if i % 2 else 1400) for i in range(900)], "c1 long, length long").withColumns({"_slot": F.lit("x"), "_row": F.lit(1), "offset": F.lit("mine")})
+    packed = packing.pack(df, slot_rows=100, rounds=2)
+    assert packed.columns == ["c1", "length", "_slot", "_row", "sequence_id", "offset", "slot_gap"]
+    rows = packed.collect()
+    assert len(rows) == 900 and {(r["_slot"], r["_row"]) for r in rows} == {("x", 1)} and all(r.slot_gap >= 0 for r in rows)
+    # Eight of 1200 and five of 1500: best fit needs more than the bound says.
+    hard = spark.createDataFrame([(i, n) for i, n in enumerate([1200] * 8 + [1500] * 5 + [700] * 3 + [1900] * 2)], "doc_id long, length long")
+    one = packing.pack(hard)
+    proof = packing.certificate(one)
+    assert {r.slot_gap for r in one.collect()} == {proof["sequences"] - proof["bound"]}
+
+
 def test_lower_bounds_hold():
     rng = random.Random(2)
     for _ in range(60):
@@ -611,6 +640,18 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(df.limit(0), empty).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["ab1", "ab", "aaa", "a b ", "a.b.", "a - ", "!@", "1", "a" * 200 + " "])
+def test_long_tokens_take_linear_time(piece):
+    model = toxicity.CharModel(toxicity.CharModel.count(["plain words of a text"] * 3))
+    restorer = toxicity.Restorer(model)
+    text = piece * (60_000 // len(piece))
+    start = time.perf_counter()
+    restorer.words(text)
+    restorer.restored(text)
+    assert time.perf_counter() - start < 20
+    assert "end" in restorer.words(text + " end")
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
