@@ -19,14 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, classes and kept vectors of all ``embeddings``; those that link with nothing are a class each."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` dropped or repeated to the square roots of their sources' sizes, with copy number and order key."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``; null and empty texts score the prior."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -42,18 +45,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents`` with their sequence and offset; null and empty texts are one token. ``slot_gap`` over 0 says that a slot isn't certified."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``; null and empty ones have an empty text."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all ``documents``; null and empty texts have none."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and numbers of links of all ``documents``; texts without words link with nothing."""
     return jaccard_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
@@ -66,6 +73,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all ``documents``; null and empty texts have no words and fail."""
     judged = quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
