@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import WordHashes, cut, join_small, near, width
 
 #: Tokens of a seed, seeds of which one is taken, and distinct pages of a host that a run has to be on.
-SEED, WINDOW, REPEAT_PAGES = 10, 11, 3
-#: Tokens of a suffix that are compared: from a seed to the end of a run that has no seed after it.
-DEPTH = SEED + WINDOW - 1
+SEED, WINDOW, REPEAT_PAGES = 10, 15, 3
+#: Tokens of a suffix that are compared behind its seed: to the end of a run that has no seed after it.
+DEPTH = WINDOW - 1
 #: Distinct pages of a host that has a template inside its articles, and the share that shows it.
 HOST_PAGES, HOST_SHARE = 20, 0.9
 
@@ -58,6 +58,7 @@ WHOLE_NAMES = frozenset("header footer menu notice notices reply replies share s
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article main body div section".split())
 
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-z]+")
@@ -97,6 +98,9 @@ class _Tags:
         """(start, end, whether an end tag, name, attributes) of the next tag; the name of comments is None."""
         page = self.page
         while (start := page.find("<", at)) >= 0:
+            # Where this fails on a tag, a quote never ends or the page does: once.
+            if self.quotes and (m := _PLAIN.match(page, start)):
+                return start, m.end(), m[1] == "/", m[2].lower(), m[3]
             following = page[start + 1 : start + 2]
             if following == "!" and page.startswith("--", start + 2):
                 if page.startswith((">", "->"), start + 4):
@@ -250,16 +254,30 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def seeds(codes: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places of the minimizers of a stream, and the 64-bit hashes of their ``size`` tokens."""
-    n = len(codes) - size + 1
-    if n <= 0:
+    if len(codes) < size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    values = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(size):
-            values = (values ^ codes[i : i + n]) * _STEP
-            values ^= values >> np.uint64(32)
-    windows = np.lib.stride_tricks.sliding_window_view(values, min(window, n))
-    places = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+        values, step = codes.astype(np.uint64) + np.uint64(1), _STEP
+
+        def longer(x, k, y):  # strings of k tokens followed by others
+            return x[: len(y) - k] * np.uint64(pow(int(step), k, 1 << 64)) + y[k:] if len(y) > k else x[:0]
+
+        span, doubled, done, whole = 1, values, 0, None
+        for bit in range(size.bit_length()):
+            if size >> bit & 1:
+                whole, done = (doubled, span) if whole is None else (longer(doubled, span, whole)[: len(codes) - done - span + 1], done + span)
+            if bit + 1 < size.bit_length():
+                doubled, span = longer(doubled, span, doubled), 2 * span
+        values = whole
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+            values = (values ^ (values >> np.uint64(shift))) * np.uint64(factor)
+    # Least of each window, the first of equal ones, from windows of half the size.
+    least, span, window = np.arange(len(values)), 1, min(window, len(values))
+    while span < window:
+        more = min(span, window - span)
+        left, right = least[: len(least) - more], least[more:]
+        least, span = np.where(values[right] < values[left], right, left), span + more
+    places = np.unique(least)
     return places, values[places]
 
 
@@ -272,94 +290,105 @@ def _held(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
 
 
 def recurring(held: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
-    """(seed, pages) of the seeds on at least ``least_pages`` distinct pages of a host.
-
-    Pairs of seed and page are summed up map-side, copies of a page with them.
-    """
+    """(seed, pages) of the seeds on at least ``least_pages`` pages of a host, from distinct pages."""
 
     def cut_up(batches):
         hashes = WordHashes()
         for batch in batches:
-            found, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for host, page, text in zip(batch["host"], batch["page"], batch["html"], strict=True):
+            found = [np.empty(0, np.uint64)]
+            for host, text in zip(batch["host"], batch["html"], strict=True):
                 _, values = seeds(stream(blocks(text), hashes))
-                values = np.unique(values)
-                found.append(values ^ np.int64(host).astype(np.uint64))
-                owners.append(np.full(len(values), page, np.int64))
-            yield pd.DataFrame({"seed": np.concatenate(found).view(np.int64), "page": np.concatenate(owners)})
+                found.append(np.unique(values) ^ np.int64(host).astype(np.uint64))
+            yield pd.DataFrame({"seed": np.concatenate(found).view(np.int64)})
+
+    met = held.select("host", "html").mapInPandas(cut_up, "seed long")
+    return met.groupBy("seed").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
+
 
-    met = held.select("host", "page", "html").mapInPandas(cut_up, "seed long, page long")
-    met = met.groupBy("seed", "page").agg(F.lit(1).alias("one"))
-    return met.groupBy("seed").agg(F.count("one").alias("pages")).where(F.col("pages") >= least_pages)
+def distinct(held: DataFrame) -> DataFrame:
+    """``held`` with one of the rows of each page of a host; pages stay where they are read."""
+    held = held.withColumn("_row", F.monotonically_increasing_id())
+    copies = held.groupBy("page", "check").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return join_small(held, cut(copies), ["page", "check"]).where(F.col("_first").isNull() | (F.col("_first") == F.col("_row"))).drop("_first", "_row")
 
 
 def suffixes(held: DataFrame, common: DataFrame) -> DataFrame:
-    """(host, side, content, page, check, place, silent, pages): suffixes that begin at recurring seeds.
+    """(seed, content, page, at): suffixes that begin at recurring seeds, of distinct pages.
 
-    ``side`` 0 reads on from the seed, 1 back from its end; ``content`` has DEPTH codes of four
-    bytes at most; ``silent``: the page has no article or main element.
+    ``seed`` tells host and ``SEED`` tokens; ``content`` has the codes, of four bytes each, of up
+    to DEPTH tokens behind it or, for suffixes that are read back, before it.  ``at`` holds the
+    place in the stream and three bits: read back, a page without an article or main element, a
+    seed on nearly all pages of the host.  ``common`` is checkpointed; if its bytes allow, its
+    seeds are sent to the tasks, which then cut up no others.
     """
+    joined = near(common)
+    sieve = None if joined is common else held.sparkSession.sparkContext.broadcast(np.sort(common.select("seed").toPandas()["seed"].to_numpy()))
+    hosts = held.groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= HOST_PAGES)
 
     def cut_up(batches):
         hashes = WordHashes()
         for batch in batches:
             out = []
-            for host, page, check, text in zip(batch["host"], batch["page"], batch["check"], batch["html"], strict=True):
+            for host, page, most, text in zip(batch["host"], batch["page"], batch["all"], batch["html"], strict=True):
                 parts = blocks(text)
                 codes = stream(parts, hashes)
                 places, values = seeds(codes)
-                silent, n = main_zone(parts) == "o", len(codes)
-                on, back = codes.astype(">u4").tobytes(), codes[::-1].astype(">u4").tobytes()
                 keys = (values ^ np.int64(host).astype(np.uint64)).view(np.int64)
+                if sieve is not None:
+                    at = np.searchsorted(sieve.value, keys)
+                    some = np.take(sieve.value, at, mode="clip") == keys if len(sieve.value) else np.zeros(len(keys), bool)
+                    keys, places = keys[some], places[some]
+                silent, n = 2 * (main_zone(parts) == "o"), len(codes)
+                on, back = codes.astype(">u4").tobytes(), codes[::-1].astype(">u4").tobytes()
                 for seed, p in zip(keys.tolist(), places.tolist(), strict=True):
-                    q = n - p - SEED
-                    out.append((seed, host, page, check, p, silent, on[4 * p : 4 * (p + DEPTH)], back[4 * q : 4 * (q + DEPTH)]))
-            yield pd.DataFrame(out, columns=["seed", "host", "page", "check", "place", "silent", "on", "back"])
+                    q = n - p
+                    out.append((seed, page, most, 8 * p + silent, on[4 * (p + SEED) : 4 * (p + SEED + DEPTH)], back[4 * q : 4 * (q + DEPTH)]))
+            yield pd.DataFrame(out, columns=["seed", "page", "all", "at", "on", "back"])
 
-    found = held.select("host", "page", "check", "html").mapInPandas(cut_up, "seed long, host long, page long, check long, place int, silent boolean, on binary, back binary")
-    found = found.join(near(common), "seed").dropDuplicates(["seed", "page", "check", "place"])
-    return found.select("host", "page", "check", "place", "silent", "pages", F.posexplode(F.array("on", "back")).alias("side", "content"))
+    found = join_small(held.select("host", "page", "html"), cut(hosts), ["host"]).withColumn("all", F.coalesce("all", F.lit(1 << 62)))
+    found = found.mapInPandas(cut_up, "seed long, page long, all long, at long, on binary, back binary").join(joined, "seed")
+    template = F.when(F.col("pages") >= HOST_SHARE * F.col("all"), 1).otherwise(0)
+    return found.select("seed", "page", (F.col("at") + template).alias("at"), F.posexplode(F.array("on", "back")).alias("side", "content")).select("seed", "content", "page", (F.col("at") + 4 * F.col("side")).alias("at"))
 
 
-def _lengths(entries: list[tuple[int, int, bytes, int]], first: int, last: int, least_pages: int) -> list[int]:
-    """For the sorted entries ``first`` to ``last`` - 1: tokens they have in common with those of so many pages.
+def _lengths(entries: list[tuple[tuple[int, int], bytes, int]], first: int, last: int, least_pages: int) -> list[int]:
+    """For the sorted entries ``first`` to ``last`` - 1: tokens behind the seed in common with those of so many pages.
 
-    The others are neighbours' edges; entries are distinct (host, side, content, page).
+    The others are neighbours' edges; entries are distinct (seed and side, content, page).
     """
     n = len(entries)
-    size = np.array([len(e[2]) // 4 for e in entries], np.int64)
-    codes = np.frombuffer(b"".join(e[2].ljust(4 * DEPTH, b"\0") for e in entries), ">u4").reshape(n, DEPTH)
-    group = [e[:2] for e in entries]
+    size = np.array([len(e[1]) // 4 for e in entries], np.int64)
+    codes = np.frombuffer(b"".join(e[1].ljust(4 * DEPTH, b"\0") for e in entries), ">u4").reshape(n, DEPTH)
     common = np.minimum((codes[1:] == codes[:-1]).cumprod(axis=1).sum(axis=1), np.minimum(size[1:], size[:-1])).tolist()
-    common = [c if group[i] == group[i + 1] else 0 for i, c in enumerate(common)]
+    common = [c if entries[i][0] == entries[i + 1][0] else -1 for i, c in enumerate(common)]
     out = []
     for i in range(first, last):
         near_ones = []
         for step in (-1, 1):
-            j, shared, seen = i, DEPTH, {entries[i][3]}
+            j, shared, seen = i, int(size[i]), {entries[i][2]}
             while len(seen) < least_pages and 0 <= j + step < n:
                 shared = min(shared, common[j - (step < 0)])
                 j += step
-                if not shared:
+                if shared < 0:
                     break
-                if entries[j][3] not in seen:
-                    seen.add(entries[j][3])
-                    near_ones.append((shared, entries[j][3]))
-        seen, length = {entries[i][3]}, 0
+                if entries[j][2] not in seen:
+                    seen.add(entries[j][2])
+                    near_ones.append((shared, entries[j][2]))
+        seen, length = {entries[i][2]}, int(size[i]) if least_pages == 1 else -SEED
         for shared, page in sorted(near_ones, reverse=True):
             seen.add(page)
             if len(seen) == least_pages:
                 length = shared
                 break
-        out.append(length if least_pages > 1 else int(size[i]))
+        out.append(length)
     return out
 
 
-def _distinct(batches) -> tuple[pd.DataFrame, np.ndarray, list[tuple[int, int, bytes, int]]]:
+def _distinct(batches) -> tuple[pd.DataFrame, np.ndarray, list[tuple[tuple[int, int], bytes, int]]]:
     """Rows of a sorted partition, the entry of each, and the distinct entries."""
-    rows = pd.concat(list(batches), ignore_index=True)
+    rows = pd.concat(batches, ignore_index=True)
     entries, which = [], []
-    for e in zip(rows["host"], rows["side"], map(bytes, rows["content"]), rows["page"], strict=True):
+    for e in zip(zip(rows["seed"], rows["side"], strict=True), map(bytes, rows["content"]), rows["page"], strict=True):
         if not entries or e != entries[-1]:
             entries.append(e)
         which.append(len(entries) - 1)
@@ -367,15 +396,16 @@ def _distinct(batches) -> tuple[pd.DataFrame, np.ndarray, list[tuple[int, int, b
 
 
 def repeats(found: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
-    """``suffixes`` with ``length``: tokens from the seed that are on ``least_pages`` distinct pages.
+    """(page, start, stop, silent, template) of the runs from seeds that are on ``least_pages`` distinct pages.
 
     The suffix array: sorted by ranges, its order checkpointed.  A range needs the nearest
     entries of the ranges around it; those edges, of a fixed number of pages per range, go
     through the driver.
     """
-    order = ["host", "side", "content", "page"]
     spark = found.sparkSession
-    array = cut(found.repartitionByRange(width(spark), *order).sortWithinPartitions(*order))
+    side = F.col("at").bitwiseAND(4).cast("int").alias("side")
+    order = ["seed", side, "content", "page"]
+    array = cut(found.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)).select("seed", side, "content", "page", "at")
     edge_pages = 2 * least_pages
 
     def edges(batches):
@@ -387,28 +417,27 @@ def repeats(found: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
             for kind, ordered in ((0, entries), (1, entries[::-1])):
                 seen, out = set(), []
                 for e in ordered:
-                    if e[3] not in seen:
-                        seen.add(e[3])
-                        out.append((TaskContext.get().partitionId(), kind, len(out), *e))
+                    if e[2] not in seen:
+                        seen.add(e[2])
+                        out.append((TaskContext.get().partitionId(), kind, len(out), *e[0], *e[1:]))
                     if len(seen) == edge_pages:
                         break
-                yield pd.DataFrame(out, columns=["part", "kind", "n", *order])
-
-    schema = "part int, kind int, n int, host long, side int, content binary, page long"
-    firsts: dict[int, list[tuple]] = {}
-    lasts: dict[int, list[tuple]] = {}
-    for r in sorted(array.select(*order).mapInPandas(edges, schema).collect(), key=lambda r: (r.part, r.n)):
-        (firsts, lasts)[r.kind].setdefault(r.part, []).append((r.host, r.side, bytes(r.content), r.page))
-    parts = sorted(firsts)
+                yield pd.DataFrame(out, columns=["part", "kind", "n", "seed", "side", "content", "page"])
+
+    schema = "part int, kind int, n int, seed long, side int, content binary, page long"
+    ends: tuple[dict[int, list[tuple]], dict[int, list[tuple]]] = {}, {}
+    for r in sorted(array.drop("at").mapInPandas(edges, schema).collect(), key=lambda r: (r.part, r.n)):
+        ends[r.kind].setdefault(r.part, []).append(((r.seed, r.side), bytes(r.content), r.page))
+    parts = sorted(ends[0])
     around: dict[int, tuple[list[tuple], list[tuple]]] = {}
     for i, part in enumerate(parts):
         before, after = [], []
         for other in reversed(parts[:i]):
-            before += lasts[other]
+            before += ends[1][other]
             if len(before) >= edge_pages:
                 break
         for other in parts[i + 1 :]:
-            after += firsts[other]
+            after += ends[0][other]
             if len(after) >= edge_pages:
                 break
         around[part] = before[::-1], after
@@ -421,23 +450,22 @@ def repeats(found: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
         if batches:
             rows, which, entries = _distinct(batches)
             before, after = shared.value[TaskContext.get().partitionId()]
-            lengths = _lengths([*before, *entries, *after], len(before), len(before) + len(entries), least_pages)
-            yield rows.drop(columns="content").assign(length=np.array(lengths, np.int32)[which])
+            beyond = np.array(_lengths([*before, *entries, *after], len(before), len(before) + len(entries), least_pages), np.int64)[which]
+            at, back = rows["at"].to_numpy(), rows["side"].to_numpy() > 0
+            place = at >> 3
+            start, stop = np.where(back, place - beyond, place), place + SEED + np.where(back, 0, beyond)
+            yield pd.DataFrame({"page": rows["page"], "start": start.astype(np.int32), "stop": stop.astype(np.int32), "silent": (at & 2) > 0, "template": (at & 1) > 0})[beyond >= 0]
 
-    return array.mapInPandas(measured, "host long, page long, check long, place int, silent boolean, pages long, side int, length int")
+    return array.mapInPandas(measured, "page long, start int, stop int, silent boolean, template boolean")
 
 
 def covered(held: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
-    """(page, check, runs) of the pages with boilerplate: ``runs`` of (start, stop) in the page's stream."""
+    """(page, runs) of the pages that share runs with others: (start, stop, gone), ``gone`` if the run is boilerplate."""
+    held = distinct(held)
     common = cut(recurring(held, least_pages))
     found = repeats(suffixes(held, common), least_pages)
-    hosts = held.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    hosts = near(cut(hosts.where(F.col("all") >= HOST_PAGES)))
-    template = F.coalesce(F.col("pages") >= HOST_SHARE * F.col("all"), F.lit(False))
-    found = found.join(hosts, "host", "left").where(F.col("silent") | template)
-    start = F.when(F.col("side") == 0, F.col("place")).otherwise(F.col("place") + SEED - F.col("length"))
-    run = F.struct(start.alias("start"), (start + F.col("length")).alias("stop"))
-    return found.where(F.col("length") >= SEED).groupBy("page", "check").agg(F.collect_set(run).alias("runs"))  # bounded by the page
+    run = F.struct("start", "stop", (F.col("silent") | F.col("template")).alias("gone"))
+    return found.groupBy("page").agg(F.collect_set(run).alias("runs"))  # bounded by the page
 
 
 def decide(parts: list[tuple[str, str]], gone: np.ndarray | None) -> str:
@@ -464,12 +492,13 @@ def decide(parts: list[tuple[str, str]], gone: np.ndarray | None) -> str:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", least_pages: int = REPEAT_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars, n_covered), a row per row of ``pages``.
+    """(page_id, url, text, n_chars, n_shared, n_gone), a row per row of ``pages``.
 
     Text blocks have single spaces and are joined by an empty line.  Null and empty pages have
     an empty text.  Rows may repeat and keys be null; a null or odd url counts as the host ''.
-    Pages of a host with equal markup are one page.  ``n_covered``: tokens of the page that the
-    host's repeats cover, as far as they may decide.  Other columns aren't carried.
+    Pages of a host with equal markup are one page.  ``n_shared``: tokens of the page (ends of
+    blocks are tokens too) in runs that it shares with pages of its host; ``n_gone``: those that
+    are boilerplate by the rules above.  Other columns aren't carried.
     """
     kinds = dict(pages.dtypes)
     held = _held(pages, page_id, url, markup)
@@ -479,15 +508,17 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
         for batch in batches:
             texts, counts = [], []
             for text, found in zip(batch["html"], batch["runs"], strict=True):
-                parts, gone = blocks(text), None
+                parts, marks = blocks(text), None
                 if found is not None and len(found):
-                    gone = np.zeros(sum(t.count(" ") + 2 for _, t in parts) + 1, bool)
+                    marks = np.zeros((2, sum(t.count(" ") + 2 for _, t in parts)), bool)
                     for r in found:
-                        gone[r["start"] : r["stop"]] = True
-                texts.append(decide(parts, gone))
-                counts.append(0 if gone is None else int(gone.sum()))
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_covered": counts})
-
-    joined = join_small(held.drop("host"), runs, ["page", "check"]).select("page_id", "url", "html", "runs")
-    out = joined.mapInPandas(work, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_covered long")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_covered")
+                        marks[0, r["start"] : r["stop"]] = True
+                        if r["gone"]:
+                            marks[1, r["start"] : r["stop"]] = True
+                texts.append(decide(parts, marks[1] if marks is not None and marks[1].any() else None))
+                counts.append((0, 0) if marks is None else tuple(marks.sum(axis=1).tolist()))
+            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_shared": [a for a, _ in counts], "n_gone": [b for _, b in counts]})
+
+    joined = join_small(held.drop("host", "check"), runs, ["page"]).select("page_id", "url", "html", "runs")
+    out = joined.mapInPandas(work, f"page_id {kinds[page_id]}, url {kinds[url]}, text string, n_shared long, n_gone long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_gone")

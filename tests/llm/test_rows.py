@@ -514,7 +514,7 @@ def test_main_text(spark, page, want):
 
 
 def test_host_repeats_go_where_structure_is_silent(spark):
-    foot = "<div>Sign up now for our weekly letter and get offers every week, from us alone and for nothing at all</div>"
+    foot = "<div>Sign up now for our weekly letter and get offers every week, from us alone and for nothing at all, or tell your friends of it</div>"
     rows = [(i, f"https://h.org/{i}", f"<div>Unique story number {i} about topic t{i} which nobody else tells t{i}x</div>{foot}") for i in range(6)]
     rows += [(10, "https://other.org/", f"<div>Alone</div>{foot}"), (11, None, "<div>No address</div>")]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -554,28 +554,44 @@ def test_repeats_are_those_of_a_brute_force_suffix_array(spark, frame):
         pages.append(words)
     rows = [(i, "http://h/", frame.format(" ".join(w))) for i, w in enumerate(pages)] + [(99, "http://h/", frame.format(" ".join(pages[0])))]
     held = html_extract._held(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html")
-    found = html_extract.repeats(html_extract.suffixes(held, html_extract.recurring(held)))
-    ids = {(r.page, r.check): r.page_id for r in held.where("page_id < 99").collect()}
+    found = html_extract.distinct(held)
+    assert found.count() == len(pages)
+    found = html_extract.repeats(html_extract.suffixes(found, common.cut(html_extract.recurring(found))))
+    ids = {r.page: r.page_id for r in held.where("page_id < 99").collect()}
     got = [set() for _ in pages]
     for r in found.collect():
-        assert r.length >= html_extract.SEED
-        start = r.place if r.side == 0 else r.place + html_extract.SEED - r.length
-        got[ids[r.page, r.check]].update(range(start, start + r.length))
+        assert r.stop - r.start >= html_extract.SEED
+        got[ids[r.page]].update(range(r.start, r.stop))
     streams = [[*w, ""] for w in pages]
-    least, most = _covered(streams, html_extract.DEPTH, 3), _covered(streams, html_extract.SEED, 3)
+    least, most = _covered(streams, html_extract.SEED + html_extract.WINDOW - 1, 3), _covered(streams, html_extract.SEED, 3)
     assert sum(map(len, least)) > 500
     for g, a, b in zip(got, least, most, strict=True):
         assert a <= g <= b
 
 
+def test_seeds_are_the_least_of_their_windows():
+    rng = np.random.default_rng(1)
+    for n in (0, 5, 10, 12, 25, 300):
+        codes = rng.integers(0, 3, n).astype(np.uint32)
+        places, values = html_extract.seeds(codes)
+        every = html_extract.seeds(codes, window=1)[1]
+        assert len(every) == max(0, n - html_extract.SEED + 1)
+        same = {}
+        for i, v in enumerate(every.tolist()):
+            assert same.setdefault(v, codes[i : i + html_extract.SEED].tolist()) == codes[i : i + html_extract.SEED].tolist()
+        assert len(same) == len({tuple(codes[i : i + html_extract.SEED]) for i in range(len(every))})
+        w = min(html_extract.WINDOW, len(every))
+        assert set(places) == {i + int(np.argmin(every[i : i + w])) for i in range(len(every) - w + 1) if w} and (values == every[places]).all()
+
+
 def test_edges_of_ranges_lose_no_neighbour():
     rng = random.Random(2)
     texts = sorted({bytes(rng.choice(b"ab") if k % 4 == 3 else 0 for k in range(4 * html_extract.DEPTH)) for _ in range(60)})
-    entries = sorted((1, 0, t, rng.randint(1, 6)) for t in texts for _ in range(2))
+    entries = sorted(((1, 0), t, rng.randint(1, 6)) for t in texts for _ in range(2))
     entries = list(dict.fromkeys(entries))
     got = html_extract._lengths(entries, 0, len(entries), 3)
     for e, length in zip(entries, got, strict=True):
-        pages = {k: {x[3] for x in entries if x[2][: 4 * k] == e[2][: 4 * k]} for k in range(1, html_extract.DEPTH + 1)}
+        pages = {k: {x[2] for x in entries if x[1][: 4 * k] == e[1][: 4 * k]} for k in range(1, html_extract.DEPTH + 1)}
         assert length == max((k for k, v in pages.items() if len(v) >= 3), default=0)
 
 
