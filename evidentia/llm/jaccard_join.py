@@ -155,8 +155,12 @@ def climb(label: np.ndarray, lowest: np.ndarray, sketch: np.ndarray, least: int,
 
 
 def _forest(node: np.ndarray, found: Unions) -> pa.RecordBatch:
-    moved = np.flatnonzero(found.label != np.arange(len(node)))
-    return pa.RecordBatch.from_pydict({"a": node[moved], "b": node[found.label[moved]]})
+    """Edges to the smallest node of each set: sets that recur in other cells give the same edges."""
+    root = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(root, found.label, node)
+    root = root[found.label]
+    moved = node != root
+    return pa.RecordBatch.from_pydict({"a": node[moved], "b": root[moved]})
 
 
 def _joined(parts, rows: int = 20_000):
