@@ -65,7 +65,11 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Tags:
-    """Tags of a page in order, in time linear in its length."""
+    """Tags, comments and the like in order, in time linear in the page's length.
+
+    ``_PLAIN`` finds whole tags quicker; where it fails on one, a quote or the page never ends,
+    which happens once.
+    """
 
     def __init__(self, page: str):
         self.page, self.quotes = page, True
@@ -98,9 +102,6 @@ class _Tags:
         """(start, end, whether an end tag, name, attributes) of the next tag; the name of comments is None."""
         page = self.page
         while (start := page.find("<", at)) >= 0:
-            # Where this fails on a tag, a quote never ends or the page does: once.
-            if self.quotes and (m := _PLAIN.match(page, start)):
-                return start, m.end(), m[1] == "/", m[2].lower(), m[3]
             following = page[start + 1 : start + 2]
             if following == "!" and page.startswith("--", start + 2):
                 if page.startswith((">", "->"), start + 4):
@@ -171,14 +172,17 @@ def blocks(page: str) -> list[tuple[str, str]]:
         zone = stack[-1][1] if stack else "o"
 
     while at < n:
-        found = tags.next(at)
-        end = found[0] if found else n
+        end = page.find("<", at)
+        if end >= 0 and tags.quotes and (m := _PLAIN.match(page, end)):  # nearly all tags
+            after, ending, tag, attributes = m.end(), m[1], m[2].lower(), m[3]
+        elif found := tags.next(at):
+            end, after, ending, tag, attributes = found
+        else:
+            end, after, tag = n, n, None
         if end > at:
             piece = page[at:end]
             held.append(html.unescape(piece) if "&" in piece else piece)
-        if not found:
-            break
-        _, at, ending, tag, attributes = found
+        at = after
         if tag is None:
             continue
         if ending:
@@ -208,7 +212,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     break
         elif tag in ("br", "td", "th", "img", "input", "wbr"):
             held.append("" if tag == "wbr" else " ")
-        if any(open_[t] for t in _CLOSES.get(tag, ())):
+        if tag in _CLOSES and any(open_[t] for t in _CLOSES[tag]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in _CLOSES[tag]:
                     close(i)
@@ -241,12 +245,9 @@ def main_zone(parts: list[tuple[str, str]]) -> str:
 
 
 def stream(parts: list[tuple[str, str]], hashes: WordHashes) -> np.ndarray:
-    """Codes of a page's tokens, with 0 behind each block."""
-    codes = []
-    for _, text in parts:
-        codes += [hashes[w] & 0xFFFFFFFF or 1 for w in text.encode("utf-8", "replace").split(b" ")]
-        codes.append(0)
-    return np.array(codes, np.uint32)
+    """Codes of a page's tokens, with a mark's code behind each block."""
+    tokens = "".join(f"{text} \0 " for _, text in parts).encode("utf-8", "replace").split(b" ")[:-1]
+    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)).astype(np.uint32)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -405,6 +406,7 @@ def repeats(found: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
     spark = found.sparkSession
     side = F.col("at").bitwiseAND(4).cast("int").alias("side")
     order = ["seed", side, "content", "page"]
+    found = cut(found)  # else the ranges' sample would cut up all pages once more
     array = cut(found.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)).select("seed", side, "content", "page", "at")
     edge_pages = 2 * least_pages
 
