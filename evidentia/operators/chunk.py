@@ -1,9 +1,9 @@
 """Pages to passages with exact offsets.
 
-Three steps instead of a loop over a source: headings and body of each page (Arrow, a row at a
-time), article and section carried over pages by a window, and the cuts of each segment (Arrow).
-Only the window shuffles, on the source, and it carries the rows of a source sorted, not as one
-group in memory.
+Each page is read once (Arrow, a row at a time): its headings, its body and the cuts of every
+segment, with the article and section that the page itself says.  What a page takes over from the
+pages before it is a window over pages; each carries its cuts, so no text is repeated and the
+source, sorted, is never one group in memory.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ RECIPE = "page-article-v1"
 ARTICLE = re.compile(r"^[ \t]*(\d+[a-z]?)\.[ \t]*člen[ \t\r]*$", re.M | re.I)
 SECTION = re.compile(r"^[ \t]*(?:[IVXLCDM]+\.[ \t]+\S.*|Končne določbe[ \t\r]*)$", re.M)
 
-_SEGMENTS = "array<struct<n:int,start:int,stop:int,kind:string,label:string>>"
+_CUTS = (
+    "struct<cuts:array<struct<start:int,end:int,text:string,known:boolean,article:string,section:string>>,"
+    "headed:boolean,last_article:string,last_section:string>"
+)
 _SPACE = re.compile(r"\s+")
 
 
@@ -83,19 +86,23 @@ def chunks(
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
 
-    @F.pandas_udf(_SEGMENTS)
-    def segments(text: pd.Series, ignored: pd.Series) -> pd.Series:
+    @F.pandas_udf(_CUTS)
+    def read(text: pd.Series, ignored: pd.Series) -> pd.DataFrame:
         out = []
         for body, lines in zip(text, ignored, strict=True):
-            found = page_segments(body or "", frozenset(" ".join(x.split()) for x in lines) if lines is not None else frozenset())
+            body = body or ""
+            found = page_segments(body, frozenset(" ".join(x.split()) for x in lines) if lines is not None else frozenset())
             if found is None and strict:
                 raise ChunkError("a page has no native text or only ignored lines; review or exclude it")
-            out.append(found or [])
-        return pd.Series(out)
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(text: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
-        return pd.Series([cuts(t, a, b, max_chars, overlap) for t, a, b in zip(text, start, stop, strict=True)])
+            rows, headed, article, section = [], False, None, None
+            for _, start, stop, kind, label in found or []:
+                if kind == "article":
+                    headed, article = True, label
+                elif kind == "section":
+                    headed, article, section = True, None, label
+                rows += [{"start": a, "end": b, "text": body[a:b], "known": headed, "article": article, "section": section} for a, b in cuts(body, start, stop, max_chars, overlap)]
+            out.append((rows, headed, article, section))
+        return pd.DataFrame(out, columns=["cuts", "headed", "last_article", "last_section"])
 
     recipe = f"{RECIPE}:{library}:{max_chars}:{overlap}" + ":sections-v1" * preserve_sections
     source = Window.partitionBy("source_id", "version").orderBy("page")
@@ -103,13 +110,12 @@ def chunks(
     # A gap, an excluded page among them, starts a new island of pages.
     islands = live.withColumn("_new", (F.col("page") != F.coalesce(F.lag("page").over(source) + 1, F.lit(1))).cast("int"))
     islands = islands.withColumn("_island", F.sum("_new").over(source))
-    parts = islands.select("source_id", "version", "page", "text", "_island", F.inline(segments("text", "ignored_lines")))
-    order = Window.partitionBy("source_id", "version", "_island").orderBy("page", "n")
-    mark = F.when(F.col("kind") != "body", F.struct(F.when(F.col("kind") == "article", F.col("label")).alias("article")))
-    title = F.when(F.col("kind") == "section", F.col("label"))
-    carried = parts.withColumns({"article": F.last(mark, ignorenulls=True).over(order)["article"], "section": F.last(title, ignorenulls=True).over(order) if preserve_sections else F.lit(None).cast("string")})
-    cut = carried.select("source_id", "version", "page", "article", "section", F.col("text").alias("_page"), F.inline(spans("text", "start", "stop")))
-    body = F.substring(F.col("_page"), F.col("start") + 1, F.col("end") - F.col("start"))
-    cut = cut.withColumn("text", body)
+    before = Window.partitionBy("source_id", "version", "_island").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = islands.select("source_id", "version", "page", "_island", read("text", "ignored_lines").alias("_p"))
+    mark = F.when(F.col("_p.headed"), F.struct(F.col("_p.last_article").alias("article")))
+    pages = pages.withColumns({"_article": F.last(mark, ignorenulls=True).over(before)["article"], "_section": F.last("_p.last_section", ignorenulls=True).over(before)})
+    cut = pages.select("source_id", "version", "page", "_article", "_section", F.explode("_p.cuts").alias("c")).select("source_id", "version", "page", "_article", "_section", "c.*")
+    article = F.when(F.col("known"), F.col("article")).otherwise(F.col("_article"))
+    section = F.coalesce("section", "_section") if preserve_sections else F.lit(None).cast("string")
     ident = chunk_id(F.col("source_id"), F.col("version"), recipe, F.col("page"), F.col("start"), F.col("end"), F.col("text"))
-    return cut.select(ident.alias("id"), "source_id", "version", "page", "start", "end", "article", "section", "text")
+    return cut.select(ident.alias("id"), "source_id", "version", "page", "start", "end", article.alias("article"), section.alias("section"), "text")

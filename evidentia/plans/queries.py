@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,14 +79,22 @@ def passages(spark, sf):
 def passage_audit(spark, sf):
     """V02 and coverage: per document, offsets reproduce the text and cover every visible character."""
     documents, pages, cut = _prepared(spark, sf)
-    joined = cut.join(pages.select("source_id", "page", F.col("text").alias("_t")), ["source_id", "page"])
-    exact = F.substring(F.col("_t"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("source_id").orderBy("start", "end")
-    reach = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gap = F.substring(F.col("_t"), F.col("_reach") + 1, F.col("start") - F.col("_reach"))
-    rows = joined.withColumn("_reach", reach).select("source_id", exact.alias("exact"), (F.when(F.col("start") > F.col("_reach"), gap.rlike(r"(?U)^\s*$")).otherwise(True)).alias("covered"))
+    # A row per page, bounded by it: the page's text isn't repeated for its passages.
+    spans = cut.groupBy("source_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
+
+    @F.pandas_udf("exact boolean, covered boolean")
+    def faithful(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for body, found in zip(text, spans, strict=True):
+            exact, covered, reach = True, True, 0
+            for s in found:
+                exact &= body[s["start"] : s["end"]] == s["text"]
+                covered &= s["start"] <= reach or not body[reach : s["start"]].strip()
+                reach = max(reach, s["end"])
+            out.append((exact, covered))
+        return pd.DataFrame(out, columns=["exact", "covered"])
+
+    rows = pages.join(spans, ["source_id", "page"]).select("source_id", faithful("text", "spans").alias("f")).select("source_id", "f.*")
     per = rows.groupBy("source_id").agg(F.bool_and("exact").alias("exact"), F.bool_and("covered").alias("covered"))
     return per.join(documents.select("source_id", F.col("key").cast("long").alias("doc_id")), "source_id").select("doc_id", "exact", "covered")
 
