@@ -49,8 +49,8 @@ def normalized(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """Distinct five-letter prefixes of words over two letters that are no stop words."""
     found = F.coalesce(F.regexp_extract_all(folded(c), F.lit(LETTERS), F.lit(0)), F.expr("cast(array() as array<string>)"))
-    stop = F.array(*(F.lit(w) for w in dict.fromkeys(STOP_WORDS)))
-    return F.array_distinct(F.transform(F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)), lambda w: F.substring(w, 1, 5)))
+    stop = list(dict.fromkeys(STOP_WORDS))
+    return F.array_distinct(F.transform(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(stop)), lambda w: F.substring(w, 1, 5)))
 
 
 def years(c: Column) -> Column:

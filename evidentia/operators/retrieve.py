@@ -34,13 +34,22 @@ def _asked(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else queries
 
 
+def _among(words: Column, asked: DataFrame, word: str) -> Column:
+    """Those of a passage's words that are asked for: others never become rows.
+
+    Up to ``MAX_QUERIES`` different words are a set in the expression; more are left to the join.
+    """
+    found = [r[0] for r in asked.select(word).distinct().limit(MAX_QUERIES + 1).collect()]
+    return F.filter(words, lambda w: w.isin(found)) if len(found) <= MAX_QUERIES else words
+
+
 def keyword_top(queries: DataFrame, passages: DataFrame, limit: int = 5) -> DataFrame:
     """Passages by the number of distinct query words they contain, ties in passage order.
 
     ``queries(query_id, question)``, ``passages(id, pos, text)`` -> ``query_id, rank, id, matched``.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("question")))).alias("word"))
-    held = passages.select("id", "pos", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    held = passages.select("id", "pos", F.explode(F.array_distinct(_among(T.words(F.col("text")), asked, "word"))).alias("word"))
     hits = held.join(_asked(asked), "word").groupBy("query_id", "id", "pos").agg(F.count(F.lit(1)).alias("matched"))
     return best(hits, limit, F.desc("matched"), F.asc("pos")).select("query_id", "rank", "id", "matched")
 
@@ -51,8 +60,9 @@ def lexical_top(queries: DataFrame, passages: DataFrame, limit: int = 5) -> Data
     A query without known terms matches nothing, so fewer than ``limit`` rows may come.
     """
     asked = queries.select("query_id", T.terms(F.col("question")).alias("_q")).withColumn("_n", F.size("_q"))
-    asked = _asked(asked.select("query_id", "_n", F.explode("_q").alias("term")))
-    held = passages.select("id", T.terms(F.col("text")).alias("_t")).select("id", F.size("_t").alias("_m"), F.explode("_t").alias("term"))
+    asked = asked.select("query_id", "_n", F.explode("_q").alias("term"))
+    held = passages.select("id", T.terms(F.col("text")).alias("_t")).select("id", F.size("_t").alias("_m"), F.explode(_among(F.col("_t"), asked, "term")).alias("term"))
+    asked = _asked(asked)
     overlap = held.join(asked, "term").groupBy("query_id", "id", "_n", "_m").agg(F.count(F.lit(1)).alias("overlap"))
     scored = overlap.withColumn("score", F.col("overlap") / F.sqrt(F.col("_n") * F.col("_m")))
     return best(scored, limit, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
