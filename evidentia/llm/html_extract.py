@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WordHashes, cut, join_small, near, width
+from evidentia.llm.common import cut, join_small, near, width
 
 #: Tokens of a seed, seeds of which one is taken, and distinct pages of a host that a run has to be on.
 SEED, WINDOW, REPEAT_PAGES = 10, 15, 3
@@ -191,7 +192,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
             elif tag in ("td", "th"):
                 held.append(" ")
             if open_[tag]:
-                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
                 if stack[i][1] != (stack[i - 1][1] if i else "o"):
                     flush()
                 close(i)
@@ -244,10 +247,10 @@ def main_zone(parts: list[tuple[str, str]]) -> str:
     return next((z for z in "am" if z in zones), "o")
 
 
-def stream(parts: list[tuple[str, str]], hashes: WordHashes) -> np.ndarray:
-    """Codes of a page's tokens, with a mark's code behind each block."""
+def stream(parts: list[tuple[str, str]]) -> np.ndarray:
+    """Codes (CRC-32) of a page's tokens, with a mark's code behind each block."""
     tokens = "".join(f"{text} \0 " for _, text in parts).encode("utf-8", "replace").split(b" ")[:-1]
-    return np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)).astype(np.uint32)
+    return np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -278,7 +281,7 @@ def seeds(codes: np.ndarray, size: int = SEED, window: int = WINDOW) -> tuple[np
         more = min(span, window - span)
         left, right = least[: len(least) - more], least[more:]
         least, span = np.where(values[right] < values[left], right, left), span + more
-    places = np.unique(least)
+    places = least[np.r_[True, least[1:] != least[:-1]]]
     return places, values[places]
 
 
@@ -294,11 +297,10 @@ def recurring(held: DataFrame, least_pages: int = REPEAT_PAGES) -> DataFrame:
     """(seed, pages) of the seeds on at least ``least_pages`` pages of a host, from distinct pages."""
 
     def cut_up(batches):
-        hashes = WordHashes()
         for batch in batches:
             found = [np.empty(0, np.uint64)]
             for host, text in zip(batch["host"], batch["html"], strict=True):
-                _, values = seeds(stream(blocks(text), hashes))
+                _, values = seeds(stream(blocks(text)))
                 found.append(np.unique(values) ^ np.int64(host).astype(np.uint64))
             yield pd.DataFrame({"seed": np.concatenate(found).view(np.int64)})
 
@@ -327,12 +329,11 @@ def suffixes(held: DataFrame, common: DataFrame) -> DataFrame:
     hosts = held.groupBy("host").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") >= HOST_PAGES)
 
     def cut_up(batches):
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for host, page, most, text in zip(batch["host"], batch["page"], batch["all"], batch["html"], strict=True):
                 parts = blocks(text)
-                codes = stream(parts, hashes)
+                codes = stream(parts)
                 places, values = seeds(codes)
                 keys = (values ^ np.int64(host).astype(np.uint64)).view(np.int64)
                 if sieve is not None:
