@@ -13,7 +13,7 @@ element): it goes, unique runs stay.  Articles quote each other and are copied w
 inside one a run is boilerplate only if nearly every page of the host has it (``HOST_SHARE``), and
 only whole blocks go.  Menus, headers, footers, forms and the like go by their tags and names.
 
-Streams are cut up where pages are read.  Only seeds (two hashes each) are shuffled, then the
+Streams are cut up where pages are read.  Only hashes of seeds are shuffled, then the
 suffixes of recurring seeds, by ranges of their content and page: a run that is on every page of
 a host is spread over as many tasks as it fills.
 """
