@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.identity import citation_url
+
 # Messages of the interface (fixed texts).
 NO_EVIDENCE = "Ni ujemajočih se odlomkov. Poskusite z izrazi iz pravilnika ali se obrnite na referat."
 ABSTAINED = "V razpoložljivih odlomkih ni dovolj podatkov za zanesljiv odgovor. Za pojasnilo se obrnite na referat."
@@ -63,3 +65,38 @@ def response_text(answers: DataFrame) -> DataFrame:
     """(query_id, response): the parts' texts on lines of their own, else the message."""
     joined = F.array_join(F.transform("parts", lambda p: p["text"]), "\n")
     return answers.select("query_id", F.coalesce(F.nullif(joined, F.lit("")), F.col("message")).alias("response"))
+
+
+#: What stands for the sources of an answer that needs none (fixed text).
+NO_SOURCES = "No supporting passage is expected for this question."
+
+
+def source_labels(passages: Column) -> Column:
+    """Titles and places of an array of ``struct<title,section,page,article,url>``, each once, in order."""
+
+    def label(p: Column) -> Column:
+        place = F.coalesce(F.nullif(p["section"], F.lit("")), F.when(p["page"] != 0, F.concat(F.lit("page "), p["page"].cast("string"))))
+        title = F.concat(p["title"], F.coalesce(F.concat(F.lit(" — "), place), F.lit("")), F.coalesce(F.concat(F.lit(", article "), F.nullif(p["article"], F.lit(""))), F.lit("")))
+        return F.when(F.coalesce(p["url"], F.lit("")) != "", F.concat(F.lit("["), title, F.lit("]("), p["url"], F.lit(")"))).otherwise(title)
+
+    found = F.array_distinct(F.transform(passages, label))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_SOURCES)))
+
+
+def supporting(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """Passages as evaluation sets quote them: with title, place and address of their document.
+
+    ``documents(source_id, title, url, is_web)``, ``passages(id, source_id, version, page,
+    article, section, text)``; a web section's heading stands for its page.
+    """
+    rows = passages.join(documents.select("source_id", "title", "url", "is_web"), "source_id")
+    web = F.coalesce("is_web", F.lit(False))
+    return rows.select(
+        F.col("id").alias("source_id"), F.col("source_id").alias("document_id"), "title", F.when(~web, F.col("page")).alias("page"), F.when(web, F.col("section")).alias("section"),
+        "article", citation_url(F.col("url"), F.col("page"), web, F.lit(None).cast("string")).alias("url"), "version", "text",
+    )
+
+
+def fixed_only(hits: DataFrame) -> DataFrame:
+    """Hits of a fixed index without its web documents: what was captured before is never shown as current."""
+    return hits.where(~F.coalesce("is_web", F.lit(False)))

@@ -59,6 +59,38 @@ def prepare_text(corpus_id: str, sources: DataFrame, max_chars: int = chunk.MAX_
     return documents, pages, passages
 
 
+def prepare_html(corpus_id: str, sources: DataFrame, selector: str, max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, passages) of captures ``sources(key, title, text[, regulation])``, ``text`` their HTML.
+
+    Sections of the content element are the pages; passages get identifiers of their own kind,
+    and keep article and section only where ``regulation`` says so.  Captures whose layout isn't
+    as expected have no pages.
+    """
+    from evidentia.operators.sections import sections
+
+    regulation = F.coalesce("regulation", F.lit(False)) if "regulation" in sources.columns else F.lit(False)
+    named = sources.select("key", "title", F.col("text").alias("html"), stable_id(F.lit(corpus_id), F.col("key")).alias("source_id"), F.sha2("text", 256).alias("version"), regulation.alias("regulation"))
+    recipe = F.lit(f"html-section-v1:{max_chars}:{overlap}")
+    documents = named.select("source_id", "key", "title", F.lit("html").alias("kind"), F.col("version").alias("content_sha256"), F.lit("stdlib-html-v2").alias("extraction_version"), recipe.alias("chunking_version"))
+    cut = sections(named.select(F.col("source_id").alias("key"), "title", "html"), selector, strict=False).where("error is null")
+    pages = cut.select(F.col("key").alias("source_id"), "page", "heading", "text").join(named.select("source_id", "version"), "source_id").select("source_id", "version", "page", "heading", "text")
+    found = chunk.chunks(pages.select("source_id", "version", "page", "text"), max_chars, overlap, strict=False)
+    found = found.join(named.select("source_id", "regulation"), "source_id").join(pages.select("source_id", "page", "heading"), ["source_id", "page"])
+    kind = F.when(F.col("regulation"), "html-regulation-v1").otherwise("html-section-v1")
+    passages = found.select(stable_id(kind, F.col("id")).alias("id"), "source_id", "version", "page", "start", "end", F.when(F.col("regulation"), F.col("article")).alias("article"), F.when(F.col("regulation"), F.col("heading")).alias("section"), "text")
+    return documents, pages, passages
+
+
+def prepare(corpus_id: str, sources: DataFrame, selector: str = "<article|main>", max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, passages) of ``sources(key, title, kind, text)`` of every kind, each prepared in its way."""
+    wrong = sources.where(~F.col("kind").isin("html", "txt", "markdown") | F.col("kind").isNull()).select("key", "kind").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0].key}: no way to prepare {wrong[0].kind}")
+    web = prepare_html(corpus_id, sources.where("kind = 'html'").select("key", "title", "text"), selector, max_chars, overlap)
+    plain = prepare_text(corpus_id, sources.where("kind <> 'html'"), max_chars, overlap)
+    return tuple(a.unionByName(b.select(*a.columns)) for a, b in zip(web, plain, strict=True))
+
+
 def violations(documents: DataFrame, pages: DataFrame, passages: DataFrame) -> DataFrame:
     """(rule, key, detail) of every broken rule; no rows for a sound corpus.
 

@@ -281,3 +281,69 @@ def draft_questions(passages: DataFrame, limit: int = 24, seed: int = 42) -> Dat
     rows = passages.where(F.length("text").between(100, 2500)).select("id", question.alias("question"), F.col("text").alias("expected_answer"), F.xxhash64("id", F.lit(seed)).alias("_o"))
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.sha2(T.normalized(F.col("question")), 256)).orderBy("_o"))).where("_n = 1")
     return once.orderBy("_o", "id").limit(limit).select(F.concat(F.lit("synthetic-"), "id").alias("id"), "question", "expected_answer")
+
+
+def selected(items: DataFrame, split: str, reviewed_only: bool = False, from_origin: str = "all", of_tier: str = "all", limit: int = 100) -> DataFrame:
+    """The first ``limit`` items, by ``pos``, that an evaluation run asks.
+
+    ``items(id, pos, split, review_status, generation_method)``; rejected ones and those that
+    need revision are never asked.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("a run asks 1 to 100 items")
+    ok = (F.col("split") == split) & F.col("review_status").isin("approved", *([] if reviewed_only else ["unreviewed"]))
+    if from_origin != "all":
+        ok &= origin(F.col("generation_method")) == from_origin
+    if of_tier != "all":
+        ok &= tier(F.col("review_status"), F.col("generation_method")) == of_tier
+    return items.where(ok).orderBy("pos").limit(limit)
+
+
+#: Fields that an attempt repeats of its item.
+REPEATED = ("question", "expected_answer", "review_status", "answerable", "generation_method")
+
+
+def saved_run_faults(attempts: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, fault) of a saved run that differs from its set or its selection; none of a sound one.
+
+    ``attempts(id, pos, <REPEATED>)``, ``items(id, <REPEATED>)``, ``wanted(id, pos, attempted)``:
+    the selection in order, with what the run says it left out.
+    """
+    twice = attempts.groupBy("id").count().where("count > 1").select("id", F.lit("repeated").alias("fault"))
+    known = items.select("id", *(F.col(c).alias(f"_{c}") for c in REPEATED), F.lit(True).alias("_known"))
+    met = attempts.join(known, "id", "left")
+    differs = F.lit(False)
+    for c in REPEATED:
+        differs |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    faults = twice.unionByName(met.where("_known is null").select("id", F.lit("unknown").alias("fault")))
+    faults = faults.unionByName(met.where(F.col("_known") & differs).select("id", F.lit("differs from its item").alias("fault")))
+    due = wanted.select("id", F.col("pos").alias("_due"), "attempted")
+    placed = attempts.select("id", "pos").join(due, "id", "full")
+    off = placed.where((F.col("attempted") != F.col("pos").isNotNull()) | F.col("_due").isNull() | (F.col("pos") != F.col("_due")))
+    return faults.unionByName(off.select("id", F.lit("not as selected").alias("fault")))
+
+
+def provenance_faults(evidence: DataFrame, passages: DataFrame) -> DataFrame:
+    """(id, passage_id, fault) of references that are no longer what the corpus has.
+
+    ``evidence(id, passage_id, key, version, page, article, url, text)``, ``passages`` the same
+    but ``id``.
+    """
+    fields = ["key", "version", "page", "article", "url", "text"]
+    now = passages.select("passage_id", *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_known"))
+    met = evidence.join(now, "passage_id", "left")
+    same = F.lit(True)
+    for c in fields:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    fault = F.when(F.col("_known").isNull(), "unknown passage").when(~same, "provenance differs")
+    return met.select("id", "passage_id", fault.alias("fault")).where("fault is not null")
+
+
+def smoke(expected: DataFrame, hits: DataFrame, preview: int = 500) -> DataFrame:
+    """Per question: whether a hit of the expected family is among its hits, and what they are.
+
+    ``expected(query_id, family)``, ``hits(query_id, rank, id, family, text)``; no score of correctness.
+    """
+    found = hits.groupBy("query_id").agg(F.collect_set("family").alias("_families"), F.array_sort(F.collect_list(F.struct("rank", "id", F.substring("text", 1, preview).alias("preview")))).alias("hits"))
+    rows = expected.join(found, "query_id", "left")
+    return rows.select("query_id", "family", F.coalesce(F.array_contains("_families", F.col("family")), F.lit(False)).alias("family_found"), "hits")

@@ -28,9 +28,20 @@ def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def report(changes: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
-    """One row: counts by status and whether an index has to be rebuilt."""
+    """One row: counts by status and whether an index has to be rebuilt.
+
+    ``statistics(key, ...)`` of the current capture, such as characters, pages and passages by
+    key, are summed up as ``total_<name>``, and over what was added or changed as ``new_<name>``.
+    """
     counts = changes.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("added", "changed", "unchanged", "removed", "failed")), F.bool_or(F.col("status").isin("added", "changed", "removed")).alias("index_update_required"))
-    return counts.withColumn("index_update_required", F.coalesce("index_update_required", F.lit(False)))
+    counts = counts.withColumn("index_update_required", F.coalesce("index_update_required", F.lit(False)))
+    if statistics is None:
+        return counts
+    names = [c for c in statistics.columns if c != "key"]
+    fresh = F.col("status").isin("added", "changed")
+    rows = statistics.join(changes.select("key", "status"), "key", "left")
+    sums = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in names), *(F.coalesce(F.sum(F.when(fresh, F.col(c))), F.lit(0)).alias(f"new_{c}") for c in names))
+    return counts.withColumn("_one", F.lit(1)).join(sums.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def first_of(*inventories: DataFrame, key: str = "url") -> DataFrame:

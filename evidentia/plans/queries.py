@@ -336,11 +336,77 @@ def snapshot_audit(spark, sf):
     return held.audit("corpus", documents, pages, cut)
 
 
+def html_passages(spark, sf):
+    """Captures and documents prepared by their kind; passages per source."""
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("key"), F.col("url").alias("title"), F.lit("html").alias("kind"), F.col("html").alias("text"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("key"), F.col("source").alias("title"), F.lit("txt").alias("kind"), "text")
+    documents, _, cut = corpus.prepare("corpus", pages.unionByName(docs))
+    return documents.join(cut.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_passages"), F.sum(F.length("text")).alias("n_chars")), "source_id").select("key", "kind", "n_passages", "n_chars")
+
+
+def _items(spark, sf):
+    """Labelled documents as evaluation items."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    state = F.when(F.col("quality").isNull(), "unreviewed").when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("needs_revision")
+    method = F.when(F.col("lang") == "de", "official_faq").when(F.col("lang") == "fr", "student_office").otherwise("synthetic")
+    split = F.when(F.col("doc_id") % 3 == 0, "test").otherwise("development")
+    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), split.alias("split"), state.alias("review_status"), method.alias("generation_method"), F.substring("text", 1, 40).alias("question"), F.col("source").alias("expected_answer"), (F.col("n_chars") > 500).alias("answerable"))
+
+
+def selected_items(spark, sf):
+    """the first items of a split that a run of reviewed, document-derived gold questions asks."""
+    chosen = evaluate.selected(_items(spark, sf), "test", True, "document_derived", "gold", 50)
+    return chosen.select("id", "review_status", "generation_method")
+
+
+def saved_run_faults(spark, sf):
+    """A saved run with repeated, unknown, altered and misplaced attempts, against its set and selection."""
+    items = _items(spark, sf).where("id < 400").drop("split")
+    run = items.withColumn("question", F.when(F.col("id") % 50 == 7, "altered").otherwise(F.col("question"))).where("id % 40 <> 3")
+    run = run.unionByName(items.where("id % 90 = 1")).unionByName(items.where("id = 5").withColumn("id", F.lit(-5).cast("long")))
+    run = run.withColumn("pos", F.when(F.col("id") % 60 == 9, F.col("pos") + 1).otherwise(F.col("pos")))
+    wanted = items.select("id", "pos", (F.col("id") % 40 != 4).alias("attempted"))
+    found = evaluate.saved_run_faults(run, items, wanted)
+    return found.groupBy("id", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def provenance_faults(spark, sf):
+    """References to documents of which some are gone and some have changed."""
+    docs = table(spark, sf, "documents")
+    now = docs.where("doc_id % 17 <> 3").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("key"), F.sha2("text", 256).alias("version"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("article"), F.lit("").alias("url"), "text")
+    then = docs.where("doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 35 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    asked = then.select((F.col("doc_id") % 10).alias("id"), F.col("doc_id").alias("passage_id"), F.col("source").alias("key"), F.sha2("text", 256).alias("version"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("article"), F.lit("").alias("url"), "text")
+    return evaluate.provenance_faults(asked, now)
+
+
+def source_labels(spark, sf):
+    """the distinct labels of each source's first ten documents by language."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.struct(F.col("source").alias("title"), F.nullif("lang", F.lit("en")).alias("section"), (F.col("doc_id") % 2).cast("int").alias("page"), F.lit(None).cast("string").alias("article"), F.when(F.col("doc_id") % 3 == 0, F.lit("https://h/")).alias("url")).alias("p"))
+    rows = docs.groupBy("source").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), 1, 10), lambda x: x["p"]).alias("ps"))
+    return rows.select("source", F.array_join(answers.source_labels(F.col("ps")), "; ").alias("labels"))
+
+
+def refresh_totals(spark, sf):
+    """A refresh report with characters and documents, of all and of what is new."""
+    docs = table(spark, sf, "documents").where("source = 'src1'").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("key"), "n_chars")
+    sizes = docs.groupBy("key").agg(F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("documents"))
+    return refresh.report(refresh_diff(spark, sf), sizes)
+
+
+def smoke_search(spark, sf):
+    """Whether a question's own language is among its hits."""
+    hits = retrieve.lexical_top(_questions(spark, sf), _passages(spark, sf), 5)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("family"), "text")
+    asked = _questions(spark, sf).select("query_id", F.lit("en").alias("family"))
+    return evaluate.smoke(asked, hits.join(docs, "id")).select("query_id", "family", "family_found", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hits"))
+
+
 QUERIES = [
     keyword_top, lexical_top, fresh_top, term_vocabulary, content_duplicates, stable_ids, passages, passage_audit, corpus_violations, text_predicates, vector_top,
     vector_problems, label_recall, leaked_questions, near_questions, near_questions_ratio, review_coverage, review_states, retrieval_text, turn_neighbours,
     neighbour_expansion, merged_slots, answer_status, overlap_metrics, overlap_metrics_exact, attempt_summary, worst_replies, latency_percentiles, retrieval_scores,
     evidence_scores, source_statistics, refresh_diff, refresh_report, first_listed, link_inventory, page_sections, url_checks, canonical_urls, snapshot_audit,
+    html_passages, selected_items, saved_run_faults, provenance_faults, source_labels, refresh_totals, smoke_search,
 ]
 
 

@@ -82,6 +82,11 @@ def _first(ranked: str) -> str:
 _ID = """'["corpus", "' || source || '", "' || doc_id || '", "' || replace(replace(replace(replace(substr(text, 1, 80), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t') || '"]'"""
 
 
+_ITEMS = """it as (select doc_id as id, case when doc_id % 3 = 0 then 'test' else 'development' end as split,
+  case when quality is null then 'unreviewed' when toxic = 1 then 'rejected' when quality = 1 then 'approved' else 'needs_revision' end as review_status,
+  case lang when 'de' then 'official_faq' when 'fr' then 'student_office' else 'synthetic' end as generation_method from documents left join labels using (doc_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     diff = """
 a as (select split_part(text, chr(10), 1) as key, min(sha256(text)) as d from documents where source = 'src0' group by 1),
@@ -170,5 +175,25 @@ from (select sha256(text) as url, doc_id as pos, source from documents)) where n
         "link_inventory": r"""with l as (select page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) as a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 as pos, url as base from pages),
 x as (select page_id, pos, regexp_extract(base, '^[a-z]+://[^/?#]*') || regexp_extract(a, 'href="([^"]*)"', 1) as url, regexp_extract(a, '>([^<]*)<', 1) as title from l)
 select page_id, url, min(pos) as pos, arg_max(title, pos) as title from x group by page_id, url""",
+        "selected_items": f"with {_ITEMS} select id, review_status, generation_method from it where split = 'test' and review_status = 'approved' and generation_method = 'synthetic' order by id limit 50",
+        "saved_run_faults": """with b as (select doc_id as id, substr(text, 1, 40) as q from documents where doc_id < 400),
+r as (select id, id as o, case when id % 50 = 7 then 'altered' else q end as q from b where id % 40 <> 3 union all select id, id, q from b where id % 90 = 1 union all select -5, id, q from b where id = 5),
+p as (select *, o + case when id % 60 = 9 then 1 else 0 end as pos from r),
+f as (select id, 'repeated' as fault from p group by id having count(*) > 1 union all select id, 'unknown' from p where id < 0
+  union all select p.id, 'differs from its item' from p join b using (id) where p.q <> b.q
+  union all select coalesce(p.id, b.id), 'not as selected' from p full join b on p.id = b.id where b.id is null or (b.id % 40 <> 4) <> (p.pos is not null) or p.pos <> b.id)
+select id, fault, count(*) as n from f group by id, fault""",
+        "provenance_faults": "select doc_id % 10 as id, doc_id as passage_id, case when doc_id % 17 = 3 then 'unknown passage' else 'provenance differs' end as fault from documents where doc_id % 5 = 0 and (doc_id % 17 = 3 or doc_id % 35 = 0)",
+        "source_labels": """with n as (select *, row_number() over (partition by source order by doc_id) as n from documents),
+t as (select source, n, source || case when lang <> 'en' then ' — ' || lang when doc_id % 2 = 1 then ' — page 1' else '' end as t, doc_id from n where n <= 10),
+l as (select source, case when doc_id % 3 = 0 then '[' || t || '](https://h/)' else t end as l, min(n) as n from t group by all),
+m as (select source, l, min(n) as n from l group by source, l)
+select source, string_agg(l, '; ' order by n) as labels from m group by source""",
+        "refresh_totals": f"""with {diff}, z as (select split_part(text, chr(10), 1) as key, sum(n_chars) as c, count(*) as d from documents where source = 'src1' group by 1)
+select {", ".join(f"count(*) filter (status = '{s}') as {s}" for s in ("added", "changed", "unchanged", "removed", "failed"))}, coalesce(bool_or(status in ('added', 'changed', 'removed')), false) as index_update_required,
+  coalesce(sum(c), 0)::bigint as total_chars, coalesce(sum(d), 0)::bigint as total_documents, coalesce(sum(c) filter (status in ('added', 'changed')), 0)::bigint as new_chars,
+  coalesce(sum(d) filter (status in ('added', 'changed')), 0)::bigint as new_documents from diff left join z using (key)""",
+        "smoke_search": f"""with {_LEXICAL} select item_id as query_id, 'en' as family, coalesce(bool_or(lang = 'en'), false) as family_found, count(id) as n_hits
+from benchmark left join (select query_id, id from lexical where rank <= 5) on query_id = item_id left join documents on doc_id = id group by item_id""",
         "snapshot_audit": "select * from (values " + ", ".join(f"('{f}', 0::bigint)" for f in findings.split()) + ") t(finding, n)",
     }

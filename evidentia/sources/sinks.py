@@ -15,7 +15,10 @@ def _hadoop(df: DataFrame, path: str):
 
 
 def replace(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Write beside ``path`` and move into place, so readers see the old table or the new one."""
+    """Write beside ``path`` and move into place: readers see the old table, for a moment none, then the new one.
+
+    A table that always has to be readable is published by a pointer: see ``operators.snapshot``.
+    """
     draft = f"{path}.draft-{uuid.uuid4().hex}"
     df.write.format(form).save(draft)
     target, fs = _hadoop(df, path)

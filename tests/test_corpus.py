@@ -154,3 +154,25 @@ def test_snapshots(spark, tmp_path):
         broken.index("c", *prepared([("z", "Other.")]))
     assert held.active("c")["snapshot_id"] == two["snapshot_id"]  # a failed build leaves the old one
     assert calls.value == 0
+
+
+def test_sources_of_every_kind(spark):
+    from evidentia.operators import corpus, refresh
+
+    page = "<html><nav>menu</nav><article><h2 id='a'>One</h2><p>First text of it, which is long enough to be taken for the content of a page, and then some more words.</p><h2>Two</h2><p>1. člen</p><p>Second text, which goes on for a while as well, so that nobody takes it for a heading alone.</p></article></html>"
+    rows = [("h", "Page", "html", page), ("t", "Text", "txt", "Plain words."), ("m", "Mark", "markdown", "# A\nx\n# B\ny"), ("bad", "Bad", "html", "<p>no article</p>")]
+    documents, pages, passages = corpus.prepare("c", spark.createDataFrame(rows, "key string, title string, kind string, text string"))
+    assert {r.key: r.kind for r in documents.collect()} == {"h": "html", "t": "txt", "m": "markdown", "bad": "html"}
+    ids = {r.key: r.source_id for r in documents.collect()}
+    got = [r for r in passages.collect() if r.source_id == ids["h"]]
+    assert len(got) >= 2 and all(r.article is None and r.section is None for r in got) and not [r for r in pages.collect() if r.source_id == ids["bad"]]
+    assert corpus.violations(documents, pages, passages).count() == 0
+    ruled = spark.createDataFrame([("h", "Page", page, True)], "key string, title string, text string, regulation boolean")
+    found = corpus.prepare_html("c", ruled, "<article|main>")[2].collect()
+    assert {r.section for r in found} >= {"One", "Two"} and "1" in {r.article for r in found} and not {r.id for r in found} & {r.id for r in got}
+    with pytest.raises(ValueError):
+        corpus.prepare("c", spark.createDataFrame([("x", "X", "doc", "t")], "key string, title string, kind string, text string"))
+    changes = spark.createDataFrame([("a", "added"), ("b", "unchanged")], "key string, status string")
+    sizes = spark.createDataFrame([("a", 5), ("b", 7)], "key string, chars int")
+    row = refresh.report(changes, sizes).first()
+    assert (row.added, row.total_chars, row.new_chars, row.index_update_required) == (1, 12, 5, True)

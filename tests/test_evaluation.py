@@ -190,3 +190,50 @@ def test_query_sets_of_any_size(spark, monkeypatch):
         assert sorted(map(tuple, evaluate.leaked(questions, pages, most=2).collect())) == [(i, f"p{i}") for i in range(6)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_selection_of_items(spark):
+    rows = [("a", 1, "test", "approved", "synthetic"), ("b", 2, "test", "unreviewed", "official_faq"), ("c", 3, "test", "rejected", "synthetic"), ("d", 4, "dev", "approved", "synthetic"), ("e", 5, "test", "needs_revision", "synthetic"), ("f", 6, "test", "approved", "student_office")]
+    items = spark.createDataFrame(rows, "id string, pos int, split string, review_status string, generation_method string")
+    ids = lambda *args, **more: [r.id for r in evaluate.selected(items, *args, **more).collect()]
+    assert ids("test") == ["a", "b", "f"] and ids("test", limit=1) == ["a"]
+    assert ids("test", True) == ["a", "f"] and ids("test", from_origin="real_student_office") == ["f"] and ids("test", of_tier="official_faq") == ["b"]
+    with pytest.raises(ValueError):
+        evaluate.selected(items, "test", limit=0)
+
+
+def test_saved_runs(spark):
+    fields = "id string, question string, expected_answer string, review_status string, answerable boolean, generation_method string"
+    item = lambda i, q="q": (i, q, "a", "approved", True, "synthetic")
+    items = spark.createDataFrame([item("1"), item("2"), item("3")], fields)
+    run = lambda *rows: spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], fields + ", pos int")
+    wanted = spark.createDataFrame([("1", 0, True), ("2", 1, True), ("3", 2, False)], "id string, pos int, attempted boolean")
+    faults = lambda attempts: {tuple(r) for r in evaluate.saved_run_faults(attempts, items, wanted).collect()}
+    assert faults(run(item("1"), item("2"))) == set()
+    assert faults(run(item("1"), item("2", "other"))) == {("2", "differs from its item")}
+    assert faults(run(item("2"), item("1"))) == {("1", "not as selected"), ("2", "not as selected")}
+    assert ("1", "repeated") in faults(run(item("1"), item("1"))) and ("x", "unknown") in faults(run(item("1"), item("x")))
+
+
+def test_provenance_and_smoke(spark):
+    fields = "passage_id string, key string, version string, page int, article string, url string, text string"
+    now = spark.createDataFrame([("p", "k", "v", 1, None, "u", "t"), ("q", "k", "v", 2, "3", "u", "t")], fields)
+    then = spark.createDataFrame([("i", "p", "k", "v", 1, None, "u", "t"), ("i", "q", "k", "v", 2, None, "u", "t"), ("j", "gone", "k", "v", 1, None, "u", "t")], "id string, " + fields)
+    got = {tuple(r) for r in evaluate.provenance_faults(then, now).collect()}
+    assert got == {("i", "q", "provenance differs"), ("j", "gone", "unknown passage")}
+    hits = spark.createDataFrame([(1, 1, "a", "rules", "x" * 600), (1, 2, "b", "fees", "y")], "query_id int, rank int, id string, family string, text string")
+    asked = spark.createDataFrame([(1, "fees"), (2, "rules")], "query_id int, family string")
+    rows = {r.query_id: r for r in evaluate.smoke(asked, hits).collect()}
+    assert rows[1].family_found and len(rows[1].hits[0].preview) == 500 and not rows[2].family_found and rows[2].hits is None
+
+
+def test_labels_of_sources(spark):
+    kind = "array<struct<title:string,section:string,page:int,article:string,url:string>>"
+    rows = [(1, [("T", None, 3, "7", "https://h/a"), ("T", None, 3, "7", "https://h/a"), ("W", "Head", None, None, None)]), (2, []), (3, [("T", "", 0, "", "")])]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, f"i int, p {kind}").select("i", answers.source_labels(F.col("p")).alias("s")).collect()}
+    assert got == {1: ["[T — page 3, article 7](https://h/a)", "W — Head"], 2: [answers.NO_SOURCES], 3: ["T"]}
+    docs = spark.createDataFrame([("d", "T", "https://h/a.pdf", False), ("w", "W", "https://h/w", True)], "source_id string, title string, url string, is_web boolean")
+    held = spark.createDataFrame([("p1", "d", "v", 2, "4", None, "t"), ("p2", "w", "v", 1, None, "Head", "t")], "id string, source_id string, version string, page int, article string, section string, text string")
+    got = {r.source_id: r for r in answers.supporting(docs, held).collect()}
+    assert got["p1"].url == "https://h/a.pdf#page=2" and got["p1"].page == 2 and got["p2"].page is None and got["p2"].section == "Head"
+    assert answers.fixed_only(docs).count() == 1
