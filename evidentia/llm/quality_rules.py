@@ -2,11 +2,15 @@
 
 DataFrame functions only.  Measures are computed row by row (no shuffle of text); the sketches
 are ``percentile_approx`` states, merged map-side, so a source with a third of all rows costs
-one state per task; the thresholds are joined back to the measures.
+one state per task; the thresholds are joined back to the measures.  A group of few rows has no
+quartiles to speak of and takes those of its language, or else of all rows.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +18,13 @@ from evidentia.llm.common import WS, cut, near, positional, text_column
 
 #: Distance of a cutoff from the quartile, in interquartile ranges, and the least range taken.
 FENCE = 6.0
+#: Rows from which a group's own quartiles count.
+MIN_ROWS = 20
 #: measure: (side of the cutoff, least interquartile range)
 RULES = {
     "symbol_ratio": ("high", 0.01),
     "upper_ratio": ("high", 0.03),
     "dup_line_ratio": ("high", 0.1),
-    "repeat_ratio": ("high", 0.035),
     "mean_word": ("both", 0.5),
 }
 SKETCH_ACCURACY = 10_000
@@ -74,23 +79,38 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "symbol_ratio": ratio("n_symbols", "word_chars"),
             "upper_ratio": ratio("_q_upper", "word_chars"),
             "dup_line_ratio": ratio("n_dup_lines", "_q_lines"),
-            "repeat_ratio": ratio("n_repeat_words", "n_words"),
             "mean_word": ratio("word_chars", "n_words"),
         }
     )
     return df.select(*(F.col(n).alias(c) for c, n in keep.items()), *COUNTS, "base_failed", *RULES)
 
 
-def thresholds(measured: DataFrame, keys: tuple[str, ...] = ("lang", "source"), fence: float = FENCE) -> DataFrame:
-    """Cutoffs ``hi_<measure>`` and ``lo_<measure>`` per key, from sketches of all its rows."""
-    sketches = measured.groupBy(*keys).agg(*(F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), SKETCH_ACCURACY).alias(m) for m in RULES))
+def thresholds(measured: DataFrame, keys: tuple[str, ...] = ("lang", "source"), fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Cutoffs ``hi_<measure>`` and ``lo_<measure>`` per key, from sketches of all its rows.
+
+    A group of fewer than ``min_rows`` rows takes the cutoffs of the rows that share its first
+    keys, and where those are too few as well, of all rows.
+    """
+    levels = [list(keys[:n]) for n in range(len(keys), -1, -1)]
+    stats = (F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), SKETCH_ACCURACY).alias(m) for m in RULES)
+    sets = measured.groupingSets([[F.col(k) for k in level] for level in levels], *(F.col(k) for k in keys))
+    sketches = cut(sets.agg(F.grouping_id().cast("int").alias("_level"), F.count(F.lit(1)).alias("_n"), *stats))
+    at = [sketches.where(F.col("_level") == 2**dropped - 1) for dropped in range(len(levels))]
+    out, chosen = at[0], F.when(F.col("_n") >= min_rows, F.struct(*RULES))
+    for i, level in enumerate(levels[1:-1], 1):
+        wider = at[i].where(F.col("_n") >= min_rows).select(*(F.col(k).alias(f"_w{i}_{k}") for k in level), F.struct(*RULES).alias(f"_wide{i}"))
+        same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_w{i}_{k}")) for k in level))
+        out, chosen = out.join(near(wider), same, "left"), F.coalesce(chosen, F.col(f"_wide{i}"))
+    if everyone := at[-1].first():  # a row of two numbers a measure
+        chosen = F.coalesce(chosen, F.struct(*(F.array(*(F.lit(q) for q in everyone[m])).alias(m) for m in RULES)))
     cut_at = []
     for m, (side, least) in RULES.items():
-        spread = F.greatest(F.col(m)[1] - F.col(m)[0], F.lit(least)) * fence
-        cut_at.append((F.col(m)[1] + spread).alias(f"hi_{m}"))
+        low, high = F.col("_chosen")[m][0], F.col("_chosen")[m][1]
+        spread = F.greatest(high - low, F.lit(least)) * fence
+        cut_at.append((high + spread).alias(f"hi_{m}"))
         if side == "both":
-            cut_at.append((F.col(m)[0] - spread).alias(f"lo_{m}"))
-    return sketches.select(*keys, *cut_at)
+            cut_at.append((low - spread).alias(f"lo_{m}"))
+    return out.select(*keys, chosen.alias("_chosen")).select(*keys, *cut_at)
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:

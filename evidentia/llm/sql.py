@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.llm.quality_rules import FENCE, RULES
+from evidentia.llm.quality_rules import FENCE, MIN_ROWS, RULES
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -12,10 +12,10 @@ def _op10() -> str:
         "symbol_ratio": "case when word_chars > 0 then n_symbols::double / word_chars::double else 0.0 end",
         "upper_ratio": "case when word_chars > 0 then n_upper::double / word_chars::double else 0.0 end",
         "dup_line_ratio": "case when n_lines > 0 then n_dup_lines::double / n_lines::double else 0.0 end",
-        "repeat_ratio": "case when n_words > 0 then n_repeat_words::double / n_words::double else 0.0 end",
         "mean_word": "case when n_words > 0 then word_chars::double / n_words::double else 0.0 end",
     }
     quartiles = ", ".join(f"quantile_disc({m}, 0.25) as a_{m}, quantile_disc({m}, 0.75) as b_{m}" for m in RULES)
+    chosen = ", ".join(f"case when o.qn >= {MIN_ROWS} then o.{c} when w.qn >= {MIN_ROWS} then w.{c} else e.{c} end as {c}" for m in RULES for c in (f"a_{m}", f"b_{m}"))
     tests = []
     for m, (side, least) in RULES.items():
         spread = f"greatest(b_{m} - a_{m}, {least}) * {FENCE}"
@@ -40,10 +40,11 @@ f as (
          length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) as n_upper
   from d left join c using (rid)),
 m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {", ".join(f"{v} as {k}" for k, v in ratios.items())} from f),
-q as (select lang as ql, source as qs, {quartiles} from m group by lang, source)
+q as (select lang as ql, source as qs, grouping(lang, source) as lv, count(*) as qn, {quartiles} from m group by grouping sets ((lang, source), (lang), ())),
+t as (select o.ql, o.qs, {chosen} from q o left join q w on w.lv = 1 and o.ql is not distinct from w.ql join q e on e.lv = 3 where o.lv = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and {" and ".join(tests)} as kept
-from m join q on lang is not distinct from ql and source is not distinct from qs"""
+from m join t on lang is not distinct from ql and source is not distinct from qs"""
 
 
 def _op2() -> str:

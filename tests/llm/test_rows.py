@@ -56,6 +56,20 @@ def test_quality_cutoffs_follow_their_group(spark):
     assert not got[900] and got[901] and all(v for k, v in got.items() if k < 900)
 
 
+def test_quality_small_groups_follow_wider_ones(spark):
+    plain = [f"word{i} other{i} thing{i} more{i} text{i} here{i} and{i} there{i} with{i} some{i} end{i}" for i in range(30)]
+    signs = plain[0].replace(" ", "### ")
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(plain)] + [(100 + i, t.replace(" ", "### "), "de", "a", 0) for i, t in enumerate(plain)]
+    rows += [(900, signs, "en", "b", 0), (901, signs, "de", "b", 0), (902, plain[1], "de", "b", 0), (903, signs, "fr", "b", 0), (904, signs, None, None, 0), (905, "#" * 200 + plain[1], "fr", "c", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.kept for r in quality_rules.assess(df).collect()}
+    assert {k for k, v in got.items() if not v} == {900}  # of en's plain texts; de, fr and null have room for signs
+    alone = {r.doc_id: r.kept for r in quality_rules.assess(df.where("lang = 'en'")).collect()}
+    assert [k for k, v in alone.items() if not v] == [900]
+    few = quality_rules.assess(df.where("doc_id in (1, 2, 900)"), keys=("source",)).collect()
+    assert len(few) == 3
+
+
 def test_quality_filter_keeps_columns_with_clashing_names(spark):
     df = docs(spark, ["too short", " ".join(f"w{i}" for i in range(50))]).withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(1))
     out = quality_rules.filter_quality(df)
