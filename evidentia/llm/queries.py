@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import embedding_dedup, html_extract, jaccard_join, mixing, packing, pii, quality_rules, sharding, toxicity, warc
+from evidentia.llm import bpe, centroids, embedding_dedup, html_extract, jaccard_join, lexical_search, mixing, packing, pii, quality_rules, sharding, toxicity, warc
 from evidentia.llm.sql import oracle
 
 #: Batches in which op4's documents arrive.
@@ -78,7 +78,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
-QUERIES = (op1_embedding_dedup, op2_poisson_mixing, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_html_extract, op7_pii, op8_jaccard_join, op9_warc, op10_quality_rules)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all sound ``embeddings`` after ten rounds, with distances and inertia; others have no row."""
+    return centroids.report(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all ``documents`` and their texts decoded again, as digests; null and empty texts have no ids."""
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = bpe.decode(tokens)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all ``documents`` for each ``benchmark`` item; items without a match have no row."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = (op1_embedding_dedup, op2_poisson_mixing, op3_toxicity, op4_sharding, op5_best_fit_packing, op6_html_extract, op7_pii, op8_jaccard_join, op9_warc, op10_quality_rules, op11_centroid_clustering, op12_bpe, op13_lexical_search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

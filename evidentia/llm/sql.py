@@ -127,5 +127,46 @@ select documents.doc_id, comp.id as class_id, coalesce(deg.n, 0)::bigint as n_li
 from documents join comp on comp.a = documents.doc_id left join deg on deg.a = documents.doc_id"""
 
 
+def _op11() -> str:
+    from evidentia.llm.centroids import CLUSTERS, DIMENSIONS, LARGEST, ROUNDS, SCALE, SEED
+
+    sound = f"len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x) or abs(x::double * {SCALE}) >= {LARGEST})) = 0"
+    steps = [
+        f"v as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as x from embeddings where {sound})",
+        f"x as materialized (select rid, unnest(x) as x, generate_subscripts(x, 1) as d from v)",
+        f"o as (select row_number() over (order by sha256('{SEED}:' || vec_id), x) - 1 as k, x from v qualify k < {CLUSTERS})",
+        "c0 as materialized (select k, unnest(x) as x, generate_subscripts(x, 1) as d from o)",
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(f"a{r} as materialized (select rid, arg_min(k, struct_pack(s := s, k := k)) as k, min(s) as s from (select rid, k, sum((x.x - c.x) * (x.x - c.x))::bigint as s from x join c{r} c using (d) group by rid, k) group by rid)")
+        if r < ROUNDS:
+            steps.append(
+                f"c{r + 1} as materialized (select c.k, c.d, coalesce(m.x, c.x) as x from c{r} c left join (select k, d, ((s - ((s % n) + n) % n) // n)::bigint as x "
+                f"from (select k, d, sum(x)::bigint as s, count(*) as n from x join a{r} using (rid) group by k, d)) m on m.k = c.k and m.d = c.d)"
+            )
+    return f"""
+with {", ".join(steps)},
+h as (select k, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from c{ROUNDS} group by k),
+i as (select k, sum(s)::bigint as cluster_inertia from a{ROUNDS} group by k)
+select vec_id, k::int as cluster, s as distance, cluster_inertia, (select sum(s)::bigint from a{ROUNDS}) as inertia, centroid_sha256 from a{ROUNDS} join v using (rid) join h using (k) join i using (k)"""
+
+
+def _op13() -> str:
+    from evidentia.llm.lexical_search import TOP
+
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+with d as materialized (select row_number() over () as rid, doc_id, {found} as t from documents),
+s as (select count(*)::bigint as whole, sum(len(t))::bigint as l from d where len(t) > 0),
+t as materialized (select rid, t as term, count(*) as tf from (select rid, unnest(t) as t from d) group by all),
+q as materialized (select row_number() over () as qid, item_id, {found} as t from benchmark),
+qt as (select qid, t as term, count(*) as times from (select qid, unnest(t) as t from q) group by all),
+w as (select term, floor(1000 * ln((2 * whole + 2)::double / (2 * count(*) + 1)::double))::bigint as w from t, s group by term, whole),
+p as (select qid, rid, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.t) * whole) // l))))::bigint as score
+  from qt join w using (term) join t using (term) join d using (rid), s group by qid, rid)
+select item_id, rank::int as rank, doc_id, score from (select qid, doc_id, score, row_number() over (partition by qid order by score desc, doc_id) as rank from p join d using (rid) where score > 0) join q using (qid) where rank <= {TOP}"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_embedding_dedup": _op1(), "op2_poisson_mixing": _op2(), "op4_sharding": _op4(), "op8_jaccard_join": _op8(), "op9_warc": _op9(), "op10_quality_rules": _op10()}
+    return {"op1_embedding_dedup": _op1(), "op2_poisson_mixing": _op2(), "op4_sharding": _op4(), "op8_jaccard_join": _op8(), "op9_warc": _op9(), "op10_quality_rules": _op10(), "op11_centroid_clustering": _op11(), "op13_lexical_search": _op13()}
