@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import identity, vectors
 from evidentia.functions import text as T
-from evidentia.operators import answers, corpus, evaluate, refresh, retrieve, sections
+from evidentia.operators import answers, corpus, evaluate, refresh, retrieve, runs, sections
 from evidentia.operators.snapshot import Snapshots
 
 #: Vectors whose id this divides are the stated query set.
@@ -401,12 +401,69 @@ def smoke_search(spark, sf):
     return evaluate.smoke(asked, hits.join(docs, "id")).select("query_id", "family", "family_found", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_hits"))
 
 
+#: Longest question that the run below answers; longer ones fail, and the run stops.
+ASK_MOST = 330
+
+
+def shared(spark, name):
+    """A new folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+    return f"{root}/{name}/{uuid.uuid4().hex}"
+
+
+def _run(spark, sf):
+    asked = table(spark, sf, "benchmark")
+    none, own = F.expr("cast(array() as array<string>)"), F.col("item_id").cast("string")
+    items = asked.select(
+        F.col("item_id").alias("id"), F.col("item_id").alias("pos"), F.col("text").alias("question"), F.substring("text", 1, 40).alias("expected_answer"), (F.col("item_id") % 3 != 0).alias("answerable"),
+        F.when(F.col("item_id") % 3 != 0, "evidence_found").otherwise("no_evidence").alias("expected_status"), F.when(F.col("item_id") % 3 != 0, F.array(own)).otherwise(none).alias("source_ids"), F.when(F.col("item_id") % 3 != 0, F.array(F.array(own))).otherwise(F.expr("cast(array() as array<array<string>>)")).alias("groups"),
+        F.when(F.col("item_id") % 2 == 0, "approved").otherwise("unreviewed").alias("review_status"), F.when(F.col("item_id") % 5 == 0, "official_faq").otherwise("synthetic").alias("generation_method"),
+    )
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "source", "n_chars")
+
+    def answer(some):
+        hits = retrieve.lexical_top(some.select(F.col("id").alias("query_id"), "question"), _passages(spark, sf), 3).select(F.col("query_id").alias("id"), "rank", F.col("id").alias("passage_id"))
+        held = hits.join(docs, "passage_id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "passage_id", "source"))).alias("h"), F.sum("n_chars").alias("tokens"))
+        long = F.length("question") > ASK_MOST
+        said = some.join(held, "id", "left").select(
+            "id", F.when(~long, F.when(F.col("h").isNull(), "no_evidence").otherwise("evidence_found")).alias("status"), F.when(~long, F.array_join(F.transform("h", lambda x: x["source"]), "\n")).alias("response"),
+            F.when(~long, F.transform("h", lambda x: x["passage_id"].cast("string"))).alias("cited"), F.when(long, "ValidationError").alias("error"), F.when(long, 0).otherwise(F.coalesce("tokens", F.lit(0))).alias("tokens"),
+        )
+        return runs.attempted(some, hits, said)
+
+    run = runs.Run(spark, shared(spark, "runs"), items, {"mode": "simulated"}, batch=8)
+    run.go(answer)
+    return run
+
+
+def run(spark, sf):
+    """Questions asked in order until one fails, from the run's log, with what was used up to each."""
+    log = _run(spark, sf).attempts()
+    rows = runs.running(log, ["at"], ["tokens"])
+    return rows.select("id", F.col("at").alias("place"), "status", "response", F.size("cited").cast("long").alias("n_cited"), F.size("ranked").cast("long").alias("n_retrieved"), "status_match", "unanswerable_detection", "false_refusal", "error", "cumulative_tokens")
+
+
+def run_summary(spark, sf):
+    """A run's attempts and what it left out, by origin, review state, answerability and all."""
+    done = _run(spark, sf)
+    groups = done.summary(["status_match", "false_refusal"]).select("origin", "review", "answerable", F.col("grouping").cast("long").alias("grouping"), "n", "errors", *(F.round(f"{m}_mean", 9).alias(f"{m}_mean") for m in ("status_match", "false_refusal")))
+    left = done.unattempted().agg(F.count(F.lit(1)).alias("n"))
+    return groups.unionByName(left.select(F.lit(-1).cast("long").alias("grouping"), "n"), allowMissingColumns=True)
+
+
+def running_usage(spark, sf):
+    """Characters used up to every turn of all conversations, in one global order."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
+    return runs.running(turns, ["conv_id", "turn"], ["chars"])
+
+
 QUERIES = [
     keyword_top, lexical_top, fresh_top, term_vocabulary, content_duplicates, stable_ids, passages, passage_audit, corpus_violations, text_predicates, vector_top,
     vector_problems, label_recall, leaked_questions, near_questions, near_questions_ratio, review_coverage, review_states, retrieval_text, turn_neighbours,
     neighbour_expansion, merged_slots, answer_status, overlap_metrics, overlap_metrics_exact, attempt_summary, worst_replies, latency_percentiles, retrieval_scores,
     evidence_scores, source_statistics, refresh_diff, refresh_report, first_listed, link_inventory, page_sections, url_checks, canonical_urls, snapshot_audit,
     html_passages, selected_items, saved_run_faults, provenance_faults, source_labels, refresh_totals, smoke_search,
+    run, run_summary, running_usage,
 ]
 
 

@@ -87,6 +87,20 @@ _ITEMS = """it as (select doc_id as id, case when doc_id % 3 = 0 then 'test' els
   case lang when 'de' then 'official_faq' when 'fr' then 'student_office' else 'synthetic' end as generation_method from documents left join labels using (doc_id))"""
 
 
+def _run() -> str:
+    from evidentia.plans.queries import ASK_MOST
+
+    return f"""
+{_LEXICAL},
+h as (select query_id, count(*) as n, string_agg(source, chr(10) order by rank) as r, sum(n_chars)::bigint as c from lexical join documents on doc_id = id where rank <= 3 group by query_id),
+stop as (select min(item_id) as stop from benchmark where length(text) > {ASK_MOST}),
+a as (select item_id as id, item_id % 3 <> 0 as answerable, item_id % 2 = 0 as approved, item_id % 5 = 0 as faq, length(text) > {ASK_MOST} as bad, row_number() over (order by item_id) - 1 as place, h.*
+  from benchmark left join h on query_id = item_id),
+x as (select *, case when bad then null when n is null then 'no_evidence' else 'evidence_found' end as status, case when bad then 0 else coalesce(c, 0) end as tokens from a, stop where stop is null or id <= stop),
+t as (select *, case when coalesce(status = case when answerable then 'evidence_found' else 'no_evidence' end, false) then 1.0 else 0.0 end::double as status_match,
+  case when not answerable then coalesce(status = 'no_evidence', false)::int::double end as unanswerable_detection, case when answerable then coalesce(status = 'no_evidence', false)::int::double end as false_refusal from x)"""
+
+
 def oracle_sql() -> dict[str, str]:
     diff = """
 a as (select split_part(text, chr(10), 1) as key, min(sha256(text)) as d from documents where source = 'src0' group by 1),
@@ -117,6 +131,14 @@ al as (select fr.query_id, id, rank as r, 'fresh' as origin, case when rank <= (
     rr = f"case when len(required) > 0 then round(coalesce(1.0 / {_first('ranked')}, 0.0), 9) end"
     rr5 = f"case when len(required) > 0 then round(coalesce(1.0 / {_first('ranked[1:5]')}, 0.0), 9) end"
     return {
+        "run": f"""with {_run()} select id, place, status, case when bad then '' else coalesce(r, '') end as response, case when bad then 0 else coalesce(n, 0) end as n_cited, coalesce(n, 0) as n_retrieved,
+  status_match, unanswerable_detection, false_refusal, case when bad then 'ValidationError' end as error, sum(tokens) over (order by place)::bigint as cumulative_tokens from t""",
+        "run_summary": f"""with {_run()},
+g as (select case when faq then 'official_faq' else 'document_derived' end as origin, case when approved then 'reviewed' else 'needs_review' end as review, answerable, bad, status_match, false_refusal from t)
+select origin, review, answerable, grouping(origin, review, answerable) as grouping, count(*) as n, count(*) filter (bad) as errors, round(avg(status_match), 9) as status_match_mean, round(avg(false_refusal), 9) as false_refusal_mean
+from g group by grouping sets ((origin), (review), (answerable), ())
+union all select null, null, null, -1, count(*), null, null, null from a, stop where id > stop""",
+        "running_usage": "select conv_id, turn, length(text) as chars, sum(length(text)) over (order by conv_id, turn)::bigint as cumulative_chars from conversations",
         "keyword_top": f"with {_KEYWORD} select query_id, rank, id, matched from keyword where rank <= 5",
         "lexical_top": f"with {_LEXICAL} select query_id, rank, id, round(s, 9) as score from lexical where rank <= 5",
         "fresh_top": f"""with
