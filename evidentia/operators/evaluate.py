@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.operators.overlap import alike, close, contained
 
 #: Cutoffs of the ranked metrics; review states and thresholds of near-duplicate questions.
 CUTOFFS = (1, 3, 5)
@@ -136,38 +137,24 @@ def review_counts(items: DataFrame) -> DataFrame:
     return states.join(counts, "review_status", "left").select("review_status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def leaked(questions: DataFrame, pages: DataFrame, most: int = 10_000) -> DataFrame:
-    """(id, key) where a normalized question stands in a normalized page.
-
-    ``questions(id, text[, exempt])``, ``pages(key, text)``.  Up to ``most`` questions are
-    broadcast; of more, partitions meet those of the pages.  A page named ``exempt`` doesn't count.
-    """
-    asked = questions.select("id", T.normalized(F.col("text")).alias("_q"), *(["exempt"] if "exempt" in questions.columns else [F.lit(None).cast("string").alias("exempt")])).where("_q <> ''")
-    held = pages.select("key", T.normalized(F.col("text")).alias("_p"))
-    asked = F.broadcast(asked) if questions.limit(most + 1).count() <= most else asked
-    return held.join(asked, F.contains("_p", F.col("_q")) & ~F.coalesce(F.col("exempt") == F.col("key").cast("string"), F.lit(False))).select("id", "key")
+def leaked(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, key) where a normalized question stands in a normalized page; see ``overlap.contained``."""
+    return contained(questions, pages)
 
 
 def near_questions(items: DataFrame, overlap: float = OVERLAP, ratio: float | None = RATIO) -> DataFrame:
-    """Pairs (a, b) of ``items(id, text)``, a < b, that are near duplicates.
+    """Pairs (a, b) of ``items(id, text)``, a < b, that are near duplicates, with ``overlap`` and ``ratio``.
 
-    Word sets that overlap enough share one of the rarest words of either (prefix filter), so
-    pairs meet on words instead of all with all; with ``ratio`` the matching-block similarity of
-    pairs that share any word is asked as well.
+    Their word sets overlap enough, or, unless ``ratio`` is None, their matching-block similarity
+    is high enough.  Texts without words are near nothing.
     """
-    words = items.select("id", T.normalized(F.col("text")).alias("_n"), F.array_distinct(T.words(F.col("text"))).alias("_w")).where(F.size("_w") > 0)
-    common = words.select(F.explode("_w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.select("id", F.explode("_w").alias("w")).join(common, "w").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("_r"))
-    keep = F.size("_r") if ratio is not None else F.size("_r") - F.ceil(F.size("_r") * overlap).cast("int") + 1
-    keys = ranked.select("id", F.explode(F.slice("_r", F.lit(1), keep)).alias("w"))
-    other = keys.withColumnRenamed("id", "b")
-    met = keys.withColumnRenamed("id", "a").join(other, "w").where("a < b").select("a", "b").distinct()
-    left, right = words.select(F.col("id").alias("a"), F.col("_n").alias("_na"), F.col("_w").alias("_wa")), words.select(F.col("id").alias("b"), F.col("_n").alias("_nb"), F.col("_w").alias("_wb"))
-    pairs = met.join(left, "a").join(right, "b").withColumn("overlap", T.jaccard(F.col("_wa"), F.col("_wb")))
+    rows = items.select("id", T.words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    pairs = alike(rows.select("id", F.array_distinct("_w").alias("words")), overlap)
     if ratio is None:
-        return pairs.where(F.col("overlap") >= overlap).select("a", "b", "overlap")
-    pairs = pairs.withColumn("ratio", T.sequence_ratio("_na", "_nb"))
-    return pairs.where((F.col("overlap") >= overlap) | (F.col("ratio") >= ratio)).select("a", "b", "overlap", "ratio")
+        return pairs
+    texts = rows.select("id", F.array_join("_w", " ").alias("text"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("_b")), "b")
+    return both.select("a", "b", "overlap", T.sequence_ratio("_a", "_b").alias("ratio")).unionByName(close(texts, ratio).where(F.col("overlap") < overlap))
 
 
 def audit(items: DataFrame, passages: DataFrame, pages: DataFrame) -> DataFrame:

@@ -7,14 +7,17 @@ per partition has bounded what is shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions import text as T
-from evidentia.functions import vectors as V
+from evidentia.operators import sizes
+from evidentia.operators.sizes import measured, small
 
-#: Rows of a query set (or of its words) up to which it is broadcast; larger ones are joined without a hint.
+#: Different words of a query set up to which passages are cut down to them before they are joined.
 MAX_QUERIES = 10_000
 
 
@@ -26,14 +29,6 @@ def best(scored: DataFrame, limit: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def _asked(queries: DataFrame) -> DataFrame:
-    """Queries of a join: hinted to be broadcast if they are few.
-
-    Larger sets are shuffled by the words of the join; where it has no key, partitions meet in pairs.
-    """
-    return F.broadcast(queries) if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else queries
-
-
 def _among(words: Column, asked: DataFrame, word: str) -> Column:
     """Those of a passage's words that are asked for: others never become rows.
 
@@ -50,7 +45,7 @@ def keyword_top(queries: DataFrame, passages: DataFrame, limit: int = 5) -> Data
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("question")))).alias("word"))
     held = passages.select("id", "pos", F.explode(F.array_distinct(_among(T.words(F.col("text")), asked, "word"))).alias("word"))
-    hits = held.join(_asked(asked), "word").groupBy("query_id", "id", "pos").agg(F.count(F.lit(1)).alias("matched"))
+    hits = held.join(small(asked), "word").groupBy("query_id", "id", "pos").agg(F.count(F.lit(1)).alias("matched"))
     return best(hits, limit, F.desc("matched"), F.asc("pos")).select("query_id", "rank", "id", "matched")
 
 
@@ -62,7 +57,7 @@ def lexical_top(queries: DataFrame, passages: DataFrame, limit: int = 5) -> Data
     asked = queries.select("query_id", T.terms(F.col("question")).alias("_q")).withColumn("_n", F.size("_q"))
     asked = asked.select("query_id", "_n", F.explode("_q").alias("term"))
     held = passages.select("id", T.terms(F.col("text")).alias("_t")).select("id", F.size("_t").alias("_m"), F.explode(_among(F.col("_t"), asked, "term")).alias("term"))
-    asked = _asked(asked)
+    asked = small(asked)
     overlap = held.join(asked, "term").groupBy("query_id", "id", "_n", "_m").agg(F.count(F.lit(1)).alias("overlap"))
     scored = overlap.withColumn("score", F.col("overlap") / F.sqrt(F.col("_n") * F.col("_m")))
     return best(scored, limit, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
@@ -75,25 +70,90 @@ def fresh_top(queries: DataFrame, passages: DataFrame, limit: int = 5) -> DataFr
     terms in the heading, plus a half for a shared year.  Passages that only repeat their
     heading don't count, nor those whose heading names other years than the query.
     """
-    asked = _asked(queries.select("query_id", T.terms(F.col("question")).alias("_q"), T.years(F.col("question")).alias("_qy")))
+    asked = queries.select("query_id", T.terms(F.col("question")).alias("_q"), T.years(F.col("question")).alias("_qy"))
+    asked = asked.select("query_id", F.size("_q").alias("_n"), "_qy", F.explode("_q").alias("term"))
     held = passages.where(F.trim("text") != F.trim("heading")).select("id", T.terms(F.col("text")).alias("_t"), T.terms(F.col("heading")).alias("_h"), T.years(F.col("heading")).alias("_hy"))
-    pairs = held.join(asked, F.arrays_overlap("_t", "_q"))  # a stated query set against all passages
+    found = F.transform(_among(F.array_union("_t", "_h"), asked, "term"), lambda t: F.struct(t.alias("term"), F.array_contains("_t", t).cast("int").alias("said"), F.array_contains("_h", t).cast("int").alias("headed")))
+    met = held.select("id", F.size("_t").alias("_m"), "_hy", F.inline(found)).join(small(asked), "term")
+    pairs = met.groupBy("query_id", "id").agg(F.sum("said").alias("_said"), F.sum("headed").alias("_headed"), *(F.first(c).alias(c) for c in ("_n", "_m", "_qy", "_hy"))).where("_said > 0")
     shared = F.arrays_overlap("_qy", "_hy")
     pairs = pairs.where((F.size("_qy") == 0) | (F.size("_hy") == 0) | shared)
-    score = F.size(F.array_intersect("_q", "_t")) / F.sqrt(F.greatest(F.lit(20), F.size("_t")))
-    score = score + F.size(F.array_intersect("_q", "_h")) / F.greatest(F.lit(1), F.size("_q")) + F.when(shared, 0.5).otherwise(0.0)
+    score = F.col("_said") / F.sqrt(F.greatest(F.lit(20), F.col("_m"))) + F.col("_headed") / F.greatest(F.lit(1), F.col("_n")) + F.when(shared, 0.5).otherwise(0.0)
     return best(pairs.withColumn("score", score), limit, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 
+class _Asked:
+    """Query vectors of a block, as unit columns of one matrix per dimension."""
+
+    def __init__(self, rows: list):
+        of: dict[int, list] = {}
+        for r in rows:
+            v = np.array(r.vector, np.float64)
+            if len(v) and np.isfinite(v).all() and (size := float(np.sqrt(v @ v))) > 0:
+                of.setdefault(len(v), []).append((r.query_id, v / size))
+        self.ids = {d: [q for q, _ in found] for d, found in of.items()}
+        self.matrix = {d: np.ascontiguousarray(np.array([v for _, v in found]).T) for d, found in of.items()}
+
+
+def _leading(found: pd.DataFrame, limit: int) -> pd.DataFrame:
+    return found.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q", sort=False).head(limit)
+
+
+def _nearest(asked: _Asked, limit: int, digits: int):
+    """The work of a task: products of its vectors with all queries of a block, the best kept per query."""
+
+    def products(ids: list, x: np.ndarray, d: int, floor: np.ndarray) -> pd.DataFrame:
+        score = np.round((x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]) @ asked.matrix[d], digits)
+        if len(x) >= limit:  # whatever is below the last of these can't be among the best
+            np.maximum(floor, np.partition(score, len(x) - limit, axis=0)[len(x) - limit], out=floor)
+        row, q = np.nonzero(score >= floor)
+        return pd.DataFrame({"q": q, "score": score[row, q], "id": [ids[i] for i in row.tolist()]})
+
+    def task(batches):
+        best: dict[int, pd.DataFrame] = {}
+        floor = {d: np.full(m.shape[1], -np.inf) for d, m in asked.matrix.items()}
+        for batch in batches:
+            of: dict[int, list] = {}
+            for key, v in zip(batch["id"].tolist(), batch["vector"], strict=True):
+                if v is not None and len(v) in asked.matrix:
+                    of.setdefault(len(v), []).append((key, v))
+            for d, rows in of.items():
+                step = max(limit, STRIP // asked.matrix[d].shape[1])
+                for at in range(0, len(rows), step):
+                    x = np.array([[np.nan if c is None else c for c in v] if getattr(v, "dtype", None) == object else v for _, v in rows[at : at + step]], np.float64)
+                    ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                    met = products([rows[at + i][0] for i in np.flatnonzero(ok).tolist()], x[ok], d, floor[d])
+                    held = best[d] = _leading(pd.concat([best[d], met]) if d in best else met, limit)
+                    full = held.groupby("q", sort=False)["score"].agg(["size", "min"])
+                    full = full[full["size"] == limit]
+                    floor[d][full.index] = np.maximum(floor[d][full.index], full["min"])
+        for d, held in best.items():
+            yield pd.DataFrame({"query_id": [asked.ids[d][i] for i in held["q"].tolist()], "id": held["id"], "score": held["score"]})
+
+    return task
+
+
+#: Scores that a task computes at a time.
+STRIP = 4_000_000
+
+
 def vector_top(queries: DataFrame, vectors: DataFrame, limit: int = 5, digits: int = 12) -> DataFrame:
     """Nearest vectors by cosine: ``queries(query_id, embedding)``, ``vectors(id, embedding)``.
 
-    Scores are rounded to ``digits`` before the ranking, so that ties break by id.
+    Scores are rounded to ``digits`` before the ranking, so that ties break by id.  Vectors that
+    are null or zero or hold null or non-finite components match nothing, and only vectors of the
+    same length match.  Queries are taken in blocks of bounded bytes; a task multiplies its
+    vectors with a block at a time and returns ``limit`` rows per query, so no pair becomes a row.
     """
-    asked = _asked(queries.select("query_id", F.col("embedding").alias("_q"), V.norm(F.col("embedding")).alias("_qn")))
-    held = vectors.select("id", "embedding", V.norm(F.col("embedding")).alias("_n")).where("_n > 0")
-    pairs = held.join(asked, F.col("_qn") > 0)
-    scored = pairs.select("query_id", "id", F.round(V.dot(F.col("embedding"), F.col("_q")) / (F.col("_n") * F.col("_qn")), digits).alias("score"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    blocks = max(1, -(-measured(asked) // sizes.BROADCAST_BYTES))
+    held = vectors.select("id", F.col("embedding").cast("array<double>").alias("vector")).where("vector is not null")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    scored = None
+    for b in range(blocks):
+        block = _Asked(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect())  # bounded bytes
+        part = held.mapInPandas(_nearest(block, limit, digits), schema)
+        scored = part if scored is None else scored.unionByName(part)
     return best(scored, limit, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 

@@ -142,16 +142,20 @@ def leaked_questions(spark, sf):
     return evaluate.leaked(asked, table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text"))
 
 
+def _first_lines(spark, sf):
+    """The documents' distinct normalized first lines as questions: those of copies once."""
+    lines = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+    return lines.groupBy(T.normalized(F.col("text")).alias("text")).agg(F.min("doc_id").alias("id")).select("id", "text")
+
+
 def near_questions(spark, sf):
     """Question pairs whose words overlap."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return evaluate.near_questions(items, ratio=None).select("a", "b", F.round("overlap", 9).alias("overlap"))
+    return evaluate.near_questions(_first_lines(spark, sf), ratio=None).select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
 def near_questions_ratio(spark, sf):
     """With the matching-block similarity as well."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return evaluate.near_questions(items)
+    return evaluate.near_questions(_first_lines(spark, sf))
 
 
 def review_coverage(spark, sf):

@@ -158,7 +158,8 @@ select doc_id, version, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || sub
   when len(list_filter(embedding, lambda x: x is null or not isfinite(x))) > 0 then 'not_finite' when len(list_filter(embedding, lambda x: x <> 0)) = 0 then 'zero' end as problem from embeddings) group by problem""",
         "label_recall": f"with {_VECTORS} select a.label, count(*) as n, round(avg((a.label = b.label)::int), 9) as share from hits join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = id where rank <= 6 and id <> query_id group by a.label",
         "leaked_questions": f"with {_LEAKED} select id, key from leaked",
-        "near_questions": f"""with w as (select item_id as id, list_distinct({_words("text")}) as w from benchmark)
+        "near_questions": f"""with f as (select {_normalized("split_part(text, chr(10), 1)")} as t, min(doc_id) as id from documents group by 1),
+w as materialized (select id, list_distinct(string_split(t, ' ')) as w from f where t <> '')
 select x.id as a, y.id as b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 9) as overlap from w x join w y on x.id < y.id
 where len(x.w) > 0 and len(y.w) > 0 and len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.85""",
         "review_coverage": """select lang, quality, grouping(lang, quality) as grouping, count(*) as n, count(toxic) as n_reviewed, round(avg(toxic), 9) as toxic_mean

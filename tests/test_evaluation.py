@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import answers, evaluate, retrieve
+from evidentia.operators import answers, evaluate, retrieve, sizes
 from evidentia.sources import readers, sinks
 
 ITEMS = "id string, required array<string>, groups array<array<string>>, ranked array<string>"
@@ -184,10 +184,11 @@ def test_query_sets_of_any_size(spark, monkeypatch):
 
     few = rows()
     monkeypatch.setattr(retrieve, "MAX_QUERIES", 2)
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert rows() == few and all(few)
-        assert sorted(map(tuple, evaluate.leaked(questions, pages, most=2).collect())) == [(i, f"p{i}") for i in range(6)]
+        assert sorted(map(tuple, evaluate.leaked(questions, pages).collect())) == [(i, f"p{i}") for i in range(6)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -237,3 +238,28 @@ def test_labels_of_sources(spark):
     got = {r.source_id: r for r in answers.supporting(docs, held).collect()}
     assert got["p1"].url == "https://h/a.pdf#page=2" and got["p1"].page == 2 and got["p2"].page is None and got["p2"].section == "Head"
     assert answers.fixed_only(docs).count() == 1
+
+
+def test_vectors_match_brute_force_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-3, 4, (700, 6)).astype(float), rng.integers(-3, 4, (10_000, 6)).astype(float)
+    odd = [(9000, None), (9001, [0.0] * 6), (9002, [float("nan")] * 6), (9003, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (9004, [1.0, 2.0]), (9005, [float("inf")] * 6)]
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(20_000 + i, v) for i, v in odd], "query_id long, embedding array<float>")
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 400_000)
+    monkeypatch.setattr(retrieve, "STRIP", 100_000)
+    found = retrieve.vector_top(asked, held, 4, digits=9)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1), 1e-300)[:, None]
+    score = np.round(unit(q) @ unit(x).T, 9)
+    usable = np.flatnonzero(np.abs(x).sum(axis=1) > 0)
+    for i in range(0, len(q), 97):
+        want = [] if not q[i].any() else sorted(usable.tolist(), key=lambda j: (-score[i, j], j))[:4]
+        assert [k for _, k in sorted(got.get(i, []))] == want
+    assert got[29_004] == [(1, 9004)] and not set(got) & {29_000, 29_001, 29_002, 29_003, 29_005}
+    assert retrieve.vector_top(asked.limit(0), held).count() == 0 and retrieve.vector_top(asked.limit(5), held.limit(0)).count() == 0
