@@ -340,6 +340,56 @@ def snapshot_audit(spark, sf):
     return held.audit("corpus", documents, pages, cut)
 
 
+def _whole_passages(spark, sf):
+    """The documents as a corpus of one page and one passage each: (documents, pages, passages)."""
+    docs = table(spark, sf, "documents").select(F.lpad(F.hex("doc_id"), 8, "0").alias("source_id"), "doc_id", "source", F.sha2("text", 256).alias("version"), "text")
+    one, gone = F.lit(1).alias("page"), F.lit(None).cast("string")
+    passages = docs.select(F.reverse("source_id").alias("id"), "source_id", "version", one, F.lit(0).alias("start"), F.length("text").alias("end"), gone.alias("article"), gone.alias("section"), "text")
+    return docs.select("source_id", "source", "version"), docs.select("source_id", one, "text"), passages
+
+
+def _held(spark, sf):
+    documents, pages, cut = _whole_passages(spark, sf)
+    embed = lambda c: F.array(*(F.length(F.regexp_replace(F.lower(c), f"[^{x}]", "")).cast("float") for x in "aeinst"), F.lit(1.0).cast("float"))
+    held = Snapshots(spark, shared(spark, "snapshots"), embed, {"model": "letters", "dimensions": 7})
+    held.index("corpus", documents, pages, cut)
+    return held, documents, pages, cut
+
+
+def snapshot_audit_damaged(spark, sf):
+    """The audit of a published snapshot in which every table was damaged."""
+    held, documents, pages, cut = _held(spark, sf)
+    pointer = held.active("corpus")
+    t = {name: held.table(pointer["snapshot_id"], name) for name in ("sources", "pages", "passages", "vectors")}
+    every = lambda n, key="source_id": F.pmod(F.conv(key, 16, 10).cast("long"), F.lit(n)) == 0
+    stray = t["passages"].where(every(41)).withColumns({"id": F.concat(F.lit("x"), "id"), "point_id": F.concat(F.lit("x"), "point_id")})
+    held.write("damaged", "sources", t["sources"].where(~every(7)).withColumn("source", F.when(every(5), "other").otherwise(F.col("source"))))
+    held.write("damaged", "pages", t["pages"].where(~every(11)))
+    held.write("damaged", "passages", t["passages"].where(~every(13)).withColumn("text", F.when(every(17), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).unionByName(stray))
+    kept = t["vectors"].where(~every(19)).withColumn("version", F.when(every(23), "old").otherwise(F.col("version")))
+    held.write("damaged", "vectors", kept.unionByName(kept.where(every(29))))
+    held._publish("corpus", pointer | {"snapshot_id": "damaged"})
+    return held.audit("corpus", documents, pages, cut)
+
+
+def fetched_passages(spark, sf):
+    """What the snapshot of a pinned reader holds of the passages that hits of the questions name."""
+    held, *_ = _held(spark, sf)
+    hits = retrieve.keyword_top(_questions(spark, sf), _passages(spark, sf), 3)
+    named = hits.select(F.reverse(F.lpad(F.hex("id"), 8, "0")).alias("id")).distinct()
+    reader = held.pin("corpus")
+    found = reader.fetch(named).select(F.conv("source_id", 16, 10).cast("long").alias("doc_id"), F.col("end").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+    reader.check()
+    return found
+
+
+def scoped_find(spark, sf):
+    """Rows of a snapshot by a condition, counted by source."""
+    held, *_ = _held(spark, sf)
+    reader = held.pin("corpus")
+    return reader.find("sources").groupBy("source").agg(F.count(F.lit(1)).alias("n_found")).join(reader.find("vectors", page=1).join(reader.find("sources").select("source_id", "source"), "source_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_vectors")), "source", "left")
+
+
 def html_passages(spark, sf):
     """Captures and documents prepared by their kind; passages per source."""
     pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("key"), F.col("url").alias("title"), F.lit("html").alias("kind"), F.col("html").alias("text"))
@@ -467,7 +517,7 @@ QUERIES = [
     neighbour_expansion, merged_slots, answer_status, overlap_metrics, overlap_metrics_exact, attempt_summary, worst_replies, latency_percentiles, retrieval_scores,
     evidence_scores, source_statistics, refresh_diff, refresh_report, first_listed, link_inventory, page_sections, url_checks, canonical_urls, snapshot_audit,
     html_passages, selected_items, saved_run_faults, provenance_faults, source_labels, refresh_totals, smoke_search,
-    run, run_summary, running_usage,
+    run, run_summary, running_usage, snapshot_audit_damaged, fetched_passages, scoped_find,
 ]
 
 

@@ -138,6 +138,17 @@ g as (select case when faq then 'official_faq' else 'document_derived' end as or
 select origin, review, answerable, grouping(origin, review, answerable) as grouping, count(*) as n, count(*) filter (bad) as errors, round(avg(status_match), 9) as status_match_mean, round(avg(false_refusal), 9) as false_refusal_mean
 from g group by grouping sets ((origin), (review), (answerable), ())
 union all select null, null, null, -1, count(*), null, null, null from a, stop where id > stop""",
+        "fetched_passages": f"""with {_KEYWORD}
+select doc_id, length(text) as n_chars, sha256(text) as sha256 from documents where doc_id in (select id from keyword where rank <= 3)""",
+        "scoped_find": "select source, count(*) as n_found, count(*) as n_vectors from documents group by source",
+        "snapshot_audit_damaged": """with d as (select doc_id as i from documents),
+p as (select i, false as stray from d where i % 13 <> 0 union all select i, true from d where i % 41 = 0),
+v as (select i from d where i % 19 <> 0 union all select i from d where i % 19 <> 0 and i % 29 = 0)
+select 'source_missing' as finding, count(*) filter (i % 7 = 0) as n from d union all select 'source_unexpected', 0 union all select 'source_differs', count(*) filter (i % 7 <> 0 and i % 5 = 0) from d
+union all select 'passage_missing', count(*) filter (i % 13 = 0) from d union all select 'passage_unexpected', count(*) filter (stray) from p
+union all select 'page_missing', count(*) filter (i % 11 = 0) from p union all select 'offsets_differ', count(*) filter (i % 11 <> 0 and i % 17 = 0 and not stray) from p
+union all select 'vector_orphan', count(*) filter (i % 13 = 0) from v union all select 'vector_missing', count(*) filter (i % 19 = 0 or stray) from p
+union all select 'payload_differs', count(*) filter (i % 13 <> 0 and i % 23 = 0) from v union all select 'vector_repeated', count(*) filter (i % 19 <> 0 and i % 29 = 0) from d""",
         "running_usage": "select conv_id, turn, length(text) as chars, sum(length(text)) over (order by conv_id, turn)::bigint as cumulative_chars from conversations",
         "keyword_top": f"with {_KEYWORD} select query_id, rank, id, matched from keyword where rank <= 5",
         "lexical_top": f"with {_LEXICAL} select query_id, rank, id, round(s, 9) as score from lexical where rank <= 5",
