@@ -2,8 +2,12 @@
 
 DataFrame functions only.  Measures are computed row by row (no shuffle of text); the sketches
 are ``percentile_approx`` states, merged map-side, so a source with a third of all rows costs
-one state per task; the thresholds are joined back to the measures.  A group of few rows has no
-quartiles to speak of and takes those of its language, or else of all rows.
+one state per task; the thresholds are joined back to the measures.
+
+The measures are ones that nearly every text has some of, so their quartiles say where a group
+lies and how far it spreads.  A group's quartiles are drawn towards those of the next wider group
+with a weight of ``PRIOR_ROWS`` rows, so few rows say little, and its spread is taken for half of
+that one's at least, so a group of copies doesn't reject whatever differs from them.
 """
 
 from __future__ import annotations
@@ -16,17 +20,14 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.common import WS, cut, near, positional, text_column
 
-#: Distance of a cutoff from the quartile, in interquartile ranges, and the least range taken.
-FENCE = 6.0
-#: Rows from which a group's own quartiles count.
-MIN_ROWS = 20
-#: measure: (side of the cutoff, least interquartile range)
-RULES = {
-    "symbol_ratio": ("high", 0.01),
-    "upper_ratio": ("high", 0.03),
-    "dup_line_ratio": ("high", 0.1),
-    "mean_word": ("both", 0.5),
-}
+#: Distance of a cutoff from the quartile, in interquartile ranges.
+FENCE = 4.0
+#: Deviations of chance that a short text is granted besides.
+CHANCE = 3.0
+#: Rows that the wider group counts for, and the share of its spread that is taken at least.
+PRIOR_ROWS, POOL_SHARE = 20, 0.5
+#: measure: side of the cutoff
+RULES = {"mark_ratio": "high", "upper_ratio": "high", "mean_word": "both"}
 SKETCH_ACCURACY = 10_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -68,7 +69,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": long(F.length("_q_t") - F.length(F.translate("_q_t", "#*$%&|<>", ""))),
             "n_dup_lines": long(F.size("_q_l") - F.size(F.array_distinct("_q_l"))),
             "n_repeat_words": long(F.when(F.size("_q_p") > 0, covered).otherwise(0)),
-            "_q_lines": F.size("_q_l"),
+            "_q_marks": F.length(F.regexp_replace("_q_t", r"[\p{L}\p{N}\p{M}\x20\x09-\x0D]+", "")),
             "_q_upper": F.length("_q_t") - F.length(F.regexp_replace("_q_t", r"\p{Lu}", "")),
         }
     )
@@ -76,41 +77,36 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns(
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-            "symbol_ratio": ratio("n_symbols", "word_chars"),
+            "mark_ratio": ratio("_q_marks", "word_chars"),
             "upper_ratio": ratio("_q_upper", "word_chars"),
-            "dup_line_ratio": ratio("n_dup_lines", "_q_lines"),
             "mean_word": ratio("word_chars", "n_words"),
         }
     )
     return df.select(*(F.col(n).alias(c) for c, n in keep.items()), *COUNTS, "base_failed", *RULES)
 
 
-def thresholds(measured: DataFrame, keys: tuple[str, ...] = ("lang", "source"), fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Cutoffs ``hi_<measure>`` and ``lo_<measure>`` per key, from sketches of all its rows.
+def thresholds(measured: DataFrame, keys: tuple[str, ...] = ("lang", "source"), fence: float = FENCE, prior: float = PRIOR_ROWS, share: float = POOL_SHARE) -> DataFrame:
+    """Per key ``low_<measure>`` and ``high_<measure>``, its quartiles, and ``by_<measure>``, what a cutoff lies beyond them.
 
-    A group of fewer than ``min_rows`` rows takes the cutoffs of the rows that share its first
-    keys, and where those are too few as well, of all rows.
+    From sketches of all rows, of the rows that share the first key, and so on to the group's
+    own.  A measure without any spread over all rows has a null ``by``: it decides nothing.
     """
-    levels = [list(keys[:n]) for n in range(len(keys), -1, -1)]
+    levels = [list(keys[:n]) for n in range(len(keys) + 1)]
     stats = (F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), SKETCH_ACCURACY).alias(m) for m in RULES)
     sets = measured.groupingSets([[F.col(k) for k in level] for level in levels], *(F.col(k) for k in keys))
     sketches = cut(sets.agg(F.grouping_id().cast("int").alias("_level"), F.count(F.lit(1)).alias("_n"), *stats))
-    at = [sketches.where(F.col("_level") == 2**dropped - 1) for dropped in range(len(levels))]
-    out, chosen = at[0], F.when(F.col("_n") >= min_rows, F.struct(*RULES))
-    for i, level in enumerate(levels[1:-1], 1):
-        wider = at[i].where(F.col("_n") >= min_rows).select(*(F.col(k).alias(f"_w{i}_{k}") for k in level), F.struct(*RULES).alias(f"_wide{i}"))
-        same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_w{i}_{k}")) for k in level))
-        out, chosen = out.join(near(wider), same, "left"), F.coalesce(chosen, F.col(f"_wide{i}"))
-    if everyone := at[-1].first():  # a row of two numbers a measure
-        chosen = F.coalesce(chosen, F.struct(*(F.array(*(F.lit(q) for q in everyone[m])).alias(m) for m in RULES)))
-    cut_at = []
-    for m, (side, least) in RULES.items():
-        low, high = F.col("_chosen")[m][0], F.col("_chosen")[m][1]
-        spread = F.greatest(high - low, F.lit(least)) * fence
-        cut_at.append((high + spread).alias(f"hi_{m}"))
-        if side == "both":
-            cut_at.append((low - spread).alias(f"lo_{m}"))
-    return out.select(*keys, chosen.alias("_chosen")).select(*keys, *cut_at)
+    rows = lambda n: sketches.where(F.col("_level") == 2 ** (len(keys) - n) - 1)
+    whole = [c for m in RULES for c in (F.col(m)[0].alias(f"low_{m}"), F.col(m)[1].alias(f"high_{m}"), (F.col(m)[1] - F.col(m)[0]).alias(f"s_{m}"))]
+    out, names = rows(0).select(*whole, *(F.when(F.col(m)[1] > F.col(m)[0], F.lit(fence)).alias(f"f_{m}") for m in RULES)), []
+    for n, level in enumerate(levels[1:], 1):
+        wider = near(cut(out.select(*(F.col(k).alias(f"_w_{k}") for k in names), *(c for c in out.columns if c not in names))))
+        same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in names), F.lit(True))
+        drawn = []
+        for m in RULES:
+            low, high = ((F.col("_n") * F.col(m)[i] + prior * F.col(f"{side}_{m}")) / (F.col("_n") + prior) for i, side in enumerate(("low", "high")))
+            drawn += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), F.greatest(high - low, share * F.col(f"s_{m}")).alias(f"s_{m}"), F.col(f"f_{m}")]
+        out, names = rows(n).join(wider, same).select(*level, *drawn), level
+    return out.select(*names, *(c for m in RULES for c in (f"low_{m}", f"high_{m}", (F.col(f"f_{m}") * F.col(f"s_{m}")).alias(f"by_{m}"))))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -124,10 +120,14 @@ def judge(measured: DataFrame, cutoffs: DataFrame, keys: tuple[str, ...] = ("lan
         one = measured[k].eqNullSafe(limits[f"_k_{k}"])
         same = one if same is None else same & one
     ok = ~F.col("base_failed")
-    for m, (side, _) in RULES.items():
-        ok = ok & (F.col(m) <= F.col(f"hi_{m}"))
+    for m, side in RULES.items():
+        # Counts of marks vary with their root, lengths of words by about half their mean.
+        each = F.greatest(F.col("n_words" if m == "mean_word" else "word_chars"), F.lit(1)).cast("double")
+        chance = CHANCE * (F.col(f"high_{m}") / 2 / F.sqrt(each) if m == "mean_word" else F.sqrt(F.col(f"high_{m}") / each))
+        within = F.col(m) <= F.col(f"high_{m}") + F.col(f"by_{m}") + chance
         if side == "both":
-            ok = ok & (F.col(m) >= F.col(f"lo_{m}"))
+            within = within & (F.col(m) >= F.col(f"low_{m}") - F.col(f"by_{m}") - chance)
+        ok = ok & (within | F.col(f"by_{m}").isNull())
     return measured.join(limits, same, "left").withColumn("kept", F.coalesce(ok, F.lit(False))).drop(*limits.columns)
 
 

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from evidentia.llm.quality_rules import FENCE, MIN_ROWS, RULES
+from evidentia.llm.quality_rules import CHANCE, FENCE, POOL_SHARE, PRIOR_ROWS, RULES
 
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def _op10() -> str:
     ratios = {
-        "symbol_ratio": "case when word_chars > 0 then n_symbols::double / word_chars::double else 0.0 end",
+        "mark_ratio": "case when word_chars > 0 then n_marks::double / word_chars::double else 0.0 end",
         "upper_ratio": "case when word_chars > 0 then n_upper::double / word_chars::double else 0.0 end",
-        "dup_line_ratio": "case when n_lines > 0 then n_dup_lines::double / n_lines::double else 0.0 end",
         "mean_word": "case when n_words > 0 then word_chars::double / n_words::double else 0.0 end",
     }
     quartiles = ", ".join(f"quantile_disc({m}, 0.25) as a_{m}, quantile_disc({m}, 0.75) as b_{m}" for m in RULES)
-    chosen = ", ".join(f"case when o.qn >= {MIN_ROWS} then o.{c} when w.qn >= {MIN_ROWS} then w.{c} else e.{c} end as {c}" for m in RULES for c in (f"a_{m}", f"b_{m}"))
+
+    def drawn(own: str, wider: str) -> str:
+        low = lambda m: f"({own}.qn * {own}.a_{m} + {PRIOR_ROWS} * {wider}.a_{m}) / ({own}.qn + {PRIOR_ROWS})"
+        high = lambda m: f"({own}.qn * {own}.b_{m} + {PRIOR_ROWS} * {wider}.b_{m}) / ({own}.qn + {PRIOR_ROWS})"
+        return ", ".join(f"{low(m)} as a_{m}, {high(m)} as b_{m}, greatest({high(m)} - {low(m)}, {POOL_SHARE} * {wider}.s_{m}) as s_{m}" for m in RULES)
+
     tests = []
-    for m, (side, least) in RULES.items():
-        spread = f"greatest(b_{m} - a_{m}, {least}) * {FENCE}"
-        tests.append(f"{m} <= b_{m} + {spread}")
+    for m, side in RULES.items():
+        chance = f"{CHANCE} * (b_{m} / 2 / sqrt(greatest(n_words, 1)::double))" if m == "mean_word" else f"{CHANCE} * sqrt(b_{m} / greatest(word_chars, 1)::double)"
+        within = f"{m} <= b_{m} + {FENCE} * s_{m} + {chance}"
         if side == "both":
-            tests.append(f"{m} >= a_{m} - {spread}")
+            within += f" and {m} >= a_{m} - {FENCE} * s_{m} - {chance}"
+        tests.append(f"((select s_{m} from e) = 0 or {within})")
     return f"""
 with d as (
   select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text, {WORDS} as w,
@@ -36,12 +41,15 @@ f as (
          length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::bigint as word_chars,
          (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
          (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
-         coalesce(c.n, 0)::bigint as n_repeat_words, len(l) as n_lines,
+         coalesce(c.n, 0)::bigint as n_repeat_words,
+         length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\p{{M}}\\x20\\x09-\\x0D]+', '', 'g')) as n_marks,
          length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) as n_upper
   from d left join c using (rid)),
 m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {", ".join(f"{v} as {k}" for k, v in ratios.items())} from f),
 q as (select lang as ql, source as qs, grouping(lang, source) as lv, count(*) as qn, {quartiles} from m group by grouping sets ((lang, source), (lang), ())),
-t as (select o.ql, o.qs, {chosen} from q o left join q w on w.lv = 1 and o.ql is not distinct from w.ql join q e on e.lv = 3 where o.lv = 0)
+e as (select *, {", ".join(f"b_{m} - a_{m} as s_{m}" for m in RULES)} from q where lv = 3),
+w as (select q.ql, {drawn("q", "e")} from q, e where q.lv = 1),
+t as (select q.ql, q.qs, {drawn("q", "w")} from q join w on q.ql is not distinct from w.ql where q.lv = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and {" and ".join(tests)} as kept
 from m join t on lang is not distinct from ql and source is not distinct from qs"""

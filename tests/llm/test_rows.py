@@ -48,26 +48,45 @@ def test_quality_counts(spark):
         assert not (got[i].base_failed and got[i].kept)
 
 
-def test_quality_cutoffs_follow_their_group(spark):
-    plain = [f"word{i} other{i} thing{i} more{i} text{i} here{i} and{i} there{i} with{i} some{i} end{i}" for i in range(30)]
-    rows = [(i, t, "en", "a", 0) for i, t in enumerate(plain)] + [(100 + i, t.replace(" ", "## "), "en", "code", 0) for i, t in enumerate(plain)]
-    rows += [(900, plain[0].replace(" ", "### ") + " x", "en", "a", 0), (901, plain[3], None, None, 0)]
-    got = {r.doc_id: r.kept for r in quality_rules.assess(spark.createDataFrame(rows, DOCS)).collect()}
-    assert not got[900] and got[901] and all(v for k, v in got.items() if k < 900)
+def plain_texts(n, rng, marks):
+    """Texts of 60 words of which about the given share ends in a comma."""
+    return [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) + ("," if rng.random() < marks else "") for _ in range(60)) for _ in range(n)]
+
+
+def test_quality_cutoffs_are_learned(spark):
+    """The same text passes in one group and fails in another: no constant could tell."""
+    rng = random.Random(3)
+    rows = [("en", f"prose{i % 4}", t) for i, t in enumerate(plain_texts(300, rng, 0.1))] + [("en", "lists", t) for t in plain_texts(60, rng, 0.9)]
+    probe = plain_texts(1, rng, 0.95)[0]
+    rows += [("en", "prose0", probe), ("en", "lists", probe)]
+    df = spark.createDataFrame([(i, t, lang, source, 0) for i, (lang, source, t) in enumerate(rows)], DOCS)
+    got = {r.doc_id: r for r in quality_rules.assess(df).collect()}
+    assert not got[360].kept and got[361].kept and sum(not r.kept for r in got.values()) == 1
+    cutoffs = {(r.lang, r.source): r for r in quality_rules.thresholds(quality_rules.measures(df)).collect()}
+    assert cutoffs["en", "lists"].high_mark_ratio > 3 * cutoffs["en", "prose0"].high_mark_ratio
+    assert len({round(r.high_mark_ratio + r.by_mark_ratio, 9) for r in cutoffs.values()}) == 5
 
 
 def test_quality_small_groups_follow_wider_ones(spark):
-    plain = [f"word{i} other{i} thing{i} more{i} text{i} here{i} and{i} there{i} with{i} some{i} end{i}" for i in range(30)]
-    signs = plain[0].replace(" ", "### ")
-    rows = [(i, t, "en", "a", 0) for i, t in enumerate(plain)] + [(100 + i, t.replace(" ", "### "), "de", "a", 0) for i, t in enumerate(plain)]
-    rows += [(900, signs, "en", "b", 0), (901, signs, "de", "b", 0), (902, plain[1], "de", "b", 0), (903, signs, "fr", "b", 0), (904, signs, None, None, 0), (905, "#" * 200 + plain[1], "fr", "c", 0)]
-    df = spark.createDataFrame(rows, DOCS)
+    rng = random.Random(4)
+    rows = [("en", "a", t) for t in plain_texts(100, rng, 0.1)]
+    signs = plain_texts(1, rng, 0)[0].replace(" ", "### ")
+    rows += [("en", "b", signs), ("en", "c", rows[0][2]), (None, None, rows[1][2])]
+    df = spark.createDataFrame([(i, t, lang, source, 0) for i, (lang, source, t) in enumerate(rows)], DOCS)
     got = {r.doc_id: r.kept for r in quality_rules.assess(df).collect()}
-    assert {k for k, v in got.items() if not v} == {900}  # of en's plain texts; de, fr and null have room for signs
-    alone = {r.doc_id: r.kept for r in quality_rules.assess(df.where("lang = 'en'")).collect()}
-    assert [k for k, v in alone.items() if not v] == [900]
-    few = quality_rules.assess(df.where("doc_id in (1, 2, 900)"), keys=("source",)).collect()
-    assert len(few) == 3
+    assert [k for k, v in got.items() if not v] == [100]  # alone in its group, yet unlike all others
+    few = quality_rules.assess(df.where("doc_id in (1, 2, 100)"), keys=("source",)).collect()
+    assert len(few) == 3 and quality_rules.assess(df, keys=()).count() == 103
+
+
+def test_quality_of_copies_and_chance(spark):
+    """A group of copies keeps what is not much unlike them; without any spread nothing is decided."""
+    rng = random.Random(5)
+    rows = [("en", "copies", plain_texts(1, random.Random(1), 0.1)[0])] * 80 + [("en", "copies", t) for t in plain_texts(5, rng, 0.12)] + [("en", "rest", t) for t in plain_texts(60, rng, 0.12)]
+    df = spark.createDataFrame([(i, t, lang, source, 0) for i, (lang, source, t) in enumerate(rows)], DOCS)
+    assert quality_rules.assess(df).where("not kept").count() == 0
+    same = spark.createDataFrame([(i, rows[0][2], "en", "s", 0) for i in range(9)] + [(9, rows[-1][2], "en", "s", 0)], DOCS)
+    assert quality_rules.assess(same).where("not kept").count() == 0
 
 
 def test_quality_filter_keeps_columns_with_clashing_names(spark):
