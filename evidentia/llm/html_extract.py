@@ -23,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,8 @@ NAMES = frozenset(
 )
 #: Names that inside an article count only as a whole class or id: ``entry-header`` is its own.
 WHOLE_NAMES = frozenset("header footer menu notice notices reply replies share sharing social related recommended widget toolbar banner overlay login disclaimer subscription".split())
+#: Words that may stand beside a name in a class or id inside an article.
+PARTS = frozenset("area bar block body box button buttons container content count form icon icons item items left link links list msg right row section text title top bottom wrap wrapper".split())
 #: What a start tag closes first.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article main body div section".split())
@@ -138,16 +140,26 @@ def _dropped(tag: str, attributes: str, inside: bool) -> bool:
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name in ("class", "id"):
+            if inside and tag not in ("article", "main", "body", "html"):
+                if any(_telling(word) for word in value.split()):
+                    return True
+                continue
             words = _WORD.findall(value)
             if tag in ("article", "main", "body", "html"):
                 words = [w for w in words if w.startswith("comment")]
-            elif inside:
-                words = [w for w in words if w not in WHOLE_NAMES] + value.split()
             if any(w in NAMES for w in words):
                 return True
     return False
 
 
+def _telling(word: str) -> bool:
+    """Whether a whole class or id inside an article is a name, alone or with nothing but names and parts: not ``comments-on-law``."""
+    if word in NAMES:
+        return True
+    words = _WORD.findall(word)
+    return any(w in NAMES and w not in WHOLE_NAMES for w in words) and all(w in NAMES or w in PARTS for w in words)
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(zone, text) of the blocks in page order.
 
@@ -155,7 +167,10 @@ def blocks(page: str) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # (tag, zone inside)
-    open_: Counter[str] = Counter()  # tags of the stack
+    # Places in the stack of each tag, of blocks and of scopes, so that no search walks the stack.
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    scope_at: list[int] = []
     zone, held, at, n = "o", [], 0, len(page)
     tags = _Tags(page)
 
@@ -168,8 +183,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
     def close(to: int):
         nonlocal zone
         for tag, _ in stack[to:]:
-            open_[tag] -= 1
+            where[tag].pop()
         del stack[to:]
+        for places in (block_at, scope_at):
+            while places and places[-1] >= to:
+                places.pop()
         zone = stack[-1][1] if stack else "o"
 
     while at < n:
@@ -191,10 +209,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 flush()
             elif tag in ("td", "th"):
                 held.append(" ")
-            if open_[tag]:
-                i = len(stack) - 1
-                while stack[i][0] != tag:
-                    i -= 1
+            if where[tag]:
+                i = where[tag][-1]
                 if stack[i][1] != (stack[i - 1][1] if i else "o"):
                     flush()
                 close(i)
@@ -207,21 +223,14 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1) if open_["p"] else ():  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if where["p"] and where["p"][-1] == block_at[-1]:  # a block ends an open paragraph
+                close(where["p"][-1])
         elif tag in ("br", "td", "th", "img", "input", "wbr"):
             held.append("" if tag == "wbr" else " ")
-        if tag in _CLOSES and any(open_[t] for t in _CLOSES[tag]):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _CLOSES[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+        if tag in _CLOSES:
+            i = max((where[t][-1] for t in _CLOSES[tag] if where[t]), default=-1)
+            if i > (scope_at[-1] if scope_at else -1):
+                close(i)
         if tag in VOID:
             continue
         inner = zone
@@ -234,17 +243,26 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 inner = "m"
         if inner != zone and tag not in BLOCK:
             flush()
+        where[tag].append(len(stack))
+        if tag in BLOCK:
+            block_at.append(len(stack))
+        if tag in _SCOPES:
+            scope_at.append(len(stack))
         stack.append((tag, inner))
-        open_[tag] += 1
         zone = inner
     flush()
     return out
 
 
 def main_zone(parts: list[tuple[str, str]]) -> str:
-    """Zone of the main text: ``a`` or ``m`` if the page has such an element, else ``o``."""
-    zones = {z for z, _ in parts}
-    return next((z for z in "am" if z in zones), "o")
+    """Zones of the main text: ``a`` if the page has articles, ``m`` if it has a main element, else ``o``.
+
+    Articles inside of a main element that itself says more than they do are parts of it: ``ma``.
+    """
+    size = {z: sum(len(t) for x, t in parts if x == z) for z in "am"}
+    if size["m"] > size["a"]:
+        return "ma" if size["a"] else "m"
+    return "a" if size["a"] else "o"
 
 
 def stream(parts: list[tuple[str, str]]) -> np.ndarray:
@@ -348,7 +366,8 @@ def suffixes(held: DataFrame, common: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["seed", "page", "all", "at", "on", "back"])
 
     found = join_small(held.select("host", "page", "html"), cut(hosts), ["host"]).withColumn("all", F.coalesce("all", F.lit(1 << 62)))
-    found = found.mapInPandas(cut_up, "seed long, page long, all long, at long, on binary, back binary").join(joined, "seed")
+    found = found.mapInPandas(cut_up, "seed long, page long, all long, at long, on binary, back binary")
+    found = join_small(found, common, ["seed"]).where(F.col("pages").isNotNull())  # a run on every page of a host is one seed
     template = F.when(F.col("pages") >= HOST_SHARE * F.col("all"), 1).otherwise(0)
     return found.select("seed", "page", (F.col("at") + template).alias("at"), F.posexplode(F.array("on", "back")).alias("side", "content")).select("seed", "content", "page", (F.col("at") + 4 * F.col("side")).alias("at"))
 
@@ -483,7 +502,7 @@ def decide(parts: list[tuple[str, str]], gone: np.ndarray | None) -> str:
         words = text.split(" ")
         mine = gone[at : at + len(words)] if gone is not None else None
         at += len(words) + 1
-        if zone != best:
+        if zone not in best:
             continue
         if mine is None or not mine.any() or best != "o" and not mine.all():
             kept.append(text)

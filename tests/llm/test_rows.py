@@ -653,6 +653,21 @@ def test_hostile_markup_takes_linear_time(piece):
     assert html_extract.blocks("<article><p>hello</p>" + piece)[0] == ("a", "hello")
 
 
+@pytest.mark.parametrize("piece", ["<li>x</li>", "<tr><td>", "<p><b>", "<dt><dd>", "<option>", "<div>", "</li><li>", "<td></tr>"])
+def test_hostile_nesting_takes_linear_time(piece):
+    start = time.perf_counter()
+    html_extract.blocks("<article><li><div>" + "<b>" * 60_000 + "<tr><td>" * 30_000 + piece * 60_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_words_of_names_are_no_names_and_teasers_no_articles():
+    text = lambda page: html_extract.decide(html_extract.blocks(page), None)
+    assert text('<article><p>a</p><section id="comments-on-law"><p>Comments on law</p></section></article>') == "a\n\nComments on law"
+    assert text('<article><p>a</p><div class="x comment-list"><p>gone</p></div><div id=comments>gone</div></article>') == "a"
+    assert text("<main><p>what the page has to say</p><article><p>teaser</p></article></main>") == "what the page has to say\n\nteaser"
+    assert text("<main><h1>Title</h1><article><p>all that the article says</p></article></main>") == "all that the article says"
+
+
 def test_names_inside_articles():
     page = "<article><div class='entry-header'>Kept</div><div class='share'>Gone</div><p class=cookie-notice>Gone</p><h2 class=section-header>Title</h2><header>Gone</header></article>"
     assert html_extract.decide(html_extract.blocks(page), None) == "Kept\n\nTitle"
