@@ -48,6 +48,8 @@ MIN_CONTEXTS = 3
 #: Terms: words of two characters or more.
 _TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]++"
 
+#: Beyond every text.
+_FAR = (1 << 31) - 1
 _SPANS = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
 
 
@@ -73,18 +75,63 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Elements of a block of ``prefixes``, and characters of a chunk of a text.
+BLOCK, CHUNK = 256, 256
+_INTS = "cast(array() as array<int>)"
+
+
+def _let(value: Column, of) -> Column:
+    """``of(value)`` with the value computed once, wherever ``of`` has it: lambdas would compute it for every element."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def prefixes(values: Column, start: int, op) -> Column:
+    """What ``op`` makes of ``start`` and all values before each element, in two levels of blocks.
+
+    One running array would be copied for every element; blocks keep that to ``BLOCK`` copies of
+    their own and one per block.
+    """
+
+    def running(of: Column, first: Column) -> Column:
+        grow = lambda acc, x: F.struct(op(acc["v"], x).alias("v"), F.array_append(acc["out"], acc["v"]).alias("out"))
+        return F.aggregate(of, F.struct(first.alias("v"), F.expr(_INTS).alias("out")), grow, lambda acc: acc["out"])
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
+    firsts = lambda parts: running(F.transform(parts, lambda p: F.aggregate(p, F.lit(start), op)), F.lit(start))
+    return _let(values, lambda v: _let(blocks(v), lambda parts: F.flatten(F.zip_with(parts, firsts(parts), running))))
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """``array<struct<start,stop,value>>`` of the matches, in code points (stop exclusive)."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,stop:int,value:string>>)")
+    steps = lambda found: F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, g: F.length(g) + F.length(m))
+    ends = lambda each: F.zip_with(prefixes(each, 0, lambda a, x: a + x), each, lambda a, x: a + x)
+    place = lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("stop"), m.alias("value"))
+    spans = lambda found: F.when(F.size(found) == 0, none).otherwise(F.zip_with(found, _let(steps(found), ends), place))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+
+
+def _chunks(text: Column) -> Column:
+    """A text in pieces of ``CHUNK`` characters, so that parts of it are cut without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    def step(acc, x):
-        a = acc["at"] + x["g"]
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("stop"), x["m"].alias("value"))).alias("out"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+def _part(chunks: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to ``stop`` of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.floor((stop - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(stop > start, F.substring(held, start - first * CHUNK + 1, stop - start)).otherwise("")
+
+
+def _between(chunks: Column, length: Column, spans: Column, reached: Column, mark) -> Column:
+    """The text with ``mark(span, reached)`` for each of its spans; ``reached``: where those before a span end."""
+    pieces = F.zip_with(spans, reached, lambda s, at: F.concat(_part(chunks, at, s["start"]), mark(s, at)))
+    last = F.greatest(F.element_at(reached, -1), F.element_at(spans, -1)["stop"])
+    return F.concat(F.array_join(pieces, ""), _part(chunks, last, length))
 
 
 def base_spans(text: Column) -> Column:
@@ -105,17 +152,6 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with a line end for each span."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        piece = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece, F.lit("\n")).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-
-
 def _once(docs: DataFrame) -> DataFrame:
     """A row per different text of ``docs(_key, _t)``; only texts with copies are shuffled."""
     copied = near(cut(docs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")))
@@ -130,16 +166,17 @@ def marked(docs: DataFrame) -> DataFrame:
     of a passage from fresh mentions; of several in a text the least stands for all.
     """
     found = docs.withColumn("base", base_spans(F.col("_t"))).where(F.size("base") > 0)
+    found = found.withColumns({"_c": _chunks(F.col("_t")), "_n": F.length("_t"), "_at": prefixes(F.transform("base", lambda s: s["stop"]), 0, _later)})
 
     def context(s: Column) -> Column:
-        left = F.greatest(F.lit(0), s["start"] - WINDOW)
-        return F.xxhash64(F.substring(F.col("_t"), left + 1, s["start"] - left), F.substring(F.col("_t"), s["stop"] + 1, F.lit(WINDOW)))
+        before = _part(F.col("_c"), F.greatest(F.lit(0), s["start"] - WINDOW), s["start"])
+        return F.xxhash64(before, _part(F.col("_c"), s["stop"], F.least(s["stop"] + WINDOW, F.col("_n"))))
 
     def each(of) -> Column:
         return F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), of(s).alias("entity"), context(s).alias("context")))
 
     mentions = F.concat(each(lambda s: F.lower(s["value"])), each(_shared_part))
-    words = F.regexp_extract_all(F.lower(_outside(F.col("_t"), F.col("base"))), F.lit(_TERM), F.lit(0))
+    words = F.regexp_extract_all(F.lower(_between(F.col("_c"), F.col("_n"), F.col("base"), F.col("_at"), lambda s, at: F.lit("\n"))), F.lit(_TERM), F.lit(0))
     around = lambda i: F.xxhash64(F.slice("_w", F.greatest(i + 1 - WINDOW_WORDS, F.lit(1)), F.lit(2 * WINDOW_WORDS + 1)))
     terms = F.transform("_w", lambda w, i: F.struct(w.alias("term"), around(i).alias("context")))
     kept = found.withColumn("_w", words).select("_key", "base", F.sort_array(mentions).alias("_m"), F.sort_array(terms).alias("_s"))
@@ -218,10 +255,15 @@ def find(docs: DataFrame, text: str = "text", alpha: float = ALPHA, min_contexts
         known = known.withColumn("_found", F.lit(None).cast("string"))
     out = join_small(held, cut(known), ["_key"])
     out = out.withColumn("base", F.coalesce("base", F.expr(f"cast(array() as {_SPANS})")))
-    clear = lambda w: ~F.exists("base", lambda s: (s["start"] < w["stop"]) & (s["stop"] > w["start"]))
-    words = F.filter(located(F.col("_t"), F.col("_found")), clear)
-    added = F.transform(words, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["stop"].alias("stop"), F.lit(TERM).alias("kind"), F.lower(w["value"]).alias("value")))
-    return out.withColumn("spans", F.when(F.col("_found").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", added.cast(_SPANS))))), at
+    # In the order of starts a word is clear if what began before it has ended and nothing begins in it.
+    words = F.transform(located(F.col("_t"), F.col("_found")), lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["stop"].alias("stop"), F.lit(TERM).alias("kind"), F.lower(w["value"]).alias("value")))
+    out = out.withColumn("_all", F.when(F.col("_found").isNotNull(), F.sort_array(F.concat("base", words.cast(_SPANS)))))
+    own = lambda f, other: F.transform("_all", lambda s: F.when(s["rank"] < len(KINDS), f(s)).otherwise(other))
+    ended = prefixes(own(lambda s: s["stop"], F.lit(0)), 0, _later)
+    begins = F.reverse(prefixes(F.reverse(own(lambda s: s["start"], F.lit(_FAR))), _FAR, lambda a, x: F.least(a, x)))
+    around = F.zip_with(ended, begins, lambda e, b: F.struct(e.alias("e"), b.alias("b")))
+    kept = F.filter(F.zip_with("_all", around, lambda s, a: F.struct(s.alias("s"), a.alias("a"))), lambda x: (x["s"]["rank"] < len(KINDS)) | (x["a"]["e"] <= x["s"]["start"]) & (x["a"]["b"] >= x["s"]["stop"]))
+    return out.withColumn("spans", F.when(F.col("_found").isNull(), F.col("base")).otherwise(F.transform(kept, lambda x: x["s"]))).drop("_all"), at
 
 
 def described(spans: Column) -> Column:
@@ -246,13 +288,7 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     they are; a null text stays null.
     """
     found, at = find(docs, text, **options)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, s):
-        piece = F.array(F.substring(F.col("_t"), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece)).alias("out"))
-
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_t"), acc["at"] + 1, F.length("_t")))
-    clean = F.when(F.size("spans") == 0, F.col(at[text])).otherwise(F.aggregate("spans", start, step, rest))
+    found = found.withColumns({"_c": _chunks(F.col("_t")), "_n": F.length("_t"), "_at": prefixes(F.transform("spans", lambda s: s["stop"]), 0, _later)})
+    label = lambda s, at: F.when(s["start"] < at, "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    clean = F.when(F.size("spans") == 0, F.col(at[text])).otherwise(_between(F.col("_c"), F.col("_n"), F.col("spans"), F.col("_at"), label))
     return found.select(*((clean if c == text else F.col(n)).alias(c) for c, n in at.items()))

@@ -136,6 +136,41 @@ def test_pii_base_spans(spark):
         assert set(want) <= set(filter(None, got[i].spans.split(",")))
 
 
+@pytest.mark.parametrize("piece", ["1.2.3.4 ", "a@b.co\n", "+1 (499) 555-6503 x@y.org ", "4387513035237269,"])
+def test_pii_of_many_matches_takes_linear_time(spark, piece):
+    """Texts with up to 100,000 matches, and what stands between them."""
+    body = "".join(f"{piece}é{i % 7} " for i in range(50_000))
+    texts = [body, body[:5000], body + body, None]
+    start = time.perf_counter()
+    df = docs(spark, texts)
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert time.perf_counter() - start < 90
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        if t is not None:
+            out, at = [], 0
+            for s in got[i].spans.split(","):
+                kind, a, b = s.split(":")
+                if int(a) >= at:
+                    out += [t[at : int(a)], f"[{kind.upper()}]"]
+                at = max(at, int(b))
+            assert clean[i] == "".join(out) + t[at:]
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_pii_prefixes_and_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
+    monkeypatch.setattr(pii, "CHUNK", 4)
+    rng = random.Random(block)
+    rows = [("".join(rng.choices("aé日😀\n", k=n)), [rng.randint(-9, 9) for _ in range(n)], rng.randint(0, n), rng.randint(0, n)) for n in range(40)]
+    df = spark.createDataFrame(rows, "t string, v array<int>, a int, b int")
+    got = df.select("*", pii.prefixes(F.col("v"), 0, lambda x, y: x + y).alias("p"), pii._part(pii._chunks(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect()
+    for r in got:
+        assert r.p == [sum(r.v[:i]) for i in range(len(r.v))] and r.c == r.t[r.a : r.b]
+
+
 def test_pii_terms_that_give_an_entity_away(spark):
     fill = ["Alpha", "Bravo", "Charlie", "Delta", "Echoes", "Foxtrot"]
     texts = [f"{w} wrote that Ziggurat answers mail at zig@example.org, said {w}." for w in fill] + [f"Plain text {i} that wrote mail answers said." for i in range(400)]

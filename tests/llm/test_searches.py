@@ -1,0 +1,210 @@
+"""Centroid clustering, byte-pair encoding and ranked search, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.llm import bpe, centroids, lexical_search
+from evidentia.llm.queries import op12_bpe
+
+# centroids
+
+
+def brute_clusters(rows, k=8, rounds=10, seed=3):
+    kept = [(i, [math.floor(1024 * float(c)) for c in v]) for i, v in rows if v is not None and len(v) == 64 and all(c is not None and math.isfinite(c) for c in v)]
+    names = sorted((hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), v) for i, v in kept)
+    centres = [v for _, v in names[:k]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), n) for n, c in enumerate(centres))
+    for _ in range(rounds):
+        of = {}
+        for _, v in kept:
+            of.setdefault(nearest(v)[1], []).append(v)
+        centres = [[sum(x) // len(of[n]) for x in zip(*of[n], strict=True)] if n in of else c for n, c in enumerate(centres)]
+    return {i: nearest(v)[::-1] for i, v in kept}, centres
+
+
+def test_clusters_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12, 64))[rng.integers(0, 12, 150)] + 0.3 * rng.standard_normal((150, 64))
+    x[40:44] = x[40]  # ties and repeated vectors
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    odd = [(900, None), (901, []), (902, [1.0] * 63), (903, [float("nan")] + [0.0] * 63), (904, [None] + [0.0] * 63), (905, [float("-inf")] * 64), (906, [3e8] * 64)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("cluster", F.lit("mine")).repartition(5)
+    got, centres = centroids.cluster(df)
+    want, known = brute_clusters([(i, [float(c) for c in v]) for i, v in rows])
+    assert {r.vec_id: (r.cluster, r.distance) for r in got.collect()} == want and centres.tolist() == known
+    out = centroids.report(got, centres).collect()
+    whole = sum(d for _, d in want.values())
+    for r in out:
+        assert r.inertia == whole and r.cluster_inertia == sum(d for c, d in want.values() if c == r.cluster)
+        assert r.centroid_sha256 == hashlib.sha256(",".join(map(str, known[r.cluster])).encode()).hexdigest()
+    assert len(out) == 150
+
+
+def test_partial_distances_abandon_and_lose_nothing():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-4000, 4000, (8, 64))
+    x = centres[rng.integers(0, 8, 500)] + rng.integers(-40, 40, (500, 64))
+    x[:20] = (centres[2] + centres[5]) // 2
+    centres[7] = centres[3]  # an equal centroid: the smaller number wins
+    label, best, work = centroids.nearest(x, centres, np.argsort(-x.var(axis=0)))
+    all_ = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (label == all_.argmin(axis=1)).all() and (best == all_.min(axis=1)).all() and 7 not in label
+    assert work < 0.7 * x.size * 8
+
+
+def test_few_and_no_vectors(spark):
+    rows = [(1, [0.5] * 64), (1, [0.5] * 64), (None, [-0.5] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = centroids.report(*centroids.cluster(df)).collect()
+    assert sorted((r.vec_id or 0, r.distance) for r in got) == [(0, 0), (1, 0), (1, 0)]
+    assert centroids.report(*centroids.cluster(df.limit(0))).count() == 0
+
+
+# BPE
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.vocabulary_path())
+
+
+def odd_texts():
+    rng = random.Random(6)
+    parts = ["a", "the", " the", "ing", "é", "日本", "😀", "\x00", " ", "  ", "\n\n", "\t", "'s", "'LL", "12", "½", "\x1c", "　", "<|endoftext|>", "<|endof", "...", "…", "ſ", "a" * 70]
+    return ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(200)]
+
+
+def test_ids_equal_the_library(spark):
+    texts = [None, "", " ", *odd_texts(), *odd_texts()[:3], "ab" * 60_000, " " * 30_000, "word " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("old")).withColumn("decoded", F.lit(1))
+    known = library()
+    back = bpe.decode(bpe.encode(df))
+    assert back.columns == ["doc_id", "ids", "decoded"]
+    rows = {r.doc_id: r for r in back.select("*", bpe.ids_sha256("ids").alias("h")).collect()}
+    for i, t in enumerate(texts):
+        want = known.encode(t or "", add_special_tokens=False).ids
+        assert list(rows[i].ids) == want, t
+        assert rows[i].decoded == (t or "") == known.decode(want, skip_special_tokens=False)
+        assert rows[i].h == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    assert bpe.decode(bpe.encode(df.limit(0))).count() == 0
+
+
+def test_ids_of_no_text_are_decoded_as_the_library_does(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(50_257) for _ in range(40)]) for i in range(50)] + [(98, None), (99, [60_000, -1, None, 1])]
+    got = {r.i: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "i int, mine array<int>"), "mine").collect()}
+    known = library()
+    assert all(got[i] == known.decode(ids, skip_special_tokens=False) for i, ids in rows[:50])
+    assert got[98] == "" and got[99] == known.decode([1])
+
+
+def test_the_queue_merges_by_rank_then_place():
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    known = library()
+
+    def slow(piece):
+        symbols = [v.first[b] for b in piece]
+        while pairs := [(v.rank[a << 32 | b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a << 32 | b in v.rank]:
+            r, i = min(pairs)
+            symbols[i : i + 2] = [v.made[r]]
+        return symbols
+
+    rng = random.Random(2)
+    for _ in range(300):
+        piece = "".join(rng.choices("abcdeinrst", k=rng.randint(1, 40)))
+        assert v.merged(piece.encode()) == slow(piece.encode()) == known.encode(piece, add_special_tokens=False).ids
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 10)
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    text = " ".join(f"w{i}" for i in range(300))
+    assert v.decode(np.frombuffer(v.encode(text), "<u4").tolist()) == text and len(v) <= 10
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(bpe.vocabulary_path("word_bpe_49k.json"))
+
+
+def test_query_of_ids(spark, tmp_path):
+    spark.createDataFrame([(7, "Ünïcode <|endoftext|>", "x"), (8, None, "x")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op12_bpe(spark, str(tmp_path)).collect()}
+    assert rows[7].n_tokens == len(library().encode("Ünïcode <|endoftext|>").ids) and rows[7].decoded_sha256 == hashlib.sha256("Ünïcode <|endoftext|>".encode()).hexdigest()
+    assert rows[8].n_tokens == 0 and rows[8].ids_sha256 == rows[8].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# search
+
+
+def brute_ranks(docs, items, top=20):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    held = [(k, Counter(cut(t)), len(cut(t))) for k, t in docs]
+    n_docs, n_terms = sum(n > 0 for *_, n in held), sum(n for *_, n in held)
+    df = Counter(w for _, c, _ in held for w in c)
+    out = {}
+    for q, (item, text) in enumerate(items):
+        scored = []
+        for k, c, n in held:
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * ((10**9 * c[w]) // (1000 * c[w] + 12 * (75 + 25 * n * n_docs // n_terms))) for w in cut(text) if c[w])
+            if s > 0:
+                scored.append((-s, k is None, k or 0))
+        out[q] = [(item, r, None if z else k, -s) for r, (s, z, k) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(sum(out.values(), []), key=str)
+
+
+def corpus(seed, n):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdeéž日", k=rng.randint(1, 4))) for _ in range(120)]
+    text = lambda: "".join(w + rng.choice([" ", ", ", "\n", "-"]) for w in rng.choices(words, [1 / (i + 1) for i in range(120)], k=rng.randint(0, 60)))
+    docs = [(i, text().title() if i % 3 else text()) for i in range(n)]
+    docs += [(n + i, docs[i % 3][1]) for i in range(60)]  # copies: ties that only ids decide
+    return docs + [(n + 100, None), (n + 101, ""), (5, "twice " * 9), (5, "twice " * 9), (None, "twice one"), (None, "twice one")], rng, text
+
+
+@pytest.mark.parametrize(("fanout", "docs_of", "entries"), [(2, 7, 10**6), (16, 4096, 250_000), (3, 50, 300)])
+def test_ranks_match_brute_force(spark, monkeypatch, fanout, docs_of, entries):
+    monkeypatch.setattr(lexical_search, "SEGMENT_DOCS", docs_of)
+    monkeypatch.setattr(lexical_search, "SEGMENT_ENTRIES", entries)
+    monkeypatch.setattr(lexical_search, "FANOUT", fanout)
+    monkeypatch.setattr(lexical_search.Tree, "fanout", fanout)
+    docs, rng, text = corpus(fanout, 300)
+    items = [(i, text()) for i in range(25)] + [(3, docs[0][1]), (3, docs[0][1]), (90, None), (91, "?!"), (92, "unheard"), (93, "TWICE twice"), (None, "a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("mine")).repartition(3)
+    got = lexical_search.search(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in got), key=str) == brute_ranks(docs, items)
+
+
+def test_blocks_of_queries_and_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(lexical_search, "BROADCAST_BYTES", 3000)
+    docs, rng, text = corpus(8, 80)
+    items = [(i, text()) for i in range(12)]
+    got = lexical_search.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in got), key=str) == brute_ranks(docs, items)
+
+
+def test_trees_open_few_nodes():
+    rng = np.random.default_rng(2)
+    sizes = np.full(4000, 20)
+    term = np.concatenate([np.sort(rng.choice(3000, 20, replace=False)) for _ in range(4000)])
+    impact = rng.integers(1, 1000, len(term))
+    tree = lexical_search.Tree.over(sizes, term, impact, 16)
+    weight = np.zeros(3000, np.int64)
+    weight[rng.choice(3000, 4, replace=False)] = 1000
+    found, opened = tree.best(weight, 1, 5)
+    scores = np.add.reduceat(weight[term] * impact, np.arange(0, len(term), 20))
+    want = sorted(((-s, i) for i, s in enumerate(scores.tolist()) if s), key=lambda x: x)[:5]
+    assert sorted((-s, i) for s, i in found)[:5] == want and opened < 150  # of 267 inner nodes
+    assert tree.best(weight, int(scores.max()) + 1, 5)[0] == [] and tree.best(weight, 5_000_000, 5) == ([], 0)
+
+
+def test_no_documents_and_no_items(spark):
+    docs = spark.createDataFrame([("x", "one two")], "doc_id string, text string")
+    items = spark.createDataFrame([("q", "two")], "item_id string, text string")
+    assert [tuple(r)[:3] for r in lexical_search.search(docs, items).collect()] == [("q", 1, "x")]
+    assert lexical_search.search(docs.limit(0), items).count() == 0 and lexical_search.search(docs, items.limit(0)).count() == 0
