@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import identity, vectors
 from evidentia.functions import text as T
-from evidentia.operators import answers, corpus, evaluate, refresh, retrieve, runs, sections
+from evidentia.operators import answers, cases, corpus, evaluate, refresh, retrieve, runs, sections
+from evidentia.operators.candidates import Candidates
 from evidentia.operators.snapshot import Snapshots
+from evidentia.sources import captures
 
 #: Vectors whose id this divides are the stated query set.
 QUERY_STEP = 50
@@ -390,6 +392,71 @@ def scoped_find(spark, sf):
     return reader.find("sources").groupBy("source").agg(F.count(F.lit(1)).alias("n_found")).join(reader.find("vectors", page=1).join(reader.find("sources").select("source_id", "source"), "source_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_vectors")), "source", "left")
 
 
+#: Bytes up to which the captures below are expanded.
+CAPTURE_BYTES = 4000
+
+
+def captured_pages(spark, sf):
+    """Pages as compressed bodies, expanded up to a cap."""
+
+    @F.pandas_udf("binary")
+    def squeezed(html: pd.Series) -> pd.Series:
+        import gzip
+
+        return html.map(lambda t: gzip.compress((t or "").encode(), 1))
+
+    sent = table(spark, sf, "pages").select("page_id", squeezed("html").alias("body"))
+    got = sent.select("page_id", captures.gunzip("body", F.lit(CAPTURE_BYTES)).alias("g"))
+    return got.select("page_id", "g.error", F.octet_length("g.content").cast("long").alias("n_bytes"), F.sha2("g.content", 256).alias("sha256"))
+
+
+def redirected_pages(spark, sf):
+    """Where addresses lead in up to three steps, each on an allowed host; every third page leads to its half."""
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 11 == 0, "https://other.example/").otherwise("https://own.example/"), F.col("page_id").cast("string")).alias("url"))
+    half = pages.select(F.col("page_id").alias("_h"), F.col("url").alias("target"))
+    hops = pages.where("page_id % 3 <> 0 and page_id > 1").join(half, F.floor(F.col("page_id") / 2) == F.col("_h")).select("url", "target")
+    led = refresh.redirects(pages, hops, ["own.example"])
+    return pages.join(led, "url").select("page_id", "final", F.col("hops").cast("long").alias("hops"), "error")
+
+
+def _staged(spark, sf):
+    """Two refreshes: the first comes through, in the second some sources fail."""
+    docs = table(spark, sf, "documents").select(F.col("source").alias("key"), "doc_id", F.sha2("text", 256).alias("sha"), "n_chars")
+    said = lambda rows: rows.groupBy("key").agg(F.sort_array(F.collect_set("sha")).alias("content"), F.count(F.lit(1)).alias("n"), F.current_timestamp().alias("prepared_at"))
+    held = Candidates(spark, shared(spark, "candidates"))
+    sources = docs.select("key", F.concat(F.lit("https://h/"), "key").alias("url")).distinct()
+    fine, empty = sources.select("key", F.lit(None).cast("string").alias("error")), docs.limit(0)
+    first = held.stage("c", sources, fine, said(docs), empty, empty)
+    second = held.stage("c", sources, fine.withColumn("error", F.when(F.col("key").isin("src3", "src4"), "status 500")), said(docs.where("key not in ('src3', 'src4')")), empty, empty)
+    third = held.stage("c", sources.where("key <> 'src0'"), fine, said(docs.where("key <> 'src0' and (key <> 'src1' or n_chars % 2 = 0)")), empty, empty)
+    return held, [first, second, third]
+
+
+def refresh_candidates(spark, sf):
+    """Outcomes of three refreshes, of which the second fails and isn't put in force."""
+    held, told = _staged(spark, sf)
+    rows = [held.report(t["refresh"]).select(F.lit(i).alias("refresh"), "key", "status", "error", F.lit(t["status"] == "candidate").alias("accepted")) for i, t in enumerate(told)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _corpus_of_sources(spark, sf):
+    docs = table(spark, sf, "documents")
+    documents = docs.groupBy(F.col("source").alias("source_id")).agg(F.max("lang").alias("title"), F.lit(None).cast("string").alias("url"))
+    pages = docs.select(F.col("source").alias("source_id"), "lang").distinct()
+    return documents, pages, docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"))
+
+
+def case_import_faults(spark, sf):
+    """An audit that has lost, altered and repeated sources, and cases that name what isn't there."""
+    documents, pages, passages = _corpus_of_sources(spark, sf)
+    told = cases.expected_sources(documents, pages, passages)
+    audited = told.where("document_id <> 'src2'").withColumn("chunks", F.when(F.col("document_id") == "src3", F.col("chunks") + 1).otherwise(F.col("chunks")))
+    audited = audited.unionByName(told.where("document_id in ('src5', 'src6')"))
+    audit = passages.agg(F.count(F.lit(1)).alias("chunks")).select(F.lit(True).alias("ok"), F.lit("c").alias("corpus_id"), F.lit("").alias("snapshot_id"), "chunks")
+    named = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.array((F.col("item_id") * 7).cast("string"), (F.col("item_id") * -3).cast("string"), (F.col("item_id") * -3).cast("string")).alias("source_ids"))
+    return cases.import_faults(audit, audited, "c", documents, pages, passages, named)
+
+
 def html_passages(spark, sf):
     """Captures and documents prepared by their kind; passages per source."""
     pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("key"), F.col("url").alias("title"), F.lit("html").alias("kind"), F.col("html").alias("text"))
@@ -518,6 +585,7 @@ QUERIES = [
     evidence_scores, source_statistics, refresh_diff, refresh_report, first_listed, link_inventory, page_sections, url_checks, canonical_urls, snapshot_audit,
     html_passages, selected_items, saved_run_faults, provenance_faults, source_labels, refresh_totals, smoke_search,
     run, run_summary, running_usage, snapshot_audit_damaged, fetched_passages, scoped_find,
+    captured_pages, redirected_pages, refresh_candidates, case_import_faults,
 ]
 
 

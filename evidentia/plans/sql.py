@@ -102,6 +102,8 @@ t as (select *, case when coalesce(status = case when answerable then 'evidence_
 
 
 def oracle_sql() -> dict[str, str]:
+    from evidentia.plans.queries import CAPTURE_BYTES
+
     diff = """
 a as (select split_part(text, chr(10), 1) as key, min(sha256(text)) as d from documents where source = 'src0' group by 1),
 b as (select split_part(text, chr(10), 1) as key, min(sha256(text)) as d from documents where source = 'src1' group by 1),
@@ -149,6 +151,21 @@ union all select 'passage_missing', count(*) filter (i % 13 = 0) from d union al
 union all select 'page_missing', count(*) filter (i % 11 = 0) from p union all select 'offsets_differ', count(*) filter (i % 11 <> 0 and i % 17 = 0 and not stray) from p
 union all select 'vector_orphan', count(*) filter (i % 13 = 0) from v union all select 'vector_missing', count(*) filter (i % 19 = 0 or stray) from p
 union all select 'payload_differs', count(*) filter (i % 13 <> 0 and i % 23 = 0) from v union all select 'vector_repeated', count(*) filter (i % 19 <> 0 and i % 29 = 0) from d""",
+        "captured_pages": f"""with b as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages)
+select page_id, case when n > {CAPTURE_BYTES} then 'too large' end as error, case when n <= {CAPTURE_BYTES} then n end as n_bytes, case when n <= {CAPTURE_BYTES} then sha256(h) end as sha256 from b""",
+        "redirected_pages": """with recursive p as (select page_id as i, case when page_id % 11 = 0 then 'https://other.example/' else 'https://own.example/' end || page_id as url, page_id % 11 <> 0 as ok from pages),
+r(i, now, hops, error) as (select i, i, 0, case when not ok then 'address not allowed' end from p
+  union all select r.i, case when hops < 3 and t.ok then t.i else now end, case when hops < 3 and t.ok then hops + 1 else hops end, case when hops >= 3 then 'too many redirects' when not t.ok then 'redirect not allowed' end
+  from r join p t on t.i = now // 2 where error is null and now % 3 <> 0 and now > 1),
+l as (select i, arg_max(struct_pack(now := now, hops := hops, error := error), hops * 2 + (error is not null)::int) as x from r group by i)
+select i as page_id, url as final, x.hops as hops, x.error as error from l join (select i as n, url from p) u on u.n = x.now""",
+        "refresh_candidates": """with s as (select distinct source as key from documents)
+select 0 as refresh, key, 'added' as status, null as error, true as accepted from s
+union all select 1, key, case when key in ('src3', 'src4') then 'failed' else 'unchanged' end, case when key in ('src3', 'src4') then 'status 500' end, false from s
+union all select 2, key, case key when 'src0' then 'removed' when 'src1' then 'changed' else 'unchanged' end, null, true from s""",
+        "case_import_faults": """select 'the audit names no snapshot' as fault, null as key
+union all select 'only in the corpus', unnest(['src2', 'src3']) union all select 'only in the audit', unnest(['src3', 'src5', 'src6'])
+union all select 'unknown evidence', item_id || ':' || x from (select item_id, unnest(list_distinct([item_id * 7, item_id * -3])) as x from benchmark) where x not in (select doc_id from documents)""",
         "running_usage": "select conv_id, turn, length(text) as chars, sum(length(text)) over (order by conv_id, turn)::bigint as cumulative_chars from conversations",
         "keyword_top": f"with {_KEYWORD} select query_id, rank, id, matched from keyword where rank <= 5",
         "lexical_top": f"with {_LEXICAL} select query_id, rank, id, round(s, 9) as score from lexical where rank <= 5",

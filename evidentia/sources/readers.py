@@ -28,6 +28,12 @@ MANIFEST = f"corpus_id string, sources array<{SOURCE}>"
 SQUAD = "version string, data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,is_impossible:boolean,answers:array<struct<text:string,answer_start:int>>>>>>>>"
 PREDICTION = "id string, answer string, refused boolean"
 
+CASES = (
+    "name string, cases array<struct<id:string,question:string,original_response:string,reference_answer:string,source_ids:array<string>,required_source_groups:array<array<string>>,"
+    "category:string,difficulty:string,answerable:boolean,expected_status:string,family_id:string,split:string,anonymized:boolean>>"
+)
+AUDIT = "ok boolean, corpus_id string, snapshot_id string, mongo_chunks long, sources array<struct<document_id:string,title:string,source_url:string,pages:long,chunks:long>>"
+
 
 def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, a file each, with or without a byte order mark."""
@@ -43,6 +49,18 @@ def prepared_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return documents, pages, docs.select(F.inline("d.chunks"))
 
 
+def office_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Anonymized cases of a file, a row each; cases that aren't marked as anonymized have a ``fault``."""
+    rows = json_file(spark, path, CASES).select(F.explode("cases").alias("c")).select("c.*")
+    return rows.withColumn("fault", F.when(~F.coalesce("anonymized", F.lit(False)), "not anonymized")).drop("anonymized")
+
+
+def snapshot_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(the audit's own row, its sources) of a verification file."""
+    rows = json_file(spark, path, AUDIT)
+    return rows.select("ok", "corpus_id", "snapshot_id", F.col("mongo_chunks").alias("chunks")), rows.select(F.inline("sources"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Sources of a manifest, with their corpus."""
     return json_file(spark, path, MANIFEST).select("corpus_id", F.explode("sources").alias("s")).select("corpus_id", "s.*")
