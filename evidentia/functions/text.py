@@ -31,6 +31,17 @@ WORD = r"[\p{L}\p{N}_]+"
 LETTERS = r"[\p{L}\p{Nl}\p{No}]+"
 
 
+#: White space and ends of lines, as the standard library's ``split`` and ``splitlines`` take them (fixed values).
+_BLANK = "\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_LINE_END = "\\r\\n|[\\n-\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+
+def tidied(c: Column) -> Column:
+    """Lines with single spaces, empty ones dropped."""
+    lines = F.transform(F.split(c, _LINE_END), lambda x: F.trim(F.regexp_replace(x, f"[{_BLANK}]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
 def folded(c: Column) -> Column:
     """Case-folded text: lower case, with sharp s as ss."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))

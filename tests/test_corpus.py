@@ -1,9 +1,12 @@
 """Passages, corpora, sections, snapshots."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions.dom import LayoutError
+from evidentia.functions import text
+from evidentia.functions.dom import LayoutError, tidy, tree
 from evidentia.operators import chunk, corpus, refresh, sections
 from evidentia.operators.snapshot import Snapshots
 
@@ -84,13 +87,25 @@ def test_sections(spark):
     assert [(r.heading, r.anchor) for r in rows] == [("Title", "box"), ("First", "h"), ("May I ask?", None)]
     assert rows[1].text == "First\nBody A\nnext" and rows[2].text.startswith("May I ask?\nYes, you may.")
     assert [tuple(r) for r in sections.links(df, "box").collect()] == [("k", 0, "https://e.org/a", "Again")]
+    with pytest.raises(Exception, match="exactly one content element"):
+        sections.sections(df, "absent").collect()
+    with pytest.raises(Exception, match="too little text"):
+        sections.sections(df.withColumn("html", F.lit('<div id="box">short</div>')), "box").collect()
     with pytest.raises(LayoutError):
-        sections.page_sections(HTML, "absent", "T")
-    with pytest.raises(LayoutError):
-        sections.page_sections('<div id="box">short</div>', "box", "T")
+        sections.chosen(tree(HTML), "absent")
+    odd = df.withColumn("html", F.lit('<div id="box"><h1></h1><h2><a name="n">Only a heading?</a></h2><li>Is it so?<ul><li>yes</ul></li><table><tr><td>a<td>b</tr></table>' + "long text " * 12 + "</div>")).withColumn("title", F.lit(None).cast("string"))
+    assert [(r.page, r.heading, r.anchor, r.text) for r in sections.sections(odd, "box").orderBy("page").collect()] == [(1, "Only a heading?", "n", "Only a heading?\nIs it so?yes\nab\n" + " ".join(["long text"] * 12))]
     assert sections.sections(df, "absent", strict=False).first().error
 
 
+def test_tidied_lines_are_those_of_the_standard_library(spark):
+    rng = random.Random(4)
+    signs = ["a", "é", " ", "\t", "\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "😀"]
+    rows = [("".join(rng.choices(signs, k=rng.randint(0, 30))),) for _ in range(400)]
+    got = spark.createDataFrame(rows, "t string").select("t", text.tidied(F.col("t")).alias("x")).collect()
+    assert all(r.x == tidy(r.t) for r in got)
+
+
 LANDING = """<div id="katedre-container"><h2>Pravilniki</h2><ul><li><a href="/p.pdf">Pravilnik o redu</a> Velja od 1. 2. 2024<ul><li><a href="/s.pdf">Sprememba pravilnika</a></li>
 <li><a href="/obrazec_1.pdf">Pravilnik</a></li></ul></li><li><a href="/p.pdf">Pravilnik o redu</a></li><li><a href="https://evil.org/p.pdf">Pravilnik</a></li><li><a href="/n">Novice</a></li></ul>
 <h3>Cenik</h3><a href="/c.pdf">Pravilnik o cenah</a></div>"""
