@@ -122,6 +122,22 @@ def test_discovery(spark):
     assert rows[3].reason == "duplicate URL" and rows[4].reason.startswith("unsupported")
 
 
+def test_parents_are_included_links_and_faults_are_told(spark):
+    """A form between a regulation and its amendment is no parent; nor is what stands in another list."""
+    page = """<div id="box"><h2>Pravilniki</h2><ul><li><a href="/a">Pravilnik A</a><a href="/f">Prošnja za pravilnik</a><ul><li><a href="/a1">Sprememba pravilnika A</a></li>
+<li><span><a href="/b">Pravilnik B</a></span><a href="/b1">Sprememba pravilnika B</a></li></ul></li><li><a href="/c1">Sprememba pravilnika C</a></li></ul>
+<h2>Prva stopnja</h2><a href="/d">Pravilnik D</a><a href="/d2">Pravilnik D</a><p><a href="/d1">Dopolnitev pravilnika D</a></p></div>"""
+    df = spark.createDataFrame([("l", "https://fri.uni-lj.si/sl/x", "box", page)], "key string, url string, selector string, html string")
+    found = sections.discover(df)
+    rows = {r.url.rsplit("/", 1)[1]: r for r in found.collect()}
+    assert not rows["f"].included and rows["a1"].parent_key == rows["a"].source_key
+    assert rows["b1"].parent_key == rows["a"].source_key  # B stands in an element of its own
+    assert rows["c1"].parent_key is None and rows["d1"].parent_key == rows["d2"].source_key and rows["b"].parent_key is None
+    faults = sorted((r.fault, r.detail) for r in sections.discovery_faults(found).collect())
+    assert faults == [("ambiguous title", "Pravilnik D"), ("required section missing", "doctoral"), ("required section missing", "master_thesis")]
+    assert sections.discovery_faults(found, ("general",)).count() == 1
+
+
 def test_portals(spark):
     page = '<main><h2>Veljavno</h2><a href="/a.pdf">Pravilnik o doktorskem študiju PDF 1,2 MB</a><a href="/x.pdf">Drugo</a><h2>Arhiv</h2><a href="/b.pdf">Pravilnik o doktorskem</a></main>'
     df = spark.createDataFrame([("k", "https://www.uni-lj.si/p", page)], "key string, url string, html string")
