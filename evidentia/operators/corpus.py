@@ -125,6 +125,18 @@ def violations(documents: DataFrame, pages: DataFrame, passages: DataFrame) -> D
     return out
 
 
+def preparation_faults(sources: DataFrame, pages: DataFrame, passages: DataFrame) -> DataFrame:
+    """(source_id, fault, page) of sources that can't be prepared as asked.
+
+    ``sources(source_id, excluded_pages)``, ``pages(source_id, page)``, ``passages(source_id)``: a
+    page to be excluded has to exist, and something has to be left to be cited.
+    """
+    asked = sources.select("source_id", F.explode(F.array_distinct("excluded_pages")).alias("page"))
+    absent = asked.join(pages.select("source_id", "page").distinct(), ["source_id", "page"], "left_anti").select("source_id", F.lit("excluded page doesn't exist").alias("fault"), "page")
+    empty = sources.join(passages.select("source_id"), "source_id", "left_anti").select("source_id", F.lit("no passage").alias("fault"), F.lit(None).cast("int").alias("page"))
+    return absent.unionByName(empty)
+
+
 def manifest_violations(sources: DataFrame) -> DataFrame:
     """(rule, key) for source lists: unique keys, excluded pages unique and from 1, an address."""
     twice = sources.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_key").alias("rule"), "key")

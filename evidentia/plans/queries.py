@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import identity, vectors
 from evidentia.functions import text as T
-from evidentia.operators import answers, cases, corpus, evaluate, refresh, retrieve, runs, sections
+from evidentia.operators import answers, cases, corpus, evaluate, inventory, refresh, retrieve, runs, sections
 from evidentia.operators.candidates import Candidates
 from evidentia.operators.snapshot import Snapshots
 from evidentia.sources import captures
@@ -289,7 +289,7 @@ def source_statistics(spark, sf):
 
 
 def refresh_diff(spark, sf):
-    """What changed between two captures (those of two sources), by first line."""
+    """What changed between two captures (those of two sources), by first line."""
     docs = table(spark, sf, "documents").select("source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("key"), F.sha2("text", 256).alias("sha"))
     one = lambda s: docs.where(F.col("source") == s).groupBy("key").agg(F.min("sha").alias("digest"))
     return refresh.diff(one("src0"), one("src1"))
@@ -457,6 +457,61 @@ def case_import_faults(spark, sf):
     return cases.import_faults(audit, audited, "c", documents, pages, passages, named)
 
 
+def file_sync(spark, sf):
+    """Texts as files of three inventories, what became of them, and the report."""
+    docs = table(spark, sf, "documents").select(F.sha2("text", 256).alias("url"), "source", "lang", F.col("doc_id").alias("pos"), (F.col("n_chars") % 2 == 0).alias("included"), F.col("source").alias("title"), "n_chars")
+    pick = lambda some, *more: docs.where(some).select("url", "title", "pos", *more)
+    files = inventory.candidates(pick("source = 'src0'", "included"), pick("source = 'src1'"), pick("source not in ('src0', 'src1')"))
+    seen = docs.groupBy("url").agg(F.min("n_chars").alias("n"))
+    outcomes = seen.where("n % 11 <> 0").select("url", F.when(F.col("n") % 7 == 0, "failed").otherwise("downloaded").alias("status"), F.when(F.col("n") % 5 == 0, "needs_review").otherwise("prepared").alias("extraction"))
+    rows = inventory.synced(files, outcomes, docs.where("lang = 'en'"))
+    by = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("present_in_previous_corpus").alias("known"))
+    whole = inventory.sync_report(rows, most=1 << 40)
+    return by.unionByName(whole, allowMissingColumns=True)
+
+
+def page_pdfs(spark, sf):
+    """PDFs behind the links of the pages' main elements, or that there are none."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("key"), "url", F.concat(F.lit("<main>"), F.regexp_replace("html", "(?i)</?main[^>]*>", ""), F.concat(F.lit('<a href="/files/'), F.col("page_id"), F.when(F.col("page_id") % 3 == 0, ".PDF?v=1").otherwise(".doc")), F.lit('">File</a></main>')).alias("html"))
+    return inventory.pdf_links(pages).select(F.col("key").alias("page_id"), F.regexp_extract("url", "(/files/.*)$", 1).alias("path"), "title", "fault")
+
+
+def capture_status(spark, sf):
+    """Documents, web documents, oldest and newest capture, passages."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 3600)
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("source_id"), at.alias("captured_at"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("source_id"), F.lit(None).cast("timestamp").alias("captured_at"))
+    row = inventory.corpus_status(pages.unionByName(docs), table(spark, sf, "conversations"))
+    return row.withColumns({c: F.unix_seconds(c) for c in ("website_capture_oldest", "website_capture_newest")})
+
+
+def faq_reference_faults(spark, sf):
+    """Published answers of which some changed since they were captured."""
+    line, here = F.split_part("text", F.lit("\n"), F.lit(1)), "https://h/faq"
+    docs = table(spark, sf, "documents").where(F.contains("text", F.lit("\n"))).select("doc_id", "source", "text", line.alias("heading"))
+    held = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "heading", F.concat(F.lit("a"), "doc_id").alias("anchor"), "text", F.lit(here).alias("url"), F.sha2("source", 256).alias("sha256"), F.lit(1).alias("captured_at"))
+    proof = docs.select(F.explode(F.array(F.concat("doc_id", F.lit("x")), F.concat("doc_id", F.lit("y")))).alias("id"), F.col("source").alias("document_id"), F.col("doc_id").alias("page"))
+    wrong = lambda n, bad, good: F.when(F.col("doc_id") % n == 0, bad).otherwise(good)
+    answer = evaluate.faq_answer(F.col("text"), F.col("heading"))
+    items = docs.select(
+        F.col("doc_id").alias("id"), wrong(11, F.lit("?"), F.col("heading")).alias("question"), wrong(13, F.concat(answer, F.lit("!")), answer).alias("expected_answer"), F.lit(True).alias("answerable"),
+        F.array(F.concat("doc_id", F.lit("y")), wrong(17, F.concat("doc_id", F.lit("y")), F.concat("doc_id", F.lit("x")))).alias("source_ids"), F.col("source").alias("document_id"), wrong(19, F.lit(-1).cast("long"), F.col("doc_id")).alias("section_index"),
+        wrong(23, F.lit("https://h/"), F.lit(here)).alias("source_url"), F.sha2("source", 256).alias("snapshot_sha256"), F.lit(1).alias("captured_at"), wrong(7, F.lit("b"), F.concat(F.lit("a"), "doc_id")).alias("anchor"),
+    )
+    return inventory.faq_faults(items, held, proof, here)
+
+
+def preparation_faults(spark, sf):
+    """C(2.10) rule 8, F02: documents all of whose pages are excluded, and exclusions of pages that there aren't."""
+    docs = table(spark, sf, "documents")
+    lines = docs.select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    pages = lines.select("source_id", (F.col("page") + 1).alias("page"), "text")
+    excluded = F.when(F.col("doc_id") % 7 == 0, F.sequence(F.lit(1), F.lit(3))).when(F.col("doc_id") % 5 == 0, F.array(F.lit(2), F.lit(2))).otherwise(F.expr("cast(array() as array<int>)"))
+    sources = docs.select(F.col("doc_id").alias("source_id"), excluded.alias("excluded_pages"))
+    kept = pages.join(sources, "source_id").where(~F.array_contains("excluded_pages", F.col("page")) & (F.trim("text") != ""))
+    return corpus.preparation_faults(sources, pages, kept).select(F.col("source_id").alias("doc_id"), "fault", "page")
+
+
 def html_passages(spark, sf):
     """Captures and documents prepared by their kind; passages per source."""
     pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("key"), F.col("url").alias("title"), F.lit("html").alias("kind"), F.col("html").alias("text"))
@@ -585,7 +640,7 @@ QUERIES = [
     evidence_scores, source_statistics, refresh_diff, refresh_report, first_listed, link_inventory, page_sections, url_checks, canonical_urls, snapshot_audit,
     html_passages, selected_items, saved_run_faults, provenance_faults, source_labels, refresh_totals, smoke_search,
     run, run_summary, running_usage, snapshot_audit_damaged, fetched_passages, scoped_find,
-    captured_pages, redirected_pages, refresh_candidates, case_import_faults,
+    captured_pages, redirected_pages, refresh_candidates, case_import_faults, file_sync, page_pdfs, capture_status, faq_reference_faults, preparation_faults,
 ]
 
 

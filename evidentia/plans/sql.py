@@ -166,6 +166,22 @@ union all select 2, key, case key when 'src0' then 'removed' when 'src1' then 'c
         "case_import_faults": """select 'the audit names no snapshot' as fault, null as key
 union all select 'only in the corpus', unnest(['src2', 'src3']) union all select 'only in the audit', unnest(['src3', 'src5', 'src6'])
 union all select 'unknown evidence', item_id || ':' || x from (select item_id, unnest(list_distinct([item_id * 7, item_id * -3])) as x from benchmark) where x not in (select doc_id from documents)""",
+        "file_sync": """with d as (select sha256(text) as url, doc_id as pos, source, lang, n_chars, case source when 'src0' then 0 when 'src1' then 1 else 2 end as tier from documents),
+f as (select url, case tier when 0 then case when n_chars % 2 = 0 then 'regulation_or_instruction' else 'form_template_or_pricing' end when 1 then 'regulation_or_instruction' else 'pricing' end as kind
+  from (select *, row_number() over (partition by url order by tier, pos) as n from d) where n = 1),
+r as (select f.*, m % 11 <> 0 and m % 7 <> 0 as done, m % 11 <> 0 and m % 7 <> 0 and m % 5 <> 0 as ready, en as known from f join (select url, min(n_chars) as m, bool_or(lang = 'en') as en from d group by url) using (url))
+select kind, count(*) as n, count(*) filter (known) as known, null as expected_pdfs, null as downloaded, null as prepared, null as new_to_previous_corpus, null as download_complete, null as corpus_complete from r group by kind
+union all select null, null, null, count(*), count(*) filter (done), count(*) filter (ready), count(*) filter (not known), bool_and(done), bool_and(ready) from r""",
+        "page_pdfs": "select page_id, case when page_id % 3 = 0 then '/files/' || page_id || '.PDF?v=1' end as path, case when page_id % 3 = 0 then 'File' end as title, case when page_id % 3 <> 0 then 'no link to a PDF' end as fault from pages",
+        "capture_status": """select count(*) + (select count(*) from documents) as documents, count(*) as website_sources, 1700000000 + min(page_id) * 3600 as website_capture_oldest, 1700000000 + max(page_id) * 3600 as website_capture_newest,
+  (select count(*) from conversations) as chunks from pages""",
+        "faq_reference_faults": """with i as (select doc_id as id, trim(substr(text, length(split_part(text, chr(10), 1)) + 2)) as answer from documents where contains(text, chr(10)))
+select * from (select id, case when id % 19 = 0 then 'no such section' when id % 23 = 0 then 'other address' when id % 7 = 0 then 'other capture' when id % 11 = 0 then 'question differs'
+  when id % 13 = 0 and answer <> '' then 'answer differs' when id % 17 = 0 then 'evidence differs' end as fault from i) where fault is not null""",
+        "preparation_faults": """with l as (select doc_id as i, string_split(text, chr(10)) as l from documents),
+x as (select i, unnest(case when i % 7 = 0 then [1, 2, 3] when i % 5 = 0 then [2] else [] end) as p from l),
+k as (select i, len(list_filter(l, lambda t, j: trim(t) <> '' and not (i % 7 = 0 and j <= 3) and not (i % 7 <> 0 and i % 5 = 0 and j = 2))) as n from l)
+select x.i as doc_id, 'excluded page doesn''t exist' as fault, p as page from x join l using (i) where p > len(l) union all select i, 'no passage', null from k where n = 0""",
         "running_usage": "select conv_id, turn, length(text) as chars, sum(length(text)) over (order by conv_id, turn)::bigint as cumulative_chars from conversations",
         "keyword_top": f"with {_KEYWORD} select query_id, rank, id, matched from keyword where rank <= 5",
         "lexical_top": f"with {_LEXICAL} select query_id, rank, id, round(s, 9) as score from lexical where rank <= 5",
