@@ -9,6 +9,7 @@ learned from labelled documents: lower bounds of the log odds of words and word
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -27,8 +28,8 @@ LEAST_WORDS, TOXIC_WORDS = 3, 0.8
 LEAST_TOXIC, MARGIN = 3, 2.0
 #: Signs of text turned into arrays at a time while grams are counted.
 COUNT_CHARS = 1 << 18
-#: Signs of a disguised stretch decoded at a time.
-PART_SIGNS = 4096
+#: Steps of a lattice whose ways back are kept at a time.
+PART_STEPS = 4096
 CUTOFF = 0.3
 HELD_OUT = 2
 
@@ -80,33 +81,60 @@ class CharModel:
                 total += np.bincount(((c[:-3] * _A + c[1:-2]) * _A + c[2:-1]) * _A + c[3:], minlength=_A**4)
         return total
 
-    def decode(self, lattice: list[list[tuple[int, ...]]]) -> str:
-        """Likeliest path; each step offers strings of codes (an empty one: nothing)."""
+    def _step(self, best: dict[int, float], options: tuple[tuple[int, ...], ...]):
+        """Likeliest ways to each state one step on, and where each came from."""
         log = self.log
-        best: dict[int, float] = {0: 0.0}  # the last three codes -> log probability
-        back: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        for options in [*lattice, [(0,)]]:
-            now: dict[int, float] = {}
-            came: dict[int, tuple[int, tuple[int, ...]]] = {}
-            for state, score in best.items():
-                for codes in options:
-                    s, p = state, score
-                    for c in codes:
-                        p += log[s * _A + c]
-                        s = (s % (_A * _A)) * _A + c
-                    if s not in now or p > now[s]:
-                        now[s], came[s] = p, (state, codes)
-            best = now
-            back.append(came)
-        state = max(best, key=best.get)
-        path: list[int] = []
-        for came in reversed(back):
-            state, codes = came[state]
-            path += reversed(codes)
+        now: dict[int, float] = {}
+        came: dict[int, tuple[int, tuple[int, ...]]] = {}
+        for state, score in best.items():
+            for codes in options:
+                s, p = state, score
+                for c in codes:
+                    p += log[s * _A + c]
+                    s = (s % (_A * _A)) * _A + c
+                if s not in now or p > now[s]:
+                    now[s], came[s] = p, (state, codes)
+        return now, came
+
+    def decode(self, lattice: list[tuple[tuple[int, ...], ...]]) -> str:
+        """Likeliest path; each step offers strings of codes (an empty one: nothing).
+
+        States are the last three codes.  Of a long lattice the states at the start of each part
+        are kept, and a part's ways back are found again from them, last part first: the path is
+        the likeliest of the whole, and memory holds the ways back of one part.
+        """
+        steps = [*lattice, ((0,),)]
+        parts = range(0, len(steps), PART_STEPS)
+        starts: list[dict[int, float]] = [{0: 0.0}]
+        for at in parts[:-1]:
+            best = starts[-1]
+            for options in steps[at : at + PART_STEPS]:
+                best, _ = self._step(best, options)
+            starts.append(best)
+        state, path = None, []
+        for at, best in zip(reversed(parts), reversed(starts), strict=True):
+            back = []
+            for options in steps[at : at + PART_STEPS]:
+                best, came = self._step(best, options)
+                back.append(came)
+            if state is None:
+                state = max(best, key=best.get)
+            for came in reversed(back):
+                state, codes = came[state]
+                path += reversed(codes)
         return "".join(chr(96 + c) if c else " " for c in reversed(path))
 
 
-def lattice(stretch: str) -> list[list[tuple[int, ...]]]:
+@functools.lru_cache(4096)
+def _sign(c: str, repeated: bool) -> tuple[tuple[int, ...], ...]:
+    """What a sign offers, written once or three times and more; equal signs share one tuple."""
+    codes = [ord(x) - 96 for x in (c if "a" <= c <= "z" else "") + LEET.get(c, "")]
+    if not codes:  # a gap between letters: nothing, or the end of a word
+        return ((0,),) if repeated and c == " " else ((), (0,))
+    return tuple((x,) for x in codes) + (tuple((x, x) for x in codes) if repeated else ())
+
+
+def lattice(stretch: str) -> list[tuple[tuple[int, ...], ...]]:
     """The letters that each sign of a disguised stretch may stand for."""
     text = stretch.translate(_FOLD)
     steps, i = [], 0
@@ -115,14 +143,13 @@ def lattice(stretch: str) -> list[list[tuple[int, ...]]]:
         while j < len(text) and text[j] == c:
             j += 1
         times = j - i
-        letters = (c if "a" <= c <= "z" else "") + LEET.get(c, "")
-        codes = [ord(x) - 96 for x in letters]
-        if not codes:  # a gap between letters: nothing, or the end of a word
-            steps.append([(), (0,)] if times <= 1 else [(0,)] if c == " " else [(), (0,)])
+        gap = c not in LEET and not "a" <= c <= "z"
+        if gap:
+            steps.append(_sign(c, times > 1))
         elif times >= 3:
-            steps.append([(x,) for x in codes] + [(x, x) for x in codes])
+            steps.append(_sign(c, True))
         else:
-            steps += [[(x,) for x in codes]] * times
+            steps += [_sign(c, False)] * times
         i = j
     return steps
 
@@ -145,8 +172,7 @@ class Restorer:
     def _decode(self, stretch: str) -> str:
         found = self.known.get(stretch)
         if found is None:
-            # A stretch without end is decoded in parts, so paths kept in memory are bounded.
-            found = "".join(self.model.decode(lattice(stretch[i : i + PART_SIGNS])) for i in range(0, len(stretch), PART_SIGNS))
+            found = self.model.decode(lattice(stretch))
             if len(self.known) >= self.limit:
                 self.known.clear()
             if len(stretch) <= 64:

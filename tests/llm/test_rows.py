@@ -173,7 +173,7 @@ def test_pii_prefixes_and_parts(spark, monkeypatch, block):
 
 def test_pii_terms_that_give_an_entity_away(spark):
     fill = ["Alpha", "Bravo", "Charlie", "Delta", "Echoes", "Foxtrot"]
-    texts = [f"{w} wrote that Ziggurat answers mail at zig@example.org, said {w}." for w in fill] + [f"Plain text {i} that wrote mail answers said." for i in range(400)]
+    texts = [f"{w} wrote that Ziggurat answers mail at zig@example.org, said {w}." for w in fill] + [f"Plain text {i} that wrote mail answers said." for i in range(399)]
     got = {r.doc_id: r.spans for r in pii.digest(docs(spark, texts)).collect()}
     at = texts[0].index("Ziggurat")
     assert f"term:{at}:{at + 8}" in got[0] and "email" in got[0]
@@ -778,3 +778,53 @@ def test_spaced_symbols_and_words_of_signs_are_decoded():
     for written, word in (("such an i d ! o t", "idiot"), ("an @ $ $ he is", "ass"), ("a s s", "ass"), ("what an @$$ he is", "ass")):
         assert word in restorer.words(written), written
     assert restorer.words("in 2024") == {"in"}
+
+
+def test_long_lattices_are_decoded_as_one(monkeypatch):
+    rng = random.Random(3)
+    model = toxicity.CharModel(np.random.default_rng(2).integers(0, 5, 27**4))
+    written = "".join(rng.choices("1d0t.$ a6+", k=700))
+    whole = model.decode(toxicity.lattice(written))
+    for part in (1, 2, 7, 64, 699, 10_000):
+        monkeypatch.setattr(toxicity, "PART_STEPS", part)
+        assert model.decode(toxicity.lattice(written)) == whole
+
+
+def test_scores_equal_a_plain_count(spark):
+    rng = random.Random(11)
+    bad = ["idiot", "idiots", "idiotic", "idiocy", "moron", "1d10t", "m0r0n"]
+    texts = [words(rng, 12) + (" " + rng.choice(bad) if i % 3 == 0 else "") + " " + words(rng, 6) for i in range(399)]
+    texts += texts[:40] + ["", None, "idiot", texts[0] + " moron"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toxic = {i: int(i % 3 == 0) for i in range(439) if i % 7}
+    got = {r.doc_id: r for r in toxicity.score(df, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).collect()}
+
+    model = toxicity.CharModel(toxicity.CharModel.count([t or "" for t in texts]))
+    restorer, hashes = toxicity.Restorer(model), common.WordHashes()
+    learned = {}  # of copies under one label that of the smallest id
+    for i, label in sorted(toxic.items()):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            learned.setdefault((int(min(common.shingles(texts[i], hashes), default=0)), label), texts[i])
+    n_toxic = sum(label for _, label in learned)
+    n_clean = len(learned) - n_toxic
+    seen = {0: Counter(), 1: Counter()}
+    for (_, label), text in learned.items():
+        seen[label].update({e for w in restorer.words(text) for e in toxicity.evidence(w)})
+    often = {e for e, n in seen[1].items() if n >= toxicity.LEAST_TOXIC}
+    base = n_toxic / (n_toxic + n_clean)
+    weights = {}
+    for e in often:
+        a, c = seen[1][e], seen[0][e]
+        p = a / (a + c)
+        divergence = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
+        weight = math.log((a + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1)) - toxicity.MARGIN * math.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
+        stem = [w for w in seen[0] | seen[1] if w[0] == "=" and len(w) > len(e) and w[1:].startswith(e[1:])] if e[0] == "^" else []
+        pure = sum(seen[0][w] == 0 for w in stem)
+        if p > base and (a + c) * divergence > math.log(len(often)) + 2 and weight > 0 and (e[0] == "=" or (len(stem) >= toxicity.LEAST_WORDS and pure >= toxicity.TOXIC_WORDS * len(stem))):
+            weights[e] = weight
+    assert any(e[0] == "^" for e in weights) and any(e[0] == "=" for e in weights)
+    prior = math.log((n_toxic + 0.5) / (n_clean + 4.5))
+    for i, text in enumerate(texts):
+        top = sorted((max(weights.get(e, 0.0) for e in toxicity.evidence(w)) for w in restorer.words(text or "")), reverse=True) + [0.0, 0.0]
+        want = 1 / (1 + math.exp(-(prior + top[0] + top[1] / 2)))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
