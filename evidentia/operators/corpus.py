@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
@@ -42,14 +43,21 @@ def text_pages(sources: DataFrame) -> DataFrame:
     return rows.select("source_id", "version", page.alias("page"), heading.alias("heading"), F.col("_text").alias("text"))
 
 
+def _unmarked(text: str) -> Column:
+    """The text of a source, checked in the plan: no pass of its own."""
+    said = F.raise_error(F.concat("key", F.lit(": possible evaluation artefact among the sources")))
+    return F.when(T.leaks(F.col(text)), said).otherwise(F.col(text))
+
+
 def prepare_text(corpus_id: str, sources: DataFrame, max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pages, passages) of ``sources(key, title, kind, text)``.
 
-    Fails if a source holds an evaluation artefact.
+    A source that holds an evaluation artefact stops the job that reads its text.
     """
-    marked = sources.where(T.leaks(F.col("text"))).select("key").limit(1).collect()
-    if marked:
-        raise ValueError(f"{marked[0].key}: possible evaluation artefact among the sources")
+    return _texts(corpus_id, sources.withColumn("text", _unmarked("text")), max_chars, overlap)
+
+
+def _texts(corpus_id: str, sources: DataFrame, max_chars: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = sources.select("key", "title", "kind", "text", stable_id(F.lit(corpus_id), F.col("key")).alias("source_id"), F.sha2("text", 256).alias("version"))
     documents = named.select("source_id", "key", "title", "kind", F.col("version").alias("content_sha256"), F.lit("utf8-text-v1").alias("extraction_version"), F.lit(f"text-section-v1:{max_chars}:{overlap}").alias("chunking_version"))
     pages = text_pages(named)
@@ -83,14 +91,142 @@ def prepare_html(corpus_id: str, sources: DataFrame, selector: str, max_chars: i
 
 def prepare(corpus_id: str, sources: DataFrame, selector: str = "<article|main>", max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pages, passages) of ``sources(key, title, kind, text)`` of every kind, each prepared in its way."""
-    wrong = sources.where(~F.col("kind").isin("html", "txt", "markdown") | F.col("kind").isNull()).select("key", "kind").limit(1).collect()
-    if wrong:
-        raise ValueError(f"{wrong[0].key}: no way to prepare {wrong[0].kind}")
+    known = F.col("kind").isin("html", "txt", "markdown")
+    kind = F.when(known, F.col("kind")).otherwise(F.raise_error(F.concat("key", F.lit(": no way to prepare "), F.coalesce("kind", F.lit("null")))))
+    text = F.when(F.col("kind") == "html", F.col("text")).otherwise(_unmarked("text"))
+    return _of_kinds(corpus_id, sources.withColumns({"kind": kind, "text": text}), selector, max_chars, overlap)
+
+
+def _of_kinds(corpus_id: str, sources: DataFrame, selector: str, max_chars: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     web = prepare_html(corpus_id, sources.where("kind = 'html'").select("key", "title", "text"), selector, max_chars, overlap)
-    plain = prepare_text(corpus_id, sources.where("kind <> 'html'"), max_chars, overlap)
+    plain = _texts(corpus_id, sources.where("kind <> 'html'"), max_chars, overlap)
     return tuple(a.unionByName(b.select(*a.columns)) for a, b in zip(web, plain, strict=True))
 
 
+_NO_PAGES = "cast(array() as array<int>)"
+_NO_LINES = "cast(array() as array<string>)"
+
+
+def paged(corpus_id: str, sources: DataFrame, pages: DataFrame, max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP, library: str = "pypdf") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, passages, faults) of sources that come as pages, such as PDF files.
+
+    ``sources(key, title, content_sha256[, regulation][, excluded_pages][, ignored_lines])``,
+    ``pages(key, page, text[, blank])``.  A regulation keeps its section headings, and those of
+    its pages that provably show nothing (``blank``) are excluded too.  Pages keep their raw text.
+
+    ``faults(source_id, fault, page)``: pages to be excluded that there aren't, other pages that
+    nothing can be cited from, and sources without a passage.
+    """
+    held = lambda df, c, default: F.coalesce(c, F.expr(default)) if c in df.columns else F.expr(default)
+    regulation, excluded, ignored = held(sources, "regulation", "false"), held(sources, "excluded_pages", _NO_PAGES), held(sources, "ignored_lines", _NO_LINES)
+    named = sources.select("key", "title", stable_id(F.lit(corpus_id), F.col("key")).alias("source_id"), F.col("content_sha256").alias("version"), regulation.alias("regulation"), excluded.alias("excluded_pages"), ignored.alias("ignored_lines"))
+    found = pages.select("key", "page", F.coalesce("text", F.lit("")).alias("text"), held(pages, "blank", "false").alias("_blank")).join(named.drop("title"), "key")
+    unseen = F.col("regulation") & F.col("_blank") & ~F.rlike("text", F.lit(r"(?U)\S"))
+    found = found.withColumn("excluded", F.array_contains("excluded_pages", F.col("page")) | unseen)
+    also = found.where(unseen).groupBy("source_id").agg(F.collect_set("page").alias("_also"))
+    recipe = F.concat(F.lit(f"{chunk.RECIPE}:{max_chars}:{overlap}"), F.when(F.col("regulation"), ":sections-v1").otherwise(""))
+    documents = named.join(also, "source_id", "left").select(
+        "source_id", "key", "title", F.lit("pdf").alias("kind"), F.col("version").alias("content_sha256"), F.lit(library).alias("extraction_version"), recipe.alias("chunking_version"),
+        F.array_sort(F.array_union("excluded_pages", F.coalesce("_also", F.expr(_NO_PAGES)))).alias("excluded_pages"),
+    )
+    one = lambda kept: chunk.chunks(found.where(F.col("regulation") == kept).select("source_id", "version", "page", "text", "excluded", "ignored_lines"), max_chars, overlap, kept, library, strict=False)
+    passages = one(False).unionByName(one(True))
+    mute = found.where("not excluded").join(passages.select("source_id", "page").distinct(), ["source_id", "page"], "left_anti")
+    why = F.when(F.rlike("text", F.lit(r"(?U)\S")), "only ignored lines").otherwise("no native text")
+    faults = preparation_faults(named, found, passages).unionByName(mute.select("source_id", why.alias("fault"), "page"))
+    return documents, found.select("source_id", "version", "page", "text", "excluded"), passages, faults
+
+
+def _stored(rows: DataFrame, path: str | None) -> DataFrame:
+    if path is None:
+        return rows
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def prepare_manifest(spark: SparkSession, path: str, extract=None, blanks=None, pattern: str = "*.pdf", store: str | None = None, max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``paged`` for the files that a manifest names, by paths from its own folder.
+
+    ``extract`` and ``blanks`` read (key, content) into pages and blank pages; by default those
+    of ``readers``, which need pypdf.  Their pages are used more than once: with ``store`` they are written there
+    and reread.  Sources without a file are faults, and so are sources of the web, which come from captures.
+    """
+    from evidentia.sources import readers
+
+    folder = path.rsplit("/", 1)[0]
+    listed = readers.manifest(spark, path)
+    corpus_id = F.col("corpus_id")
+    name = F.element_at(F.split("path", rf"\Q{folder.split(':', 1)[-1].rstrip('/')}/\E"), -1)
+    files = readers.files(spark, folder, pattern, nested=True).select(name.alias("_name"), "content")
+    rows = listed.select(corpus_id, "key", "title", F.col("regulation").isNotNull().alias("regulation"), "excluded_pages", F.col("excluded_edge_lines").alias("ignored_lines"), F.col("web").isNotNull().alias("_web"), F.regexp_replace("local_path", r"^\./", "").alias("_name"))
+    met = rows.join(files, "_name", "left")
+    held = met.where("content is not null and not _web").withColumn("content_sha256", F.sha2("content", 256))
+    shown = _stored((extract or readers.pdf_pages)(held.select("key", "content")), store)
+    mute = (blanks or readers.blank_pages)(held.select("key", "content")).select("key", "page", F.lit(True).alias("blank"))
+    first = listed.select("corpus_id").first()
+    identity = first[0] if first else ""
+    documents, pages, passages, faults = paged(identity, held.drop("content", "_web", "_name", "corpus_id"), shown.join(mute, ["key", "page"], "left"), max_chars, overlap)
+    absent = met.where("_web or content is null").select(stable_id(F.lit(identity), F.col("key")).alias("source_id"), F.when(F.col("_web"), "comes from a capture").otherwise("no such file").alias("fault"), F.lit(None).cast("int").alias("page"))
+    return documents, pages, passages, faults.unionByName(absent)
+
+
+def prepare_catalog(corpus_id: str, captures: DataFrame, selector: str = "<article|main>", extract=None, store: str | None = None, max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, passages, rejects) of captures of every format, each prepared in its way.
+
+    ``captures(key, title, format, content_type, content[, excluded_pages][, ignored_lines])``.
+    ``rejects(key, reject)``: what ``accept_content`` turns down, texts that hold an evaluation
+    artefact, and pages that can't be cited.  Lines are ignored in files made of pages alone.
+    Pages of PDF files are written to ``store``, if given, and reread.
+    """
+    from evidentia.sources import readers
+
+    judged = accept_content(captures)
+    body = F.decode("content", "UTF-8")
+    plain = F.col("format") != "pdf"
+    reject = F.coalesce("reject", F.when(plain & T.leaks(body), "evaluation artefact"))
+    judged = judged.withColumn("reject", reject)
+    kept = judged.where("reject is null")
+    texts = kept.where(plain).select("key", "title", F.col("format").alias("kind"), body.alias("text"))
+    files = kept.where(~plain).withColumn("content_sha256", F.col("sha256"))
+    shown = _stored((extract or readers.pdf_pages)(files.select("key", "content")), store)
+    marked = shown.where(T.leaks(F.col("text"))).select("key").distinct()
+    some = [c for c in ("excluded_pages", "ignored_lines") if c in captures.columns]
+    sound = files.select("key", "title", "content_sha256", *some).join(marked, "key", "left_anti")
+    *pdf, faults = paged(corpus_id, sound, shown, max_chars, overlap)
+    # Unchecked: filters are pushed below checks that raise, and what they would stop is rejected here.
+    other = _of_kinds(corpus_id, texts, selector, max_chars, overlap)
+    documents, pages, passages = (a.unionByName(b, allowMissingColumns=True) for a, b in zip(other, pdf, strict=True))
+    told = faults.join(pdf[0].select("source_id", "key"), "source_id").select("key", F.concat_ws(" ", "fault", "page").alias("reject"))
+    told = told.unionByName(other[0].join(other[2].select("source_id"), "source_id", "left_anti").select("key", F.lit("no passage").alias("reject")))
+    rejects = judged.where("reject is not null").select("key", "reject").unionByName(marked.select("key", F.lit("evaluation artefact").alias("reject"))).unionByName(told)
+    return documents, pages, passages, rejects
+
+
+def coverage(pages: DataFrame, passages: DataFrame) -> DataFrame:
+    """(source_id, page, exact, covered) of every page.
+
+    ``exact``: its passages are its text between their offsets; ``covered``: every visible
+    character stands in one.  A page's passages meet as one row, which the page bounds.
+    """
+    spans = passages.groupBy("source_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
+
+    @F.pandas_udf("exact boolean, covered boolean")
+    def faithful(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for body, found in zip(text, spans, strict=True):
+            body = body or ""
+            exact, covered, reach = True, True, 0
+            for s in found if found is not None else ():
+                exact &= body[s["start"] : s["end"]] == s["text"]
+                covered &= s["start"] <= reach or not body[reach : s["start"]].strip()
+                reach = max(reach, s["end"])
+            out.append((exact, covered and not body[reach:].strip()))
+        return pd.DataFrame(out, columns=["exact", "covered"])
+
+    rows = pages.join(spans, ["source_id", "page"], "left").select("source_id", "page", faithful("text", "spans").alias("f"))
+    return rows.select("source_id", "page", "f.*")
+
+
 def violations(documents: DataFrame, pages: DataFrame, passages: DataFrame) -> DataFrame:
     """(rule, key, detail) of every broken rule; no rows for a sound corpus.
 

@@ -256,20 +256,6 @@ def faq_answer(section: Column, heading: Column, return_line: str = FAQ_RETURN_L
     return F.nullif(F.trim(rest), F.lit(""))
 
 
-def draft_questions(passages: DataFrame, limit: int = 24, seed: int = 42) -> DataFrame:
-    """Draft items from passages of 100 to 2500 characters, in an order hashed from the seed.
-
-    ``passages(id, title, article, section, page, text)``; equal questions are drafted once.
-    """
-    from pyspark.sql.window import Window
-
-    place = F.coalesce("section", F.concat("article", F.lit(". člen")), F.concat(F.lit("stran "), F.col("page").cast("string")))
-    question = F.format_string("Kaj določa dokument »%s«, %s, v odlomku »%s«?", "title", place, F.trim(F.substring("text", 1, 70)))
-    rows = passages.where(F.length("text").between(100, 2500)).select("id", question.alias("question"), F.col("text").alias("expected_answer"), F.xxhash64("id", F.lit(seed)).alias("_o"))
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.sha2(T.normalized(F.col("question")), 256)).orderBy("_o"))).where("_n = 1")
-    return once.orderBy("_o", "id").limit(limit).select(F.concat(F.lit("synthetic-"), "id").alias("id"), "question", "expected_answer")
-
-
 def selected(items: DataFrame, split: str, reviewed_only: bool = False, from_origin: str = "all", of_tier: str = "all", limit: int = 100) -> DataFrame:
     """The first ``limit`` items, by ``pos``, that an evaluation run asks.
 

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import identity, vectors
 from evidentia.functions import text as T
-from evidentia.operators import answers, cases, corpus, evaluate, inventory, refresh, retrieve, runs, sections
+from evidentia.operators import answers, cases, corpus, drafts, evaluate, inventory, refresh, retrieve, runs, sections
 from evidentia.operators.candidates import Candidates
 from evidentia.operators.snapshot import Snapshots
-from evidentia.sources import captures
+from evidentia.sources import captures, readers
 
 #: Vectors whose id this divides are the stated query set.
 QUERY_STEP = 50
@@ -81,22 +81,7 @@ def passages(spark, sf):
 def passage_audit(spark, sf):
     """V02 and coverage: per document, offsets reproduce the text and cover every visible character."""
     documents, pages, cut = _prepared(spark, sf)
-    # A row per page, bounded by it: the page's text isn't repeated for its passages.
-    spans = cut.groupBy("source_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
-
-    @F.pandas_udf("exact boolean, covered boolean")
-    def faithful(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for body, found in zip(text, spans, strict=True):
-            exact, covered, reach = True, True, 0
-            for s in found:
-                exact &= body[s["start"] : s["end"]] == s["text"]
-                covered &= s["start"] <= reach or not body[reach : s["start"]].strip()
-                reach = max(reach, s["end"])
-            out.append((exact, covered))
-        return pd.DataFrame(out, columns=["exact", "covered"])
-
-    rows = pages.join(spans, ["source_id", "page"]).select("source_id", faithful("text", "spans").alias("f")).select("source_id", "f.*")
+    rows = corpus.coverage(pages, cut)
     per = rows.groupBy("source_id").agg(F.bool_and("exact").alias("exact"), F.bool_and("covered").alias("covered"))
     return per.join(documents.select("source_id", F.col("key").cast("long").alias("doc_id")), "source_id").select("doc_id", "exact", "covered")
 
@@ -358,6 +343,27 @@ def _held(spark, sf):
     return held, documents, pages, cut
 
 
+def corpus_violations_damaged(spark, sf):
+    """Broken rules, by rule, of a corpus in which every table was damaged."""
+    documents, pages, cut = _whole_passages(spark, sf)
+    every = lambda n, key="source_id": F.pmod(F.conv(key, 16, 10).cast("long"), F.lit(n)) == 0
+    documents = documents.withColumnRenamed("version", "content_sha256").where(~every(7))
+    pages = pages.where(~every(13)).withColumn("excluded", every(19))
+    cut = cut.withColumns({"version": F.when(every(29), "old").otherwise(F.col("version")), "end": F.when(every(31), F.col("end") + 1).otherwise(F.col("end")), "text": F.when(every(37), F.concat("text", F.lit("!"))).otherwise(F.col("text"))})
+    found = corpus.violations(documents.unionByName(documents.where(every(11))), pages.unionByName(pages.where(every(17))), cut.unionByName(cut.where(every(23))))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage_damaged(spark, sf):
+    """Which documents are reproduced and covered by overlapping cuts, some of them lost and some altered."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.lit(1).alias("page"), "text")
+    starts = docs.select("source_id", "page", "text", F.posexplode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(250))).alias("n", "start"))
+    cut = starts.select("source_id", "page", "n", "start", F.least(F.col("start") + 300, F.length("text")).alias("end"), F.substring("text", F.col("start") + 1, F.lit(300)).alias("text"))
+    cut = cut.where(((F.col("source_id") + F.col("n")) % 9 != 0) & (F.col("start") < F.col("end")))
+    cut = cut.withColumn("text", F.when((F.col("source_id") * 7 + F.col("n")) % 31 == 0, F.concat(F.substring("text", 2, 300), F.lit("?"))).otherwise(F.col("text")))
+    return corpus.coverage(docs, cut).select(F.col("source_id").alias("doc_id"), "exact", "covered")
+
+
 def snapshot_audit_damaged(spark, sf):
     """The audit of a published snapshot in which every table was damaged."""
     held, documents, pages, cut = _held(spark, sf)
@@ -512,6 +518,66 @@ def preparation_faults(spark, sf):
     return corpus.preparation_faults(sources, pages, kept).select(F.col("source_id").alias("doc_id"), "fault", "page")
 
 
+def _lines(files):
+    """(key, page, text): lines as the pages of a file."""
+    return files.select("key", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("page", "text")).select("key", (F.col("page") + 1).alias("page"), "text")
+
+
+def prepared_pages(spark, sf):
+    """S01, S02, S08, F02, C(2.10): documents as files of pages; those to be cited, cited, and at fault."""
+    docs = table(spark, sf, "documents").withColumn("key", F.col("doc_id").cast("string"))
+    i = F.col("doc_id")
+    excluded = F.when(i % 7 == 0, F.sequence(F.lit(1), F.lit(3))).when(i % 5 == 0, F.array(F.lit(2)))
+    sources = docs.select("key", F.col("source").alias("title"), F.sha2("text", 256).alias("content_sha256"), (i % 3 == 0).alias("regulation"), excluded.alias("excluded_pages"), F.when(i % 4 == 0, F.array(F.split_part("text", F.lit("\n"), F.lit(1)))).alias("ignored_lines"))
+    pages = _lines(docs.select("key", F.encode("text", "UTF-8").alias("content"))).withColumn("blank", F.trim("text") == "")
+    documents, pages, cut, faults = corpus.paged("corpus", sources, pages)
+    count = lambda rows, name: rows.groupBy("source_id").agg(F.count(F.lit(1)).alias(name))
+    out = documents.select("source_id", F.col("key").cast("long").alias("doc_id"))
+    for rows, name in ((pages.where("not excluded"), "n_pages"), (cut.select("source_id", "page").distinct(), "n_cited"), (faults, "n_faults")):
+        out = out.join(count(rows, name), "source_id", "left")
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_pages", "n_cited", "n_faults")))
+
+
+def catalog_rejects(spark, sf):
+    """Captures of pages, texts and files of pages, of which some aren't what they say, repeat or hold an evaluation artefact."""
+    i, marked = F.col("doc_id"), F.concat("text", F.when(F.col("doc_id") % 13 == 0, ' "expected_answer"').otherwise(""))
+    kind = F.when(i % 5 == 0, "pdf").otherwise("txt")
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), i).alias("key"), F.col("source").alias("title"), kind.alias("format"), F.when(i % 11 == 0, "image/png").when(kind == "pdf", "application/octet-stream").otherwise("Text/Plain; charset=utf-8").alias("content_type"), F.encode(marked, "UTF-8").alias("content"))
+    p = F.col("page_id")
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("p"), p).alias("key"), F.col("url").alias("title"), F.lit("html").alias("format"), F.when(p % 7 == 0, "text/plain").otherwise("text/html").alias("content_type"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return corpus.prepare_catalog("corpus", docs.unionByName(pages), extract=_lines)[3]
+
+
+def _drafted(spark, sf):
+    docs = table(spark, sf, "documents")
+    own = F.col("doc_id")
+    return docs.select(
+        own.cast("string").alias("id"), F.col("source").alias("document_id"), F.col("source").alias("title"), (own % 9 + 1).cast("int").alias("page"), F.when(own % 3 == 0, F.col("lang")).alias("section"),
+        F.when(own % 3 == 1, (own % 50).cast("string")).alias("article"), F.concat(F.lit("https://h/"), "source").alias("url"), F.sha2("text", 256).alias("version"), "text",
+    )
+
+
+def silver_items(spark, sf):
+    """The 24 items drafted from passages in the seed's order."""
+    rows = drafts.silver(_drafted(spark, sf))
+    ref = F.col("supporting_passages")[0]
+    return rows.select("id", "question", F.sha2("expected_answer", 256).alias("sha256"), F.col("groups")[0][0].alias("source_id"), ref["page"].alias("page"), ref["url"].alias("url"), "family_id", "split", "review_status")
+
+
+def review_faults(spark, sf):
+    """Decisions on a review sheet of all documents, of which some are unsigned, edited, repeated, unchecked or about other content."""
+    docs = table(spark, sf, "documents")
+    i, none = F.col("id"), F.expr(f"cast(array() as array<{readers.REFERENCE}>)")
+    items = docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("question"), F.col("source").alias("expected_answer"), F.lit(True).alias("answerable"), none.alias("supporting_passages"), F.lit("synthetic").alias("generation_method"), F.lit("unreviewed").alias("review_status"))
+    given = drafts.review_sheet(items).withColumns({
+        "review_status": F.when(i % 3 == 0, "unreviewed").when(i % 3 == 1, "approved").otherwise("rejected"), "reviewer_code": F.when(i % 11 == 0, " ").otherwise("R1"),
+        "checks": F.when(i % 13 == 0, F.col("checks")).otherwise(F.transform_values("checks", lambda k, v: F.lit(True))), "expected_answer": F.when(i % 31 == 0, "edited").otherwise(F.col("expected_answer")),
+        "content_sha256": F.when(i % 17 == 0, "other").otherwise(F.col("content_sha256")),
+    })
+    given = given.unionByName(given.where(i % 41 == 0)).unionByName(given.where(i % 43 == 1).withColumn("id", -i))
+    return drafts.review_faults(items, given)
+
+
 def html_passages(spark, sf):
     """Captures and documents prepared by their kind; passages per source."""
     pages = table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("key"), F.col("url").alias("title"), F.lit("html").alias("kind"), F.col("html").alias("text"))
@@ -641,6 +707,7 @@ QUERIES = [
     html_passages, selected_items, saved_run_faults, provenance_faults, source_labels, refresh_totals, smoke_search,
     run, run_summary, running_usage, snapshot_audit_damaged, fetched_passages, scoped_find,
     captured_pages, redirected_pages, refresh_candidates, case_import_faults, file_sync, page_pdfs, capture_status, faq_reference_faults, preparation_faults,
+    corpus_violations_damaged, coverage_damaged, prepared_pages, catalog_rejects, silver_items, review_faults,
 ]
 
 

@@ -182,6 +182,39 @@ select * from (select id, case when id % 19 = 0 then 'no such section' when id %
 x as (select i, unnest(case when i % 7 = 0 then [1, 2, 3] when i % 5 = 0 then [2] else [] end) as p from l),
 k as (select i, len(list_filter(l, lambda t, j: trim(t) <> '' and not (i % 7 = 0 and j <= 3) and not (i % 7 <> 0 and i % 5 = 0 and j = 2))) as n from l)
 select x.i as doc_id, 'excluded page doesn''t exist' as fault, p as page from x join l using (i) where p > len(l) union all select i, 'no passage', null from k where n = 0""",
+        "corpus_violations_damaged": """with t as (select doc_id as i, sha256(text) as v, text from documents),
+d as (select i, v from t where i % 7 <> 0), d2 as (select * from d union all select * from d where i % 11 = 0),
+p as (select i, text, i % 19 = 0 as gone from t where i % 13 <> 0), p2 as (select * from p union all select * from p where i % 17 = 0),
+c as (select i, case when i % 29 = 0 then 'old' else v end as v, length(text) + case when i % 31 = 0 then 1 else 0 end as e, text || case when i % 37 = 0 then '!' else '' end as t from t),
+c2 as (select * from c union all select * from c where i % 23 = 0),
+j as (select c2.*, d2.v as dv, p2.i as pi, p2.text as pt, gone, e > 0 and e <= length(p2.text) as fits from c2 left join d2 using (i) left join p2 on p2.i = c2.i),
+f as (select 'duplicate_source' as rule, i from d2 group by i having count(*) > 1 union all select 'duplicate_page', i from p2 group by i having count(*) > 1 union all select 'duplicate_passage', i from c2 group by i having count(*) > 1
+  union all select 'unknown_source', i from j where dv is null union all select 'wrong_version', i from j where dv <> v union all select 'unknown_page', i from j where pi is null
+  union all select 'excluded_page', i from j where gone union all select 'bad_offsets', i from j where pi is not null and not fits union all select 'text_differs', i from j where fits and substr(pt, 1, e) <> t)
+select rule, count(*) as n from f group by rule""",
+        "coverage_damaged": r"""with w as (select doc_id as i, text, unnest(generate_series(0, length(text) // 250)) as n from documents),
+c as (select i, n, text, n * 250 as s, least(n * 250 + 300, length(text)) as e, (i * 7 + n) % 31 <> 0 as same from w where n * 250 < length(text) and (i + n) % 9 <> 0),
+g as (select *, coalesce(max(e) over (partition by i order by n rows between unbounded preceding and 1 preceding), 0) as reach from c),
+k as (select i, bool_and(same) as exact, bool_and(s <= reach or not regexp_matches(substr(text, reach + 1, s - reach), '\S')) as inner_, max(e) as last from g group by i)
+select doc_id, coalesce(exact, true) as exact, coalesce(inner_, true) and not regexp_matches(substr(text, coalesce(last, 0) + 1), '\S') as covered from documents left join k on i = doc_id""",
+        "prepared_pages": r"""with l as (select doc_id as i, string_split(text, chr(10)) as l from documents),
+x as (select i, len(l) as n, case when i % 7 = 0 then [1, 2, 3] when i % 5 = 0 then [2] else [] end as x, unnest(l) as t, generate_subscripts(l, 1) as p, regexp_replace(trim(l[1], E' \t\r'), '\s+', ' ', 'g') as head from l),
+k as (select *, list_contains(x, p) or (i % 3 = 0 and not regexp_matches(t, '\S')) as gone, not regexp_matches(t, '\S') or (i % 4 = 0 and regexp_replace(trim(t, E' \t\r'), '\s+', ' ', 'g') = head) as mute from x)
+select i as doc_id, count(*) filter (not gone) as n_pages, count(*) filter (not gone and not mute) as n_cited,
+  count(*) filter (not gone and mute) + len(list_filter(any_value(x), lambda p: p > any_value(n))) + (count(*) filter (not gone and not mute) = 0)::int as n_faults from k group by i""",
+        "catalog_rejects": r"""with c as (select 'd' || doc_id as key, text || case when doc_id % 13 = 0 then ' "expected_answer"' else '' end as t, doc_id % 5 = 0 as pdf, doc_id % 13 = 0 as marked, doc_id % 11 <> 0 as ok from documents
+  union all select 'p' || page_id, coalesce(html, ''), false, false, page_id % 7 <> 0 from pages),
+j as (select *, case when not ok then 'content_type' when min(key) over (partition by t) <> key then 'duplicate_content' when marked then 'evaluation artefact' end as reject from c),
+l as (select key, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as p from j where pdf and reject is null)
+select key, reject from j where reject is not null union all select key, 'no native text ' || p from l where not regexp_matches(x, '\S')
+union all select key, 'no passage' from l group by key having count(*) filter (regexp_matches(x, '\S')) = 0""",
+        "silver_items": rf"""with q as (select *, sha256('42:' || doc_id) as o from documents where length(text) between 100 and 2500 order by o, doc_id limit 24),
+a as (select *, 'Kaj določa dokument »' || source || '«, ' || case doc_id % 3 when 0 then lang when 1 then (doc_id % 50) || '. člen' else 'stran ' || (doc_id % 9 + 1) end || ', v odlomku »' || regexp_replace(substr(text, 1, 70), '^\s+|\s+$', '', 'g') || '«?' as question from q),
+n as (select *, row_number() over (partition by {_normalized("question")} order by o, doc_id) as n from a)
+select 'synthetic-' || doc_id as id, question, sha256(text) as sha256, doc_id::varchar as source_id, (doc_id % 9 + 1)::int as page, 'https://h/' || source as url, doc_id::varchar as family_id, 'development' as split, 'unreviewed' as review_status from n where n = 1""",
+        "review_faults": """select -doc_id as id, 'unknown item' as fault from documents where doc_id % 43 = 1
+union all select * from (select doc_id as id, case when doc_id % 41 = 0 then 'decided more than once' when doc_id % 17 = 0 then 'other content' when doc_id % 31 = 0 then 'context edited'
+  when doc_id % 3 <> 0 and doc_id % 11 = 0 then 'no reviewer' when doc_id % 3 = 1 and doc_id % 13 = 0 then 'checks missing' end as fault from documents) where fault is not null""",
         "running_usage": "select conv_id, turn, length(text) as chars, sum(length(text)) over (order by conv_id, turn)::bigint as cumulative_chars from conversations",
         "keyword_top": f"with {_KEYWORD} select query_id, rank, id, matched from keyword where rank <= 5",
         "lexical_top": f"with {_LEXICAL} select query_id, rank, id, round(s, 9) as score from lexical where rank <= 5",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.identity import without_bom
+from evidentia.operators import evaluate
 
 # Schemas of the JSON formats.
 SECTION = "struct<heading:string,anchor:string>"
@@ -34,6 +35,18 @@ CASES = (
 )
 AUDIT = "ok boolean, corpus_id string, snapshot_id string, mongo_chunks long, sources array<struct<document_id:string,title:string,source_url:string,pages:long,chunks:long>>"
 
+PILOT = (
+    "name string, corpus_id string, corpus_sha256 string, items array<struct<id:string,family_id:string,split:string,question:string,category:string,reference_answer:string,expected_status:string,"
+    "evidence_groups:array<array<string>>,evidence:array<struct<chunk_id:string,source_key:string,version:string,page:int,article:string,url:string,excerpt:string>>,review_status:string,reviewer_code:string,review_notes:string>>"
+)
+REFERENCE = "struct<source_id:string,document_id:string,title:string,page:int,section:string,article:string,url:string,version:string,text:string>"
+CONTROLLED = (
+    "schema_version int, name string, corpus_id string, corpus_sha256 string, seed int, items array<struct<id:string,question:string,expected_answer:string,source_ids:array<string>,required_source_groups:array<array<string>>,"
+    f"supporting_passages:array<{REFERENCE}>,category:string,difficulty:string,answerable:boolean,expected_status:string,generation_method:string,data_origin:string,original_response:string,"
+    "review_status:string,review_notes:string,family_id:string,split:string,reviewer_code:string,review_checks:map<string,boolean>,reviewed_content_sha256:string>>"
+)
+ATTEMPT = "id string, question string, expected_answer string, review_status string, answerable boolean, generation_method string, response string, error string, review_notes string, reviewer_code string"
+
 
 def json_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, a file each, with or without a byte order mark."""
@@ -66,14 +79,68 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return json_file(spark, path, MANIFEST).select("corpus_id", F.explode("sources").alias("s")).select("corpus_id", "s.*")
 
 
-def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, content) of binary files."""
-    reader = spark.read.format("binaryFile")
+def files(spark: SparkSession, path: str, pattern: str | None = None, nested: bool = False) -> DataFrame:
+    """(path, content) of binary files, those of inner folders too if ``nested``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", nested)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path).select("path", "content")
 
 
+def pilot(spark: SparkSession, path: str, corpus_id: str, corpus_sha256: str, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, faults) of a pilot set over a corpus.
+
+    Items as ``drafts.taken_over`` takes them.  ``faults(id, passage_id, fault)``: another corpus,
+    repeated ids and questions, families in two splits, and evidence that isn't what
+    ``passages(passage_id, key, version, page, article, url, text)`` has.
+    """
+    whole = json_file(spark, path, PILOT)
+    rows = whole.select(F.explode("items").alias("i")).select("i.*")
+    none = F.lit(None).cast("string")
+    say = lambda df, what: df.select(F.col("id"), none.alias("passage_id"), F.lit(what).alias("fault"))
+    other = whole.where(~(F.col("corpus_id").eqNullSafe(F.lit(corpus_id)) & F.col("corpus_sha256").eqNullSafe(F.lit(corpus_sha256)))).select(F.col("name").alias("id"))
+    least = F.min("id").alias("id")
+    faults = say(other, "made for another corpus")
+    faults = faults.unionByName(say(rows.groupBy("id").count().where("count > 1"), "repeated id"))
+    faults = faults.unionByName(say(rows.groupBy(T.folded(F.col("question")).alias("_q")).agg(least, F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated question"))
+    faults = faults.unionByName(say(rows.groupBy("family_id").agg(least, F.count_distinct("split").alias("n")).where("n > 1"), "family in two splits"))
+    cited = rows.select("id", F.inline("evidence")).select("id", F.col("chunk_id").alias("passage_id"), F.col("source_key").alias("key"), "version", "page", "article", "url", F.col("excerpt").alias("text"))
+    return rows.withColumn("evidence", F.transform("evidence", lambda e: e["chunk_id"])), faults.unionByName(evaluate.provenance_faults(cited, passages))
+
+
+def controlled(spark: SparkSession, path: str, passages: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, findings) of a controlled set: what its fields contradict, as errors, and what ``evaluate.audit`` finds.
+
+    ``passages(id, text)``, ``pages(key, text)``; ``findings(id, level, message)``.  A set with
+    an error isn't to be run.
+    """
+    rows = json_file(spark, path, CONTROLLED).select(F.explode("items").alias("i")).select("i.*")
+    own = F.transform("source_ids", lambda x: F.array(x))
+    groups = F.when(F.size(F.coalesce("required_source_groups", F.expr("cast(array() as array<array<string>>)"))) > 0, F.col("required_source_groups")).otherwise(own)
+    items = rows.withColumn("groups", groups).drop("required_source_groups")
+    refs = F.transform("supporting_passages", lambda r: F.struct(r["source_id"].alias("id"), r["text"].alias("text"), r["article"].alias("article")))
+    broken = evaluate.item_violations(items).select("id", F.lit("error").alias("level"), F.col("rule").alias("message"))
+    return items, broken.unionByName(evaluate.audit(items.withColumn("references", refs), passages, pages))
+
+
+def saved_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(attempts, items, wanted) of a saved run's folder, as ``evaluate.saved_run_faults`` takes them.
+
+    Attempts are numbered in the order of their log, and take notes and reviewer from their item
+    where the log has neither.  A run asks 100 items at most, so its log is one row here.
+    """
+    items = json_file(spark, f"{folder}/dataset.json", CONTROLLED).select(F.explode("items").alias("i")).select("i.*")
+    lines = spark.read.text(f"{folder}/attempts.jsonl", wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    said = lines.select("pos", F.from_json("line", ATTEMPT, {"mode": "FAILFAST"}).alias("a"), "line").select("pos", "a.*", "line")
+    known = items.select("id", F.coalesce("review_notes", F.lit("")).alias("_notes"), F.col("reviewer_code").alias("_code"))
+    # A field that is there and null stays so.
+    absent = lambda c: ~F.array_contains(F.json_object_keys("line"), F.lit(c))
+    attempts = said.join(known, "id", "left").withColumns({"review_notes": F.when(absent("review_notes"), F.col("_notes")).otherwise(F.col("review_notes")), "reviewer_code": F.when(absent("reviewer_code"), F.col("_code")).otherwise(F.col("reviewer_code"))})
+    whole = json_file(spark, f"{folder}/summary.json", "metadata struct<selected_ids:array<string>>, unattempted_ids array<string>")
+    wanted = whole.select(F.posexplode("metadata.selected_ids").alias("pos", "id"), "unattempted_ids").select("id", "pos", (~F.array_contains("unattempted_ids", F.col("id"))).alias("attempted"))
+    return attempts.drop("line", "_notes", "_code"), items, wanted
+
+
 def pdf_pages(captures: DataFrame) -> DataFrame:
     """``captures(key, content)`` -> ``key, page, text`` with the native text of PDF pages.
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.sources.files import Files
+
 
 def _hadoop(df: DataFrame, path: str):
     jvm = df.sparkSession._jvm
@@ -17,7 +19,7 @@ def _hadoop(df: DataFrame, path: str):
 def replace(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Write beside ``path`` and move into place: readers see the old table, for a moment none, then the new one.
 
-    A table that always has to be readable is published by a pointer: see ``operators.snapshot``.
+    A table that always has to be readable is published by a pointer: see ``publish``.
     """
     draft = f"{path}.draft-{uuid.uuid4().hex}"
     df.write.format(form).save(draft)
@@ -30,6 +32,27 @@ def replace(df: DataFrame, path: str, form: str = "parquet") -> None:
     fs.delete(old, True)
 
 
+def publish(df: DataFrame, root: str, form: str = "parquet", keep: int = 2) -> str:
+    """Write a new version below ``root`` and point to it: readers always have a whole table.
+
+    The pointer is one small file, replaced by one rename.  Of older versions the ``keep`` - 1
+    newest stay for readers that have begun.  Returns the version's name.
+    """
+    files = Files(df.sparkSession, root)
+    drafts = [int(n[1:]) for n in files.names("versions") if n[1:].isdigit()]
+    name = f"v{max(drafts, default=0) + 1:012d}"
+    df.write.format(form).mode("errorifexists").save(f"{root}/versions/{name}")  # two writers of one number: the later fails
+    files.put("current", name, f"current.{uuid.uuid4().hex}", replace=True)
+    for old in sorted(n for n in files.names("versions") if n < name)[: -(keep - 1) or None]:
+        files.delete(f"versions/{old}")
+    return name
+
+
+def published(spark: SparkSession, root: str, form: str = "parquet") -> DataFrame:
+    """The table that the pointer names."""
+    return spark.read.format(form).load(f"{root}/versions/{Files(spark, root).text('current')}")
+
+
 def create(df: DataFrame, path: str, form: str = "json") -> None:
     """Write a new artefact; an existing one is never touched."""
     df.write.mode("errorifexists").format(form).save(path)

@@ -60,8 +60,8 @@ def test_markdown_splits_at_headings(spark):
     documents, pages, passages = corpus.prepare_text("c", df)
     assert [(p.page, p.heading, p.text) for p in pages.orderBy("page").collect()] == [(1, "Title", "intro"), (2, "One", "# One\nText"), (3, "Two", "## Two\nMore")]
     assert corpus.violations(documents, pages, passages).count() == 0
-    with pytest.raises(ValueError, match="evaluation artefact"):
-        corpus.prepare_text("c", df.withColumn("text", F.lit('{"expected_answer": 1}')))
+    with pytest.raises(Exception, match="k: possible evaluation artefact"):
+        corpus.prepare_text("c", df.withColumn("text", F.lit('{"expected_answer": 1}')))[2].collect()
 
 
 def test_violations_are_found(spark):
@@ -201,8 +201,9 @@ def test_sources_of_every_kind(spark):
     ruled = spark.createDataFrame([("h", "Page", page, True)], "key string, title string, text string, regulation boolean")
     found = corpus.prepare_html("c", ruled, "<article|main>")[2].collect()
     assert {r.section for r in found} >= {"One", "Two"} and "1" in {r.article for r in found} and not {r.id for r in found} & {r.id for r in got}
-    with pytest.raises(ValueError):
-        corpus.prepare("c", spark.createDataFrame([("x", "X", "doc", "t")], "key string, title string, kind string, text string"))
+    for kind in ("doc", None):
+        with pytest.raises(Exception, match="x: no way to prepare"):
+            corpus.prepare("c", spark.createDataFrame([("x", "X", kind, "t")], "key string, title string, kind string, text string"))[0].collect()
     changes = spark.createDataFrame([("a", "added"), ("b", "unchanged")], "key string, status string")
     sizes = spark.createDataFrame([("a", 5), ("b", 7)], "key string, chars int")
     row = refresh.report(changes, sizes).first()
