@@ -202,11 +202,14 @@ x as (select i, len(l) as n, case when i % 7 = 0 then [1, 2, 3] when i % 5 = 0 t
 k as (select *, list_contains(x, p) or (i % 3 = 0 and not regexp_matches(t, '\S')) as gone, not regexp_matches(t, '\S') or (i % 4 = 0 and regexp_replace(trim(t, E' \t\r'), '\s+', ' ', 'g') = head) as mute from x)
 select i as doc_id, count(*) filter (not gone) as n_pages, count(*) filter (not gone and not mute) as n_cited,
   count(*) filter (not gone and mute) + len(list_filter(any_value(x), lambda p: p > any_value(n))) + (count(*) filter (not gone and not mute) = 0)::int as n_faults from k group by i""",
-        "catalog_rejects": r"""with c as (select 'd' || doc_id as key, text || case when doc_id % 13 = 0 then ' "expected_answer"' else '' end as t, doc_id % 5 = 0 as pdf, doc_id % 13 = 0 as marked, doc_id % 11 <> 0 as ok from documents
-  union all select 'p' || page_id, coalesce(html, ''), false, false, page_id % 7 <> 0 from pages),
+        "catalog_rejects": r"""with c as (select 'd' || doc_id as key, text || case when doc_id % 13 = 0 then ' "expected_answer"' else '' end as t, doc_id % 5 = 0 as pdf, false as page, doc_id % 13 = 0 as marked, doc_id % 11 <> 0 as ok from documents
+  union all select 'p' || page_id, coalesce(html, ''), false, true, false, page_id % 7 <> 0 from pages),
 j as (select *, case when not ok then 'content_type' when min(key) over (partition by t) <> key then 'duplicate_content' when marked then 'evaluation artefact' end as reject from c),
 l as (select key, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as p from j where pdf and reject is null)
-select key, reject from j where reject is not null union all select key, 'no native text ' || p from l where not regexp_matches(x, '\S')
+select key, reject from j where reject is not null
+union all select key, 'no passage' from j where reject is null and not pdf and case when page then length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(t, '<article[^>]*>(.*?)</article>', 1, 's'),
+  '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) < 100 else not regexp_matches(t, '\S') end
+union all select key, 'no native text ' || p from l where not regexp_matches(x, '\S')
 union all select key, 'no passage' from l group by key having count(*) filter (regexp_matches(x, '\S')) = 0""",
         "silver_items": rf"""with q as (select *, sha256('42:' || doc_id) as o from documents where length(text) between 100 and 2500 order by o, doc_id limit 24),
 a as (select *, 'Kaj določa dokument »' || source || '«, ' || case doc_id % 3 when 0 then lang when 1 then (doc_id % 50) || '. člen' else 'stran ' || (doc_id % 9 + 1) end || ', v odlomku »' || regexp_replace(substr(text, 1, 70), '^\s+|\s+$', '', 'g') || '«?' as question from q),
