@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import common, html_extract, mixing, packing, pii, quality_rules, sharding, toxicity, warc
+from evidentia.llm import bpe, common, html_extract, mixing, packing, pii, quality_rules, sharding, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -828,3 +828,12 @@ def test_scores_equal_a_plain_count(spark):
         top = sorted((max(weights.get(e, 0.0) for e in toxicity.evidence(w)) for w in restorer.words(text or "")), reverse=True) + [0.0, 0.0]
         want = 1 / (1 + math.exp(-(prior + top[0] + top[1] / 2)))
         assert abs(got[i].score - want) < 1e-9 and got[i].predicted == (want >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_short_pieces_merge_as_by_the_queue(monkeypatch):
+    known = bpe.vocabulary(bpe.vocabulary_path())
+    pieces = [b"a" * n for n in range(1, bpe.SHORT_BYTES + 2)] + [b" understanding", b"aaabaaabab" * 6, "žčš ".encode() * 5, bytes(range(64))]
+    short = [known.merged(p) for p in pieces]
+    assert short[:-4] and known._short([known.first[b] for b in pieces[-4]]) == short[-4]
+    monkeypatch.setattr(bpe, "SHORT_BYTES", 0)
+    assert [known.merged(p) for p in pieces] == short
