@@ -1,12 +1,17 @@
-"""Broadcasts by measured bytes."""
+"""Broadcasts by measured bytes, and Python work in slices of bounded rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of a table up to which a join may broadcast it.
 BROADCAST_BYTES = 32 << 20
+#: Rows whose texts and results a task holds as Python objects at a time.
+SLICE_ROWS = 64
 
 
 def measured(df: DataFrame) -> int:
@@ -26,3 +31,27 @@ def measured(df: DataFrame) -> int:
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """``df``, hinted to be broadcast if its measured bytes allow: ``BROADCAST_BYTES`` unless a limit is given."""
     return F.broadcast(df) if measured(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def by_slices(rows: DataFrame, columns: list[str], made: str, work: Callable[..., list[tuple]]) -> DataFrame:
+    """``rows`` with the columns of the DDL ``made`` in place of ``columns``.
+
+    ``work`` gets the values of ``columns``, a list each, and returns a tuple per row.  It is asked
+    for ``SLICE_ROWS`` rows at a time, so a worker's memory doesn't grow with Spark's batches.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    keep = [c for c in rows.columns if c not in columns]
+    fields = StructType.fromDDL(made).fields
+    schema = StructType([rows.schema[c] for c in keep] + fields)
+    kinds, names, n = [to_arrow_type(f.dataType) for f in fields], schema.names, len(keep)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                out = work(*(c.to_pylist() for c in part.columns[n:]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], names)
+
+    return rows.select(*keep, *columns).mapInArrow(run, schema)
