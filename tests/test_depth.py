@@ -10,3 +10,9 @@ def test_links_of_pages_of_any_depth(spark):
     rows = [(1, "https://h/", f"{DEEP}<a href='/a'>A <i>b</i></a>{DEEP}<a href='/b'>B</a>"), (2, "https://h/", TOO_DEEP)]
     got = {(r.key, r.pos, r.url, r.title) for r in sections.links(spark.createDataFrame(rows, "key long, url string, html string")).collect()}
     assert got == {(1, 0, "https://h/a", "A b"), (1, 1, "https://h/b", "B"), (2, 0, "https://h/x", "Far")}
+
+
+def test_pdfs_of_pages_of_any_depth(spark):
+    rows = [(1, "https://h/", f"<main>{DEEP}<nav><a href='/f.PDF?v=1'>File</a></nav></main>"), (2, "https://h/", f"<main>{TOO_DEEP}</main>")]
+    got = {(r.key, r.url, r.title, r.fault) for r in inventory.pdf_links(spark.createDataFrame(rows, "key long, url string, html string")).collect()}
+    assert got == {(1, "https://h/f.PDF?v=1", "File", None), (2, None, None, "no link to a PDF")}
