@@ -1,21 +1,21 @@
 """Pages to passages with exact offsets.
 
-Each page is read once (Arrow, a row at a time): its headings, its body and the cuts of every
-segment, with the article and section that the page itself says.  What a page takes over from the
-pages before it is a window over pages; each carries its cuts, so no text is repeated and the
-source, sorted, is never one group in memory.
+Each page is read once, where it comes from (Arrow, in slices of few rows): its headings, its body
+and the cuts of every segment, with the article and section that the page itself says.  What a page
+takes over from the pages before it is a window over pages; each carries its cuts, so no text is
+repeated and the source, sorted, is never one group in memory.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions.identity import chunk_id
+from evidentia.operators.sizes import by_slices
 
 MAX_CHARS, OVERLAP = 1400, 180
 RECIPE = "page-article-v1"
@@ -24,10 +24,7 @@ RECIPE = "page-article-v1"
 ARTICLE = re.compile(r"^[ \t]*(\d+[a-z]?)\.[ \t]*člen[ \t\r]*$", re.M | re.I)
 SECTION = re.compile(r"^[ \t]*(?:[IVXLCDM]+\.[ \t]+\S.*|Končne določbe[ \t\r]*)$", re.M)
 
-_CUTS = (
-    "struct<cuts:array<struct<start:int,end:int,text:string,known:boolean,article:string,section:string>>,"
-    "headed:boolean,last_article:string,last_section:string>"
-)
+_CUTS = "cuts array<struct<start:int,end:int,text:string,known:boolean,article:string,section:string>>, headed boolean, last_article string, last_section string"
 _SPACE = re.compile(r"\s+")
 
 
@@ -72,11 +69,12 @@ def cuts(text: str, start: int, stop: int, most: int, overlap: int) -> list[tupl
 
 
 def chunks(
-    pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, preserve_sections: bool = False, library: str = "text", strict: bool = True
+    pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, preserve_sections: bool = False, library: str = "text", strict: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Passages of ``pages(source_id, version, page, text[, excluded][, ignored_lines])``.
 
-    Returns ``id, source_id, version, page, start, end, article, section, text``.  Excluded
+    Returns ``id, source_id, version, page, start, end, article, section, text`` and the pages' columns to ``carry``.  Excluded
     pages, and gaps in the page numbers, reset article and section.  ``strict`` stops on pages
     without usable text; otherwise such pages have no passages.
     """
@@ -86,8 +84,7 @@ def chunks(
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
 
-    @F.pandas_udf(_CUTS)
-    def read(text: pd.Series, ignored: pd.Series) -> pd.DataFrame:
+    def read(text: list, ignored: list) -> list[tuple]:
         out = []
         for body, lines in zip(text, ignored, strict=True):
             body = body or ""
@@ -102,20 +99,19 @@ def chunks(
                     headed, article, section = True, None, label
                 rows += [{"start": a, "end": b, "text": body[a:b], "known": headed, "article": article, "section": section} for a, b in cuts(body, start, stop, max_chars, overlap)]
             out.append((rows, headed, article, section))
-        return pd.DataFrame(out, columns=["cuts", "headed", "last_article", "last_section"])
+        return out
 
     recipe = f"{RECIPE}:{library}:{max_chars}:{overlap}" + ":sections-v1" * preserve_sections
     source = Window.partitionBy("source_id", "version").orderBy("page")
-    live = pages.where(~F.coalesce("excluded", F.lit(False)))
+    live = pages.where(~F.coalesce("excluded", F.lit(False))).select("source_id", "version", "page", *carry, "text", "ignored_lines")
     # A gap, an excluded page among them, starts a new island of pages.
-    islands = live.withColumn("_new", (F.col("page") != F.coalesce(F.lag("page").over(source) + 1, F.lit(1))).cast("int"))
-    islands = islands.withColumn("_island", F.sum("_new").over(source))
+    islands = by_slices(live, ["text", "ignored_lines"], _CUTS, read).withColumn("_new", (F.col("page") != F.coalesce(F.lag("page").over(source) + 1, F.lit(1))).cast("int"))
+    pages = islands.withColumn("_island", F.sum("_new").over(source))
     before = Window.partitionBy("source_id", "version", "_island").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    pages = islands.select("source_id", "version", "page", "_island", read("text", "ignored_lines").alias("_p"))
-    mark = F.when(F.col("_p.headed"), F.struct(F.col("_p.last_article").alias("article")))
-    pages = pages.withColumns({"_article": F.last(mark, ignorenulls=True).over(before)["article"], "_section": F.last("_p.last_section", ignorenulls=True).over(before)})
-    cut = pages.select("source_id", "version", "page", "_article", "_section", F.explode("_p.cuts").alias("c")).select("source_id", "version", "page", "_article", "_section", "c.*")
+    mark = F.when(F.col("headed"), F.struct(F.col("last_article").alias("article")))
+    pages = pages.withColumns({"_article": F.last(mark, ignorenulls=True).over(before)["article"], "_section": F.last("last_section", ignorenulls=True).over(before)})
+    cut = pages.select("source_id", "version", "page", *carry, "_article", "_section", F.inline("cuts"))
     article = F.when(F.col("known"), F.col("article")).otherwise(F.col("_article"))
     section = F.coalesce("section", "_section") if preserve_sections else F.lit(None).cast("string")
     ident = chunk_id(F.col("source_id"), F.col("version"), recipe, F.col("page"), F.col("start"), F.col("end"), F.col("text"))
-    return cut.select(ident.alias("id"), "source_id", "version", "page", "start", "end", article.alias("article"), section.alias("section"), "text")
+    return cut.select(ident.alias("id"), "source_id", "version", "page", "start", "end", article.alias("article"), section.alias("section"), "text", *carry)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.identity import mime, stable_id, without_bom
 from evidentia.operators import chunk
+from evidentia.operators.sizes import by_slices
 
 #: Bytes of a source file, and content types by format (fixed values).
 MAX_BYTES = 20_000_000
@@ -26,21 +26,23 @@ def text_pages(sources: DataFrame) -> DataFrame:
     ``sources(source_id, version, title, kind, text[, ignored_lines])`` -> ``source_id, version,
     page, heading, text``: Markdown splits before its headings, other text is one page.
     """
+    return _pages_of_texts(sources).drop("kind")
+
+
+def _pages_of_texts(sources: DataFrame) -> DataFrame:
+    """``text_pages`` with their ``kind``, numbered in their source before they are rows: no window, no shuffle."""
     if "ignored_lines" not in sources.columns:
         sources = sources.withColumn("ignored_lines", F.expr("cast(array() as array<string>)"))
     body = without_bom(F.col("text"))
     parts = F.when(F.col("kind") == "markdown", F.split(body, r"(?m)(?=^#{1,6}\s+)")).otherwise(F.array(body))
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    rows = sources.select("source_id", "version", "title", "kind", "ignored_lines", F.posexplode(parts).alias("pos", "part"))
-    kept = F.filter(F.split(strip(F.col("part")), "\n"), lambda x: ~F.array_contains(F.coalesce("ignored_lines", F.expr("cast(array() as array<string>)")), strip(x)))
-    rows = rows.withColumn("_lines", F.transform(kept, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")))
-    rows = rows.withColumn("_text", strip(F.array_join("_lines", "\n"))).where("_text <> ''")
-    first = F.col("_lines")[0]
+    ignored = F.coalesce("ignored_lines", F.expr("cast(array() as array<string>)"))
+    lines = lambda part: F.transform(F.filter(F.split(strip(part), "\n"), lambda x: ~F.array_contains(ignored, strip(x))), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    found = F.transform(F.transform(parts, lines), lambda x: F.struct(F.get(x, F.lit(0)).alias("first"), strip(F.array_join(x, "\n")).alias("text")))
+    rows = sources.select("source_id", "version", "title", "kind", F.posexplode(F.filter(found, lambda x: x["text"] != "")).alias("pos", "part"))
+    first = F.col("part.first")
     heading = F.when((F.col("kind") == "markdown") & first.startswith("#"), strip(F.regexp_replace(first, r"^#{1,6}\s+", ""))).otherwise(F.col("title"))
-    from pyspark.sql.window import Window
-
-    page = F.row_number().over(Window.partitionBy("source_id", "version").orderBy("pos"))
-    return rows.select("source_id", "version", page.alias("page"), heading.alias("heading"), F.col("_text").alias("text"))
+    return rows.select("source_id", "version", (F.col("pos") + 1).alias("page"), heading.alias("heading"), F.col("part.text").alias("text"), "kind")
 
 
 def _unmarked(text: str) -> Column:
@@ -60,11 +62,10 @@ def prepare_text(corpus_id: str, sources: DataFrame, max_chars: int = chunk.MAX_
 def _texts(corpus_id: str, sources: DataFrame, max_chars: int, overlap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = sources.select("key", "title", "kind", "text", stable_id(F.lit(corpus_id), F.col("key")).alias("source_id"), F.sha2("text", 256).alias("version"))
     documents = named.select("source_id", "key", "title", "kind", F.col("version").alias("content_sha256"), F.lit("utf8-text-v1").alias("extraction_version"), F.lit(f"text-section-v1:{max_chars}:{overlap}").alias("chunking_version"))
-    pages = text_pages(named)
-    passages = chunk.chunks(pages.select("source_id", "version", "page", "text"), max_chars, overlap)
-    kinds = named.select("source_id", "kind")
-    passages = passages.join(kinds, "source_id").withColumn("id", stable_id(F.lit("text-section-v1"), F.col("kind"), F.col("id"))).withColumn("article", F.lit(None).cast("string")).drop("kind")
-    return documents, pages, passages
+    pages = _pages_of_texts(named)
+    passages = chunk.chunks(pages.select("source_id", "version", "page", "text", "kind"), max_chars, overlap, carry=("kind",))
+    passages = passages.withColumn("id", stable_id(F.lit("text-section-v1"), F.col("kind"), F.col("id"))).withColumn("article", F.lit(None).cast("string")).drop("kind")
+    return documents, pages.drop("kind"), passages
 
 
 def prepare_html(corpus_id: str, sources: DataFrame, selector: str, max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -80,13 +81,12 @@ def prepare_html(corpus_id: str, sources: DataFrame, selector: str, max_chars: i
     named = sources.select("key", "title", F.col("text").alias("html"), stable_id(F.lit(corpus_id), F.col("key")).alias("source_id"), F.sha2("text", 256).alias("version"), regulation.alias("regulation"))
     recipe = F.lit(f"html-section-v1:{max_chars}:{overlap}")
     documents = named.select("source_id", "key", "title", F.lit("html").alias("kind"), F.col("version").alias("content_sha256"), F.lit("stdlib-html-v2").alias("extraction_version"), recipe.alias("chunking_version"))
-    cut = sections(named.select(F.col("source_id").alias("key"), "title", "html"), selector, strict=False).where("error is null")
-    pages = cut.select(F.col("key").alias("source_id"), "page", "heading", "text").join(named.select("source_id", "version"), "source_id").select("source_id", "version", "page", "heading", "text")
-    found = chunk.chunks(pages.select("source_id", "version", "page", "text"), max_chars, overlap, strict=False)
-    found = found.join(named.select("source_id", "regulation"), "source_id").join(pages.select("source_id", "page", "heading"), ["source_id", "page"])
+    pages = sections(named.select(F.col("source_id").alias("key"), "title", "html", "version", "regulation"), selector, strict=False, carry=("version", "regulation")).where("error is null")
+    pages = pages.select(F.col("key").alias("source_id"), "version", "page", "heading", "text", "regulation")
+    found = chunk.chunks(pages, max_chars, overlap, strict=False, carry=("heading", "regulation"))
     kind = F.when(F.col("regulation"), "html-regulation-v1").otherwise("html-section-v1")
     passages = found.select(stable_id(kind, F.col("id")).alias("id"), "source_id", "version", "page", "start", "end", F.when(F.col("regulation"), F.col("article")).alias("article"), F.when(F.col("regulation"), F.col("heading")).alias("section"), "text")
-    return documents, pages, passages
+    return documents, pages.drop("regulation"), passages
 
 
 def prepare(corpus_id: str, sources: DataFrame, selector: str = "<article|main>", max_chars: int = chunk.MAX_CHARS, overlap: int = chunk.OVERLAP) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -210,21 +210,20 @@ def coverage(pages: DataFrame, passages: DataFrame) -> DataFrame:
     """
     spans = passages.groupBy("source_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
 
-    @F.pandas_udf("exact boolean, covered boolean")
-    def faithful(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def faithful(text: list, spans: list) -> list[tuple]:
         out = []
         for body, found in zip(text, spans, strict=True):
             body = body or ""
             exact, covered, reach = True, True, 0
-            for s in found if found is not None else ():
+            for s in found or ():
                 exact &= body[s["start"] : s["end"]] == s["text"]
                 covered &= s["start"] <= reach or not body[reach : s["start"]].strip()
                 reach = max(reach, s["end"])
             out.append((exact, covered and not body[reach:].strip()))
-        return pd.DataFrame(out, columns=["exact", "covered"])
+        return out
 
-    rows = pages.join(spans, ["source_id", "page"], "left").select("source_id", "page", faithful("text", "spans").alias("f"))
-    return rows.select("source_id", "page", "f.*")
+    rows = pages.join(spans, ["source_id", "page"], "left").select("source_id", "page", "text", "spans")
+    return by_slices(rows, ["text", "spans"], "exact boolean, covered boolean", faithful)
 
 
 def violations(documents: DataFrame, pages: DataFrame, passages: DataFrame) -> DataFrame:
@@ -247,14 +246,17 @@ def violations(documents: DataFrame, pages: DataFrame, passages: DataFrame) -> D
     doc = documents.select(F.col("source_id").alias("_source"), F.col("content_sha256").alias("_sha"))
     page = pages.select(F.col("source_id").alias("_ps"), F.col("page").alias("_pp"), F.col("text").alias("_text"), *([F.col("excluded").alias("_excluded")] if "excluded" in pages.columns else [F.lit(False).alias("_excluded")]))
     joined = passages.join(doc, passages["source_id"] == doc["_source"], "left").join(page, (passages["source_id"] == page["_ps"]) & (passages["page"] == page["_pp"]), "left")
-    add("unknown_source", joined.where("_source is null"), F.col("id"))
-    add("wrong_version", joined.where("_sha is not null and not (version <=> _sha)"), F.col("id"))
-    add("unknown_page", joined.where("_pp is null"), F.col("id"), F.col("page"))
-    add("excluded_page", joined.where("_excluded"), F.col("id"), F.col("page"))
     bounds = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("_text"))
-    add("bad_offsets", joined.where(F.col("_pp").isNotNull() & ~bounds), F.col("id"))
     same = F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")
-    add("text_differs", joined.where(F.col("_pp").isNotNull() & bounds & ~same), F.col("id"))
+    met, known = F.col("_pp").isNotNull(), F.col("_sha").isNotNull()
+    # One pass: all rules that a passage breaks.
+    rules = {
+        "unknown_source": F.col("_source").isNull(), "wrong_version": known & ~F.col("version").eqNullSafe(F.col("_sha")), "unknown_page": ~met,
+        "excluded_page": F.col("_excluded"), "bad_offsets": met & ~bounds, "text_differs": met & bounds & ~same,
+    }
+    told = F.array(*(F.when(broken, F.struct(F.lit(rule).alias("rule"), F.col("page" if rule in ("unknown_page", "excluded_page") else "_none").cast("string").alias("detail"))) for rule, broken in rules.items()))
+    broken = joined.withColumn("_none", F.lit(None).cast("string")).select(F.col("id").cast("string").alias("key"), F.inline(F.array_compact(told)))
+    found.append(broken.select("rule", "key", "detail"))
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)

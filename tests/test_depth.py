@@ -16,3 +16,9 @@ def test_pdfs_of_pages_of_any_depth(spark):
     rows = [(1, "https://h/", f"<main>{DEEP}<nav><a href='/f.PDF?v=1'>File</a></nav></main>"), (2, "https://h/", f"<main>{TOO_DEEP}</main>")]
     got = {(r.key, r.url, r.title, r.fault) for r in inventory.pdf_links(spark.createDataFrame(rows, "key long, url string, html string")).collect()}
     assert got == {(1, "https://h/f.PDF?v=1", "File", None), (2, None, None, "no link to a PDF")}
+
+
+def test_pages_of_any_depth_can_be_cited(spark):
+    rows = [("k", "T", "html", "text/html", bytearray(f"<article>{DEEP}{'word ' * 40}</article>", "utf-8"))]
+    _, _, passages, rejects = corpus.prepare_catalog("c", spark.createDataFrame(rows, "key string, title string, format string, content_type string, content binary"), extract=lambda f: f.selectExpr("key", "1 as page", "'' as text"))
+    assert rejects.count() == 0 and passages.count() == 1
