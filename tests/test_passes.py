@@ -1,8 +1,12 @@
 """What is read, embedded and compared no more often than needed."""
 
+import difflib
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
+from evidentia.operators import overlap
 from evidentia.operators.snapshot import Snapshots
 
 
@@ -27,3 +31,14 @@ def test_every_passage_is_embedded_once(spark, tmp_path):
     found = held.audit("c", *_corpus(spark))
     assert {r.n for r in found.collect()} == {0} and found.count() == 11
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 4  # a pair of tables meets once
+
+
+def test_texts_of_the_same_signs_are_told_apart_without_comparing(monkeypatch):
+    rng, words = random.Random(5), [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    texts = [" ".join(rng.sample(words, 12)) for _ in range(80)] + [" ".join(sorted(words[:40])), " ".join(sorted(words[:40])) + " end"]
+    rows = pd.DataFrame({"id": range(len(texts)), "text": texts, "side": 2})
+    compared, plain = [], difflib.SequenceMatcher
+    monkeypatch.setattr(overlap.difflib, "SequenceMatcher", lambda j, a, b: compared.append(1) or plain(j, a, b))
+    got = overlap._close(0.88)(rows)
+    want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if plain(None, texts[i], texts[j]).ratio() >= 0.88]
+    assert list(zip(got["a"], got["b"], strict=True)) == want and (80, 81) in want and len(compared) <= 2
