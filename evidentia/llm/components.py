@@ -1,4 +1,4 @@
-"""Connected components of an edge table by min-label propagation with pointer jumping."""
+"""Connected components of an edge table by min-label hooking, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -8,24 +8,41 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import cut
 
 
+def _rooted(labels: DataFrame, max_rounds: int) -> DataFrame:
+    """``labels(node, l)`` whose labels point on to smaller ones, followed to their ends."""
+    for _ in range(max_rounds):
+        jump = labels.select(F.col("node").alias("via"), F.col("l").alias("to"))
+        moved = cut(labels.join(jump, labels.l == jump.via).select("node", "to", (F.col("to") != F.col("l")).alias("on")))
+        labels = moved.select("node", F.col("to").alias("l"))
+        if not moved.where("on").limit(1).count():
+            return labels
+    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` of longs -> ``(node, component)``, component the smallest node reachable.
 
     Edges may be repeated, reversed or loops.  Nodes without an edge are not listed.  Every round
-    is two aggregating joins (labels meet by ``min`` with map-side combining, so a hub costs no
-    task more than its share) and ends in a checkpoint; labels jump to their label's label, so
-    rounds grow with the logarithm of the diameter.  An empty input gives an empty result.
+    gives each node the smallest node next to it (``min`` with map-side combining, so a hub costs
+    no task more than its share), follows labels to their ends, and goes on with the different
+    edges between labels that are left: an edge is joined in the rounds until its ends meet, not in
+    all.  A round ends in a checkpoint.  An empty input gives an empty result.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.where("a is not null and b is not null").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"))
+    pairs = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    levels: list[DataFrame] = []
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", "l", F.least("l", "m").alias("n"))
-        jump = labels.select(F.col("node").alias("via"), F.col("l").alias("to"))
-        moved = cut(step.join(jump, step.n == jump.via, "left").select("node", "l", F.least("n", F.coalesce("to", "n")).alias("n")))
-        changed = moved.where("n <> l").limit(1).count()
-        labels = moved.select("node", F.col("n").alias("l"))
-        if not changed:
-            return labels.select("node", F.col("l").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        ends = pairs.select(F.col("a").alias("node"), "b").unionByName(pairs.select(F.col("b").alias("node"), "b"))
+        labels = _rooted(cut(ends.groupBy("node").agg(F.min("b").alias("l"))), max_rounds)
+        levels.append(labels)
+        at = lambda c: labels.select(F.col("node").alias(f"_{c}"), F.col("l").alias(f"l{c}"))  # noqa: B023, E731
+        open_ = pairs.where("a <> b").join(at("a"), F.col("a") == F.col("_a")).join(at("b"), F.col("b") == F.col("_b")).where("la <> lb")
+        pairs = cut(open_.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
+        if not pairs.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    found = levels[-1]
+    for earlier in levels[-2::-1]:  # a label of an earlier round is a node of the next, or has met all it is connected to
+        on = found.select(F.col("node").alias("via"), F.col("l").alias("to"))
+        found = cut(earlier.join(on, earlier.l == on.via, "left").select("node", F.coalesce("to", "l").alias("l")))
+    return found.select("node", F.col("l").alias("component"))

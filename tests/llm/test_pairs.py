@@ -206,3 +206,20 @@ def test_vectors_whose_lengths_are_far_apart(spark):
     rows = [(i, [1.0] * n) for i, n in enumerate([2, 4098, 2, 4098, 4098])]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(0, 1, 0), (1, 2, 1), (2, 1, 0), (3, 2, 1), (4, 2, 1)]
+
+
+def test_components_join_an_edge_until_its_ends_meet(spark, monkeypatch):
+    import random
+
+    sizes = []
+    kept = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: (out := kept(df), sizes.append((out.columns, out.count())))[0])
+    rng = random.Random(3)
+    edges = list({(rng.randrange(1, 400), rng.randrange(8)) for _ in range(3000)}) + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    at = {n: i for i, n in enumerate(nodes)}
+    want = brute(len(nodes), [(at[a], at[b]) for a, b in edges])
+    assert got == {n: nodes[want[at[n]]] for n in nodes}
+    left = [n for names, n in sizes if names == ["a", "b"]]
+    assert left[1:] and max(left[1:]) < left[0] / 10  # edges that are joined again
