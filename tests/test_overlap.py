@@ -95,3 +95,16 @@ def test_alike_sets_match_brute_force(spark):
     got = {(r.a, r.b): r.overlap for r in overlap.alike(spark.createDataFrame(list(enumerate(sets)), "id long, words array<string>"), 0.85).collect()}
     want = {(i, j): len(set(x) & set(y)) / len(set(x) | set(y)) for j, y in enumerate(sets) for i, x in enumerate(sets[:j])}
     assert got == {k: v for k, v in want.items() if v >= 0.85} and len(got) > 5
+
+
+def test_pages_are_looked_through_for_first_words_alone(spark, monkeypatch):
+    """Only runs that start as an anchor does become rows; more first words than a set may have give the same."""
+    questions = spark.createDataFrame([(1, "what red fox runs far"), (2, "the red owl sleeps"), (3, "one owl only")], "id long, text string")
+    pages = spark.createDataFrame([(7, "Say: what red fox runs far, the red owl sleeps " + "deep green wood " * 50), (8, "one owl only"), (9, "the red owl sleep")], "key long, text string")
+    plain, leads = overlap._grams, []
+    monkeypatch.setattr(overlap, "_grams", lambda *args, **more: (leads.append(more.get("lead")), plain(*args, **more))[1])
+    found = sorted(map(tuple, overlap.contained(questions, pages).collect()))
+    assert found == [(1, 7), (2, 7), (3, 8)]
+    assert any(leads) and {w for lead in leads if lead for w in lead} <= {"red", "owl"}
+    monkeypatch.setattr(overlap, "MAX_LEADS", 0)
+    assert sorted(map(tuple, overlap.contained(questions, pages).collect())) == found
