@@ -42,3 +42,13 @@ def test_texts_of_the_same_signs_are_told_apart_without_comparing(monkeypatch):
     got = overlap._close(0.88)(rows)
     want = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if plain(None, texts[i], texts[j]).ratio() >= 0.88]
     assert list(zip(got["a"], got["b"], strict=True)) == want and (80, 81) in want and len(compared) <= 2
+
+
+def test_what_is_used_more_than_once_is_made_once(spark):
+    """Rules and pairs read stored rows: each use of passages or first lines used to cut or normalize all documents again."""
+    from evidentia.plans import queries
+
+    for query, n in ((queries.near_questions, None),):
+        found = query(spark, "/root/testdata/sf0.001")
+        assert found.inputFiles() and not [f for f in found.inputFiles() if "/root/testdata" in f]
+        assert n is None or found.count() == n
