@@ -14,13 +14,14 @@ MOST_FILES = 80
 def pdf_links(captures: DataFrame) -> DataFrame:
     """(key, pos, url, title, fault) of the PDFs inside the main element of ``captures(key, url, html)``.
 
-    Years and places stay in the titles.  A page without such a link has a fault and nothing else.
+    Years and places stay in the titles.  A page without such a link, or without one main element,
+    has a fault and nothing else.
     """
-    found = sections.links(captures, "<main>", hidden=True)
+    found = sections.links(captures, "<main>", hidden=True, strict=False)
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    pdfs = found.where(F.endswith(F.lower(path), F.lit(".pdf")))
+    pdfs = found.where(F.endswith(F.lower(path), F.lit(".pdf")) | F.col("fault").isNotNull())
     rows = captures.select("key").distinct().join(pdfs, "key", "left")
-    return rows.withColumn("fault", F.when(F.col("url").isNull(), "no link to a PDF"))
+    return rows.withColumn("fault", F.when(F.col("url").isNull(), F.coalesce("fault", F.lit("no link to a PDF"))))
 
 
 def candidates(direct: DataFrame, resolved: DataFrame, pricing: DataFrame) -> DataFrame:

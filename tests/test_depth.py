@@ -1,5 +1,6 @@
 """Pages of many open elements, and passes that hold few rows."""
 
+from evidentia.functions import dom
 from evidentia.operators import corpus, inventory, sections, sizes
 
 DEEP = "<p><b>" * 300
@@ -22,3 +23,21 @@ def test_pages_of_any_depth_can_be_cited(spark):
     rows = [("k", "T", "html", "text/html", bytearray(f"<article>{DEEP}{'word ' * 40}</article>", "utf-8"))]
     _, _, passages, rejects = corpus.prepare_catalog("c", spark.createDataFrame(rows, "key string, title string, format string, content_type string, content binary"), extract=lambda f: f.selectExpr("key", "1 as page", "'' as text"))
     assert rejects.count() == 0 and passages.count() == 1
+
+
+def test_a_page_of_another_layout_or_broken_markup_stops_nothing(spark):
+    """Marked sections, long numbers, missing pages and pages with two main elements used to end the job."""
+    link = "<a href='/f.pdf'>F</a>"
+    bodies = [f"<main><![foo[x]]>{link}</main>", f"<main>&#{'9' * 5000};&#{'0' * 5000}65;{link}</main>", f"<main><![ {link}", f"<main></main><main>{link}</main>", None, f"<main>{link}</main>"]
+    rows = spark.createDataFrame([(i, "https://h/", body) for i, body in enumerate(bodies)], "key long, url string, html string")
+    got = {r.key: (r.title, r.fault) for r in inventory.pdf_links(rows).collect()}
+    layout = (None, "exactly one content element was expected")
+    assert got == {0: ("F", None), 1: ("F", None), 2: (None, "no link to a PDF"), 3: layout, 4: layout, 5: ("F", None)}
+    assert dom.tree(f"&#{'9' * 5000};&#{'0' * 5000}65;<p>&#66;").text() == "\ufffdAB\n"
+
+
+def test_page_pdfs_of_a_page_without_html(spark, tmp_path):
+    from evidentia.plans import queries
+
+    spark.createDataFrame([(3, "https://h/", None), (4, "https://h/", "<p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {tuple(r) for r in queries.page_pdfs(spark, str(tmp_path)).collect()} == {(3, "/files/3.PDF?v=1", "File", None), (4, None, None, "no link to a PDF")}
