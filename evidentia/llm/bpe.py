@@ -133,10 +133,15 @@ class Vocabulary(dict):
         out += map(self.__getitem__, self.pieces(text[at:] if at else text))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """The strings of the ids, joined; ids that the vocabulary lacks say nothing."""
-        n, strings = len(self.strings), self.strings
-        return b"".join([strings[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
+    def decode(self, lists: pa.ListArray) -> list[str]:
+        """The strings of each list's ids, joined; null lists, null ids and ids that the vocabulary lacks say nothing."""
+        ends = lists.offsets.to_numpy()
+        ids = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+        ends, known = ends - ends[0], (ids >= 0) & (ids < len(self.strings))
+        if not known.all():
+            ends, ids = np.concatenate([[0], np.cumsum(known)])[ends], ids[known]
+        string, held = self.strings.__getitem__, lists.is_valid().to_numpy(zero_copy_only=False)
+        return [b"".join(map(string, ids[a:b].tolist())).decode("utf-8", "replace") if some else "" for a, b, some in zip(ends[:-1], ends[1:], held, strict=True)]
 
 
 @functools.lru_cache(2)
@@ -191,7 +196,7 @@ def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> Data
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                texts = [known.decode([i for i in x if i is not None] if x is not None else []) for x in batch.column(place).to_pylist()]
+                texts = known.decode(batch.column(place))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join([*(f"{at[c]} {inner.schema[at[c]].dataType.simpleString()}" for c in keep), "decoded string"])

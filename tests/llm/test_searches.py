@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,15 @@ def test_ids_of_no_text_are_decoded_as_the_library_does(spark):
     assert got[98] == "" and got[99] == known.decode([1])
 
 
+def test_lists_of_ids_are_decoded_from_their_buffers():
+    """A slice's own lists alone; decoding used to make a Python list of a whole column of ids first."""
+    own, rows = bpe.vocabulary(bpe.vocabulary_path()), [[5, 6], [1, None, 2], None, [], [-1, 3, 10**6], [40]]
+    said = [b"".join(own.strings[i] for i in ids or [] if i is not None and 0 <= i < len(own.strings)).decode() for ids in rows]
+    lists = pa.array(rows, pa.list_(pa.int32()))
+    for start, n in ((0, 6), (1, 3), (4, 2), (6, 0)):
+        assert own.decode(lists.slice(start, n)) == said[start : start + n]
+
+
 def test_the_queue_merges_by_rank_then_place():
     v = bpe.Vocabulary(bpe.vocabulary_path())
     known = library()
