@@ -37,9 +37,9 @@ def stable_id(*parts: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def chunk_id(source_id: Column, version: Column, recipe: str, page: Column, start: Column, end: Column, text: Column) -> Column:
+def chunk_id(source_id: Column, version: Column, recipe: Column, page: Column, start: Column, end: Column, text: Column) -> Column:
     """Identity of a passage: where it is, how it was cut, and what it says."""
-    return stable_id(source_id, version, F.lit(recipe), page.cast("string"), start.cast("string"), end.cast("string"), F.sha2(text, 256))
+    return stable_id(source_id, version, recipe, page.cast("string"), start.cast("string"), end.cast("string"), F.sha2(text, 256))
 
 
 def document_type(url: Column) -> Column:
@@ -106,4 +106,5 @@ def valid_namespace(c: Column) -> Column:
 
 def without_bom(c: Column) -> Column:
     """Text without a byte order mark, line ends as \\n."""
-    return F.regexp_replace(F.regexp_replace(c, "^﻿", ""), "\r\n?", "\n")
+    unmarked = F.regexp_replace(c, "^﻿", "")
+    return F.replace(F.replace(unmarked, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

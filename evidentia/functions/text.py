@@ -36,6 +36,19 @@ _BLANK = "\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202
 _LINE_END = "\\r\\n|[\\n-\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
+#: White space as Unicode has it (fixed values).
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends, which alone are looked at."""
+    return F.btrim(c, F.lit(_SPACES))
+
+
+def right_stripped(c: Column) -> Column:
+    return F.rtrim(c, F.lit(_SPACES))
+
+
 def tidied(c: Column) -> Column:
     """Lines with single spaces, empty ones dropped."""
     lines = F.transform(F.split(c, _LINE_END), lambda x: F.trim(F.regexp_replace(x, f"[{_BLANK}]+", " ")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,7 +25,6 @@ ARTICLE = re.compile(r"^[ \t]*(\d+[a-z]?)\.[ \t]*člen[ \t\r]*$", re.M | re.I)
 SECTION = re.compile(r"^[ \t]*(?:[IVXLCDM]+\.[ \t]+\S.*|Končne določbe[ \t\r]*)$", re.M)
 
 _CUTS = "cuts array<struct<start:int,end:int,text:string,known:boolean,article:string,section:string>>, headed boolean, last_article string, last_section string"
-_SPACE = re.compile(r"\s+")
 
 
 class ChunkError(ValueError):
@@ -37,10 +36,13 @@ def page_segments(text: str, ignored: frozenset[str]) -> list[tuple] | None:
 
     The body runs from the first line kept to the last one; ignored lines inside it stay.
     """
-    kept = [m.span() for m in re.finditer(r"[^\n]+", text) if (line := " ".join(m[0].split())) and line not in ignored]
-    if not kept:
+    kept = lambda line: (line := " ".join(line.split())) and line not in ignored
+    top = next((m for m in re.finditer(r"[^\n]+", text) if kept(m[0])), None)
+    if top is None:
         return None
-    first, last = kept[0][0], kept[-1][1]
+    first, last = top.start(), len(text)
+    while not kept(text[(start := text.rfind("\n", 0, last) + 1) : last]):
+        last = start - 1
     heads = [(m.start(), "article", m[1]) for m in ARTICLE.finditer(text)] + [(m.start(), "section", m[0].strip()) for m in SECTION.finditer(text)]
     marks = [(first, "body", None), *sorted(h for h in heads if first <= h[0] < last)]
     stops = [m[0] for m in marks[1:]] + [last]
@@ -53,11 +55,13 @@ def cuts(text: str, start: int, stop: int, most: int, overlap: int) -> list[tupl
     while start < stop:
         end = min(start + most, stop)
         if end < stop:
-            gap = None
-            for gap in _SPACE.finditer(text, start, end):
-                pass
-            if gap is not None and gap.start() - start > most // 2:
-                end = gap.start()
+            least, gap = start + most // 2, end
+            while gap > least and not text[gap - 1].isspace():
+                gap -= 1
+            while gap > least and text[gap - 1].isspace():
+                gap -= 1
+            if gap > least:
+                end = gap
         piece = text[start:end]
         left, right = start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip())
         if left < right:
@@ -69,14 +73,15 @@ def cuts(text: str, start: int, stop: int, most: int, overlap: int) -> list[tupl
 
 
 def chunks(
-    pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, preserve_sections: bool = False, library: str = "text", strict: bool = True,
+    pages: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, preserve_sections: bool | Column = False, library: str = "text", strict: bool = True,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Passages of ``pages(source_id, version, page, text[, excluded][, ignored_lines])``.
 
     Returns ``id, source_id, version, page, start, end, article, section, text`` and the pages' columns to ``carry``.  Excluded
     pages, and gaps in the page numbers, reset article and section.  ``strict`` stops on pages
-    without usable text; otherwise such pages have no passages.
+    without usable text; otherwise such pages have no passages.  ``preserve_sections`` may be a
+    condition on the columns to ``carry``.
     """
     if max_chars < 100 or not 0 <= overlap < max_chars:
         raise ChunkError("passages need at least 100 characters and an overlap below that")
@@ -101,7 +106,11 @@ def chunks(
             out.append((rows, headed, article, section))
         return out
 
-    recipe = f"{RECIPE}:{library}:{max_chars}:{overlap}" + ":sections-v1" * preserve_sections
+    recipe = F.lit(f"{RECIPE}:{library}:{max_chars}:{overlap}")
+    if isinstance(preserve_sections, Column):
+        recipe = F.concat(recipe, F.when(preserve_sections, ":sections-v1").otherwise(""))
+    elif preserve_sections:
+        recipe = F.concat(recipe, F.lit(":sections-v1"))
     source = Window.partitionBy("source_id", "version").orderBy("page")
     live = pages.where(~F.coalesce("excluded", F.lit(False))).select("source_id", "version", "page", *carry, "text", "ignored_lines")
     # A gap, an excluded page among them, starts a new island of pages.
@@ -112,6 +121,8 @@ def chunks(
     pages = pages.withColumns({"_article": F.last(mark, ignorenulls=True).over(before)["article"], "_section": F.last("last_section", ignorenulls=True).over(before)})
     cut = pages.select("source_id", "version", "page", *carry, "_article", "_section", F.inline("cuts"))
     article = F.when(F.col("known"), F.col("article")).otherwise(F.col("_article"))
-    section = F.coalesce("section", "_section") if preserve_sections else F.lit(None).cast("string")
+    if isinstance(preserve_sections, bool):
+        preserve_sections = F.lit(preserve_sections)
+    section = F.when(preserve_sections, F.coalesce("section", "_section"))
     ident = chunk_id(F.col("source_id"), F.col("version"), recipe, F.col("page"), F.col("start"), F.col("end"), F.col("text"))
     return cut.select(ident.alias("id"), "source_id", "version", "page", "start", "end", article.alias("article"), section.alias("section"), "text", *carry)

@@ -31,13 +31,13 @@ def text_pages(sources: DataFrame) -> DataFrame:
 
 def _pages_of_texts(sources: DataFrame) -> DataFrame:
     """``text_pages`` with their ``kind``, numbered in their source before they are rows: no window, no shuffle."""
-    if "ignored_lines" not in sources.columns:
-        sources = sources.withColumn("ignored_lines", F.expr("cast(array() as array<string>)"))
     body = without_bom(F.col("text"))
     parts = F.when(F.col("kind") == "markdown", F.split(body, r"(?m)(?=^#{1,6}\s+)")).otherwise(F.array(body))
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    ignored = F.coalesce("ignored_lines", F.expr("cast(array() as array<string>)"))
-    lines = lambda part: F.transform(F.filter(F.split(strip(part), "\n"), lambda x: ~F.array_contains(ignored, strip(x))), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    strip, all_of = T.stripped, lambda x: x
+    if "ignored_lines" in sources.columns:
+        ignored = F.coalesce("ignored_lines", F.expr(_NO_LINES))
+        all_of = lambda lines: F.filter(lines, lambda x: ~F.array_contains(ignored, strip(x)))
+    lines = lambda part: F.transform(all_of(F.split(strip(part), "\n")), T.right_stripped)
     found = F.transform(F.transform(parts, lines), lambda x: F.struct(F.get(x, F.lit(0)).alias("first"), strip(F.array_join(x, "\n")).alias("text")))
     rows = sources.select("source_id", "version", "title", "kind", F.posexplode(F.filter(found, lambda x: x["text"] != "")).alias("pos", "part"))
     first = F.col("part.first")
@@ -120,8 +120,10 @@ def paged(corpus_id: str, sources: DataFrame, pages: DataFrame, max_chars: int =
     held = lambda df, c, default: F.coalesce(c, F.expr(default)) if c in df.columns else F.expr(default)
     regulation, excluded, ignored = held(sources, "regulation", "false"), held(sources, "excluded_pages", _NO_PAGES), held(sources, "ignored_lines", _NO_LINES)
     named = sources.select("key", "title", stable_id(F.lit(corpus_id), F.col("key")).alias("source_id"), F.col("content_sha256").alias("version"), regulation.alias("regulation"), excluded.alias("excluded_pages"), ignored.alias("ignored_lines"))
-    found = pages.select("key", "page", F.coalesce("text", F.lit("")).alias("text"), held(pages, "blank", "false").alias("_blank")).join(named.drop("title"), "key")
-    unseen = F.col("regulation") & F.col("_blank") & ~F.rlike("text", F.lit(r"(?U)\S"))
+    text = F.coalesce("text", F.lit(""))
+    shown = pages.select("key", "page", text.alias("text"), held(pages, "blank", "false").alias("_blank"), F.rlike(text, F.lit(r"(?U)\S")).alias("_shown"))
+    found = shown.join(named.drop("title"), "key")
+    unseen = F.col("regulation") & F.col("_blank") & ~F.col("_shown")
     found = found.withColumn("excluded", F.array_contains("excluded_pages", F.col("page")) | unseen)
     also = found.where(unseen).groupBy("source_id").agg(F.collect_set("page").alias("_also"))
     recipe = F.concat(F.lit(f"{chunk.RECIPE}:{max_chars}:{overlap}"), F.when(F.col("regulation"), ":sections-v1").otherwise(""))
@@ -129,11 +131,12 @@ def paged(corpus_id: str, sources: DataFrame, pages: DataFrame, max_chars: int =
         "source_id", "key", "title", F.lit("pdf").alias("kind"), F.col("version").alias("content_sha256"), F.lit(library).alias("extraction_version"), recipe.alias("chunking_version"),
         F.array_sort(F.array_union("excluded_pages", F.coalesce("_also", F.expr(_NO_PAGES)))).alias("excluded_pages"),
     )
-    one = lambda kept: chunk.chunks(found.where(F.col("regulation") == kept).select("source_id", "version", "page", "text", "excluded", "ignored_lines"), max_chars, overlap, kept, library, strict=False)
-    passages = one(False).unionByName(one(True))
-    mute = found.where("not excluded").join(passages.select("source_id", "page").distinct(), ["source_id", "page"], "left_anti")
-    why = F.when(F.rlike("text", F.lit(r"(?U)\S")), "only ignored lines").otherwise("no native text")
-    faults = preparation_faults(named, found, passages).unionByName(mute.select("source_id", why.alias("fault"), "page"))
+    cuttable = found.select("source_id", "version", "page", "text", "excluded", "ignored_lines", "regulation")
+    passages = chunk.chunks(cuttable, max_chars, overlap, F.col("regulation"), library, strict=False, carry=("regulation",)).drop("regulation")
+    cited = passages.select("source_id", "page").distinct()
+    mute = found.where("not excluded").join(cited, ["source_id", "page"], "left_anti")
+    why = F.when(F.col("_shown"), "only ignored lines").otherwise("no native text")
+    faults = preparation_faults(named, found, cited).unionByName(mute.select("source_id", why.alias("fault"), "page"))
     return documents, found.select("source_id", "version", "page", "text", "excluded"), passages, faults
 
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of a table up to which a join may broadcast it.
 BROADCAST_BYTES = 32 << 20
-#: Rows whose texts and results a task holds as Python objects at a time.
-SLICE_ROWS = 64
+#: Rows whose texts and results a task holds as Python objects at a time; more if their texts have few bytes together.
+SLICE_ROWS, SLICE_BYTES = 64, 256 << 10
 
 
 def measured(df: DataFrame) -> int:
@@ -33,11 +34,33 @@ def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if measured(df) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def _lengths(column) -> np.ndarray:
+    """Bytes of each value of an Arrow column, about."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_list(column.type):
+        return np.diff(np.concatenate([[0], np.cumsum(_lengths(column.values))])[column.offsets.to_numpy()])
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.full(len(column), 8)
+
+
+def slices(columns: list) -> Iterator[tuple[int, int]]:
+    """(start, stop) of slices of Arrow columns: ``SLICE_ROWS`` rows, or more that have ``SLICE_BYTES`` at most."""
+    ends, start = np.cumsum(sum(_lengths(c) + 8 for c in columns)), 0
+    while start < len(ends):
+        most = (ends[start - 1] if start else 0) + SLICE_BYTES
+        stop = min(max(start + SLICE_ROWS, int(np.searchsorted(ends, most, "right"))), len(ends))
+        yield start, stop
+        start = stop
+
+
 def by_slices(rows: DataFrame, columns: list[str], made: str, work: Callable[..., list[tuple]]) -> DataFrame:
     """``rows`` with the columns of the DDL ``made`` in place of ``columns``.
 
     ``work`` gets the values of ``columns``, a list each, and returns a tuple per row.  It is asked
-    for ``SLICE_ROWS`` rows at a time, so a worker's memory doesn't grow with Spark's batches.
+    for a slice at a time (``slices``), so a worker's memory doesn't grow with Spark's batches.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -49,8 +72,8 @@ def by_slices(rows: DataFrame, columns: list[str], made: str, work: Callable[...
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for start, stop in slices(batch.columns[n:]):
+                part = batch.slice(start, stop - start)
                 out = work(*(c.to_pylist() for c in part.columns[n:]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], names)
 
