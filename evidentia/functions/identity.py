@@ -22,16 +22,24 @@ RESERVED_NAMESPACES = ("admin", "local", "config", "system")
 
 
 def json_string(c: Column) -> Column:
-    """A text as a JSON string literal, non-ASCII kept."""
+    """A text as a JSON string literal, non-ASCII kept.  It is looked through once, and written anew only if it has to be."""
     escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"')
     for sign, code in (("\n", r"\\n"), ("\r", r"\\r"), ("\t", r"\\t"), ("\b", r"\\b"), ("\f", r"\\f")):
         escaped = F.regexp_replace(escaped, sign if sign != "\b" else r"\x08", code)
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    return _quoted(F.when(c.rlike(r'[\\"\n\r\t\x08\f]'), escaped).otherwise(c))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
 
 
 def stable_id(*parts: Column) -> Column:
     """Name-based UUID (version 5) of the JSON list of the parts."""
-    name = F.concat(F.lit("["), F.concat_ws(", ", *(json_string(p) for p in parts)), F.lit("]"))
+    return _uuid(*(json_string(p) for p in parts))
+
+
+def _uuid(*literals: Column) -> Column:
+    name = F.concat(F.lit("["), F.concat_ws(", ", *literals), F.lit("]"))
     h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
@@ -39,7 +47,8 @@ def stable_id(*parts: Column) -> Column:
 
 def chunk_id(source_id: Column, version: Column, recipe: Column, page: Column, start: Column, end: Column, text: Column) -> Column:
     """Identity of a passage: where it is, how it was cut, and what it says."""
-    return stable_id(source_id, version, recipe, page.cast("string"), start.cast("string"), end.cast("string"), F.sha2(text, 256))
+    plain = (page.cast("string"), start.cast("string"), end.cast("string"), F.sha2(text, 256))  # nothing to escape
+    return _uuid(*map(json_string, (source_id, version, recipe)), *map(_quoted, plain))
 
 
 def document_type(url: Column) -> Column:
@@ -106,5 +115,6 @@ def valid_namespace(c: Column) -> Column:
 
 def without_bom(c: Column) -> Column:
     """Text without a byte order mark, line ends as \\n."""
-    unmarked = F.regexp_replace(c, "^﻿", "")
-    return F.replace(F.replace(unmarked, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    unmarked = F.when(F.startswith(c, F.lit("\ufeff")), F.substring(c, 2, 2**31 - 1)).otherwise(c)
+    ended = F.replace(F.replace(unmarked, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.when(F.contains(c, F.lit("\r")), ended).otherwise(unmarked)

@@ -8,6 +8,7 @@ repeated and the source, sorted, is never one group in memory.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -85,13 +86,13 @@ def chunks(
     """
     if max_chars < 100 or not 0 <= overlap < max_chars:
         raise ChunkError("passages need at least 100 characters and an overlap below that")
-    for name, kind in (("excluded", "boolean"), ("ignored_lines", "array<string>")):
-        if name not in pages.columns:
-            pages = pages.withColumn(name, F.lit(None).cast(kind))
+    if "excluded" not in pages.columns:
+        pages = pages.withColumn("excluded", F.lit(False))
+    read_of = ["text", *(c for c in pages.columns if c == "ignored_lines")]  # no column of nulls goes through Arrow
 
-    def read(text: list, ignored: list) -> list[tuple]:
+    def read(text: list, ignored: list | None = None) -> list[tuple]:
         out = []
-        for body, lines in zip(text, ignored, strict=True):
+        for body, lines in zip(text, ignored or itertools.repeat(None, len(text)), strict=True):
             body = body or ""
             found = page_segments(body, frozenset(" ".join(x.split()) for x in lines) if lines is not None else frozenset())
             if found is None and strict:
@@ -112,9 +113,9 @@ def chunks(
     elif preserve_sections:
         recipe = F.concat(recipe, F.lit(":sections-v1"))
     source = Window.partitionBy("source_id", "version").orderBy("page")
-    live = pages.where(~F.coalesce("excluded", F.lit(False))).select("source_id", "version", "page", *carry, "text", "ignored_lines")
+    live = pages.where(~F.coalesce("excluded", F.lit(False))).select("source_id", "version", "page", *carry, *read_of)
     # A gap, an excluded page among them, starts a new island of pages.
-    islands = by_slices(live, ["text", "ignored_lines"], _CUTS, read).withColumn("_new", (F.col("page") != F.coalesce(F.lag("page").over(source) + 1, F.lit(1))).cast("int"))
+    islands = by_slices(live, read_of, _CUTS, read).withColumn("_new", (F.col("page") != F.coalesce(F.lag("page").over(source) + 1, F.lit(1))).cast("int"))
     pages = islands.withColumn("_island", F.sum("_new").over(source))
     before = Window.partitionBy("source_id", "version", "_island").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("headed"), F.struct(F.col("last_article").alias("article")))

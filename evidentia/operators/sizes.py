@@ -11,8 +11,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a table up to which a join may broadcast it.
 BROADCAST_BYTES = 32 << 20
-#: Rows whose texts and results a task holds as Python objects at a time; more if their texts have few bytes together.
-SLICE_ROWS, SLICE_BYTES = 64, 256 << 10
+#: Least rows, and bytes, whose values and results a task holds as Python objects at a time: one long row, or many short ones.
+SLICE_ROWS, SLICE_BYTES = 1, 256 << 10
 
 
 def measured(df: DataFrame) -> int:
@@ -47,7 +47,7 @@ def _lengths(column) -> np.ndarray:
 
 
 def slices(columns: list) -> Iterator[tuple[int, int]]:
-    """(start, stop) of slices of Arrow columns: ``SLICE_ROWS`` rows, or more that have ``SLICE_BYTES`` at most."""
+    """(start, stop) of slices of Arrow columns: as many rows as have ``SLICE_BYTES`` at most, but ``SLICE_ROWS`` at least."""
     ends, start = np.cumsum(sum(_lengths(c) + 8 for c in columns)), 0
     while start < len(ends):
         most = (ends[start - 1] if start else 0) + SLICE_BYTES
