@@ -41,6 +41,8 @@ def _lengths(column) -> np.ndarray:
 
     if pa.types.is_list(column.type):
         return np.diff(np.concatenate([[0], np.cumsum(_lengths(column.values))])[column.offsets.to_numpy()])
+    if pa.types.is_struct(column.type):
+        return sum(map(_lengths, column.flatten()), np.zeros(len(column), int))
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     return np.full(len(column), 8)

@@ -50,3 +50,9 @@ def test_text_between_two_starts_is_one_mark():
     root = dom.tree("<main>a<p>b <b>c</b></p><p>d</p><table><tr><td>e</td><td>f</td></tr></table><h2 id=h>T</h2>g<br>h</main>")
     marks = sections.content_marks(sections.chosen(root, "<main>"))
     assert marks == [(True, "", None), (False, "ab c\nd\n\ne | f\n", None), (True, "T", "h"), (False, "g\nh", None)]
+
+
+def test_texts_in_lists_of_structs_count():
+    """They used to count 8 bytes each, so that 64 pages' passages were held at a time."""
+    spans = pa.array([[{"start": 0, "end": 1, "text": "x" * 200_000}] * 2] * 5 + [None, []])
+    assert list(sizes.slices([spans])) == [(i, i + 1) for i in range(4)] + [(4, 5), (5, 7)]
