@@ -7,7 +7,9 @@ tables or algorithms that Spark SQL lacks and work on whole batches.
 from __future__ import annotations
 
 import difflib
+import functools
 import json
+import operator
 import re
 import unicodedata
 from collections import Counter
@@ -40,13 +42,19 @@ _LINE_END = "\\r\\n|[\\n-\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
 _SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _signs(c: Column, *places: int) -> Column:
+    """Whether the bytes at some places, from 1 or from -1 at the end, are visible ASCII signs: of the text no more is read."""
+    signs = [F.substring(c.cast("binary"), at, 1) for at in places]
+    return functools.reduce(operator.and_, ((b > F.lit(b" ")) & (b < F.lit(b"\x7f")) for b in signs))
+
+
 def stripped(c: Column) -> Column:
-    """Text without white space at its ends, which alone are looked at."""
-    return F.btrim(c, F.lit(_SPACES))
+    """Text without white space at its ends, which alone are looked at first: Spark's trim reads all of the text."""
+    return F.when(_signs(c, 1, -1), c).otherwise(F.btrim(c, F.lit(_SPACES)))
 
 
 def right_stripped(c: Column) -> Column:
-    return F.rtrim(c, F.lit(_SPACES))
+    return F.when(_signs(c, -1), c).otherwise(F.rtrim(c, F.lit(_SPACES)))
 
 
 def tidied(c: Column) -> Column:

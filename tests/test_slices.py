@@ -56,3 +56,12 @@ def test_texts_in_lists_of_structs_count():
     """They used to count 8 bytes each, so that 64 pages' passages were held at a time."""
     spans = pa.array([[{"start": 0, "end": 1, "text": "x" * 200_000}] * 2] * 5 + [None, []])
     assert list(sizes.slices([spans])) == [(i, i + 1) for i in range(4)] + [(4, 5), (5, 7)]
+
+
+def test_ends_of_texts_are_looked_at_before_they_are_trimmed(spark):
+    rng = random.Random(6)
+    rows = [("".join(rng.choice([*T._SPACES, *"  \na~!é\x00\x1c\x7f\u200b😀"]) for _ in range(rng.randrange(9))),) for _ in range(2000)]
+    both, right = T.stripped(F.col("t")), T.right_stripped(F.col("t"))
+    for r in spark.createDataFrame([*rows, (None,)], "t string").select("t", both.alias("both"), right.alias("right")).collect():
+        assert (r.both, r.right) == ((None, None) if r.t is None else (r.t.strip(T._SPACES), r.t.rstrip(T._SPACES)))
+    assert str(both).startswith("Column<'CASE WHEN") and str(right).startswith("Column<'CASE WHEN")
