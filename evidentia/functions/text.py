@@ -38,8 +38,8 @@ _BLANK = "\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202
 _LINE_END = "\\r\\n|[\\n-\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
 
 
-#: White space as Unicode has it (fixed values).
-_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space as the standard library's ``strip`` takes it (fixed values).
+_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _signs(c: Column, *places: int) -> Column:

@@ -206,12 +206,15 @@ def prepare_catalog(corpus_id: str, captures: DataFrame, selector: str = "<artic
 
 
 def coverage(pages: DataFrame, passages: DataFrame) -> DataFrame:
-    """(source_id, page, exact, covered) of every page.
+    """(source_id[, version], page, exact, covered) of every page.
 
     ``exact``: its passages are its text between their offsets; ``covered``: every visible
-    character stands in one.  A page's passages meet as one row, which the page bounds.
+    character stands in one.  A page's passages meet as one row, which the page bounds; where both
+    name a version, those of another one are none of its.
     """
-    spans = passages.groupBy("source_id", "page").agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
+    on = ["source_id", *(c for c in ("version",) if c in pages.columns and c in passages.columns), "page"]
+    spans = passages.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("spans"))
+    own = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
 
     def faithful(text: list, spans: list) -> list[tuple]:
         out = []
@@ -225,10 +228,21 @@ def coverage(pages: DataFrame, passages: DataFrame) -> DataFrame:
             out.append((exact, covered and not body[reach:].strip()))
         return out
 
-    rows = pages.join(spans, ["source_id", "page"], "left").select("source_id", "page", "text", "spans")
+    rows = pages.join(spans.withColumnsRenamed({c: f"_{c}" for c in on}), own, "left").select(*on, "text", "spans")
     return by_slices(rows, ["text", "spans"], "exact boolean, covered boolean", faithful)
 
 
+def source_coverage(sources: DataFrame, pages: DataFrame, passages: DataFrame) -> DataFrame:
+    """``sources(source_id, version, text)`` without their text, with (exact, covered) over all their pages.
+
+    A source without pages has no passage that could be wrong; it is covered if its text shows nothing.
+    """
+    per = coverage(pages, passages).groupBy(F.col("source_id").alias("_source"), F.col("version").alias("_version")).agg(F.bool_and("exact").alias("exact"), F.bool_and("covered").alias("covered"))
+    blank = T.stripped(without_bom(F.coalesce("text", F.lit("")))) == ""
+    rows = sources.withColumn("_blank", blank).drop("text").join(per, [F.col("source_id") == F.col("_source"), F.col("version") == F.col("_version")], "left")
+    return rows.withColumns({"exact": F.coalesce("exact", F.lit(True)), "covered": F.coalesce("covered", "_blank")}).drop("_source", "_version", "_blank")
+
+
 def violations(documents: DataFrame, pages: DataFrame, passages: DataFrame) -> DataFrame:
     """(rule, key, detail) of every broken rule; no rows for a sound corpus.
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from evidentia.operators import corpus
 from evidentia.sources import sinks
 
@@ -87,6 +88,22 @@ def test_coverage_sees_what_is_lost(spark):
     assert got == {0: (True, True), 1: (True, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (False, True), 6: (True, True), 7: (True, True), 8: (True, False)}
 
 
+def test_every_document_is_audited(spark, tmp_path):
+    texts = ["Some text.", None, "", " \n\u00a0", "\x1c\n\x1d", "\ufeff", "\ufeff \n", "a\x1cb\n\x1e"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(0, "Another text, which has the same key.", "s"), (0, "Some text.", "s"), (None, "No key.", "s"), (None, "None either.", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in entry.queries()["passage_audit"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((i, True, True) for i, *_ in rows), key=str)
+
+
+def test_a_source_without_pages_is_covered_only_if_it_shows_nothing(spark):
+    sources = spark.createDataFrame([("a", "1", "x"), ("b", "1", " "), ("c", None, None), ("d", "1", "lost")], "source_id string, version string, text string")
+    pages = spark.createDataFrame([("a", "1", 1, "x")], "source_id string, version string, page int, text string")
+    passages = spark.createDataFrame([("a", "1", 1, 0, 1, "x")], "source_id string, version string, page int, start int, end int, text string")
+    got = {r.source_id: (r.exact, r.covered) for r in corpus.source_coverage(sources, pages, passages).collect()}
+    assert got == {"a": (True, True), "b": (True, True), "c": (True, True), "d": (True, False)}
+
+
 def test_tables_are_published_by_a_pointer(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     assert [sinks.publish(spark.range(n), root) for n in (3, 4)] == ["v000000000001", "v000000000002"]
