@@ -71,6 +71,30 @@ def test_vectors_empty_null_and_repeated_ids(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in rows) == [(0, 2, 3), (3, 2, 3), (3, 2, 3)]
 
 
+def test_vectors_move_once_per_block(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    reps = embedding_dedup.projected(df, "vec_id", "embedding").selectExpr("row as node", "1L as copies", "dim", "norm", "vec", "proj")
+    dealt = embedding_dedup.deal(reps).selectExpr("node", "octet_length(vec) + octet_length(proj) as size").groupBy("node").agg({"size": "sum", "*": "count"}).collect()
+    assert len(dealt) == 300 and {(r["count(1)"], r["sum(size)"]) for r in dealt} == {(embedding_dedup.LEAST_BLOCKS, embedding_dedup.LEAST_BLOCKS * (64 * 4 + embedding_dedup.PROJECTIONS * 4))}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_in_many_small_blocks_match_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 16))
+    x = np.vstack([base + 0.15 * rng.standard_normal(base.shape) for _ in range(5)]).astype(np.float32 if kind == "float" else np.float64)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    label = np.arange(len(x))
+    for _ in range(len(x)):
+        label = np.array([label[row].min() for row in near])
+    assert got == {i: (int(near[i].sum()) - 1, int(label[i])) for i in range(len(x))} and near.sum() > 2 * len(x)
+
+
 def test_window_calibration():
     w = embedding_dedup.half_width()
     rng = np.random.default_rng(5)
