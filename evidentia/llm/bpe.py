@@ -133,8 +133,10 @@ class Vocabulary(dict):
         out += map(self.__getitem__, self.pieces(text[at:] if at else text))
         return b"".join(out)
 
-    def decode(self, lists: pa.ListArray) -> list[str]:
-        """The strings of each list's ids, joined; null lists, null ids and ids that the vocabulary lacks say nothing."""
+    def decode(self, lists: pa.ListArray | list[int]) -> list[str] | str:
+        """The strings of each list's ids, joined; null lists, null ids and ids that the vocabulary lacks say nothing.  A plain list of ids is one text."""
+        if isinstance(lists, list):
+            return self.decode(pa.array([lists], pa.list_(pa.int64())))[0]
         ends = lists.offsets.to_numpy()
         ids = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(-1).to_numpy(zero_copy_only=False)
         ends, known = ends - ends[0], (ids >= 0) & (ids < len(self.strings))
