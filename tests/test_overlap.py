@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as T
 from evidentia.operators import evaluate, overlap
 
 
@@ -108,3 +109,25 @@ def test_pages_are_looked_through_for_first_words_alone(spark, monkeypatch):
     assert any(leads) and {w for lead in leads if lead for w in lead} <= {"red", "owl"}
     monkeypatch.setattr(overlap, "MAX_LEADS", 0)
     assert sorted(map(tuple, overlap.contained(questions, pages).collect())) == found
+
+
+def test_common_signs_of_many_texts_at_once():
+    rng = random.Random(5)
+    said = lambda n: "".join(rng.choice("ab cé😀") for _ in range(n))
+    texts = [said(rng.randrange(200)) for _ in range(60)] + ["", "a", "a" * 7, "b" * 8, "c" * 64, "x" * 9]
+    for b in ("", "a", "aaaaaaaaaa", "y", said(150)):
+        assert T.longest_common_of([(len(t), T.sign_places(t)) for t in texts], b) == [T.longest_common(t, b) for t in texts]
+
+
+def test_close_texts_of_all_lengths_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 16)
+    monkeypatch.setattr(overlap, "LANES", 256)
+    monkeypatch.setattr(overlap, "KEPT", 4096)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices(("en", "er", "ti", "on", "é", "😀"), k=rng.randint(1, 4))) for _ in range(n)) for n in (3, 10, 40, 45, 90, 95, 100) for _ in range(4)]
+    for t in texts[:]:
+        for share in (0.03, 0.1, 0.2):
+            texts.append("".join(rng.choice("enr x") if rng.random() < share else s for s in t))
+    got = {(r.a, r.b): r.ratio for r in overlap.close(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.88).collect()}
+    want = {(i, j): r for j in range(len(texts)) for i in range(j) if (r := difflib.SequenceMatcher(None, texts[i], texts[j]).ratio()) >= 0.88}
+    assert got == want and len(want) > 20
